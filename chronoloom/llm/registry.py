@@ -1,11 +1,15 @@
 """Queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, token_files, topk, url_filter
+from . import decontaminate, language, neardup, packing, quality, token_files, topk, url_filter
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
+    "op2_language": language.op2_language,
+    "op3_packing": packing.op3_packing,
     "op4_token_files": token_files.op4_token_files,
+    "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_topk": topk.op7_topk,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-SQL = {**topk.SQL, **decontaminate.SQL}
+SQL = {**neardup.SQL, **topk.SQL, **decontaminate.SQL}
