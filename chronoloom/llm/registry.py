@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, language, neardup, packing, quality, token_files, topk, url_filter
+from . import decontaminate, language, lm, neardup, packing, quality, repeats, token_files, topk, url_filter
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_topk": topk.op7_topk,
+    "op8_repeats": repeats.op8_repeats,
+    "op9_lm": lm.op9_lm,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 SQL = {**neardup.SQL, **topk.SQL, **decontaminate.SQL}
