@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pack, read, tune, unpack
 
 SHARD, QUERIES = 4096, 1024  # rows of a shard, queries of a block
-PRIME, BLOCK, PROBE = 256, 1024, 8  # rows scored fully at first, rows of a block, terms of a probe
+PRIME, BLOCK, PROBE, TOGETHER = 512, 2048, 8, 64  # rows scored fully at first, rows of a block, terms of a probe, queries walked together
 
 
 def quantized(embeddings: DataFrame, scale: int = 64) -> DataFrame:
@@ -31,46 +31,51 @@ def quantized(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     return rows.dropDuplicates(["vec_id", "v"])
 
 
-def maxscore(ids: np.ndarray, rows: np.ndarray, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of a shard for a query: scores and ids, ties to smaller ids; the query's own row is left out."""
-    if len(q) > rows.shape[1]:
-        q = q[: rows.shape[1]]  # a missing component counts as 0
-    used = rows[:, : len(q)]
-    least, most = used.min(axis=0), used.max(axis=0)
+def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each query, the k best rows of a shard: scores and ids, ties to smaller ids, its own row left out.
+
+    Queries are walked together, each with its own bar, order of terms and essential terms."""
+    width = min(rows.shape[1], queries.shape[1])  # a missing component counts as 0
+    rows, q = rows[:, :width], queries[:, :width]
+    least, most = rows.min(axis=0, initial=0), rows.max(axis=0, initial=0)
     high, low = np.maximum(q * most, q * least), np.minimum(q * most, q * least)
-    room = high - low
-    order = np.argsort(-room, kind="stable")
-    after = np.append(np.cumsum(room[order][::-1])[::-1], 0)  # after[i]: room of the terms from the i-th on
-    floor = low.sum()
-    best_s, best_i = np.empty(0), np.empty(0, np.int64)
-
-    def keep(scores: np.ndarray, at: np.ndarray) -> None:
-        nonlocal best_s, best_i
-        other = ids[at] != query_id
-        s, i = np.append(best_s, scores[other]), np.append(best_i, ids[at][other])
-        top = np.lexsort((i, -s))[:k]
-        best_s, best_i = s[top], i[top]
-
-    first = np.arange(min(PRIME, len(ids)))
-    keep(used[first] @ q, first)
-    for start in range(len(first), len(ids), BLOCK):
-        at = np.arange(start, min(start + BLOCK, len(ids)))
-        bar = best_s[-1] if len(best_s) == k else -np.inf
-        essential = int(np.searchsorted(-(floor + after), -bar, "left")) if bar > -np.inf else len(q)
-        terms = order[:essential]
-        partial = np.zeros(len(q))
-        partial[terms] = q[terms]
-        score = used[at] @ partial  # traversal of the essential postings
-        rest = high[order[essential:]].sum()
-        for p in range(essential, len(q), PROBE):
-            alive = score + rest >= bar
-            at, score = at[alive], score[alive]
-            probe = order[p : p + PROBE]
-            score = score + used[at][:, probe] @ q[probe]
-            rest -= high[probe].sum()
-        alive = score >= bar
-        keep(score[alive], at[alive])
-    return best_s, best_i
+    order = np.argsort(low - high, axis=1, kind="stable")  # the terms with most room first
+    each = np.arange(len(q))[:, None]
+    after = np.zeros((len(q), width + 1))
+    after[:, :-1] = np.cumsum((high - low)[each, order][:, ::-1], axis=1)[:, ::-1]
+    lift = low.sum(axis=1, keepdims=True) + after  # lift[:, i]: the most a score can be without a gain in the terms before i
+    place = np.argsort(order, axis=1, kind="stable")
+    best = [(np.empty(0), np.empty(0, np.int64)) for _ in q]
+    bar = np.full(len(q), -np.inf)
+    start, size = 0, PRIME
+    while start < len(ids):
+        block, names = rows[start : start + size], ids[start : start + size]
+        essential = np.where(np.isinf(bar), width, (lift >= bar[:, None]).sum(axis=1))
+        mask = place < essential[:, None]
+        score = (q * mask) @ block.T  # traversal of the essential postings
+        alive = names[None, :] != query_ids[:, None]
+        while True:
+            rest = np.where(mask, 0, high).sum(axis=1)
+            alive &= score + rest[:, None] >= bar[:, None]
+            if mask.all():
+                break
+            at = np.flatnonzero(alive.any(axis=0))  # rows that are competitive for a query; the next terms are probed for them
+            essential = essential + PROBE
+            probe = ~mask & (place < essential[:, None])
+            block, names, score, alive = block[at], names[at], score[:, at] + (q * probe) @ block[at].T, alive[:, at]
+            mask |= probe
+        who, at = np.nonzero(alive)
+        score = score[who, at]
+        bounds = np.searchsorted(who, np.arange(len(q) + 1))
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            found = slice(bounds[i], bounds[i + 1])
+            s, n = np.append(best[i][0], score[found]), np.append(best[i][1], names[at[found]])
+            top = np.lexsort((n, -s))[:k]
+            best[i] = s[top], n[top]
+            if len(top) == k:
+                bar[i] = s[top[-1]]
+        start, size = start + size, BLOCK
+    return best
 
 
 def _packed(key: str):
@@ -97,7 +102,7 @@ def _scored(k: int):
             for shard, block in zip(pdf.blob_shard, pdf.blob_block, strict=True):
                 ids, _, rows = _matrix(shard)
                 query_ids, _, queries = _matrix(block)
-                found = [maxscore(ids, rows, int(i), q, k) for i, q in zip(query_ids, queries, strict=True)]
+                found = [x for a in range(0, len(queries), TOGETHER) for x in maxscore(ids, rows, query_ids[a : a + TOGETHER], queries[a : a + TOGETHER], k)]
                 yield pd.DataFrame({
                     "query_id": np.repeat(query_ids, [len(s) for s, _ in found]),
                     "vec_id": np.concatenate([i for _, i in found]) if found else np.empty(0, np.int64),
