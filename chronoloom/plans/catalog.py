@@ -571,11 +571,11 @@ def _(s, d):
     return I.packet_ack(_tel(s, d).withColumn("pos", F.struct("arrival", "event_id")), M.registry(s))
 
 
-@query("latency_percentiles", """SELECT event_type AS stage, count(*) AS n, round(quantile_cont(us, 0.5) / 1000, 2) AS p50, round(quantile_cont(us, 0.95) / 1000, 2) AS p95, round(quantile_cont(us, 0.99) / 1000, 2) AS p99, max(us) / 1000 AS max_ms
+@query("latency_percentiles", """SELECT event_type AS stage, count(*) AS n, round(quantile_cont(us, 0.5) / 1000, 1) AS p50, round(quantile_cont(us, 0.95) / 1000, 1) AS p95, round(quantile_cont(us, 0.99) / 1000, 1) AS p99, max(us) / 1000 AS max_ms
 FROM (SELECT event_type, trunc(value * 1000)::BIGINT AS us, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 1000 GROUP BY 1""")
 def _(s, d):
     out = I.latency_percentiles(M.latency_samples(s, d), 1000)
-    return out.withColumns({c: F.round(c, 2) for c in ("p50", "p95", "p99")})
+    return out.withColumns({c: F.round(c, 1) for c in ("p50", "p95", "p99")})
 
 
 @query("load_metrics", f"""SELECT channel AS worker, ts // {DAY} * {DAY} AS t, round(count(*) / 86400.0, 6) AS rate, round(sum(event_id % 100 + 1) / 1e6 / count(*), 6) AS tau, round(count(*) / 86400.0 * (sum(event_id % 100 + 1) / 1e6 / count(*)), 6) AS rho FROM tel GROUP BY 1, 2""", Q.TEL)
