@@ -4,8 +4,9 @@
 2. Of each class: minima under ``HASHES`` hash functions, keys of bands of ``ROWS`` minima, and a signature of the
    minima's lowest ``BITS`` bits. A pair at the threshold misses all bands with a chance of about one in ten million.
 3. Classes that share a band are candidates. In a first round each is held against its band's leader. In a second
-   round members of a band that are still in different components are held against each other, in blocks; pairs
-   inside a component are never made.
+   round members of a band that are still in different components are held against each other, in blocks of rows
+   that meet in one task; pairs inside a component are never made, and pairs across leave the task only as links that
+   join components.
 4. Candidates whose signatures agree too little (similarity corrected for chance agreement) are left out; the margin
    is five standard deviations. All others are confirmed on the full shingle sets.
 5. Components of the confirmed links give each document its group.
@@ -36,7 +37,7 @@ _EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -146,41 +147,96 @@ def _likely(least: float):
     return likely
 
 
-def _across(least: float, percent: int):
-    """Likely pairs of members of one band that are in different components. Rows come sorted by task."""
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
-        sig = np.frombuffer(b"".join(right.sig), np.uint8).reshape(len(right), -1)
-        comp, n, c = right.comp.to_numpy(), right.n.to_numpy(), right.c.to_numpy()
-        values, counts = np.unique(comp, return_counts=True)
-        most = values[counts.argmax()]
+def _by_task(frames: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
+    """each(rows of a task) for rows that come sorted by key and task, a few thousand to a task."""
+    rest = None
+    for pdf in frames:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = ((pdf.key == pdf.key.iloc[-1]) & (pdf.task == pdf.task.iloc[-1])).to_numpy()
+        rest = pdf[last]
+        if not last.all():
+            done = pdf[~last]
+            for _, group in done.groupby(["key", "task"], sort=False):
+                yield each(group)
+    if rest is not None and len(rest):
+        yield each(rest)
+
+
+def _crossing(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row with the right rows of other components; inside one block (``same``) rows of its largest component
+    are met by the others only, and two others once."""
+    comp, c = right.comp.to_numpy(), right.c.to_numpy()
+    values, counts = np.unique(comp, return_counts=True)
+    most = values[counts.argmax()]
+    for i, (x, own) in enumerate(zip(left.c.tolist(), left.comp.tolist(), strict=True)):
+        other = comp != own
+        if same:
+            other &= ((comp == most) | (c > x)) if own != most else False
+        if other.any():
+            yield i, np.flatnonzero(other)
+
+
+def _open_members(least: float, percent: int):
+    """Members of a band that are likely similar to a member of another component."""
+
+    def members(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = pdf[pdf.side != 1], pdf[pdf.side != 0], bool(pdf.side.iloc[0] == 2)
+        if not len(left) or not len(right):
+            return pdf.iloc[:0][["key", "task", "side", "c", "comp"]]
+        sig_l, sig_r = (np.frombuffer(b"".join(x.sig), np.uint8).reshape(len(x), -1) for x in (left, right))
+        n_l, n_r = left.n.to_numpy(), right.n.to_numpy()
+        hit_l, hit_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for i, at in _crossing(left, right, same):
+            at = at[100 * np.minimum(n_r[at], n_l[i]) >= percent * np.maximum(n_r[at], n_l[i])]
+            at = at[estimate(sig_r[at], sig_l[i]) >= least]
+            hit_l[i] |= len(at) > 0
+            hit_r[at] = True
+        out = left[hit_l | hit_r] if same else pd.concat([left[hit_l], right[hit_r]])
+        return out[["key", "task", "side", "c", "comp"]]
+
+    return lambda frames: _by_task(frames, members)
+
+
+def _joining(percent: int):
+    """Confirmed links between components, as many as join them; full sets of a task's open members are held."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = pdf[pdf.side != 1], pdf[pdf.side != 0], bool(pdf.side.iloc[0] == 2)
         out: list[tuple[int, int]] = []
-        for x in left.itertuples():
-            # of two different components one isn't the largest; both in one task meet once
-            other = (comp != x.comp) & ((comp == most) | (c > x.c)) if x.comp != most else (comp != most) & (pdf.side.iloc[0] != 2)
-            other &= 100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n)
-            if other.any():
-                at = np.flatnonzero(other)
-                hit = at[estimate(sig[at], np.frombuffer(x.sig, np.uint8)) >= least]
-                out += [(min(x.c, y), max(x.c, y)) for y in c[hit].tolist()]
+        if len(left) and len(right):
+            sets_l, sets_r = ([np.frombuffer(m, np.uint64) for m in x.members] for x in (left, right))
+            flat = np.concatenate(sets_r)
+            known, place = np.unique(flat, return_inverse=True)
+            size = np.array([len(m) for m in sets_r])
+            begin = np.cumsum(size) - size
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            c, comp = right.c.to_numpy(), right.comp.to_numpy()
+            for i, at in _crossing(left, right, same):
+                mark = np.zeros(len(known) + 1, bool)
+                spot = np.searchsorted(known, sets_l[i])
+                spot[known[np.minimum(spot, len(known) - 1)] != sets_l[i]] = len(known)
+                mark[spot] = True
+                mark[len(known)] = False
+                both = np.add.reduceat(mark[place], begin, dtype=np.int64)[at]
+                fine = at[100 * both >= percent * (size[at] + len(sets_l[i]) - both)]
+                x, own = int(left.c.iloc[i]), int(left.comp.iloc[i])
+                for y, other in zip(c[fine].tolist(), comp[fine].tolist(), strict=True):
+                    a, b = find(own), find(other)
+                    if a != b:
+                        root[a] = b
+                        out.append((min(x, y), max(x, y)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in frames:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            task = pdf.key.astype("string") + ":" + pdf.task.astype("string")
-            last = (task == task.iloc[-1]).to_numpy()
-            rest = pdf[last]
-            for _, group in pdf[~last].groupby(task[~last], sort=False):
-                yield pairs(group)
-        if rest is not None and len(rest):
-            yield pairs(rest)
-
-    return across
+    return lambda frames: _by_task(frames, links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -208,9 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         close = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
         return pairs.where(close).select("a", "b", "a_sig", "b_sig").mapInPandas(_likely(margin(percent / 100)), "a long, b long")
 
-    def sets_of(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        wanted = wanted.join(but.select("c"), "c", "left_anti") if but is not None else wanted
+    def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = materialize(every.select("doc_id", "c").join(wanted, "c").groupBy("c").agg(F.min("doc_id").alias("w_id")).select("w_id").distinct())
         texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.w_id), "left_semi").select("d_text")
         return materialize(texts.mapInArrow(_sets(width), "c long, members binary").dropDuplicates(["c"]))
@@ -222,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # first round: each against the leaders of its bands
     pairs = members.where(F.col("c") != F.col("leader")).select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
     pairs = materialize(sketched(pairs))
-    sets = sets_of(pairs)
+    sets = sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
     links = materialize(confirm(pairs, sets))
     roots = components(links)
 
@@ -237,15 +291,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = placed.select("key", "c", "comp", "n", "sig", "blocks", "block", other)
     tasks = tasks.select(
-        "key", "c", "comp", "n", "sig", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("task"),
+        "key", "c", "comp", "n", "sig", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).cast("int").alias("task"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    tasks = tasks.repartition("key", "task").sortWithinPartitions("key", "task")
-    more = tasks.mapInPandas(_across(margin(percent / 100), percent), "a long, b long").distinct()
-    more = materialize(more)
-    if not more.isEmpty():
-        more_links = confirm(more, sets.unionByName(sets_of(more, sets)))
-        links = materialize(links.unionByName(more_links))
+    in_order = lambda df: df.repartition("key", "task").sortWithinPartitions("key", "task")
+    found = in_order(tasks).mapInPandas(_open_members(margin(percent / 100), percent), "key long, task int, side int, c long, comp long")
+    found = materialize(found)
+    if not found.isEmpty():
+        lacking = found.select("c").distinct().join(sets.select("c"), "c", "left_anti")
+        held = in_order(found.join(sets.unionByName(sets_of(lacking)), "c"))
+        links = materialize(links.unionByName(held.mapInPandas(_joining(percent), "a long, b long")))
         roots = components(links)
 
     # the smallest document of each component
