@@ -31,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def materialize_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """materialize, with the rows bucketed by a key: what groups or joins by it later doesn't move them again."""
+    spark, name = df.sparkSession, f"chronoloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
@@ -40,11 +48,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Numpy vectors as one compressed value."""
+    """Numpy vectors as one compressed value; bytes of equal weight are put together, which compresses better."""
     head = [struct.pack("<I", len(arrays))]
     for a in arrays:
         head.append(a.dtype.str.encode().ljust(4) + struct.pack("<Q", a.nbytes))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *(a.tobytes() for a in arrays)]))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *planes]))
+
+
+def slim(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in the smallest type that holds them."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(t).max))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -55,7 +70,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         at += 12
     out = []
     for kind, size in found:
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(width, size // width)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += size
     return out
 

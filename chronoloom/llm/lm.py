@@ -22,17 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import units as U
-from .common import materialize, pack, read, unpack
+from .common import materialize, mix, pack, read, slim, unpack
 
 K = 5  # counts up to K are discounted by Good-Turing
 FREQUENT = 1 - 1e-7  # the discount above K: a history always leaves a mass to words it never had
 END = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word holds a space
-WORD_TEXT, PAIR_TEXT = 16 << 20, 8 << 20  # text that a bucket of words or of histories stands for
+WORD_TEXT, PAIR_TEXT = 16 << 20, 12 << 20  # text that a bucket of words or of histories stands for
+UNIT_TEXT = 12 << 20  # large units: a word or pair travels once for each
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -106,58 +107,59 @@ def _word_parcels(buckets: int):
         order, bounds = U.split((s.words % np.uint64(buckets)).astype(np.int64), buckets)
         for b in range(buckets):
             if len(o := order[bounds[b] : bounds[b + 1]]):
-                yield b, pack(s.words[o], count[o])
+                yield b, pack(np.diff(s.words[o], prepend=np.uint64(0)), slim(count[o]))
 
     return parcels
 
 
 def _word_counts(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
+    """Answers: each word's number in the bucket, and its training count."""
     got = [unpack(b) for b in blobs]
-    words, back = np.unique(np.concatenate([w for w, _ in got]), return_inverse=True)
-    count = np.bincount(back, np.concatenate([c for _, c in got]), len(words)).astype("<i8")
+    words, back = np.unique(np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in got]), return_inverse=True)
+    count = np.bincount(back, np.concatenate([c for _, c in got]), len(words)).astype(np.int64)
     ends = np.cumsum([len(w) for w, _ in got])
-    answers = [pack(count[x]) for x in np.split(back, ends[:-1])]
+    answers = [pack(slim(x), slim(count[x])) for x in np.split(back, ends[:-1])]
     return answers, [int(count.sum()), int((count > 0).sum()), *(int((count == r).sum()) for r in range(1, K + 2))]
 
 
-def _gathered(n: int, buckets: np.ndarray, total: int, got: dict, kind: int) -> np.ndarray:
-    """The word counts that came back, in the order of the unit's words."""
-    out = np.zeros(n, np.int64)
-    order, bounds = U.split(buckets, total)
-    for b in range(total):
-        if (kind, b) in got:
-            out[order[bounds[b] : bounds[b + 1]]] = unpack(got[kind, b])[0]
-    return out
+def _numbered(words: np.ndarray, buckets: int, got: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The corpus-wide number and the training count of each of a unit's words, as they came back."""
+    number, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    order, bounds = U.split((words % np.uint64(buckets)).astype(np.int64), buckets)
+    for b in range(buckets):
+        if (1, b) in got:
+            place, seen = unpack(got[1, b])
+            o = order[bounds[b] : bounds[b + 1]]
+            number[o], count[o] = place.astype(np.int64) * buckets + b, seen
+    return number, count
 
 
 def _pair_parcels(word_buckets: int, pair_buckets: int):
-    """Of each bucket of histories: its histories, how many followers each has here, the followers (places in a table
-    of the parcel), the pairs' training counts, and the table: words and their counts."""
+    """Of each bucket of histories: its histories (numbers), how many followers each has here, the followers'
+    numbers, the pairs' training counts, and the training counts of the different followers by number."""
 
     def parcels(unit: int, rows: pa.Table, got: dict) -> pa.Table:
         s = Stream.of(rows)
-        n = len(s.words)
-        count = _gathered(n, (s.words % np.uint64(word_buckets)).astype(np.int64), word_buckets, got, 1)
+        number, count = _numbered(s.words, word_buckets, got)
         pairs, which = s.pairs()
-        seen = np.bincount(which, s.trains, len(pairs)).astype("<u4")
-        history, word = pairs // n, pairs % n
+        seen = np.bincount(which, s.trains, len(pairs)).astype(np.int64)
+        history, word = pairs // len(s.words), pairs % len(s.words)
 
         def found() -> Iterator[tuple[int, bytes]]:
-            order, bounds = U.split(_pair_bucket(s.words, history, pair_buckets), pair_buckets)
+            order, bounds = U.split(_pair_bucket(number, pair_buckets)[history], pair_buckets)
             for b in range(pair_buckets):
                 if len(o := order[bounds[b] : bounds[b + 1]]):
                     heads, sizes = np.unique(history[o], return_counts=True)
-                    table, place = np.unique(word[o], return_inverse=True)
-                    place = place.astype("<u2" if len(table) <= 65_536 else "<u4")
-                    yield b, pack(s.words[heads], sizes.astype("<u4"), place, seen[o], s.words[table], count[table].astype("<i8"))
+                    _, first = np.unique(number[word[o]], return_index=True)
+                    yield b, pack(slim(number[heads]), slim(sizes), slim(number[word[o]]), slim(seen[o]), slim(count[word[o]][first]))
 
         return U.parcels_table(unit, found())
 
     return parcels
 
 
-def _pair_bucket(words: np.ndarray, history: np.ndarray, buckets: int) -> np.ndarray:
-    return ((words >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)[history]
+def _pair_bucket(number: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(number.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _pair_counts(unigram: Discounts, n_tokens: int):
@@ -166,10 +168,10 @@ def _pair_counts(unigram: Discounts, n_tokens: int):
 
     def counts(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
         got = [unpack(b) for b in blobs]
-        head = np.concatenate([np.repeat(h, s) for h, s, *_ in got])
-        word = np.concatenate([t[p] for _, _, p, _, t, _ in got])
-        seen = np.concatenate([c for _, _, _, c, _, _ in got]).astype(np.int64)
-        known = np.concatenate([k[p] for _, _, p, _, _, k in got])
+        head = np.concatenate([np.repeat(h, s) for h, s, *_ in got]).astype(np.int64)
+        word = np.concatenate([w for _, _, w, _, _ in got]).astype(np.int64)
+        seen = np.concatenate([c for _, _, _, c, _ in got]).astype(np.int64)
+        known = np.concatenate([k[np.unique(w, return_inverse=True)[1]] for _, _, w, _, k in got]).astype(np.int64)
         order = np.lexsort((word, head))
         h, w = head[order], word[order]
         new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
@@ -187,9 +189,9 @@ def _pair_counts(unigram: Discounts, n_tokens: int):
         for hs, sizes, place, *_ in got:
             mine = count[pair[start : start + len(place)]]
             start += len(place)
-            lacks = np.unique(np.repeat(hs, sizes)[mine == 0])
+            lacks = np.unique(np.repeat(hs, sizes)[mine == 0]).astype(np.int64)
             k = np.searchsorted(heads, lacks)
-            answers.append(pack(mine.astype("<u4"), lacks, by_count[:, k].astype("<u4").ravel(), often[k], followed[k]))
+            answers.append(pack(slim(mine), slim(lacks), slim(by_count[:, k].ravel()), slim(often[k]), followed[k]))
         return answers, [int((count == r).sum()) for r in range(1, K + 2)]
 
     return counts
@@ -199,20 +201,21 @@ def _scores(word_buckets: int, pair_buckets: int, n_tokens: int, n_words: int, u
     def scores(unit: int, rows: pa.Table, got: dict) -> pa.Table:
         s = Stream.of(rows)
         n = len(s.words)
-        count = _gathered(n, (s.words % np.uint64(word_buckets)).astype(np.int64), word_buckets, got, 1)
+        number, count = _numbered(s.words, word_buckets, got)
+        by_number = np.argsort(number)
         single = np.where(count > 0, unigram(count) / max(n_tokens, 1), left)
         pairs, which = s.pairs()
         history, word = pairs // n, pairs % n
         seen, alpha = np.zeros(len(pairs), np.int64), np.ones(n)
-        order, bounds = U.split(_pair_bucket(s.words, history, pair_buckets), pair_buckets)
+        order, bounds = U.split(_pair_bucket(number, pair_buckets)[history], pair_buckets)
         for b in range(pair_buckets):
             if (2, b) not in got:
                 continue
             mine, lacks, by_count, often, followed = unpack(got[2, b])
             seen[order[bounds[b] : bounds[b + 1]]] = mine
             if len(lacks):
-                k = np.searchsorted(s.words, lacks)
-                by_count = by_count.reshape(K, -1)
+                k = by_number[np.searchsorted(number, lacks.astype(np.int64), sorter=by_number)]
+                by_count = by_count.reshape(K, -1).astype(np.int64)
                 used = sum(bigram.by_count[r] * r * by_count[r - 1] for r in range(1, K + 1)) + FREQUENT * often
                 alpha[k] = np.where(count[k] > 0, (1 - used / np.maximum(count[k], 1)) / (1 - followed), 1.0)
         p = np.where(seen > 0, bigram(seen) / np.maximum(count[history], 1), alpha[history] * single[word])
@@ -233,7 +236,7 @@ def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     The model learns from the rows that aren't held out. A null text is an empty one: its only token is the end.
     Every repeated row counts. Without training rows, unknown words have all the mass, so scores are 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    made = U.units(rows)
+    made = U.units(rows, most=UNIT_TEXT)
     word_buckets, pair_buckets = U.buckets_for(made, WORD_TEXT), U.buckets_for(made, PAIR_TEXT)
     words = materialize(U.meet(U.send(made, _word_parcels(word_buckets)), _word_counts, K + 3))
     n_tokens, n_words, *of_count = U.total(words, K + 3)

@@ -78,7 +78,7 @@ def _steps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def marginals(unary: np.ndarray, pair: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's log-marginals and the log-partition of each chain; all chains go forward and back together."""
+    """Each line's log-marginals, and the log-partition of its chain; all chains go forward and back together."""
     _, begin, alive = _steps(counts)
     fwd, bwd = np.zeros_like(unary), np.zeros_like(unary)
     for t, n in enumerate(alive):

@@ -1,7 +1,7 @@
 """Removal of repeated passages by an enhanced suffix array and its tree of common-prefix intervals.
 
 Every window of ``WINDOW`` bytes is given to the smallest hash of its ``GRAM``-byte strings (its anchor), so equal
-windows have equal anchors wherever they are; neighbouring windows of one anchor form a segment. Anchors are counted
+windows have equal anchors wherever they are; neighbouring windows of one anchor form a segment of at most 84 bytes. Anchors are counted
 over all units, and only segments whose anchor more than one document has are looked at further: they meet by anchor,
 once for each different text in a unit. Where an anchor has segments of different texts, their suffixes are sorted and
 the array is scanned with a stack; an interval of suffixes with a common prefix of WINDOW bytes or more, whose
@@ -11,6 +11,7 @@ has, too, goes back to the units as byte ranges.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,9 +24,9 @@ from . import units as U
 from .common import materialize, mix, pack, read, unpack
 
 WINDOW, GRAM = 50, 16
-CHUNK = 1 << 20  # windows handled at a time
+CHUNK = 1 << 18  # windows handled at a time
 DEPTH = 96  # bytes of a suffix that are sorted; common prefixes count up to it
-SCAN = 200_000  # suffixes sorted at a time, but for an anchor that has more
+SCAN = 100_000  # suffixes sorted at a time, but for an anchor that has more
 ANCHOR_TEXT, SEGMENT_TEXT = 16 << 20, 2 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no document is smaller because of it
 
@@ -67,9 +68,14 @@ def _segments(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarra
     same = np.append(False, least[1:] == least[:-1])
     first = np.flatnonzero(valid & ~(same & np.append(False, valid[:-1])))
     last = np.flatnonzero(valid & ~np.append(same[1:] & valid[1:], False))
+    # an anchor that repeats (as in 'ha ha ha') makes a long segment: in pieces of a window's reach, its few phases recur
+    pieces = (last - first) // grams + 1
+    anchor = np.repeat(least[first], pieces)
+    step = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * grams
+    first, last = np.repeat(first, pieces) + step, np.minimum(np.repeat(first, pieces) + step + grams - 1, np.repeat(last, pieces))
     owner = np.searchsorted(begin, first, "right") - 1
     text, shift = np.array([i for i, _, _ in held]), np.array([a for _, a, _ in held])
-    return text[owner], first - begin[owner] + shift[owner], last + WINDOW - begin[owner] + shift[owner], least[first]
+    return text[owner], first - begin[owner] + shift[owner], last + WINDOW - begin[owner] + shift[owner], anchor
 
 
 def maximal_repeats(texts: list[bytes], least: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -177,23 +183,24 @@ def _segment_parcels(anchor_buckets: int, buckets: int):
     def parcels(unit: int, rows: pa.Table, got: dict) -> pa.Table:
         texts, doc_id = _texts(rows), _numbered(rows)
         shared = np.sort(np.concatenate([unpack(x)[0].astype(np.uint64) * np.uint64(anchor_buckets) + np.uint64(b) for (_, b), x in got.items()] or [np.empty(0, np.uint64)]))
-        places: dict[int, dict[tuple[int, bytes], int]] = defaultdict(dict)
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        places: dict[int, dict[bytes, int]] = defaultdict(dict)  # by anchor (8 bytes) and text
+        hits: dict[int, array] = defaultdict(lambda: array("q"))
         for text, first, end, anchor in segments(texts) if len(shared) else ():
             bucket, low = _key(mix(anchor), anchor_buckets)
-            full = low.astype(np.uint64) * np.uint64(anchor_buckets) + bucket.astype(np.uint64)
+            full = low.astype("<u8") * np.uint64(anchor_buckets) + bucket.astype(np.uint64)
             at = np.minimum(np.searchsorted(shared, full), len(shared) - 1)
             keep = np.flatnonzero(shared[at] == full)
-            for t, a, b, k in zip(text[keep].tolist(), first[keep].tolist(), end[keep].tolist(), full[keep].tolist(), strict=True):
-                own = places[k % buckets]
-                hits[k % buckets].append((own.setdefault((k, texts[t][a:b]), len(own)), t, a))
+            raw = full[keep].tobytes()
+            for i, (t, a, b, k) in enumerate(zip(text[keep].tolist(), first[keep].tolist(), end[keep].tolist(), (full[keep] % np.uint64(buckets)).tolist(), strict=True)):
+                own = places[k]
+                hits[k].extend((own.setdefault(raw[8 * i : 8 * i + 8] + texts[t][a:b], len(own)), t, a))
 
         def found() -> Iterator[tuple[int, bytes]]:
-            for b, own in places.items():
-                place, doc, start = np.array(hits[b], "<i8").T
-                kinds = list(own)
+            for b in sorted(places):
+                place, doc, start = np.array(hits.pop(b), "<i8").reshape(-1, 3).T
+                kinds = list(places.pop(b))
                 yield b, pack(
-                    np.array([k for k, _ in kinds], "<u8"), np.array([len(x) for _, x in kinds], "<i4"), np.frombuffer(b"".join(x for _, x in kinds), np.uint8),
+                    np.frombuffer(b"".join(x[:8] for x in kinds), "<u8"), np.array([len(x) - 8 for x in kinds], "<i4"), np.frombuffer(b"".join(x[8:] for x in kinds), np.uint8),
                     place.astype("<i4"), doc.astype("<i4"), doc_id[doc], start.copy(),
                 )
 

@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import materialize_bucketed, tune
 
-BYTES, ROWS = 8 << 20, 50_000  # text of a unit
+BYTES, ROWS = 4 << 20, 50_000  # text and rows of a unit
 
 
-def _built(text: str):
+def _built(text: str, most: int):
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, rows = TaskContext.get().partitionId() << 32, [], 0, 0
 
@@ -38,7 +38,7 @@ def _built(text: str):
             for i, n in enumerate(lengths):
                 size += n
                 rows += 1
-                if size >= BYTES or rows >= ROWS:
+                if size >= most or rows >= ROWS:
                     held.append(batch.slice(start, i + 1 - start))
                     yield unit()
                     number, held, size, rows, start = number + 1, [], 0, 0, i + 1
@@ -50,10 +50,12 @@ def _built(text: str):
     return built
 
 
-def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """unit, text_bytes, blob: all rows and columns of docs; a written table."""
+def units(docs: DataFrame, text: str = "text", most: int = BYTES) -> DataFrame:
+    """unit, text_bytes, blob: all rows and columns of docs, up to about ``most`` bytes of text in a unit; a written
+    table, bucketed by unit, so that answers come to the units and units never move."""
     tune(docs.sparkSession)
-    return materialize(docs.mapInArrow(_built(text), "unit long, text_bytes long, blob binary"))
+    buckets = min(50_000, max(16, 2 * docs.rdd.getNumPartitions()))
+    return materialize_bucketed(docs.mapInArrow(_built(text, most), "unit long, text_bytes long, blob binary"), "unit", buckets)
 
 
 def rows_of(blob: bytes) -> pa.Table:
