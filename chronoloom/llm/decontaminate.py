@@ -177,7 +177,7 @@ def _merged(tables: list):
                         out.append([a, b])
                 spans.append([{"first": a, "end": b} for a, b in out])
                 found.append(sorted(names))
-            rest = {n: batch.column(n) for n in batch.schema.names if n != "d_hits"}
+            rest = {n: batch.column(n) for n in batch.schema.names if n not in ("d_text", "d_hits")}
             span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_pydict(rest | {"d_spans": pa.array(spans, span), "d_items": pa.array(found, pa.list_(pa.string()))})
 
@@ -187,8 +187,8 @@ def _merged(tables: list):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of docs, d_n (words), d_spans (hit word ranges) and d_items (items found), for every row.
 
-    One pass over docs, without a shuffle. Pattern tables are broadcast in blocks of at most PATTERN_BYTES, one pass
-    after another inside the same task chain, so the benchmark may be of any size. Null or wordless texts have no
+    One pass over docs, without a shuffle. Pattern tables are broadcast in blocks of at most PATTERN_BYTES, searched
+    one after another in the same task. Null or wordless texts have no
     words; an item without words, or with a null id or text, has no windows; repeated items count once.
     """
     spark = docs.sparkSession
@@ -201,11 +201,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: tupl
         rows = found.where(F.pmod(F.xxhash64("w_pattern"), F.lit(blocks)) == b).orderBy("w_pattern").collect()
         tables.append(spark.sparkContext.broadcast(([r.w_pattern for r in rows], [r.w_items for r in rows])))
     out = docs.select(*keep, F.col("text").cast("binary").alias("d_text"), F.lit(0).cast("long").alias("d_n"), F.array().cast("array<binary>").alias("d_hits"))
-    for b, table in enumerate(tables):
-        out = out.mapInArrow(_scan(table, b == 0), out.schema)
-    out = out.drop("d_text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "d_hits")
-    return out.mapInArrow(_merged(tables), kept + ", d_spans array<struct<first: long, end: long>>, d_items array<string>")
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, table in enumerate(tables):
+            batches = _scan(table, b == 0)(batches)
+        return _merged(tables)(batches)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("d_text", "d_hits"))
+    return out.mapInArrow(passes, kept + ", d_spans array<struct<first: long, end: long>>, d_items array<string>")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

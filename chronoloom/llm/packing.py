@@ -61,8 +61,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids: each document's ids and the end id, cut only where longer than capacity."""
     tune(docs.sparkSession)
-    path = tokenizer or default_path()
+    cut = _cut(tokenizer or default_path(), end_id, capacity)
+    return _rows(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids array<int>")
 
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _cut(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], "<u4")
         for batch in batches:
@@ -80,24 +87,26 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
                 ["doc_id", "piece", "start", "length", "ids"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids array<int>")
+    return cut
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """ids become their crc32, and each row gets a number of its own."""
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        ids = batch.column("ids")
+        bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+        crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        kept = {n: batch.column(n) for n in ("doc_id", "piece", "start", "length")}
+        yield pa.RecordBatch.from_pydict(kept | {"ids_crc32": pa.array(crcs, pa.int64()), "p_row": pa.array(row + np.arange(len(crcs)))})
+        row += len(crcs)
 
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids = batch.column("ids")
-            bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            kept = {n: batch.column(n) for n in ("doc_id", "piece", "start", "length")}
-            yield pa.RecordBatch.from_pydict(kept | {"ids_crc32": pa.array(crcs, pa.int64()), "p_row": pa.array(row + np.arange(len(crcs)))})
-            row += len(crcs)
 
-    return pieces.mapInArrow(digested, "doc_id long, piece int, start long, length long, ids_crc32 long, p_row long")
+def digest(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+    """token_pieces with the crc32 of each piece's ids in their place, and a number for each row. Both steps run in
+    one Python worker, so a task holds one encoder."""
+    tune(docs.sparkSession)
+    cut = _cut(tokenizer or default_path(), end_id, capacity)
+    return _rows(docs).mapInArrow(lambda batches: _digested(cut(batches)), "doc_id long, piece int, start long, length long, ids_crc32 long, p_row long")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -121,7 +130,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs(doc_id, text).
 
     A null or empty text is its end id. Rows with equal or null ids are packed as rows of their own."""
-    return pack_pieces(materialize(digest(token_pieces(docs, capacity=capacity))), capacity).drop("p_row")
+    return pack_pieces(materialize(digest(docs, capacity=capacity)), capacity).drop("p_row")
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
