@@ -656,8 +656,8 @@ def _(s, d):
 
 @query("window_features", "SELECT channel, ts, round(mean, 6) AS mean, round(std, 6) AS std, lo, hi, round(rms, 6) AS rms, round(slope, 6) + 0.0::DOUBLE AS slope FROM fe", Q.TEL, Q.HAMPEL, Q.FEATURES)
 def _(s, d):
-    filtered = H.hampel_filter(_valid(s, d), PARAMS).select("channel", "ts", "val_f")
-    return _rounded(H.window_features(filtered, PARAMS).select("channel", "ts", "mean", "std", "lo", "hi", "rms", "slope"), "mean", "std", "rms", "slope")
+    # one halo serves the filter and the features; window_features alone is for values that are filtered already
+    return _rounded(H.diagnosed(_valid(s, d), PARAMS).select("channel", "ts", "mean", "std", "lo", "hi", "rms", "slope"), "mean", "std", "rms", "slope")
 
 
 @query("naive_forecast", "SELECT channel, ts, round(pred, 6) AS pred, round(resid, 6) AS resid FROM rr", Q.TEL, Q.HAMPEL, Q.FEATURES)
