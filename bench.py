@@ -27,7 +27,7 @@ def lineitem_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def main() -> None:
-    sf_dir, cpus, runs = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
+    sf_dir, cpus, runs = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
