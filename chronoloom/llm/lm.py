@@ -6,7 +6,9 @@ followers of h leave, divided by the mass that P(w) gives to all other words, so
 that training never saw, P(w) is used.
 
 Counts are gathered in two rounds over units (see units.py): words by bucket of the word, then pairs by bucket of
-the history. A pair's parcel carries its words' counts, so that a history's bucket can sum the followers' P(w).
+the history. A pair's parcel carries its words' counts, so that a history's bucket can sum the followers' P(w). A
+history of more than SHARE tokens is dealt over several buckets by follower; what its alpha needs is summed in each
+and then over the buckets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ K = 5  # counts up to K are discounted by Good-Turing
 FREQUENT = 1 - 1e-7  # the discount above K: a history always leaves a mass to words it never had
 END = np.uint64(xxhash.xxh3_64_intdigest(b" "))  # no word holds a space
 WORD_TEXT, PAIR_TEXT = 16 << 20, 12 << 20  # text that a bucket of words or of histories stands for
+SHARE = 200_000  # tokens of a history for each bucket that it is dealt over
 UNIT_TEXT = 12 << 20  # large units: a word or pair travels once for each
 
 
@@ -103,75 +106,84 @@ class Stream:
 def _word_parcels(buckets: int):
     def parcels(unit: int, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
         s = Stream.of(rows)
-        count = np.bincount(s.at, s.trains, len(s.words)).astype("<u4")
+        count, every = np.bincount(s.at, s.trains, len(s.words)).astype("<u4"), np.bincount(s.at, minlength=len(s.words))
         order, bounds = U.split((s.words % np.uint64(buckets)).astype(np.int64), buckets)
         for b in range(buckets):
             if len(o := order[bounds[b] : bounds[b + 1]]):
-                yield b, pack(np.diff(s.words[o], prepend=np.uint64(0)), slim(count[o]))
+                yield b, pack(np.diff(s.words[o], prepend=np.uint64(0)), slim(count[o]), slim(every[o] - count[o]))
 
     return parcels
 
 
-def _word_counts(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
-    """Answers: each word's number in the bucket, and its training count."""
-    got = [unpack(b) for b in blobs]
-    words, back = np.unique(np.concatenate([np.cumsum(w, dtype=np.uint64) for w, _ in got]), return_inverse=True)
-    count = np.bincount(back, np.concatenate([c for _, c in got]), len(words)).astype(np.int64)
-    ends = np.cumsum([len(w) for w, _ in got])
-    answers = [pack(slim(x), slim(count[x])) for x in np.split(back, ends[:-1])]
-    return answers, [int(count.sum()), int((count > 0).sum()), *(int((count == r).sum()) for r in range(1, K + 2))]
+def _word_counts(pair_buckets: int, share: int):
+    """Answers: each word's number in the bucket, its training count, and over how many buckets of pairs it is dealt."""
 
+    def counts(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
+        got = [unpack(b) for b in blobs]
+        words, back = np.unique(np.concatenate([np.cumsum(w, dtype=np.uint64) for w, *_ in got]), return_inverse=True)
+        count, held = (np.bincount(back, np.concatenate([x[i] for x in got]), len(words)).astype(np.int64) for i in (1, 2))
+        fan = np.minimum(1 + (count + held) // share, pair_buckets)
+        ends = np.cumsum([len(w) for w, *_ in got])
+        answers = [pack(slim(x), slim(count[x]), slim(fan[x])) for x in np.split(back, ends[:-1])]
+        return answers, [int(count.sum()), int((count > 0).sum()), *(int((count == r).sum()) for r in range(1, K + 2))]
+
+    return counts
 
-def _numbered(words: np.ndarray, buckets: int, got: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The corpus-wide number and the training count of each of a unit's words, as they came back."""
-    number, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+
+def _numbered(words: np.ndarray, buckets: int, got: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The corpus-wide number, the training count and the fan of each of a unit's words, as they came back."""
+    number, count, fan = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
     order, bounds = U.split((words % np.uint64(buckets)).astype(np.int64), buckets)
     for b in range(buckets):
         if (1, b) in got:
-            place, seen = unpack(got[1, b])
+            place, seen, wide = unpack(got[1, b])
             o = order[bounds[b] : bounds[b + 1]]
-            number[o], count[o] = place.astype(np.int64) * buckets + b, seen
-    return number, count
+            number[o], count[o], fan[o] = place.astype(np.int64) * buckets + b, seen, wide
+    return number, count, fan
 
 
 def _pair_parcels(word_buckets: int, pair_buckets: int):
     """Of each bucket of histories: its histories (numbers), how many followers each has here, the followers'
-    numbers, the pairs' training counts, and the training counts of the different followers by number."""
+    numbers, the pairs' training counts, the training counts of the different followers by number, and whether a
+    history is dealt over several buckets."""
 
     def parcels(unit: int, rows: pa.Table, got: dict) -> pa.Table:
         s = Stream.of(rows)
-        number, count = _numbered(s.words, word_buckets, got)
+        number, count, fan = _numbered(s.words, word_buckets, got)
         pairs, which = s.pairs()
         seen = np.bincount(which, s.trains, len(pairs)).astype(np.int64)
         history, word = pairs // len(s.words), pairs % len(s.words)
 
         def found() -> Iterator[tuple[int, bytes]]:
-            order, bounds = U.split(_pair_bucket(number, pair_buckets)[history], pair_buckets)
+            order, bounds = U.split(_pair_bucket(number, fan, history, word, pair_buckets), pair_buckets)
             for b in range(pair_buckets):
                 if len(o := order[bounds[b] : bounds[b + 1]]):
                     heads, sizes = np.unique(history[o], return_counts=True)
                     _, first = np.unique(number[word[o]], return_index=True)
-                    yield b, pack(slim(number[heads]), slim(sizes), slim(number[word[o]]), slim(seen[o]), slim(count[word[o]][first]))
+                    yield b, pack(slim(number[heads]), slim(sizes), slim(number[word[o]]), slim(seen[o]), slim(count[word[o]][first]), (fan[heads] > 1).astype("u1"))
 
         return U.parcels_table(unit, found())
 
     return parcels
 
 
-def _pair_bucket(number: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(number.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _pair_bucket(number: np.ndarray, fan: np.ndarray, history: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    """The history's bucket or, dealt by follower, one of the ``fan`` buckets from there on."""
+    mixed = mix(number.astype(np.uint64))
+    return ((mixed[history] % np.uint64(buckets) + (mixed[word] >> np.uint64(16)) % fan[history].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _pair_counts(unigram: Discounts, n_tokens: int):
     """Answers: each pair's count; and of each history here that has a pair without a count, what its alpha needs:
-    followers seen 1..K times, tokens of the others, and the followers' sum of P(w)."""
+    followers seen 1..K times, tokens of the others, and the followers' sum of P(w). Of histories that are dealt over
+    several buckets, that is this bucket's part and goes to the sums instead."""
 
-    def counts(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
+    def counts(blobs: list[bytes]) -> tuple[list[bytes | None], list[int], bytes]:
         got = [unpack(b) for b in blobs]
         head = np.concatenate([np.repeat(h, s) for h, s, *_ in got]).astype(np.int64)
-        word = np.concatenate([w for _, _, w, _, _ in got]).astype(np.int64)
-        seen = np.concatenate([c for _, _, _, c, _ in got]).astype(np.int64)
-        known = np.concatenate([k[np.unique(w, return_inverse=True)[1]] for _, _, w, _, k in got]).astype(np.int64)
+        word = np.concatenate([w for _, _, w, *_ in got]).astype(np.int64)
+        seen = np.concatenate([c for _, _, _, c, *_ in got]).astype(np.int64)
+        known = np.concatenate([k[np.unique(w, return_inverse=True)[1]] for _, _, w, _, k, _ in got]).astype(np.int64)
         order = np.lexsort((word, head))
         h, w = head[order], word[order]
         new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
@@ -180,6 +192,9 @@ def _pair_counts(unigram: Discounts, n_tokens: int):
         pair = np.empty(len(head), np.int64)
         pair[order] = np.cumsum(new) - 1
         heads, owner = np.unique(h[at], return_inverse=True)
+        dealt = np.zeros(len(heads), bool)
+        for hs, *_, d in got:
+            dealt[np.searchsorted(heads, hs[d > 0].astype(np.int64))] = True
         by_count = np.stack([np.bincount(owner[count == r], minlength=len(heads)) for r in range(1, K + 1)])
         often = np.bincount(owner[count > K], count[count > K], len(heads)).astype("<i8")
         mass = unigram(known[order][at]) / max(n_tokens, 1)
@@ -189,25 +204,54 @@ def _pair_counts(unigram: Discounts, n_tokens: int):
         for hs, sizes, place, *_ in got:
             mine = count[pair[start : start + len(place)]]
             start += len(place)
-            lacks = np.unique(np.repeat(hs, sizes)[mine == 0]).astype(np.int64)
-            k = np.searchsorted(heads, lacks)
+            k = np.searchsorted(heads, np.unique(np.repeat(hs, sizes)[mine == 0]).astype(np.int64))
+            k = k[~dealt[k]]
+            lacks = heads[k]
             answers.append(pack(slim(mine), slim(lacks), slim(by_count[:, k].ravel()), slim(often[k]), followed[k]))
-        return answers, [int((count == r).sum()) for r in range(1, K + 2)]
+        parts = pack(heads[dealt], by_count[:, dealt].astype("<i8").ravel(), often[dealt], followed[dealt])
+        return answers, [int((count == r).sum()) for r in range(1, K + 2)], parts
 
     return counts
 
 
-def _scores(word_buckets: int, pair_buckets: int, n_tokens: int, n_words: int, unigram: Discounts, bigram: Discounts, left: float):
+SUMS = [*(f"n{r}" for r in range(1, K + 1)), "often"]
+
+
+def _dealt_sums(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the histories dealt over several buckets, by number: followers seen 1..K times, tokens of the others, and
+    the followers' sum of P(w). There is at most one such history for each SHARE tokens of the corpus."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                heads, by_count, often, followed = unpack(blob)
+                yield pa.RecordBatch.from_pydict({"history": heads, **dict(zip(SUMS, [*by_count.reshape(K, -1), often], strict=True)), "followed": followed})
+
+    schema = "history long, " + ", ".join(f"{c} long" for c in SUMS) + ", followed double"
+    found = pairs.where(F.col("unit").isNull()).select("blob").mapInArrow(parts, schema)
+    # added up in order of size: the same bits in every run
+    followed = F.aggregate(F.array_sort(F.collect_list("followed")), F.lit(0.0), lambda acc, x: acc + x).alias("followed")
+    table = found.groupBy("history").agg(*(F.sum(c).alias(c) for c in SUMS), followed).toArrow().sort_by("history")
+    column = lambda c: table.column(c).to_numpy()
+    return column("history"), np.stack([column(c) for c in SUMS[:K]]), column("often"), column("followed")
+
+
+def _scores(word_buckets: int, pair_buckets: int, n_tokens: int, n_words: int, unigram: Discounts, bigram: Discounts, left: float, dealt: tuple):
     def scores(unit: int, rows: pa.Table, got: dict) -> pa.Table:
         s = Stream.of(rows)
         n = len(s.words)
-        number, count = _numbered(s.words, word_buckets, got)
+        number, count, fan = _numbered(s.words, word_buckets, got)
         by_number = np.argsort(number)
         single = np.where(count > 0, unigram(count) / max(n_tokens, 1), left)
         pairs, which = s.pairs()
         history, word = pairs // n, pairs % n
         seen, alpha = np.zeros(len(pairs), np.int64), np.ones(n)
-        order, bounds = U.split(_pair_bucket(number, pair_buckets)[history], pair_buckets)
+
+        def back_off(k: np.ndarray, by_count: np.ndarray, often: np.ndarray, followed: np.ndarray) -> None:
+            used = sum(bigram.by_count[r] * r * by_count[r - 1] for r in range(1, K + 1)) + FREQUENT * often
+            alpha[k] = np.where(count[k] > 0, (1 - used / np.maximum(count[k], 1)) / (1 - followed), 1.0)
+
+        order, bounds = U.split(_pair_bucket(number, fan, history, word, pair_buckets), pair_buckets)
         for b in range(pair_buckets):
             if (2, b) not in got:
                 continue
@@ -215,9 +259,10 @@ def _scores(word_buckets: int, pair_buckets: int, n_tokens: int, n_words: int, u
             seen[order[bounds[b] : bounds[b + 1]]] = mine
             if len(lacks):
                 k = by_number[np.searchsorted(number, lacks.astype(np.int64), sorter=by_number)]
-                by_count = by_count.reshape(K, -1).astype(np.int64)
-                used = sum(bigram.by_count[r] * r * by_count[r - 1] for r in range(1, K + 1)) + FREQUENT * often
-                alpha[k] = np.where(count[k] > 0, (1 - used / np.maximum(count[k], 1)) / (1 - followed), 1.0)
+                back_off(k, by_count.reshape(K, -1).astype(np.int64), often, followed)
+        k = np.flatnonzero(np.isin(number, dealt[0]) & (fan > 1))
+        at = np.searchsorted(dealt[0], number[k])
+        back_off(k, dealt[1][:, at], dealt[2][at], dealt[3][at])
         p = np.where(seen > 0, bigram(seen) / np.maximum(count[history], 1), alpha[history] * single[word])
         log_p, base = np.log10(p), np.log10((count + 1) / (n_tokens + n_words + 1))
         total = lambda x: np.add.reduceat(x, s.first)
@@ -230,7 +275,7 @@ def _scores(word_buckets: int, pair_buckets: int, n_tokens: int, n_words: int, u
     return scores
 
 
-def katz_scores(docs: DataFrame, held_out) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
     The model learns from the rows that aren't held out. A null text is an empty one: its only token is the end.
@@ -238,7 +283,7 @@ def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     made = U.units(rows, most=UNIT_TEXT)
     word_buckets, pair_buckets = U.buckets_for(made, WORD_TEXT), U.buckets_for(made, PAIR_TEXT)
-    words = materialize(U.meet(U.send(made, _word_parcels(word_buckets)), _word_counts, K + 3))
+    words = materialize(U.meet(U.send(made, _word_parcels(word_buckets)), _word_counts(pair_buckets, share), K + 3))
     n_tokens, n_words, *of_count = U.total(words, K + 3)
     unigram = Discounts.good_turing(of_count)
     words = words.withColumn("kind", F.lit(1))
@@ -248,10 +293,10 @@ def katz_scores(docs: DataFrame, held_out) -> DataFrame:
     left = 1 - (used + FREQUENT * often) / n_tokens if n_tokens else 1.0
     parcels = U.back(made, words, _pair_parcels(word_buckets, pair_buckets), U.PARCEL)
     pairs = materialize(U.meet(parcels, _pair_counts(unigram, n_tokens), K + 1))
-    bigram = Discounts.good_turing(U.total(pairs, K + 1))
+    bigram, dealt = Discounts.good_turing(U.total(pairs, K + 1)), _dealt_sums(pairs)
     answers = words.unionByName(pairs.withColumn("kind", F.lit(2)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return U.back(made, answers, _scores(word_buckets, pair_buckets, n_tokens, n_words, unigram, bigram, left), schema)
+    return U.back(made, answers, _scores(word_buckets, pair_buckets, n_tokens, n_words, unigram, bigram, left, dealt), schema)
 
 
 def held_out(doc_id: int | None) -> bool:

@@ -87,18 +87,18 @@ def _parcels(unit: int, found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def meet(parcels: DataFrame, answer: Callable[[list[bytes]], tuple[list[bytes | None], list[int]]], totals: int) -> DataFrame:
-    """answer(blobs of a bucket) -> (an answer for each blob or None, ``totals`` numbers to sum up): rows
-    (bucket, unit, blob), and one row with a null unit and the numbers in ``totals``."""
+    """answer(blobs of a bucket) -> (an answer for each blob or None, ``totals`` numbers to sum up, and maybe a blob
+    about the bucket): rows (bucket, unit, blob), and one row with a null unit, that blob and the numbers in ``totals``."""
 
     def met(table: pa.Table) -> pa.Table:
         table = table.sort_by("unit")
-        blobs, numbers = answer(table.column("blob").to_pylist())
+        blobs, numbers, *about = answer(table.column("blob").to_pylist())
         keep = [i for i, b in enumerate(blobs) if b is not None]
         bucket, ids = table.column("bucket")[0].as_py(), table.column("unit").to_pylist()
         return pa.table({
             "bucket": pa.array([bucket] * (len(keep) + 1), pa.int32()),
             "unit": pa.array([*(ids[i] for i in keep), None], pa.int64()),
-            "blob": pa.array([*(blobs[i] for i in keep), None], pa.binary()),
+            "blob": pa.array([*(blobs[i] for i in keep), about[0] if about else None], pa.binary()),
             "totals": pa.array([*([None] * len(keep)), numbers], pa.list_(pa.int64())),
         })
 

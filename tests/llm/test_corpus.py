@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import components as C
+from chronoloom.llm import units as U
 from chronoloom.llm import decontaminate, language, lm, neardup, packing, quality, repeats, token_files, tokens, topk, url_filter
 from chronoloom.llm.common import pack, slim, unpack
 
@@ -365,6 +366,36 @@ def test_katz_against_dictionaries(docs, plain):
     assert got == want
 
 
+def test_hot_history_is_dealt_over_buckets(spark):
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        rows.append((i, " ".join(w for _ in range(40) for w in ("hot", f"{rng.choice(WORDS)}{rng.randrange(9)}"))))
+    made = [lm.Stream.of(U.rows_of(r.blob)) for r in U.units(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)), most=4000).collect()]
+    words = np.unique(np.concatenate([s.words for s in made]))
+    hot = int(np.searchsorted(words, lm._words[b"hot"]))
+    fan = np.ones(len(words), np.int64)
+    fan[hot] = 6
+    met = collections.Counter()
+    for s in made:
+        place = np.searchsorted(words, s.words)
+        pairs, _ = s.pairs()
+        h, w = place[pairs // len(s.words)], place[pairs % len(s.words)]
+        b = lm._pair_bucket(np.arange(len(words)), fan, h, w, 8)
+        met.update(b[h == hot].tolist())
+    assert len(met) == 6 and max(met.values()) < 2 * sum(met.values()) / 6
+    # the same scores, whether or not histories are dealt
+    docs = spark.createDataFrame(rows + [(70, "hot unseen hot hot"), (71, None)], "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 0
+    got, want = (sorted((r.doc_id, r.n_known, round(r.score, 8)) for r in lm.katz_scores(docs, held, share).collect()) for share in (5, 10**9))
+    assert got == want
+
+
+def test_dealt_katz_against_dictionaries(docs, plain, monkeypatch):
+    whole = lm.katz_scores
+    monkeypatch.setattr(lm, "katz_scores", lambda d, h: whole(d, h, share=3))
+    test_katz_against_dictionaries(docs, plain)
+
+
 # ---- urls
 
 
