@@ -7,6 +7,9 @@ once for each different text in a unit. Where an anchor has segments of differen
 the array is scanned with a stack; an interval of suffixes with a common prefix of WINDOW bytes or more, whose
 occurrences have different bytes before them, is a maximal repeat with all its occurrences. What a smaller document
 has, too, goes back to the units as byte ranges.
+
+An anchor with very many different texts (a frequent phrase in ever new surroundings) doesn't meet in one task: its
+segments are dealt window by window, by a hash of all WINDOW bytes, so equal windows still meet and coverage is the same.
 """
 
 from __future__ import annotations
@@ -17,16 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import units as U
-from .common import materialize, mix, pack, read, unpack
+from .common import materialize, mix, pack, read, slim, unpack
 
 WINDOW, GRAM = 50, 16
 CHUNK = 1 << 18  # windows handled at a time
 DEPTH = 96  # bytes of a suffix that are sorted; common prefixes count up to it
-SCAN = 100_000  # suffixes sorted at a time, but for an anchor that has more
+SCAN = 100_000  # suffixes sorted at a time, and those of one more anchor
+HOT = 3_000  # an anchor's different texts in units, beyond one in each, from which on it is dealt by window
 ANCHOR_TEXT, SEGMENT_TEXT = 16 << 20, 2 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no document is smaller because of it
 
@@ -135,45 +140,70 @@ def _texts(rows: pa.Table) -> list[bytes]:
 
 
 def _anchor_parcels(buckets: int):
-    """Of each bucket, the unit's anchors that one document has, then those that several have."""
+    """Of each bucket, the unit's anchors that one document has, then those that several have, then those that have
+    different texts, and how many beyond the first."""
 
     def parcels(unit: int, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        doc_id = _numbered(rows)
-        found = [(mix(anchor), doc_id[text]) for text, _, _, anchor in segments(_texts(rows))]
+        doc_id, texts = _numbered(rows), _texts(rows)
+        found = [(mix(anchor), text, first, end) for text, first, end, anchor in segments(texts)]
         if not found:
             return
-        key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        key, text, first, end = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        key, text = key[order], text[order]
+        doc = doc_id[text]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        more = _different(texts, at, text, first[order], end[order]) - 1
         key = key[at]
         bucket, low = _key(key, buckets)
         order, bounds = U.split(bucket, buckets)
         for b in range(buckets):
             if len(o := order[bounds[b] : bounds[b + 1]]):
-                yield b, pack(np.unique(low[o][~several[o]]), np.unique(low[o][several[o]]))
+                many = o[more[o] > 0]
+                yield b, pack(np.unique(low[o][~several[o]]), np.unique(low[o][several[o]]), low[many], slim(more[many]))
 
     return parcels
 
 
+def _different(texts: list[bytes], at: np.ndarray, text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The number of different texts of each anchor, whose segments begin at ``at``."""
+    count = np.diff(at, append=len(text))
+    owner = np.repeat(np.arange(len(at)), count)
+    again = np.flatnonzero(count[owner] > 1)
+    same = xxhash.xxh3_64_intdigest
+    kind = np.array([same(texts[t][a:b]) for t, a, b in zip(text[again].tolist(), first[again].tolist(), end[again].tolist(), strict=True)], np.uint64)
+    owner = owner[again]
+    order = np.lexsort((kind, owner))
+    owner, kind = owner[order], kind[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (kind[1:] != kind[:-1]))[: len(owner)]
+    return np.maximum(np.bincount(owner[new], minlength=len(at)), 1)
+
+
 def _key(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and a 32-bit rest; keys that agree in both by chance cost work, not correctness."""
     return (key % np.uint64(buckets)).astype(np.int64), (key // np.uint64(buckets)).astype("<u4")
 
 
-def _shared_anchors(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
-    got = [unpack(b) for b in blobs]
-    every, count = np.unique(np.concatenate([x for parts in got for x in parts]), return_counts=True)
-    several = np.unique(np.concatenate([s for _, s in got]))
-    count[np.searchsorted(every, several)] = 2
-    shared = every[count > 1]
-    answers: list[bytes | None] = []
-    for parts in got:
-        mine = np.unique(np.concatenate(parts))
-        mine = mine[np.isin(mine, shared, assume_unique=True)]
-        answers.append(pack(mine) if len(mine) else None)
-    return answers, []
+def _shared_anchors(hot_from: int):
+    """Answers: the unit's anchors that more than one document has, and which of them are dealt by window."""
+
+    def shared_anchors(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
+        got = [unpack(b) for b in blobs]
+        every, count = np.unique(np.concatenate([x for parts in got for x in parts[:2]]), return_counts=True)
+        several = np.unique(np.concatenate([s for _, s, _, _ in got]))
+        count[np.searchsorted(every, several)] = 2
+        shared = every[count > 1]
+        many, back = np.unique(np.concatenate([m for _, _, m, _ in got]), return_inverse=True)
+        hot = many[np.bincount(back, np.concatenate([n for *_, n in got]), len(many)) >= hot_from]
+        answers: list[bytes | None] = []
+        for parts in got:
+            mine = np.unique(np.concatenate(parts[:2]))
+            mine = mine[np.isin(mine, shared, assume_unique=True)]
+            answers.append(pack(mine, np.isin(mine, hot, assume_unique=True).astype("u1")) if len(mine) else None)
+        return answers, []
+
+    return shared_anchors
 
 
 def _segment_parcels(anchor_buckets: int, buckets: int):
@@ -182,14 +212,26 @@ def _segment_parcels(anchor_buckets: int, buckets: int):
 
     def parcels(unit: int, rows: pa.Table, got: dict) -> pa.Table:
         texts, doc_id = _texts(rows), _numbered(rows)
-        shared = np.sort(np.concatenate([unpack(x)[0].astype(np.uint64) * np.uint64(anchor_buckets) + np.uint64(b) for (_, b), x in got.items()] or [np.empty(0, np.uint64)]))
+        parts = [(b, *unpack(x)) for (_, b), x in got.items()]
+        shared = np.concatenate([x.astype(np.uint64) * np.uint64(anchor_buckets) + np.uint64(b) for b, x, _ in parts] or [np.empty(0, np.uint64)])
+        hot = np.concatenate([x > 0 for *_, x in parts] or [np.empty(0, bool)])
+        order = np.argsort(shared)
+        shared, hot = shared[order], hot[order]
         places: dict[int, dict[bytes, int]] = defaultdict(dict)  # by anchor (8 bytes) and text
         hits: dict[int, array] = defaultdict(lambda: array("q"))
         for text, first, end, anchor in segments(texts) if len(shared) else ():
             bucket, low = _key(mix(anchor), anchor_buckets)
             full = low.astype("<u8") * np.uint64(anchor_buckets) + bucket.astype(np.uint64)
             at = np.minimum(np.searchsorted(shared, full), len(shared) - 1)
-            keep = np.flatnonzero(shared[at] == full)
+            keep = shared[at] == full
+            wide = np.flatnonzero(keep & hot[at])
+            for t, a, b in zip(text[wide].tolist(), first[wide].tolist(), end[wide].tolist(), strict=True):
+                for i in range(a, b - WINDOW + 1):
+                    window = texts[t][i : i + WINDOW]
+                    key = xxhash.xxh3_64_intdigest(window)
+                    own = places[key % buckets]
+                    hits[key % buckets].extend((own.setdefault(key.to_bytes(8, "little") + window, len(own)), t, i))
+            keep = np.flatnonzero(keep & ~hot[at])
             raw = full[keep].tobytes()
             for i, (t, a, b, k) in enumerate(zip(text[keep].tolist(), first[keep].tolist(), end[keep].tolist(), (full[keep] % np.uint64(buckets)).tolist(), strict=True)):
                 own = places[k]
@@ -283,7 +325,7 @@ def _cut(unit: int, rows: pa.Table, got: dict) -> pa.Table:
     return rows.drop_columns(["text"]).append_column("r_spans", pa.array(spans, span)).append_column("r_kept", pa.array(kept, pa.binary()))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """All columns of docs (doc_id, text and any others) but text, then r_spans and r_kept, for every row.
 
     A byte is removed if a string of WINDOW bytes that covers it also starts in a document with a smaller doc_id, as
@@ -294,7 +336,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     made = U.units(schema)
     anchor_buckets, buckets = U.buckets_for(made, ANCHOR_TEXT), U.buckets_for(made, SEGMENT_TEXT)
-    shared = materialize(U.meet(U.send(made, _anchor_parcels(anchor_buckets)), _shared_anchors, 0).withColumn("kind", F.lit(1)))
+    shared = materialize(U.meet(U.send(made, _anchor_parcels(anchor_buckets)), _shared_anchors(hot), 0).withColumn("kind", F.lit(1)))
     parcels = U.back(made, shared, _segment_parcels(anchor_buckets, buckets), U.PARCEL)
     ranges = materialize(U.meet(parcels, _repeated, 0).withColumn("kind", F.lit(2)))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema.schema if f.name != "text")

@@ -307,6 +307,27 @@ def test_repeats(docs, plain):
     assert found == collections.Counter(cut(plain))
 
 
+def test_hot_anchor_is_dealt_by_window():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(60)) + " a frequent phrase, in ever new surroundings " + "".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(300)]
+    import pyarrow as pa
+
+    rows = pa.table({"doc_id": list(range(300)), "text": texts})
+    sent = dict(repeats._anchor_parcels(4)(0, rows))
+    most = {}
+    for hot in (100, 10**9):
+        answers = {b: repeats._shared_anchors(hot)([x])[0][0] for b, x in sent.items()}
+        table = repeats._segment_parcels(4, 64)(0, rows, {(1, b): x for b, x in answers.items() if x})
+        groups = collections.Counter(k for x in table.column("blob").to_pylist() for k in unpack(x)[0].tolist())
+        most[hot] = max(groups.values())
+    assert most[10**9] > 100 >= most[100]
+
+
+def test_repeats_with_hot_anchors(docs, plain):
+    found = collections.Counter((r.doc_id, sum(s["end"] - s["first"] for s in r.r_spans), bytes(r.r_kept)) for r in repeats.remove_repeats(docs, hot=1).collect())
+    assert found == collections.Counter(cut(plain))
+
+
 def test_maximal_repeats_against_loop():
     rng = random.Random(4)
     texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(4)]
