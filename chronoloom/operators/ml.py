@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -59,6 +60,26 @@ def train_forecaster(features: DataFrame, p: ChannelParams = ChannelParams(), tr
     return Forecaster(model, train, float(sigma or 0.0), forecast_mae(test))
 
 
+def channels_of(rows: DataFrame) -> list[str]:
+    return sorted(r["channel"] for r in rows.where(F.col("channel").isNotNull()).select("channel").distinct().collect())
+
+
+def trainable(features: DataFrame, p: ChannelParams) -> list[str]:
+    """Channels with a row to train on."""
+    return channels_of(chronological_split(increment_target(features), max(p.hampel_window, p.feature_window)).where(F.col("part") == "train"))
+
+
+def train_forecasters(features: DataFrame, p: ChannelParams = ChannelParams(), **fit) -> dict[str, Forecaster]:
+    """A forecaster, with a sigma of its own, of each channel that has rows to train on."""
+    return {c: train_forecaster(features.where(F.col("channel") == c), p, **fit) for c in trainable(features, p)}
+
+
+def predict_forecasters(rows: DataFrame, fits: dict[str, Forecaster]) -> DataFrame:
+    """predict_forecaster of each channel that has a forecaster."""
+    made = [predict_forecaster(rows.where(F.col("channel") == c), fit.model, fit.train) for c, fit in fits.items()]
+    return reduce(DataFrame.unionByName, made) if made else rows.limit(0).withColumn("pred_next", F.lit(None).cast("double"))
+
+
 def train_classifier(rows: DataFrame, label: str, trees: int = 20, depth: int = 4) -> GBTClassificationModel:
     return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=7).fit(_vector(standardize_features(rows, rows)))
 
@@ -70,3 +91,13 @@ def predict_classifier(rows: DataFrame, model: GBTClassificationModel, train: Da
     ratio = F.when(flag, F.coalesce(F.try_divide(F.col("resid"), F.col("thr")), F.lit(1.0)))
     share = F.when(F.col("prob") > gamma, F.lit(1.0) if gamma == 0 else F.col("prob") / gamma)
     return out.select(*rows.columns, "prob", (flag | (F.col("prob") > gamma)).alias("anomaly"), F.greatest(ratio, share).alias("score"))
+
+
+def classified(rows: DataFrame, label: str, gamma: float, **fit) -> DataFrame:
+    """predict_classifier of each channel by a model of its own; rows without features have no probability."""
+    made = []
+    for c in channels_of(rows):
+        own = rows.where(F.col("channel") == c)
+        made.append(predict_classifier(own, train_classifier(own, label, **fit), own, gamma))
+    none = lambda kind: F.lit(None).cast(kind)
+    return reduce(DataFrame.unionByName, made) if made else rows.limit(0).select("*", none("double").alias("prob"), none("boolean").alias("anomaly"), none("double").alias("score"))

@@ -837,23 +837,22 @@ def _(s, d):
 
 @query("train_forecaster")
 def _(s, d):
-    rows = written(H.diagnosed(_valid(s, d).where(F.col("channel") == "view"), PARAMS))
-    return ML.train_forecaster(rows, PARAMS, trees=10, depth=4).metrics
+    rows = written(H.diagnosed(_valid(s, d), PARAMS))
+    fits = ML.train_forecasters(rows, PARAMS)
+    return reduce(DataFrame.unionByName, [fit.metrics for fit in fits.values()])
 
 
 @query("predict_forecaster")
 def _(s, d):
-    rows = written(H.diagnosed(_valid(s, d).where(F.col("channel") == "view"), PARAMS))
-    fit = ML.train_forecaster(rows, PARAMS, trees=5, depth=3)
-    return ML.predict_forecaster(rows, fit.model, fit.train).select("channel", "ts", "pred_next")
+    rows = written(H.diagnosed(_valid(s, d), PARAMS))
+    return ML.predict_forecasters(rows, ML.train_forecasters(rows, PARAMS)).select("channel", "ts", "pred_next")
 
 
 @query("predict_classifier")
 def _(s, d):
-    rows = H.diagnosed(_valid(s, d).where(F.col("channel") == "view"), PARAMS).where(F.col("mean").isNotNull())
+    rows = H.diagnosed(_valid(s, d), PARAMS).where(F.col("mean").isNotNull())
     rows = written(H.residual_fixed_sigma(rows, 20.0, 3.0).withColumnRenamed("anomaly", "residual_flag").withColumn("label", F.col("substituted").cast("double")))
-    model = ML.train_classifier(rows, "label", trees=5, depth=3)
-    return ML.predict_classifier(rows, model, rows, 0.5).select("channel", "ts", "prob", "anomaly", "score")
+    return ML.classified(rows, "label", 0.5).select("channel", "ts", "prob", "anomaly", "score")
 
 
 @query("reanalyze", """SELECT channel, episodes, labels, round(p, 6) AS precision FROM (SELECT channel, count(*) AS labels, (SELECT count(*) FROM ep WHERE kind = 'anomaly' AND ep.channel = lo.channel) AS episodes,

@@ -14,7 +14,9 @@ from chronoloom.operators import downsample as L
 from chronoloom.operators import filters as H
 from chronoloom.operators import grid as G
 from chronoloom.operators import ingest as I
+from chronoloom.operators import ml as ML
 from chronoloom.params import ChannelParams, Grid
+from chronoloom.plans import catalog
 from chronoloom.sources import files as FI
 from chronoloom.streaming import run as SR
 from chronoloom.streaming import stateful as SF
@@ -167,3 +169,39 @@ def test_packet_vector(spark):
     seconds = rows.withColumnRenamed("seq", "pkt").withColumn("ts", F.lit(123).cast("long"))
     ack = I.packet_ack(seconds, spark.createDataFrame([("a",)], "channel string")).first()
     assert (ack.accepted, ack.rejected, ack.errors, ack.new_channels) == (0, 4, 1, 0)
+
+
+def test_models_of_each_channel(spark, wave):
+    p = ChannelParams(hampel_window=5, feature_window=6)
+    two = wave.withColumn("val", F.when(F.col("channel") == "b", 9 * F.col("val") + 100).otherwise(F.col("val")))
+    rows = H.diagnosed(two, p).cache()
+    fits = ML.train_forecasters(rows, p, trees=2, depth=2)
+    assert set(fits) == {"a", "b"} and 0 < fits["a"].sigma < fits["b"].sigma
+    got = ML.predict_forecasters(rows, fits).groupBy("channel").count().collect()
+    want = rows.where("mean is not null").groupBy("channel").count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
+    flagged = H.residual_fixed_sigma(rows, 20.0, 3.0)
+    flagged = flagged.withColumnRenamed("anomaly", "residual_flag").withColumn("label", F.col("substituted").cast("double")).where("mean is not null")
+    assert sorted(map(tuple, ML.classified(flagged, "label", 0.5, trees=2, depth=2).groupBy("channel").count().collect())) == sorted(map(tuple, want))
+
+
+def test_model_queries_take_all_channels_and_defaults(spark, sf, monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def record(kind):
+        def f(rows, *args, **fit):
+            seen[kind] = (set(ML.channels_of(rows)), fit)
+            raise Stop
+
+        return f
+
+    monkeypatch.setattr(ML, "train_forecasters", record("forecast"))
+    monkeypatch.setattr(ML, "classified", record("classify"))
+    for name in ("train_forecaster", "predict_classifier"):
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](spark, sf)
+    every = {r.event_type for r in spark.read.parquet(sf + "/events.parquet").select("event_type").distinct().collect()}
+    assert seen == {"forecast": (every, {}), "classify": (every, {})} and len(every) > 1
