@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -23,19 +25,35 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local one if the
+    master is local, too; else an error, as executors would write where nobody else can read."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is written: nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """materialize, with the rows bucketed by a key: what groups or joins by it later doesn't move them again."""
     spark, name = df.sparkSession, f"chronoloom_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    with shuffles_dropped(spark):
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -43,10 +61,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of written frames that nothing reads any more."""
+    for df in frames:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Numpy vectors as one compressed value; bytes of equal weight are put together, which compresses better."""
     head = [struct.pack("<I", len(arrays))]
@@ -62,6 +89,11 @@ def slim(a: np.ndarray) -> np.ndarray:
     return a.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(t).max))
 
 
+def deltas(a: np.ndarray) -> np.ndarray:
+    """Ascending whole numbers as steps from one to the next, which compress better; np.cumsum takes them back."""
+    return slim(np.diff(a, prepend=a.dtype.type(0)))
+
+
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, found = struct.unpack_from("<I", raw)[0], 4, []
@@ -87,6 +119,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def kept_names(docs: DataFrame, *results: str) -> list[str]:
+    """Columns of docs but text and those that results with the same name (upper or lower case) replace."""
+    return [c for c in docs.columns if c.lower() not in ("text", *results)]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % F.lit(n)

@@ -1,12 +1,15 @@
 """Removal of repeated passages by an enhanced suffix array and its tree of common-prefix intervals.
 
 Every window of ``WINDOW`` bytes is given to the smallest hash of its ``GRAM``-byte strings (its anchor), so equal
-windows have equal anchors wherever they are; neighbouring windows of one anchor form a segment of at most 84 bytes. Anchors are counted
-over all units, and only segments whose anchor more than one document has are looked at further: they meet by anchor,
-once for each different text in a unit. Where an anchor has segments of different texts, their suffixes are sorted and
-the array is scanned with a stack; an interval of suffixes with a common prefix of WINDOW bytes or more, whose
-occurrences have different bytes before them, is a maximal repeat with all its occurrences. What a smaller document
-has, too, goes back to the units as byte ranges.
+windows have equal anchors wherever they are; neighbouring windows of one anchor form a segment of at most 84 bytes.
+Anchors are counted over all units, and only segments whose anchor more than one document has are looked at further.
+
+A unit sends each different text of its shared segments once, with the smallest doc_id that has it, however many
+documents do. Texts of one anchor meet: the suffixes whose first WINDOW bytes recur are sorted, and the array is
+scanned with a stack. An interval of suffixes with a common prefix of WINDOW bytes or more, whose occurrences have
+different bytes before them, is a maximal repeat with all its occurrences; a text that several documents have is an
+interval of its own (a leaf). Ranges of texts and the smallest doc_id of their group go back to the units, which cut
+them out of every place of the text in a document with a larger doc_id.
 
 An anchor with very many different texts (a frequent phrase in ever new surroundings) doesn't meet in one task: its
 segments are dealt window by window, by a hash of all WINDOW bytes, so equal windows still meet and coverage is the same.
@@ -25,14 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import units as U
-from .common import materialize, mix, pack, read, slim, unpack
+from .common import deltas, materialize, mix, pack, read, slim, unpack
 
 WINDOW, GRAM = 50, 16
 CHUNK = 1 << 18  # windows handled at a time
-DEPTH = 96  # bytes of a suffix that are sorted; common prefixes count up to it
-SCAN = 100_000  # suffixes sorted at a time, and those of one more anchor
-HOT = 3_000  # an anchor's different texts in units, beyond one in each, from which on it is dealt by window
-ANCHOR_TEXT, SEGMENT_TEXT = 16 << 20, 2 << 20
+SCAN = 10 << 20  # bytes of suffixes sorted at a time
+HOT = 100_000  # an anchor's different texts in units, beyond one in each, from which on it is dealt by window
+UNIT_TEXT = (4 << 20, 24 << 20)  # text of a unit or bucket: least and most
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no document is smaller because of it
 
 
@@ -83,39 +85,67 @@ def _segments(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarra
     return text[owner], first - begin[owner] + shift[owner], last + WINDOW - begin[owner] + shift[owner], anchor
 
 
-def maximal_repeats(texts: list[bytes], least: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, texts, offsets) of every maximal repeat: strings of at least ``least`` bytes with two or more
-    occurrences, which can't be extended to the left in all of them. Lengths count up to DEPTH (or ``least``, if more);
-    a longer repeat is given as several that overlap."""
-    count = np.array([max(0, len(t) - least + 1) for t in texts])
+def maximal_repeats(texts: list[bytes], least: int = WINDOW, copied: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, texts, offsets) of every maximal repeat of different texts: strings of at least ``least`` bytes with
+    two or more occurrences, which can't be extended on either side in all of them. A text that is ``copied`` occurs
+    more than once as a whole. For short texts: the longest sets the bytes a suffix takes."""
+    copied = np.zeros(len(texts), bool) if copied is None else copied.copy()
+    sizes = np.array([len(t) for t in texts], np.int64)
+    depth = int(sizes.max(initial=least))
+    begin = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(texts) + b"\0" * (depth + 8), np.uint8)
+    count = np.maximum(0, sizes - least + 1)
     owner = np.repeat(np.arange(len(texts)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    if len(owner) < 2:
+    # only suffixes whose first ``least`` bytes recur can be in an interval; they are sorted in slices by those bytes
+    head = _hash(data, begin[owner] + offset, least)
+    order = np.argsort(head, kind="stable")
+    same = np.append(False, head[order][1:] == head[order][:-1])[: len(order)]
+    again = order[same | np.append(same[1:], False)[: len(order)]]
+    slices = 1 + len(again) * depth // SCAN
+    bounds = [0, *(np.searchsorted(head[again], head[again[len(again) * i // slices]]) for i in range(1, slices)), len(again)] if len(again) else [0]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        part = again[lo:hi]
+        for length, who in _scan(data, begin[owner[part]] + offset[part], sizes[owner[part]] - offset[part], offset[part], depth, least):
+            own, where = owner[part[who]], offset[part[who]]
+            copied[own[(where == 0) & (sizes[own] == length)]] = False  # its copies are in this interval, too
+            yield length, own, where
+    for k in np.flatnonzero(copied & (sizes >= least)).tolist():
+        yield int(sizes[k]), np.array([k]), np.array([0])
+
+
+def _hash(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the ``size`` bytes from each place on; chance collisions cost work, not correctness."""
+    h = np.zeros(len(at), np.uint64)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    for i in [*range(0, size - 7, 8), max(0, size - 8)] if size >= 8 else []:
+        h = mix((h + eight[at + i]) * np.uint64(0x9E3779B97F4A7C15))
+    for i in range(size if size < 8 else 0):
+        h = mix((h + data[at + i]) * np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
+def _scan(data: np.ndarray, at: np.ndarray, room: np.ndarray, offset: np.ndarray, depth: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, members of ``at``) of every interval of the sorted suffixes that is diverse on the left."""
+    if len(at) < 2:
         return
-    depth = max(DEPTH, least)
-    sizes = np.array([len(t) for t in texts])
-    begin = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(texts) + b"\0" * depth, np.uint8)
-    at = begin[owner] + offset
-    room = np.minimum(sizes[owner] - offset, depth)
     suffix = np.lib.stride_tricks.sliding_window_view(data, depth)[at]
     suffix[np.arange(depth) >= room[:, None]] = 0
     order = suffix.view(f"S{depth}").ravel().argsort(kind="stable")
-    suffix, room, owner, offset = suffix[order], room[order], owner[order], offset[order]
+    suffix, room = suffix[order], room[order]
     differ = suffix[1:] != suffix[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
     common = np.minimum(common, np.minimum(room[1:], room[:-1]))
-    before = np.where(offset > 0, data[np.maximum(at[order] - 1, 0)].astype(np.int16), -1)
-    joined = np.append(False, common >= least)
-    starts = np.flatnonzero(~joined)
+    before = np.where(offset[order] > 0, data[np.maximum(at[order] - 1, 0)].astype(np.int16), -1)
+    starts = np.flatnonzero(~np.append(False, common >= least))
     high, low = np.maximum.reduceat(before, starts), np.minimum.reduceat(before, starts)
-    deep = np.maximum.reduceat(np.append(0, common), starts)
-    ends = np.append(starts[1:], len(owner))
-    for a, b in zip(*(x[(ends - starts > 1) & ((high != low) | (low == -1) | (deep >= depth))].tolist() for x in (starts, ends)), strict=True):
-        for length, lo, hi in intervals(common[a : b - 1].tolist()):
+    ends = np.append(starts[1:], len(at))
+    some = (ends - starts > 1) & ((high != low) | (low == -1))
+    for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
+        for length, lo, hi in intervals(common[a : b - 1].tolist()) if b - a > 2 else ((int(common[a]), 0, 1),):
             own = before[a + lo : a + hi + 1]
-            if length >= depth or own.min() == -1 or own.min() != own.max():
-                yield length, owner[a + lo : a + hi + 1], offset[a + lo : a + hi + 1]
+            if own.min() == -1 or own.min() != own.max():
+                yield length, order[a + lo : a + hi + 1]
 
 
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -161,7 +191,7 @@ def _anchor_parcels(buckets: int):
         for b in range(buckets):
             if len(o := order[bounds[b] : bounds[b + 1]]):
                 many = o[more[o] > 0]
-                yield b, pack(np.unique(low[o][~several[o]]), np.unique(low[o][several[o]]), low[many], slim(more[many]))
+                yield b, pack(deltas(np.unique(low[o][~several[o]])), deltas(np.unique(low[o][several[o]])), low[many], slim(more[many]))
 
     return parcels
 
@@ -185,11 +215,15 @@ def _key(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (key % np.uint64(buckets)).astype(np.int64), (key // np.uint64(buckets)).astype("<u4")
 
 
+def _summed(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=np.uint32)
+
+
 def _shared_anchors(hot_from: int):
     """Answers: the unit's anchors that more than one document has, and which of them are dealt by window."""
 
     def shared_anchors(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
-        got = [unpack(b) for b in blobs]
+        got = [(_summed(one), _summed(several), many, more) for one, several, many, more in map(unpack, blobs)]
         every, count = np.unique(np.concatenate([x for parts in got for x in parts[:2]]), return_counts=True)
         several = np.unique(np.concatenate([s for _, s, _, _ in got]))
         count[np.searchsorted(every, several)] = 2
@@ -200,51 +234,55 @@ def _shared_anchors(hot_from: int):
         for parts in got:
             mine = np.unique(np.concatenate(parts[:2]))
             mine = mine[np.isin(mine, shared, assume_unique=True)]
-            answers.append(pack(mine, np.isin(mine, hot, assume_unique=True).astype("u1")) if len(mine) else None)
+            answers.append(pack(deltas(mine), np.isin(mine, hot, assume_unique=True).astype("u1")) if len(mine) else None)
         return answers, []
 
     return shared_anchors
 
 
+def _shared_texts(texts: list[bytes], got: dict, anchor_buckets: int, buckets: int) -> tuple[dict[int, list[bytes]], dict[int, np.ndarray]]:
+    """By bucket: the different texts of the unit's shared segments, and a row (text, document, start) for each segment."""
+    parts = [(b, *unpack(x)) for (kind, b), x in sorted(got.items()) if kind == 1]
+    shared = np.concatenate([_summed(x).astype(np.uint64) * np.uint64(anchor_buckets) + np.uint64(b) for b, x, _ in parts] or [np.empty(0, np.uint64)])
+    hot = np.concatenate([x > 0 for *_, x in parts] or [np.empty(0, bool)])
+    order = np.argsort(shared)
+    shared, hot = shared[order], hot[order]
+    places: dict[int, dict[bytes, int]] = defaultdict(dict)
+    hits: dict[int, array] = defaultdict(lambda: array("q"))
+    for text, first, end, anchor in segments(texts) if len(shared) else ():
+        bucket, low = _key(mix(anchor), anchor_buckets)
+        full = low.astype("<u8") * np.uint64(anchor_buckets) + bucket.astype(np.uint64)
+        at = np.minimum(np.searchsorted(shared, full), len(shared) - 1)
+        keep = shared[at] == full
+        wide = np.flatnonzero(keep & hot[at])
+        for t, a, b in zip(text[wide].tolist(), first[wide].tolist(), end[wide].tolist(), strict=True):
+            for i in range(a, b - WINDOW + 1):
+                window = texts[t][i : i + WINDOW]
+                k = xxhash.xxh3_64_intdigest(window) % buckets
+                own = places[k]
+                hits[k].extend((own.setdefault(window, len(own)), t, i))
+        keep = np.flatnonzero(keep & ~hot[at])
+        for t, a, b, k in zip(text[keep].tolist(), first[keep].tolist(), end[keep].tolist(), (full[keep] % np.uint64(buckets)).tolist(), strict=True):
+            own = places[k]
+            hits[k].extend((own.setdefault(texts[t][a:b], len(own)), t, a))
+    return {k: list(x) for k, x in places.items()}, {k: np.array(x, np.int64).reshape(-1, 3) for k, x in hits.items()}
+
+
 def _segment_parcels(anchor_buckets: int, buckets: int):
-    """Of each bucket, the different texts of the unit's shared segments (anchor, length, bytes) and where each text
-    is (place in the list of texts, document in the unit, its doc_id, start)."""
+    """Of each bucket, the unit's different texts of shared segments (length, bytes), the smallest doc_id that has
+    each, and whether several have it."""
 
     def parcels(unit: int, rows: pa.Table, got: dict) -> pa.Table:
-        texts, doc_id = _texts(rows), _numbered(rows)
-        parts = [(b, *unpack(x)) for (_, b), x in got.items()]
-        shared = np.concatenate([x.astype(np.uint64) * np.uint64(anchor_buckets) + np.uint64(b) for b, x, _ in parts] or [np.empty(0, np.uint64)])
-        hot = np.concatenate([x > 0 for *_, x in parts] or [np.empty(0, bool)])
-        order = np.argsort(shared)
-        shared, hot = shared[order], hot[order]
-        places: dict[int, dict[bytes, int]] = defaultdict(dict)  # by anchor (8 bytes) and text
-        hits: dict[int, array] = defaultdict(lambda: array("q"))
-        for text, first, end, anchor in segments(texts) if len(shared) else ():
-            bucket, low = _key(mix(anchor), anchor_buckets)
-            full = low.astype("<u8") * np.uint64(anchor_buckets) + bucket.astype(np.uint64)
-            at = np.minimum(np.searchsorted(shared, full), len(shared) - 1)
-            keep = shared[at] == full
-            wide = np.flatnonzero(keep & hot[at])
-            for t, a, b in zip(text[wide].tolist(), first[wide].tolist(), end[wide].tolist(), strict=True):
-                for i in range(a, b - WINDOW + 1):
-                    window = texts[t][i : i + WINDOW]
-                    key = xxhash.xxh3_64_intdigest(window)
-                    own = places[key % buckets]
-                    hits[key % buckets].extend((own.setdefault(key.to_bytes(8, "little") + window, len(own)), t, i))
-            keep = np.flatnonzero(keep & ~hot[at])
-            raw = full[keep].tobytes()
-            for i, (t, a, b, k) in enumerate(zip(text[keep].tolist(), first[keep].tolist(), end[keep].tolist(), (full[keep] % np.uint64(buckets)).tolist(), strict=True)):
-                own = places[k]
-                hits[k].extend((own.setdefault(raw[8 * i : 8 * i + 8] + texts[t][a:b], len(own)), t, a))
+        doc_id = _numbered(rows)
+        kinds, hits = _shared_texts(_texts(rows), got, anchor_buckets, buckets)
 
         def found() -> Iterator[tuple[int, bytes]]:
-            for b in sorted(places):
-                place, doc, start = np.array(hits.pop(b), "<i8").reshape(-1, 3).T
-                kinds = list(places.pop(b))
-                yield b, pack(
-                    np.frombuffer(b"".join(x[:8] for x in kinds), "<u8"), np.array([len(x) - 8 for x in kinds], "<i4"), np.frombuffer(b"".join(x[8:] for x in kinds), np.uint8),
-                    place.astype("<i4"), doc.astype("<i4"), doc_id[doc], start.copy(),
-                )
+            for b, own in sorted(kinds.items()):
+                place, doc = hits[b][:, 0], doc_id[hits[b][:, 1]]
+                low, high = np.full(len(own), LAST, np.int64), np.full(len(own), np.iinfo(np.int64).min, np.int64)
+                np.minimum.at(low, place, doc)
+                np.maximum.at(high, place, doc)
+                yield b, pack(slim(np.array([len(x) for x in own])), np.frombuffer(b"".join(own), np.uint8), low, (low != high).astype("u1"))
 
         return U.parcels_table(unit, found())
 
@@ -252,66 +290,77 @@ def _segment_parcels(anchor_buckets: int, buckets: int):
 
 
 def _repeated(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
-    """Answers: document in the unit, start and end of every range that a smaller document has, too."""
-    got, number, kinds, local = [], {}, [], []
+    """Answers: of the unit's texts, ranges (text, start, end) and the smallest doc_id of the group that has them."""
+    number: dict[bytes, int] = {}
+    local, lows, manys = [], [], []
     for blob in blobs:
-        anchor, length, data, *hits = unpack(blob)
-        raw, ends = data.tobytes(), np.cumsum(length)
-        own = []
-        for k, a, b in zip(anchor.tolist(), (ends - length).tolist(), ends.tolist(), strict=True):
-            kind = (k, raw[a:b])
-            if kind not in number:
-                number[kind] = len(kinds)
-                kinds.append(kind)
-            own.append(number[kind])
-        local.append(np.array(own, np.int64))
-        got.append(hits)
-    least = np.full(len(kinds), LAST, np.int64)
-    for own, (place, _, doc_id, _) in zip(local, got, strict=True):
-        np.minimum.at(least, own[place], doc_id)
-    # texts that share an anchor with another text: what they have in common is found by their suffixes
-    by_anchor: dict[int, list[int]] = defaultdict(list)
-    for i, (k, _) in enumerate(kinds):
-        by_anchor[k].append(i)
-    cover: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    batch: list[int] = []
-    size = 0
-    groups = [x for x in by_anchor.values() if len(x) > 1]
-    for i, group in enumerate(groups):
-        batch += group
-        size += sum(len(kinds[x][1]) - WINDOW + 1 for x in group)
-        if size < SCAN and i < len(groups) - 1:
-            continue
-        names = np.array(batch)
-        for length, owner, offset in maximal_repeats([kinds[x][1] for x in batch]):
-            who = names[owner]
-            later = least[who] > least[who].min()
-            for x, a in zip(who[later].tolist(), offset[later].tolist(), strict=True):
-                cover[x].append((a, a + length))
-        batch, size = [], 0
-    full_length = np.array([len(x) for _, x in kinds], np.int64)
+        length, data, low, many = unpack(blob)
+        raw, ends = data.tobytes(), np.cumsum(length, dtype=np.int64)
+        local.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)], np.int64))
+        lows.append(low)
+        manys.append(many > 0)
+    kinds = list(number)
+    least, most = np.full(len(kinds), LAST, np.int64), np.full(len(kinds), np.iinfo(np.int64).min, np.int64)
+    several = np.zeros(len(kinds), bool)
+    for own, low, many in zip(local, lows, manys, strict=True):
+        np.minimum.at(least, own, low)
+        np.maximum.at(most, own, low)
+        several[own] |= many
+    several |= least != most
+    found = []
+    for length, owner, offset in maximal_repeats(kinds, WINDOW, several):
+        smallest = least[owner].min()
+        later = several[owner] | (least[owner] > smallest)
+        found.append(np.stack([owner[later], offset[later], offset[later] + length, np.full(later.sum(), smallest)]))
+    kind, start, end, smallest = np.concatenate(found or [np.empty((4, 0), np.int64)], axis=1)
+    order = np.argsort(kind, kind="stable")
+    start, end, smallest = start[order], end[order], smallest[order]
+    bounds = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
     answers: list[bytes | None] = []
-    for own, (place, doc, doc_id, start) in zip(local, got, strict=True):
-        kind = own[place]
-        whole = doc_id > least[kind]
-        ranges = [np.stack([doc[whole].astype(np.int64), start[whole], start[whole] + full_length[kind[whole]]])]
-        parts = [(d, s + a, s + b) for d, s, x in zip(doc[~whole].tolist(), start[~whole].tolist(), kind[~whole].tolist(), strict=True) for a, b in cover.get(x, ())]
-        if parts:
-            ranges.append(np.array(parts, np.int64).T)
-        out = np.concatenate(ranges, axis=1)
-        answers.append(pack(out[0].astype("<i4"), out[1].copy(), out[2].copy()) if out.shape[1] else None)
+    for own in local:
+        count = bounds[own + 1] - bounds[own]
+        at = np.repeat(bounds[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        answers.append(pack(deltas(np.repeat(np.arange(len(own)), count)), slim(start[at]), slim(end[at]), smallest[at]) if len(at) else None)
     return answers, []
 
 
-def _cut(unit: int, rows: pa.Table, got: dict) -> pa.Table:
+def _cut(anchor_buckets: int, buckets: int):
     """Adds r_spans (removed byte ranges, apart from each other) and r_kept (the other bytes) to the rows."""
-    parts = [unpack(x) for x in got.values()]
-    doc, start, end = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]).astype(np.int64) for i in range(3))
+
+    def cut(unit: int, rows: pa.Table, got: dict) -> pa.Table:
+        texts, doc_id = _texts(rows), _numbered(rows)
+        ranges = [np.empty((3, 0), np.int64)]
+        if any(kind == 2 for kind, _ in got):
+            for b, hits in _shared_texts(texts, got, anchor_buckets, buckets)[1].items():
+                if (2, b) in got:
+                    ranges.append(_ranges(hits, doc_id, *unpack(got[2, b])))
+        doc, start, end = np.concatenate(ranges, axis=1)
+        spans, kept = _apart(texts, doc, start, end)
+        span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+        return rows.drop_columns(["text"]).append_column("r_spans", pa.array(spans, span)).append_column("r_kept", pa.array(kept, pa.binary()))
+
+    return cut
+
+
+def _ranges(hits: np.ndarray, doc_id: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """document, start and end of the ranges at every place of their texts in a document that isn't the smallest."""
+    kind = np.cumsum(kind, dtype=np.int64)
+    place, doc, at = hits.T
+    low, high = np.searchsorted(kind, place, "left"), np.searchsorted(kind, place, "right")
+    count = high - low
+    which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    doc, at = np.repeat(doc, count), np.repeat(at, count)
+    later = doc_id[doc] > smallest[which]
+    return np.stack([doc[later], (at + start[which])[later], (at + end[which])[later]])
+
+
+def _apart(texts: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[list[dict]], list[bytes]]:
+    """Each text's ranges put together, and what they leave of it."""
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    bounds = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     spans, kept = [], []
-    for i, text in enumerate(_texts(rows)):
+    for i, text in enumerate(texts):
         s, e = start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]]
         if not len(s):
             spans.append([]), kept.append(text)
@@ -321,8 +370,7 @@ def _cut(unit: int, rows: pa.Table, got: dict) -> pa.Table:
         first, last = s[new].tolist(), reach[np.append(new[1:], len(s)) - 1].tolist()
         spans.append([{"first": a, "end": b} for a, b in zip(first, last, strict=True)])
         kept.append(b"".join(text[a:b] for a, b in zip([0, *last], [*first, len(text)], strict=True)))
-    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-    return rows.drop_columns(["text"]).append_column("r_spans", pa.array(spans, span)).append_column("r_kept", pa.array(kept, pa.binary()))
+    return spans, kept
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -334,13 +382,15 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     a removed range may begin or end inside a character.
     """
     schema = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    made = U.units(schema)
-    anchor_buckets, buckets = U.buckets_for(made, ANCHOR_TEXT), U.buckets_for(made, SEGMENT_TEXT)
+    total = U.text_of(docs)
+    size = U.side(total, *UNIT_TEXT)
+    made = U.units(schema, most=size)
+    anchor_buckets, buckets = U.buckets_for(total, 2 * size), U.buckets_for(total, size)
     shared = materialize(U.meet(U.send(made, _anchor_parcels(anchor_buckets)), _shared_anchors(hot), 0).withColumn("kind", F.lit(1)))
     parcels = U.back(made, shared, _segment_parcels(anchor_buckets, buckets), U.PARCEL)
     ranges = materialize(U.meet(parcels, _repeated, 0).withColumn("kind", F.lit(2)))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema.schema if f.name != "text")
-    return U.back(made, ranges, _cut, kept + "r_spans array<struct<first: long, end: long>>, r_kept binary")
+    return U.back(made, shared.unionByName(ranges), _cut(anchor_buckets, buckets), kept + "r_spans array<struct<first: long, end: long>>, r_kept binary")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
