@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from typing import Any
-from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..params import ChannelParams
+from . import prefix
+
 NORMAL, UNACK_ACTIVE, ACK_ACTIVE, UNACK_RTN = "normal", "unack_active", "ack_active", "unack_rtn"
 HIGH, LOW = ("hi", "hihi"), ("lo", "lolo")
 
@@ -25,77 +29,99 @@ def beyond(v: Column, shift: Column) -> Column:
     return F.when(F.col("kind").isin(*HIGH), v > F.col("limit") - shift).when(F.col("kind").isin(*LOW), v < F.col("limit") + shift)
 
 
-def alarm_hysteresis(pairs: DataFrame) -> DataFrame:
+RULE = ("rule_id",)
+
+
+def alarm_hysteresis(pairs: DataFrame, chunk: int = ChannelParams().chunk) -> DataFrame:
     """condition of rules without delays: set past the limit, cleared when back by the deadband, else as before."""
     v = F.col("value")
     mark = F.when(beyond(v, F.lit(0.0)), True).when(~beyond(v, F.col("deadband")), False)
-    so_far = Window.partitionBy("rule_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return pairs.withColumn("condition", F.coalesce(F.last(mark, ignorenulls=True).over(so_far), F.lit(False)))
+    rows = prefix.last_known(prefix.chunked(pairs.withColumn("a_mark", mark), F.col("ts"), chunk), RULE, "ts", "a_mark", "condition")
+    return rows.withColumn("condition", F.coalesce("condition", F.lit(False))).drop("a_mark", "c_chunk")
 
 
-def alarm_debounce(pairs: DataFrame) -> DataFrame:
+def alarm_debounce(pairs: DataFrame, chunk: int = ChannelParams().chunk) -> DataFrame:
     """condition of rules without a deadband: changes once the raw condition has lasted for its delay."""
-    w = Window.partitionBy("rule_id").orderBy("ts")
-    raw = beyond(F.col("value"), F.lit(0.0))
-    out = pairs.withColumn("a_raw", raw).withColumn("a_new", F.when(F.col("a_raw").eqNullSafe(F.lag("a_raw").over(w)), 0).otherwise(1))
-    out = out.withColumn("a_run", F.sum("a_new").over(w))
-    since = F.first("ts").over(Window.partitionBy("rule_id", "a_run").orderBy("ts"))
+    rows = prefix.chunked(pairs.withColumn("a_raw", beyond(F.col("value"), F.lit(0.0))), F.col("ts"), chunk)
+    rows = prefix.preceding(rows, RULE, "ts", "a_raw", "a_last")
+    goes_on = F.col("a_last").isNotNull() & F.col("a_raw").eqNullSafe(F.col("a_last.a_raw"))
+    rows = prefix.last_known(rows.withColumn("a_start", F.when(~goes_on, F.col("ts"))), RULE, "ts", "a_start", "a_since")
     delay = F.when(F.col("a_raw"), F.col("on_delay")).otherwise(F.col("off_delay"))
-    out = out.withColumn("a_mark", F.when(F.col("a_raw").isNotNull() & (F.col("ts") - since >= delay), F.col("a_raw")))
-    state = F.last("a_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("condition", F.coalesce(state, F.lit(False))).drop("a_raw", "a_new", "a_run", "a_mark")
+    rows = rows.withColumn("a_mark", F.when(F.col("a_raw").isNotNull() & (F.col("ts") - F.col("a_since") >= delay), F.col("a_raw")))
+    rows = prefix.last_known(rows, RULE, "ts", "a_mark", "condition")
+    return rows.withColumn("condition", F.coalesce("condition", F.lit(False))).select(*pairs.columns, "condition")
 
 
-def state_changes(states: DataFrame) -> DataFrame:
-    """Rows whose condition differs from the one before (off at first)."""
-    before = F.lag("condition", 1, False).over(Window.partitionBy("rule_id").orderBy("ts"))
-    return states.where(F.col("condition") != before)
+#: What a change of the condition ("on", "off") or an acknowledgement ("ack") does to an alarm: next state, transition.
+#: What isn't here changes nothing.
+TRANSITIONS = {
+    (NORMAL, "on"): (UNACK_ACTIVE, "activated"),
+    (UNACK_RTN, "on"): (UNACK_ACTIVE, "activated"),
+    (UNACK_ACTIVE, "off"): (UNACK_RTN, "returned"),
+    (ACK_ACTIVE, "off"): (NORMAL, "returned"),
+    (UNACK_ACTIVE, "ack"): (ACK_ACTIVE, "acknowledged"),
+    (UNACK_RTN, "ack"): (NORMAL, "acknowledged"),
+}
 
 
 @dataclass
-class Machine:
-    """The state of one rule between rows."""
+class Debounce:
+    """A rule's condition: it turns once readings have called for that for a delay, and on only some time after it
+    turned on last."""
 
-    state: str = NORMAL
     condition: bool = False
-    since: int | None = None
+    called: int | None = None  # since when readings have called for a change
     last_on: int | None = None
 
-    def raw(self, rule, value: float | None, anomaly: bool) -> bool:
-        if rule.kind == "anomaly":
-            return anomaly
-        if value is None or value != value or rule.limit is None or rule.limit != rule.limit:
-            return self.condition
-        back = rule.deadband if self.condition else 0.0
-        return value > rule.limit - back if rule.kind in HIGH else value < rule.limit + back
-
-    def reading(self, rule, ts: int, value: float | None, anomaly: bool) -> str | None:
-        """The transition that a reading causes, if any."""
-        raw = self.raw(rule, value, anomaly)
-        if raw == self.condition:
-            self.since = None
-            return None
-        self.since = ts if self.since is None else self.since
-        if ts - self.since < (rule.on_delay if raw else rule.off_delay):
-            return None
-        if raw and self.last_on is not None and ts - self.last_on < rule.min_repeat:
-            return None
-        self.condition, self.since = raw, None
-        if raw:
-            self.last_on = ts
-            if self.state in (NORMAL, UNACK_RTN):
-                self.state = UNACK_ACTIVE
-                return "activated"
-        elif self.state in (UNACK_ACTIVE, ACK_ACTIVE):
-            self.state = UNACK_RTN if self.state == UNACK_ACTIVE else NORMAL
-            return "returned"
-        return None
-
-    def acknowledge(self) -> str | None:
-        if self.state not in (UNACK_ACTIVE, UNACK_RTN):
-            return None
-        self.state = ACK_ACTIVE if self.state == UNACK_ACTIVE else NORMAL
-        return "acknowledged"
+    def turns(self, ts: np.ndarray, calls: dict[bool, np.ndarray], delay: dict[bool, int], min_repeat: int) -> Iterator[tuple[int, bool]]:
+        """(place, condition) of each change over readings in order; calls[c] tells which of them want it to be c
+        while it isn't. Goes from run to run of such readings, not from reading to reading."""
+        at = 0
+        while at < len(ts):
+            goal = not self.condition
+            here = calls[goal]
+            if not here[at]:
+                self.called = None
+                rest = here[at:].argmax()
+                if not here[at + rest]:
+                    return
+                at += int(rest)
+            quiet = ~here[at:]
+            end = at + int(quiet.argmax()) if quiet.any() else len(ts)
+            self.called = int(ts[at]) if self.called is None else self.called
+            due = self.called + delay[goal]
+            if goal and self.last_on is not None:
+                due = max(due, self.last_on + min_repeat)
+            turn = at + int(np.searchsorted(ts[at:end], due))
+            if turn == end:
+                at = end
+                continue
+            self.condition, self.called = goal, None
+            if goal:
+                self.last_on = int(ts[turn])
+            yield turn, goal
+            at = turn + 1
+
+
+@dataclass
+class Alarm:
+    """All that is known of a rule between rows."""
+
+    state: str = NORMAL
+    debounce: Debounce = field(default_factory=Debounce)
+
+
+def calls_of(pdf: pd.DataFrame) -> dict[bool, np.ndarray]:
+    """Which readings of a rule want its condition on while it is off, and off while it is on."""
+    rule = pdf.iloc[0]
+    if rule["kind"] == "anomaly":
+        on = pdf["anomaly"].to_numpy(bool)
+        return {True: on, False: ~on}
+    number = lambda c: float("nan") if rule[c] is None else float(rule[c])
+    v, limit, back = pd.to_numeric(pdf["value"]).to_numpy(float, na_value=np.nan), number("limit"), number("deadband")
+    back = 0.0 if back != back else back
+    # a value that isn't a number calls for nothing
+    return {True: v > limit, False: v <= limit - back} if rule["kind"] in HIGH else {True: v < limit, False: v >= limit + back}
 
 
 LOG = "rule_id int, channel string, ts long, transition string, state_from string, state_to string, value double, user string"
@@ -111,15 +137,24 @@ def alarm_inputs(pairs: DataFrame, acks: DataFrame, rules: DataFrame) -> DataFra
     return read.unionByName(ack)
 
 
-def walk(machine: Machine, pdf: pd.DataFrame) -> list[tuple]:
-    """Transitions of one rule over rows in order."""
+def walk(alarm: Alarm, pdf: pd.DataFrame) -> list[tuple]:
+    """Transitions of one rule over its rows in order."""
+    pdf = pdf.reset_index(drop=True)
+    asked = pdf["is_ack"].to_numpy() == 1
+    read = np.flatnonzero(~asked)
+    events = [(int(i), "ack") for i in np.flatnonzero(asked)]
+    if len(read):
+        rows = pdf.iloc[read]
+        delay = {True: int(rows["on_delay"].iloc[0]), False: int(rows["off_delay"].iloc[0])}
+        turns = alarm.debounce.turns(rows["ts"].to_numpy(np.int64), calls_of(rows), delay, int(rows["min_repeat"].iloc[0]))
+        events += [(int(read[i]), "on" if on else "off") for i, on in turns]
     out = []
-    for row in pdf.itertuples():
-        before = machine.state
-        value = None if row.value is None or row.value != row.value else float(row.value)
-        what = machine.acknowledge() if row.is_ack else machine.reading(row, int(row.ts), value, bool(row.anomaly))
-        if what and machine.state != before:
-            out.append((int(row.rule_id), row.channel, int(row.ts), what, before, machine.state, None if row.is_ack else value, row.user if row.is_ack else None))
+    for i, event in sorted(events):
+        before = alarm.state
+        alarm.state, what = TRANSITIONS.get((before, event), (before, None))
+        if what:
+            ack, value = event == "ack", pdf["value"].iloc[i]
+            out.append((int(pdf["rule_id"].iloc[i]), pdf["channel"].iloc[i], int(pdf["ts"].iloc[i]), what, before, alarm.state, None if ack or pd.isna(value) else float(value), pdf["user"].iloc[i] if ack else None))
     return out
 
 
@@ -127,12 +162,13 @@ LOG_NAMES = [x.split()[0] for x in LOG.split(", ")]
 
 
 def alarm_lifecycle(inputs: DataFrame) -> DataFrame:
-    """The log of state changes. A rule's rows are walked in order, batch by batch, with a state of a few numbers."""
+    """The log of state changes. A rule's rows are walked in order, batch by batch, with a state of a few numbers: a
+    recurrence, which keeps one task busy for each rule."""
 
     def lives(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Machine()
+        alarm = Alarm()
         for pdf in frames:
-            yield pd.DataFrame(walk(machine, pdf), columns=LOG_NAMES)
+            yield pd.DataFrame(walk(alarm, pdf), columns=LOG_NAMES)
 
     ordered = inputs.repartition("rule_id").sortWithinPartitions("rule_id", "ts", "is_ack", "user")
     return ordered.groupBy("rule_id").applyInPandas(lives, LOG)

@@ -8,48 +8,76 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import ChannelParams
-from .filters import diagnosed
+from ..storage import with_columns
+from . import prefix
+from .filters import NAIVE, ChannelModel, diagnosed
 
 
-def residual_steps(resid: np.ndarray, state: tuple[int, float], k: float, warm_up: int) -> tuple[np.ndarray, np.ndarray, tuple[int, float]]:
-    """Threshold (null while warming up) and flag of each residual, and the state (points, mean residual) after them.
+class Spread:
+    """The spread of residuals, learned online: that of a normal residual with the running mean of absolute ones."""
 
-    The spread is that of a normal residual with the running mean of absolute residuals; flagged ones don't enter."""
-    n, mean = state
-    thr, flag = np.full(len(resid), np.nan), np.zeros(len(resid), bool)
-    for i, r in enumerate(resid.tolist()):
-        if r != r:
-            continue
-        if n >= warm_up:
-            thr[i] = k * math.sqrt(math.pi / 2) * mean
-            flag[i] = thr[i] > 0 and r > thr[i]
-        if not flag[i]:
-            n += 1
-            mean = r if n == 1 else mean + max(0.01, 1 / n) * (r - mean)
-    return thr, flag, (n, mean)
+    SIGMA = math.sqrt(math.pi / 2)  # of a normal residual, by its mean absolute value
 
+    def __init__(self, warm_up: int, seen: int = 0, mean: float = 0.0):
+        self.warm_up, self.seen, self.mean = warm_up, seen, mean
 
-def adaptive_residual(rows: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
-    """Adds thr and anomaly to rows with resid. The state goes on from row to row of a channel, batch by batch, so a
-    channel needs no more memory than a batch."""
+    def sigma(self) -> float:
+        """Not a number while warming up."""
+        return self.SIGMA * self.mean if self.seen >= self.warm_up else math.nan
+
+    def learn(self, residual: float) -> None:
+        self.seen += 1
+        self.mean += max(0.01, 1 / self.seen) * (residual - self.mean)
+
+    def judge(self, residuals: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
+        """Threshold and flag of each residual; one that is flagged, or isn't a number, teaches nothing."""
+        limits = np.full(len(residuals), np.nan)
+        for i in np.flatnonzero(~np.isnan(residuals)).tolist():
+            limits[i] = k * self.sigma()
+            if not residuals[i] > limits[i] > 0:
+                self.learn(float(residuals[i]))
+        return limits, (limits > 0) & (residuals > limits)
+
+
+def judged(found: dict[str, np.ndarray] | pd.DataFrame, spread: Spread, p: ChannelParams, model: ChannelModel) -> dict[str, np.ndarray]:
+    """thr, anomaly and prob_ratio (the probability by its limit, where it counts) from resid and prob."""
+    resid, prob = (np.asarray(found[c], dtype=float) for c in ("resid", "prob"))
+    if model.sigma is None:
+        thr, flag = spread.judge(resid, p.residual_k)
+    else:
+        thr = np.where(np.isnan(resid), np.nan, p.residual_k * model.sigma)
+        flag = (thr > 0) & (resid > thr)
+    likely = prob > model.gamma
+    ratio = np.where(likely, prob / model.gamma if model.gamma > 0 else 1.0, np.nan)
+    return {"thr": thr, "anomaly": flag | likely, "prob_ratio": ratio}
+
+
+def adaptive_residual(rows: DataFrame, p: ChannelParams = ChannelParams(), models: dict[str, ChannelModel] | None = None) -> DataFrame:
+    """Adds thr, anomaly and prob_ratio to rows with resid and prob. A spread that is learned online goes on from row to
+    row of a channel: a recurrence, which keeps one task busy for each channel. The task walks batch by batch, so it
+    needs no more memory than a batch."""
+    models = models or {}
 
     def steps(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = (0, 0.0)
+        spread = Spread(p.warm_up)
         for pdf in frames:
-            thr, flag, state = residual_steps(pdf["resid"].to_numpy(dtype=float, na_value=np.nan), state, p.residual_k, p.warm_up)
-            yield pdf.assign(thr=pd.Series(thr, pdf.index).astype("Float64").mask(pd.isna(thr)), anomaly=flag)
+            found = judged({c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("resid", "prob")}, spread, p, models.get(key[0], NAIVE))
+            yield pdf.assign(**{c: a if a.dtype == bool else pd.array(a, "Float64") for c, a in found.items()})
 
     ordered = rows.repartition("channel").sortWithinPartitions("channel", "ts")
-    return ordered.groupBy("channel").applyInPandas(steps, rows.schema.add("thr", "double").add("anomaly", "boolean"))
+    return ordered.groupBy("channel").applyInPandas(steps, with_columns(rows.schema, {"thr": "double", "anomaly": "boolean", "prob_ratio": "double"}))
+
+
+PIPELINE = ("channel", "ts", "val", "val_f", "median", "substituted", "pred", "resid", "prob")
 
 
-def channel_pipeline(valid: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
-    """Filter, features, forecast and adaptive residual of all valid rows."""
-    return adaptive_residual(diagnosed(valid, p).select("channel", "ts", "val", "val_f", "median", "substituted", "pred", "resid"), p)
+def channel_pipeline(valid: DataFrame, p: ChannelParams = ChannelParams(), models: dict[str, ChannelModel] | None = None) -> DataFrame:
+    """Filter, features, forecast, residual and classifier of all valid rows (channel, ts, val)."""
+    return adaptive_residual(diagnosed(valid.select("channel", "ts", "val"), p, models).select(*PIPELINE), p, models)
 
 
 def flagged_points(diagnosis: DataFrame) -> DataFrame:
@@ -57,18 +85,20 @@ def flagged_points(diagnosis: DataFrame) -> DataFrame:
 
 
 def scored_flags(diagnosis: DataFrame) -> DataFrame:
-    """channel, kind, ts, val, score: an anomaly's residual by its threshold, an outlier's distance from the median."""
-    ratio = F.when(F.col("thr") != 0, F.col("resid") / F.nullif(F.col("thr"), F.lit(0.0)))
-    anomaly = diagnosis.where("anomaly").select("channel", F.lit("anomaly").alias("kind"), "ts", "val", F.coalesce(ratio, F.lit(1.0)).alias("score"))
+    """channel, kind, ts, val, score: an anomaly's residual by its threshold (1 without one) or, if larger, its
+    probability by its limit; an outlier's distance from the median."""
+    ratio = F.coalesce(F.when(F.col("thr") != 0, F.col("resid") / F.nullif(F.col("thr"), F.lit(0.0))), F.lit(1.0))
+    anomaly = diagnosis.where("anomaly").select("channel", F.lit("anomaly").alias("kind"), "ts", "val", F.greatest(ratio, "prob_ratio").alias("score"))
     outlier = diagnosis.where("substituted").select("channel", F.lit("outlier").alias("kind"), "ts", "val", F.abs(F.col("val") - F.col("median")).alias("score"))
     return anomaly.unionByName(outlier)
 
 
-def flag_islands(flags: DataFrame, gap: int) -> DataFrame:
+def flag_islands(flags: DataFrame, gap: int, chunk: int = ChannelParams().chunk) -> DataFrame:
     """Adds island, a number for each run of flags with gaps of at most ``gap``."""
-    w = Window.partitionBy("channel", "kind").orderBy("ts")
-    new = F.when(F.col("ts") - F.lag("ts").over(w) <= gap, 0).otherwise(1)
-    return flags.withColumn("i_new", new).withColumn("island", F.sum("i_new").over(w)).drop("i_new")
+    keys = ("channel", "kind")
+    rows = prefix.preceding(prefix.chunked(flags.withColumn("i_ts", F.col("ts")), F.col("ts"), chunk), keys, "ts", "i_ts", "i_last")
+    rows = rows.withColumn("i_new", F.when(F.col("ts") - F.col("i_last.i_ts") <= gap, 0).otherwise(1))
+    return prefix.sum_so_far(rows, keys, "ts", "i_new", "island").select(*flags.columns, "island")
 
 
 def build_episodes(flags: DataFrame, gap: int) -> DataFrame:
@@ -79,8 +109,16 @@ def build_episodes(flags: DataFrame, gap: int) -> DataFrame:
     return grouped.select("channel", "kind", "ts_start", "ts_end", "n_points", (-F.col("p.t")).alias("peak_ts"), F.col("p.val").alias("peak_value"), F.col("p.score").alias("score"))
 
 
-def analysis_report(diagnosis: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Counts of points, substitutions, anomalies and episodes of each channel."""
+def analysis_report(diagnosis: DataFrame, episodes: DataFrame, metrics: DataFrame | None = None, overall: DataFrame | None = None) -> DataFrame:
+    """Counts of points, substitutions, anomalies and episodes of each channel and, in a row with a null channel, of
+    all; with ``metrics`` (a row a channel) and ``overall`` (one row), what evaluation says of them."""
+    tallies = ("n", "substituted", "anomalies", "anomaly_episodes", "outlier_episodes")
     points = diagnosis.groupBy("channel").agg(F.count("*").alias("n"), F.count_if("substituted").alias("substituted"), F.count_if("anomaly").alias("anomalies"))
     kinds = episodes.groupBy("channel").agg(F.count_if(F.col("kind") == "anomaly").alias("anomaly_episodes"), F.count_if(F.col("kind") == "outlier").alias("outlier_episodes"))
-    return points.join(kinds, "channel", "left").fillna(0, ["anomaly_episodes", "outlier_episodes"])
+    rows = points.join(kinds, "channel", "left").fillna(0, ["anomaly_episodes", "outlier_episodes"])
+    total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tallies))  # one row
+    if metrics is None or overall is None:
+        return rows.unionByName(total.withColumn("channel", F.lit(None).cast("string")))
+    drop = ("episodes",)
+    total = total.crossJoin(F.broadcast(overall.drop(*drop))).withColumn("channel", F.lit(None).cast("string"))
+    return rows.join(metrics.drop(*drop), "channel", "left").unionByName(total)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DAY, ChannelParams
-from .detect import build_episodes, channel_pipeline, scored_flags
+from ..storage import written
+from .detect import analysis_report, build_episodes, channel_pipeline, flagged_points, scored_flags
+from .filters import ChannelModel
 
 
 def _days(start: Column, end: Column) -> Column:
@@ -48,10 +50,25 @@ def detection_metrics(labels: DataFrame, episodes: DataFrame, tolerance: int) ->
     every = episodes.where(F.col("kind") == "anomaly").groupBy("channel").agg(F.count("*").alias("episodes"))
     right = episode_true_positive(labels, episodes, tolerance).groupBy("channel").agg(F.count("*").alias("true_positives"))
     out = found.join(every, "channel", "left").join(right, "channel", "left").fillna(0, ["episodes", "true_positives"])
+    return _rates(out)
+
+
+def overall_metrics(labels: DataFrame, episodes: DataFrame, tolerance: int) -> DataFrame:
+    """One row of detection_metrics over all channels with labels; labels and episodes meet within their channel."""
+    found = label_episode_overlap(labels, episodes, tolerance).agg(F.count("*").alias("labels"), F.count_if("detected").alias("detected"), F.avg("delay_s").alias("mean_delay_s"))
+    own = episodes.join(labels.select("channel").distinct(), "channel", "left_semi")
+    every = own.where(F.col("kind") == "anomaly").agg(F.count("*").alias("episodes"))
+    right = episode_true_positive(labels, own, tolerance).agg(F.count("*").alias("true_positives"))
+    out = found.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(right))  # one row each
+    return _rates(out)
+
+
+def _rates(out: DataFrame) -> DataFrame:
     precision = F.try_divide(F.col("true_positives").cast("double"), F.col("episodes"))
     recall = F.try_divide(F.col("detected").cast("double"), F.col("labels"))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return out.select("channel", "episodes", "labels", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "mean_delay_s")
+    keep = ["channel"] if "channel" in out.columns else []
+    return out.select(*keep, "episodes", "labels", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "mean_delay_s")
 
 
 def recall_by_type(labels: DataFrame, episodes: DataFrame, tolerance: int) -> DataFrame:
@@ -65,17 +82,25 @@ def forecast_mae(rows: DataFrame) -> DataFrame:
     return out.withColumn("gain", 1 - F.try_divide(F.col("mae"), F.col("mae_naive")))
 
 
-def reanalyze(valid: DataFrame, p: ChannelParams, run: str, labels: DataFrame | None = None, tolerance: int = 0) -> dict[str, DataFrame]:
-    """The pipeline over history under a run id: diagnosis, episodes and, with labels, metrics."""
-    diagnosis = channel_pipeline(valid, p).withColumn("run", F.lit(run))
+def reanalyze(
+    valid: DataFrame, p: ChannelParams, run: str, labels: DataFrame | None = None, tolerance: int = 0, models: dict[str, ChannelModel] | None = None
+) -> dict[str, DataFrame]:
+    """The pipeline over history under a run id, with new parameters or models: diagnosis (written), episodes, report
+    and, with labels, metrics."""
+    diagnosis = written(channel_pipeline(valid, p, models).withColumn("run", F.lit(run)))
     episodes = build_episodes(scored_flags(diagnosis), p.episode_gap).withColumn("run", F.lit(run))
     out = {"diagnosis": diagnosis, "episodes": episodes}
-    if labels is not None:
-        out["metrics"] = detection_metrics(labels, episodes, tolerance)
-    return out
+    if labels is None:
+        return out | {"report": analysis_report(diagnosis, episodes)}
+    out["metrics"] = detection_metrics(labels, episodes, tolerance)
+    return out | {"report": analysis_report(diagnosis, episodes, out["metrics"], overall_metrics(labels, episodes, tolerance))}
 
 
-def preview_summary(diagnosis: DataFrame, episodes: DataFrame) -> DataFrame:
-    """One row: points, substitutions, anomalies, episodes."""
+def preview_summary(diagnosis: DataFrame, episodes: DataFrame, first: int = 5_000) -> DataFrame:
+    """What a preview shows, told apart by ``part``: a summary row (n, substituted, anomalies, episodes), the ``first``
+    flagged points in order of time (channel, ts, val, val_f), and the episodes (channel, kind, ts, ts_end, score)."""
     points = diagnosis.agg(F.count("*").alias("n"), F.count_if("substituted").alias("substituted"), F.count_if("anomaly").alias("anomalies"))
-    return points.crossJoin(F.broadcast(episodes.agg(F.count("*").alias("episodes"))))  # one row each
+    summary = points.crossJoin(F.broadcast(episodes.agg(F.count("*").alias("episodes"))))  # one row each
+    flags = flagged_points(diagnosis).orderBy("ts", "channel").limit(first).select(F.lit("flag").alias("part"), "channel", "ts", "val", "val_f")
+    spans = episodes.select(F.lit("episode").alias("part"), "channel", "kind", F.col("ts_start").alias("ts"), "ts_end", "score")
+    return summary.withColumn("part", F.lit("summary")).unionByName(flags, allowMissingColumns=True).unionByName(spans, allowMissingColumns=True)

@@ -1,90 +1,154 @@
 """Row-frame analytics of a channel: outlier filter, window features, forecast, splits.
 
 A channel may hold a large part of all rows, so frames aren't taken over whole channels. Rows are cut into chunks of
-time, and each chunk also gets the rows before it that its first frames reach back to; those copies are dropped
-afterwards. The result is exact for any spacing of rows.
+time, and each chunk also gets the rows before it that its first frames reach back to. A chunk's rows come sorted and
+are handled batch by batch, with the last rows of a batch kept for the next, so a task needs no more memory than a
+batch, whatever a chunk holds. The result is exact for any spacing of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_div
 from ..params import ChannelParams
+from ..storage import with_columns
+from . import prefix
+
+CHANNEL = ("channel",)
+MODEL_BYTES = 256 << 20
 
 
 def with_halo(rows: DataFrame, reach: int, chunk: int) -> DataFrame:
-    """rows with c_chunk and c_halo: each chunk of ``chunk`` time preceded by the ``reach`` rows before it."""
+    """rows (channel, ts, ...) with c_chunk and c_halo: each chunk of ``chunk`` time also has the ``reach`` rows before
+    it, as copies. Only the last rows of chunks are looked at twice."""
     here = rows.withColumn("c_chunk", floor_div(F.col("ts"), chunk))
-    counts = here.groupBy("channel", "c_chunk").agg(F.count("*").alias("c_n"))
-    # the chunks after each that its last rows may reach, with the rows in between; a row for each chunk only
-    after = Window.partitionBy("channel").orderBy("c_chunk").rowsBetween(1, reach)
-    following = counts.withColumn("c_next", F.collect_list(F.struct("c_chunk", "c_n")).over(after))
-    between = F.transform(
-        F.col("c_next"), lambda x, i: F.struct(x["c_chunk"].alias("to"), F.aggregate(F.slice("c_next", 1, i), F.lit(0).cast("long"), lambda acc, y: acc + y["c_n"]).alias("gap"))
-    )
-    targets = following.select("channel", "c_chunk", F.filter(between, lambda x: x["gap"] < reach).alias("c_to"))
-    from_end = F.row_number().over(Window.partitionBy("channel", "c_chunk").orderBy(F.desc("ts")))
-    tail = here.withColumn("c_back", from_end).where(F.col("c_back") <= reach)
-    copies = tail.join(targets, ["channel", "c_chunk"]).withColumn("c_t", F.explode("c_to")).where(F.col("c_t.gap") + F.col("c_back") <= reach)
-    copies = copies.withColumn("c_chunk", F.col("c_t.to")).select(*here.columns, F.lit(True).alias("c_halo"))
+    row = F.struct("ts", *(c for c in rows.columns if c not in ("channel", "ts")))
+    back = F.row_number().over(Window.partitionBy("channel", "c_chunk").orderBy(F.desc("ts")))
+    tails = here.withColumn("c_back", back).where(F.col("c_back") <= reach).groupBy("channel", "c_chunk").agg(F.sort_array(F.collect_list(row)).alias("c_tail"))
+    before = Window.partitionBy("channel").orderBy("c_chunk").rowsBetween(-reach, -1)
+    halo = tails.select("channel", "c_chunk", F.flatten(F.collect_list("c_tail").over(before)).alias("c_rows"))
+    last = F.slice("c_rows", F.greatest(F.size("c_rows") - reach + 1, F.lit(1)), reach)
+    copies = halo.select("channel", "c_chunk", F.explode(last).alias("c_r")).select("channel", "c_r.*", "c_chunk", F.lit(True).alias("c_halo"))
     return here.withColumn("c_halo", F.lit(False)).unionByName(copies)
 
 
-def _frame(window: int) -> Window:
-    return Window.partitionBy("channel", "c_chunk").orderBy("ts").rowsBetween(1 - window, 0)
-
-
-def _median(sorted_values: Column) -> Column:
-    n = F.size(sorted_values)
-    low, high = F.element_at(sorted_values, F.floor((n + 1) / 2).cast("int")), F.element_at(sorted_values, F.floor(n / 2).cast("int") + 1)
-    return (low + high) / 2
-
-
-def hampel_columns(rows: DataFrame, p: ChannelParams) -> DataFrame:
-    """Adds median, sigma, substituted and val_f to valid rows with c_chunk."""
-    out = rows.withColumn("h_values", F.array_sort(F.collect_list("val").over(_frame(p.hampel_window)))).withColumn("median", _median(F.col("h_values")))
-    deviation = F.array_sort(F.transform("h_values", lambda v: F.abs(v - F.col("median"))))
-    out = out.withColumn("sigma", F.when(F.size("h_values") == p.hampel_window, 1.4826 * _median(deviation)))
-    limit = F.greatest("sigma", F.lit(p.hampel_min_sigma))
-    hit = F.coalesce((limit > 0) & (F.abs(F.col("val") - F.col("median")) > p.hampel_kappa * limit), F.lit(False))
-    out = out.withColumn("substituted", hit)
-    return out.withColumn("val_f", F.when(F.col("substituted"), F.col("median")).otherwise(F.col("val"))).drop("h_values")
+def hampel(x: np.ndarray, p: ChannelParams) -> dict[str, np.ndarray]:
+    """Filter of the values of a channel in order. Before a window is full there is a median, but no sigma."""
+    w, n = p.hampel_window, len(x)
+    median, sigma = np.full(n, np.nan), np.full(n, np.nan)
+    for i in range(min(w - 1, n)):
+        median[i] = np.median(x[: i + 1])
+    if n >= w:
+        view = sliding_window_view(x, w)
+        median[w - 1 :] = np.median(view, axis=1)
+        sigma[w - 1 :] = 1.4826 * np.median(np.abs(view - median[w - 1 :, None]), axis=1)
+    limit = np.maximum(sigma, p.hampel_min_sigma)
+    hit = (limit > 0) & (np.abs(x - median) > p.hampel_kappa * limit)
+    return {"median": median, "sigma": sigma, "substituted": hit, "val_f": np.where(hit, median, x)}
+
+
+def features(ts: np.ndarray, v: np.ndarray, p: ChannelParams) -> dict[str, np.ndarray]:
+    """Mean, deviation, extremes, root mean square and slope (a second) of the last values; null until there are enough."""
+    w, n = p.feature_window, len(v)
+    out = {c: np.full(n, np.nan) for c in FEATURES}
+    if n >= w:
+        x, t = sliding_window_view(v, w), sliding_window_view(ts, w)
+        mean = x.mean(axis=1)
+        off = (t - t[:, :1]) / 1e6
+        off = off - off.mean(axis=1, keepdims=True)
+        spread = (off * off).sum(axis=1)
+        rise = (off * (x - mean[:, None])).sum(axis=1)
+        slope = np.where(spread > 1e-12, rise / np.where(spread > 1e-12, spread, 1), 0.0)
+        for c, a in zip(FEATURES, (mean, x.std(axis=1), x.min(axis=1), x.max(axis=1), np.sqrt((x * x).mean(axis=1)), slope), strict=True):
+            out[c][w - 1 :] = a
+    return out
+
+
+@dataclass(frozen=True)
+class ChannelModel:
+    """What was learned for a channel. Both functions take rows of INPUTS: ``forecast`` gives next values (the filtered
+    value itself, if there is none), with residuals spread by ``sigma`` (learned online, if null); ``classify`` gives
+    probabilities of an anomaly, which count above ``gamma``."""
+
+    forecast: Callable[[np.ndarray], np.ndarray] | None = None
+    sigma: float | None = None
+    classify: Callable[[np.ndarray], np.ndarray] | None = None
+    gamma: float = 0.5
+    version: str = "naive"
+
+
+FEATURES = ("mean", "std", "lo", "hi", "rms", "slope")
+INPUTS = ("val_f", *FEATURES)
+NAIVE = ChannelModel()
+
+
+def diagnosis(ts: np.ndarray, x: np.ndarray, p: ChannelParams, model: ChannelModel = NAIVE) -> dict[str, np.ndarray]:
+    """Filter, features, the forecast made at the row before (once that row had features), its residual, and the
+    classifier's probability."""
+    out = hampel(x, p)
+    out |= features(ts, out["val_f"], p)
+    ready = np.flatnonzero(~np.isnan(out["mean"]))
+    rows = np.stack([out[c][ready] for c in INPUTS], axis=1)
+    ahead, prob, pred = np.full(len(x), np.nan), np.full(len(x), np.nan), np.full(len(x), np.nan)
+    if len(ready):
+        ahead[ready] = rows[:, 0] if model.forecast is None else model.forecast(rows)
+        if model.classify is not None:
+            prob[ready] = model.classify(rows)
+    pred[1:] = ahead[:-1]
+    return out | {"pred": pred, "resid": np.abs(x - pred), "prob": prob}
+
+
+def _framed(rows: DataFrame, reach: int, p: ChannelParams, value: str, work, columns: dict[str, str]) -> DataFrame:
+    """rows with the columns that work(channel, ts, values) gives; ``reach`` rows before a row decide about it."""
+    haloed = with_halo(rows, reach, p.chunk)
+
+    def frames(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ts, x = np.empty(0, np.int64), np.empty(0)
+        for pdf in batches:
+            ts, x = np.append(ts, pdf["ts"].to_numpy(np.int64)), np.append(x, pdf[value].to_numpy(float))
+            mine = ~pdf["c_halo"].to_numpy(bool)
+            found = {c: a[len(x) - len(pdf) :][mine] for c, a in work(key[0], ts, x).items()}
+            out = pdf[mine].drop(columns=["c_chunk", "c_halo"])
+            yield out.assign(**{c: found[c] if t == "boolean" else pd.array(found[c], "Float64") for c, t in columns.items()})
+            ts, x = ts[len(ts) - reach :] if len(ts) > reach else ts, x[len(x) - reach :] if len(x) > reach else x
+
+    ordered = haloed.repartition("channel", "c_chunk").sortWithinPartitions("channel", "c_chunk", "ts")
+    return ordered.groupBy("channel", "c_chunk").applyInPandas(frames, with_columns(rows.schema, columns))
+
+
+HAMPEL_COLUMNS = {"median": "double", "sigma": "double", "substituted": "boolean", "val_f": "double"}
+FEATURE_COLUMNS = dict.fromkeys(FEATURES, "double")
 
 
 def hampel_filter(valid: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
     """Causal Hampel filter over the last valid raw values of each channel."""
-    out = hampel_columns(with_halo(valid, p.hampel_window - 1, p.chunk), p)
-    return out.where(~F.col("c_halo")).drop("c_chunk", "c_halo")
-
-
-def feature_columns(rows: DataFrame, p: ChannelParams, x: str = "val_f") -> DataFrame:
-    """Adds mean, std, lo, hi, rms and slope of x over a full window, else nulls."""
-    w = _frame(p.feature_window)
-    full = F.count("*").over(w) == p.feature_window
-    v, t = F.col(x), (F.col("ts") - F.lit(1_704_067_200_000_000)) / 1e6
-    column = lambda c: F.when(full, c)
-    return rows.select(
-        "*", column(F.avg(v).over(w)).alias("mean"), column(F.stddev_pop(v).over(w)).alias("std"), column(F.min(v).over(w)).alias("lo"), column(F.max(v).over(w)).alias("hi"),
-        column(F.sqrt(F.avg(v * v).over(w))).alias("rms"), column(F.coalesce(F.regr_slope(v, t).over(w), F.lit(0.0))).alias("slope"),
-    )
+    return _framed(valid, p.hampel_window - 1, p, "val", lambda c, ts, x: hampel(x, p), HAMPEL_COLUMNS)
 
 
 def window_features(filtered: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
-    out = feature_columns(with_halo(filtered, p.feature_window - 1, p.chunk), p)
-    return out.where(~F.col("c_halo")).drop("c_chunk", "c_halo")
+    return _framed(filtered, p.feature_window - 1, p, "val_f", lambda c, ts, x: features(ts, x, p), FEATURE_COLUMNS)
+
 
+def diagnosed(valid: DataFrame, p: ChannelParams = ChannelParams(), models: dict[str, ChannelModel] | None = None) -> DataFrame:
+    """Filter, features, forecast and probability of valid rows in one pass: one halo serves them all.
 
-def diagnosed(valid: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
-    """Filter, features and naive forecast of valid rows in one pass: one halo serves all three."""
+    ``models`` go to every worker, so they have to be few or small: more than MODEL_BYTES of them is an error."""
+    models = models or {}
+    if (size := len(cloudpickle.dumps(models))) > MODEL_BYTES:
+        raise ValueError(f"{size} bytes of models: hand in rows and models of fewer channels at a time")
+    columns = HAMPEL_COLUMNS | FEATURE_COLUMNS | {"pred": "double", "resid": "double", "prob": "double"}
     reach = p.hampel_window - 1 + p.feature_window
-    out = feature_columns(hampel_columns(with_halo(valid, reach, p.chunk), p), p)
-    before = Window.partitionBy("channel", "c_chunk").orderBy("ts")
-    # the forecast made at the row before, once that row had features; a copy's count may be short, but no row's is
-    pred = F.when(F.lag("mean").over(before).isNotNull(), F.lag("val_f").over(before))
-    out = out.withColumn("pred", pred).withColumn("resid", F.abs(F.col("val") - F.col("pred")))
-    return out.where(~F.col("c_halo")).drop("c_chunk", "c_halo")
+    return _framed(valid, reach, p, "val", lambda c, ts, x: diagnosis(ts, x, p, models.get(c, NAIVE)), columns)
 
 
 def residual_fixed_sigma(rows: DataFrame, sigma: float, k: float) -> DataFrame:
@@ -92,19 +156,22 @@ def residual_fixed_sigma(rows: DataFrame, sigma: float, k: float) -> DataFrame:
     return rows.withColumn("thr", F.lit(k * sigma)).withColumn("anomaly", F.coalesce(F.lit(sigma > 0) & (F.col("resid") > k * sigma), F.lit(False)))
 
 
-def increment_target(features: DataFrame) -> DataFrame:
-    """y: the next filtered value minus this one, for rows that have features and a next row."""
-    following = F.lead("val_f").over(Window.partitionBy("channel").orderBy("ts"))
-    return features.withColumn("y", following - F.col("val_f")).where(F.col("y").isNotNull() & F.col("mean").isNotNull())
+def increment_target(rows: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
+    """y: the next filtered value minus this one, and next_val, the next raw value, for rows that have features and a
+    next row."""
+    out = prefix.chunked(rows.withColumn("n_next", F.struct("val_f", "val")), F.col("ts"), p.chunk)
+    out = prefix.following(out, CHANNEL, "ts", "n_next", "n_next")
+    out = out.withColumn("y", F.col("n_next.val_f") - F.col("val_f")).withColumn("next_val", F.col("n_next.val"))
+    return out.where(F.col("y").isNotNull() & F.col("mean").isNotNull()).drop("c_chunk", "n_next")
 
 
-def chronological_split(rows: DataFrame, gap: int) -> DataFrame:
+def chronological_split(rows: DataFrame, gap: int, chunk: int = ChannelParams().chunk) -> DataFrame:
     """part: train (60 %), val (20 %) or test by time, null for the ``gap`` rows that keep two parts apart."""
     counts = rows.groupBy("channel").agg(F.count("*").alias("s_n"))
-    number = F.row_number().over(Window.partitionBy("channel").orderBy("ts")) - 1
     i, n_train, n_val = F.col("s_i"), F.floor(F.col("s_n") * 0.6), F.floor(F.col("s_n") * 0.2)
     part = F.when(i < n_train, "train").when((i >= n_train + gap) & (i < n_train + n_val), "val").when(i >= n_train + n_val + gap, "test")
-    return rows.withColumn("s_i", number).join(counts, "channel").withColumn("part", part).drop("s_i", "s_n")
+    numbered = prefix.number(prefix.chunked(rows, F.col("ts"), chunk), CHANNEL, "ts", "s_i")
+    return numbered.join(counts, "channel").withColumn("part", part).drop("s_i", "s_n", "c_chunk")
 
 
 def robust_sigma(rows: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -105,30 +105,43 @@ def contiguous_runs(numbers: DataFrame, *keys: str, number: str = "tile") -> Dat
 
 
 def late_points(rows: DataFrame, grid: Grid, late: int) -> DataFrame:
-    """channel, lvl, dropped: points whose bucket was closed when they came, with one flush after each packet."""
-    per_packet = rows.groupBy("channel", "pkt").agg(F.max("ts").alias("t_top"))
+    """channel, lvl, dropped: points whose bucket was closed when they came, with one flush after each packet.
+
+    Points are counted by packet and finest bucket first; only those counts are looked at for each level."""
+    counts = rows.groupBy("channel", "pkt", floor_to(F.col("ts"), grid.delta).alias("l_zero")).agg(F.count("*").alias("l_n"), F.max("ts").alias("l_top"))
+    per_packet = counts.groupBy("channel", "pkt").agg(F.max("l_top").alias("t_top"))
     before = Window.partitionBy("channel").orderBy("pkt").rowsBetween(Window.unboundedPreceding, -1)
     marks = per_packet.withColumn("t_seen", F.max("t_top").over(before)).select("channel", "pkt", "t_seen")
     levels = F.array(*(F.struct(F.lit(i).alias("lvl"), F.lit(grid.width(i)).alias("width")) for i in range(grid.levels)))
-    each = rows.join(marks, ["channel", "pkt"]).withColumn("l", F.explode(levels))
-    gone = floor_to(F.col("ts"), F.col("l.width")) < F.col("t_seen") - late - F.col("l.width")
-    return each.groupBy("channel", F.col("l.lvl").alias("lvl")).agg(F.count_if(gone).alias("dropped"))
+    each = counts.join(marks, ["channel", "pkt"]).withColumn("l", F.explode(levels))
+    gone = F.coalesce(floor_to(F.col("l_zero"), F.col("l.width")) < F.col("t_seen") - late - F.col("l.width"), F.lit(False))
+    return each.groupBy("channel", F.col("l.lvl").alias("lvl")).agg(F.sum(F.when(gone, F.col("l_n")).otherwise(0)).alias("dropped"))
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
+    """channel, t0, t1, n of the rows."""
+    return rows.groupBy("channel").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
 
 
-def minmax_preselect(rows: DataFrame, buckets: DataFrame | int) -> DataFrame:
-    """Of each channel: first smallest and first largest value of equal-time buckets, and the first and last row.
+def minmax_preselect(rows: DataFrame, buckets: int) -> DataFrame:
+    """Of each channel: first smallest and first largest value of equal-time buckets, and the first and last row, with
+    all columns of rows (channel, ts, val and others).
 
     With a number of buckets not above 0, or with at least half as many buckets as rows, all rows stay."""
-    nb = F.lit(buckets) if isinstance(buckets, int) else F.col("n_buckets")
-    source = rows if isinstance(buckets, int) else rows.join(buckets, "channel")
-    span = rows.groupBy("channel").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"))
-    joined = source.join(span, "channel")
-    place = F.floor(((F.col("ts") - F.col("t0")) * nb) / (F.greatest(F.col("t1") - F.col("t0"), F.lit(1)) + 1))
-    every = (nb <= 0) | (2 * nb >= F.col("n"))
-    whole = joined.where(every).select("channel", "ts", "val")
-    edges = joined.where(~every & ((F.col("ts") == F.col("t0")) | (F.col("ts") == F.col("t1")))).select("channel", "ts", "val")
+    return preselected(rows.join(spans_of(rows), "channel"), buckets, rows.columns)
+
+
+def preselected(joined: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
+    """minmax_preselect of rows with their channel's t0, t1 and n."""
+    place = F.floor(((F.col("ts") - F.col("t0")) * buckets) / (F.greatest(F.col("t1") - F.col("t0"), F.lit(1)) + 1))
+    every = F.lit(buckets <= 0) | (2 * buckets >= F.col("n"))
+    rest = F.struct(*(F.col(c) for c in columns if c != "channel"))
+    # a dense channel's rows fall into buckets, with both ends of the channel beside; rows of others stand alone
+    end = (F.col("ts") == F.col("t0")) | (F.col("ts") == F.col("t1"))
     v, t = F.col("val"), F.col("ts")
-    picked = joined.where(~every).groupBy("channel", place.alias("place")).agg(POINTS["p_min"](v, t).alias("a"), POINTS["p_max"](v, t).alias("b"))
-    both = F.explode(F.array(F.struct(F.col("a.t").alias("ts"), F.col("a.v").alias("val")), F.struct((-F.col("b.t")).alias("ts"), F.col("b.v").alias("val"))))
-    points = picked.select("channel", both.alias("p")).select("channel", "p.ts", "p.val")
-    return whole.unionByName(edges.unionByName(points).distinct())
+    cell = F.when(every, F.struct(t.alias("at"), F.lit(0).alias("kind"))).otherwise(F.struct(place.alias("at"), F.lit(1).alias("kind")))
+    picked = joined.groupBy("channel", cell.alias("cell")).agg(
+        F.min(F.struct(v, t, rest.alias("r"))).alias("a"), F.max(F.struct(v, (-t).alias("t"), rest.alias("r"))).alias("b"), F.collect_set(F.when(end & ~every, rest)).alias("ends")
+    )
+    points = F.array_distinct(F.concat(F.array(F.col("a.r"), F.col("b.r")), "ends"))
+    return picked.select("channel", F.explode(points).alias("p")).select("channel", "p.*").select(*columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import quality
 from ..params import TS_MAX, TS_MIN, ChannelParams
+from . import prefix
 
 
 def quality_with_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
@@ -34,30 +35,34 @@ def dedup_last(rows: DataFrame, *keys: str, order: tuple[str, ...] = ("arrival",
 
 
 def packet_ack(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """pkt, accepted, rejected, reordered, errors, new_channels. rows: pkt, channel, pos, ts.
+    """pkt, accepted, rejected, reordered, errors and new_channels (sorted lists). rows: pkt, channel, pos, ts.
 
-    A channel batch with a bad time is rejected as a whole; one whose times go down is counted as reordered as a
-    whole; of equal times the last counts."""
+    A channel batch with a bad time is rejected as a whole, with an error; one whose times go down is counted as
+    reordered as a whole; of equal times the last counts. A channel that isn't known is new in the first packet that
+    has it, which registers it."""
     batch = Window.partitionBy("pkt", "channel")
     down = F.col("ts") < F.lag("ts").over(batch.orderBy("pos"))
     marked = rows.withColumn("down", F.coalesce(down, F.lit(False)))
     per = marked.groupBy("pkt", "channel").agg(
         F.count("*").alias("n"), F.count_distinct("ts").alias("n_times"), F.max("down").alias("disordered"), ((F.min("ts") < TS_MIN) | (F.max("ts") > TS_MAX)).alias("bad"),
     )
-    per = per.join(known.select("channel").distinct().withColumn("is_known", F.lit(True)), "channel", "left")
+    first = rows.groupBy("channel").agg(F.min("pkt").alias("pkt")).join(known.select("channel"), "channel", "left_anti").withColumn("is_new", F.lit(True))
+    per = per.join(first, ["channel", "pkt"], "left")
     good = ~F.col("bad")
+    listed = lambda c: F.sort_array(F.collect_list(c))
     return per.groupBy("pkt").agg(
         F.sum(F.when(good, F.col("n_times")).otherwise(0)).alias("accepted"),
         F.sum(F.when(good, F.col("n") - F.col("n_times")).otherwise(F.col("n"))).alias("rejected"),
         F.sum(F.when(good & F.col("disordered"), F.col("n")).otherwise(0)).alias("reordered"),
-        F.count_if("bad").alias("errors"),
-        F.count_if(F.col("is_known").isNull()).alias("new_channels"),
+        listed(F.when(F.col("bad"), F.concat("channel", F.lit(": times out of range")))).alias("errors"),
+        listed(F.when(F.col("is_new"), F.col("channel"))).alias("new_channels"),
     )
 
 
 def last_values(rows: DataFrame) -> DataFrame:
-    """The last value of each channel by arrival, even if its time is older."""
-    last = F.max_by(F.struct("ts", "val", "quality"), "arrival").alias("p")
+    """The last value of each channel: the newest row of its last packet (of equal times the last to arrive), even if
+    an earlier packet had a newer time."""
+    last = F.max_by(F.struct("ts", "val", "quality"), F.struct("pkt", "ts", "arrival")).alias("p")
     return rows.groupBy("channel").agg(last).select("channel", "p.ts", "p.val", "p.quality")
 
 
@@ -92,11 +97,15 @@ def hot_window(rows: DataFrame, length: int) -> DataFrame:
     return dedup_last(recent, "channel", "ts")
 
 
-def out_of_order_count(rows: DataFrame) -> DataFrame:
-    """Of each channel, rows older than the newest that arrived before."""
-    before = Window.partitionBy("channel").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    late = F.col("ts") < F.max("ts").over(before)
-    return rows.withColumn("late", late).groupBy("channel").agg(F.count_if("late").alias("out_of_order"))
+def out_of_order_count(rows: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """Of each channel, rows older than the newest that arrived before. ``arrival`` is a whole number; chunks of so
+    many arrivals are looked at apart."""
+    return marked_late(rows, chunk).groupBy("channel").agg(F.count_if("late").alias("out_of_order"))
+
+
+def marked_late(rows: DataFrame, chunk: int) -> DataFrame:
+    seen = prefix.largest_before(prefix.chunked(rows, F.col("arrival"), chunk), ("channel",), "arrival", "ts", "l_top")
+    return seen.withColumn("late", F.col("ts") < F.col("l_top")).drop("l_top", "c_chunk")
 
 
 def conflate_live(points: DataFrame, window: int) -> DataFrame:
@@ -104,16 +113,24 @@ def conflate_live(points: DataFrame, window: int) -> DataFrame:
     return points.join(channel_watermark(points), "channel").where(F.col("ts") >= F.col("watermark") - window).drop("watermark")
 
 
-def profile_source(rows: DataFrame, per_packet: int) -> DataFrame:
+def profile_source(rows: DataFrame, per_packet: int, chunk: int = 1_000_000) -> DataFrame:
     """One row of statistics of a source."""
-    before = Window.partitionBy("channel").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("late", F.col("ts") < F.max("ts").over(before))
-    return marked.agg(
+    return marked_late(rows, chunk).agg(
         F.count("*").alias("n_rows"), F.count_distinct("channel").alias("channels"), F.min("ts").alias("t_first"), F.max("ts").alias("t_last"),
         F.ceil(F.count("*") / per_packet).alias("packets"), F.count_if("late").alias("out_of_order"),
     )
 
 
+def scan_registry(registry: DataFrame) -> DataFrame:
+    return registry.orderBy("channel")
+
+
+def scan_models(models: DataFrame, channels: tuple[str, ...] = ()) -> DataFrame:
+    """Model versions, the newest of a channel first."""
+    found = models.where(F.col("channel").isin(*channels)) if channels else models
+    return found.orderBy("channel", F.desc("model_id"))
+
+
 def active_models(models: DataFrame) -> DataFrame:
     """channel, forecaster, classifier: paths of the active versions."""
     return models.where("active").groupBy("channel").pivot("kind", ["forecaster", "classifier"]).agg(F.max_by("path", "model_id"))

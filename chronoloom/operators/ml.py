@@ -1,103 +1,207 @@
-"""Forecasters and classifiers of a channel with Spark ML."""
+"""Forecasters and classifiers of channels: gradient-boosted trees on window features.
+
+A model belongs to one channel, and a model of a hundred trees of depth six would ask Spark ML for six hundred jobs a
+channel, one after another. Models are therefore fitted side by side, a channel in a task, on at most ``sample`` rows of
+its training part, spread by hash; everything else (features, target, split, spread of residuals, errors) covers all
+rows and is Spark's.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import ChannelParams
-from .evaluate import forecast_mae
-from .filters import chronological_split, increment_target, robust_sigma
+from ..storage import with_columns, written
+from .filters import INPUTS, ChannelModel, chronological_split, increment_target, robust_sigma
 
-FEATURES = ("val_f", "mean", "std", "lo", "hi", "rms", "slope")
+SAMPLE = 100_000  # rows of a channel that its trees see at most
+BINS, LEAF = 64, 20  # quantiles that may be split at, and rows of a leaf at least
 
 
 def standardize_features(rows: DataFrame, fit_on: DataFrame) -> DataFrame:
     """Features less their mean, by their population deviation (0 counts as 1), as learned on fit_on."""
-    stats = fit_on.groupBy("channel").agg(*(F.avg(c).alias("m_" + c) for c in FEATURES), *(F.stddev_pop(c).alias("s_" + c) for c in FEATURES))
+    stats = fit_on.groupBy("channel").agg(*(F.avg(c).alias("m_" + c) for c in INPUTS), *(F.stddev_pop(c).alias("s_" + c) for c in INPUTS))
     joined = rows.join(stats, "channel")
-    scaled = [((F.col(c) - F.col("m_" + c)) / F.when(F.col("s_" + c) > 0, F.col("s_" + c)).otherwise(1.0)).alias("z_" + c) for c in FEATURES]
+    scaled = [((F.col(c) - F.col("m_" + c)) / F.when(F.col("s_" + c) > 0, F.col("s_" + c)).otherwise(1.0)).alias("z_" + c) for c in INPUTS]
     return joined.select(*rows.columns, *scaled)
 
 
 @dataclass
-class Forecaster:
-    """A boosted-tree model of the next change of the filtered value."""
+class Trees:
+    """Boosted trees of one depth: a tree is a row of splits by level order, and a value for each leaf."""
+
+    feature: np.ndarray  # trees x inner nodes
+    limit: np.ndarray  # a row goes right if it is larger
+    leaf: np.ndarray  # trees x leaves
+    start: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), self.start)
+        rows, inner = np.arange(len(x)), self.feature.shape[1]
+        for feature, limit, leaf in zip(self.feature, self.limit, self.leaf, strict=True):
+            node = np.zeros(len(x), np.int64)
+            while len(node) and node[0] < inner:  # all rows are on one level
+                node = 2 * node + 1 + (x[rows, feature[node]] > limit[node])
+            out += leaf[node - inner]
+        return out
+
+
+def boosted(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, logistic: bool = False) -> Trees:
+    """Least squares or logistic loss, second order; splits at BINS quantiles of each feature, a level at a time."""
+    limits = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(x) else np.zeros((x.shape[1], BINS - 1))
+    bins = np.stack([np.searchsorted(e, c, "left") for e, c in zip(limits, x.T, strict=True)], axis=1)
+    width, inner = x.shape[1], 2**depth - 1
+    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
+    start = float(np.log(share / (1 - share))) if logistic else float(y.mean()) if len(y) else 0.0
+    model = Trees(np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)), start)
+    score = np.full(len(y), start)
+    cell = np.arange(width) * BINS + bins
+    for k in range(trees):
+        p = 1 / (1 + np.exp(-score)) if logistic else score
+        slope, bend = y - p, np.maximum(p * (1 - p), 1e-9) if logistic else np.ones(len(y))
+        node = np.zeros(len(y), np.int64)
+        for level in range(depth):
+            n, base = 2**level, 2**level - 1
+            flat = ((node - base)[:, None] * width * BINS + cell).ravel()
+            g, h, c = (np.bincount(flat, np.repeat(w, width), n * width * BINS).reshape(n, width, BINS) for w in (slope, bend, np.ones(len(y))))
+            left_g, left_h = g.cumsum(axis=2)[:, :, :-1], h.cumsum(axis=2)[:, :, :-1]
+            all_g, all_h = g.sum(axis=2, keepdims=True), h.sum(axis=2, keepdims=True)
+            gain = left_g**2 / (left_h + 1e-3) + (all_g - left_g) ** 2 / (all_h - left_h + 1e-3) - all_g**2 / (all_h + 1e-3)
+            left = c.cumsum(axis=2)[:, :, :-1]
+            gain[(left < LEAF) | (c.sum(axis=2, keepdims=True) - left < LEAF)] = 0
+            best = gain.reshape(n, -1).argmax(axis=1)
+            f, b = best // (BINS - 1), best % (BINS - 1)
+            fine = gain.reshape(n, -1)[np.arange(n), best] > 1e-12
+            at = base + np.arange(n)
+            model.feature[k, at], model.limit[k, at] = f, np.where(fine, limits[f, b], np.inf)
+            node = 2 * node + 1 + (x[np.arange(len(y)), model.feature[k, node]] > model.limit[k, node])
+        g, h = (np.bincount(node - inner, w, inner + 1) for w in (slope, bend))
+        model.leaf[k] = rate * g / (h + 1e-3)
+        score += model.leaf[k, node - inner]
+    return model
+
+
+@dataclass
+class Forecast:
+    """The filtered value and the change that a model of standardised inputs expects."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+    change: Trees
+    scale: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x[:, 0] + self.scale * self.change((x - self.mean) / self.spread)
+
+
+@dataclass
+class Probability:
+    mean: np.ndarray
+    spread: np.ndarray
+    odds: Trees
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.odds((x - self.mean) / self.spread)))
+
+
+def _standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    spread = x.std(axis=0)
+    return x.mean(axis=0), np.where(spread > 0, spread, 1.0)
+
+
+def _fitted(rows: DataFrame, target: str, fit, sample: int) -> dict[str, object]:
+    """fit(inputs, target) of each channel that has rows, on at most ``sample`` of them."""
+    counts = rows.groupBy("channel").agg(F.count("*").alias("f_n"))
+    slots = 1 << 30
+    share = F.pmod(F.xxhash64("channel", "ts"), F.lit(slots)) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("f_n")) * slots
+    picked = rows.select("channel", "ts", *INPUTS, F.col(target).cast("double").alias("f_y")).join(counts, "channel").where(share)
+
+    def fits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        return pd.DataFrame({"channel": pdf.channel.iloc[:1], "model": [pickle.dumps(fit(pdf[list(INPUTS)].to_numpy(float), pdf.f_y.to_numpy(float)))]})
+
+    found = picked.drop("f_n").groupBy("channel").applyInPandas(fits, "channel string, model binary").collect()  # a model a channel
+    return {r.channel: pickle.loads(r.model) for r in found}
 
-    model: GBTRegressionModel
-    train: DataFrame  # rows that the standardisation is learned on
-    sigma: float
-    metrics: DataFrame
 
+def train_forecasters(diagnosed: DataFrame, p: ChannelParams = ChannelParams(), trees: int = 100, depth: int = 6, rate: float = 0.1, sample: int = SAMPLE) -> tuple[dict[str, ChannelModel], DataFrame]:
+    """A forecaster of each channel with rows to train on, and its metrics.
 
-def _vector(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["z_" + c for c in FEATURES], outputCol="features", handleInvalid="skip").transform(rows)
+    Fitted on the first 60 % of a channel's rows, spread of residuals (raw next values less forecasts) on the next
+    20 %, errors (filtered next values) on the rest. Metrics: channel, n_train, n_val, n_test, sigma, mae, mae_naive,
+    gain."""
+    gap = max(p.hampel_window, p.feature_window)
+    rows = written(chronological_split(increment_target(diagnosed, p), gap, p.chunk))
 
+    def fit(x: np.ndarray, y: np.ndarray) -> Forecast:
+        mean, spread = _standard(x)
+        scale = float(y.std()) or 1.0
+        return Forecast(mean, spread, boosted((x - mean) / spread, y / scale, trees, depth, rate), scale)
 
-def predict_forecaster(rows: DataFrame, model: GBTRegressionModel, train: DataFrame) -> DataFrame:
-    """pred_next: the filtered value plus the change that the model expects."""
-    out = model.transform(_vector(standardize_features(rows.where(F.col("mean").isNotNull()), train)))
-    return out.select(*rows.columns, (F.col("val_f") + F.col("prediction")).alias("pred_next"))
+    models = {c: ChannelModel(forecast=f, version="boosted") for c, f in _fitted(rows.where(F.col("part") == "train"), "y", fit, sample).items()}
+    return with_sigma(rows, models)
 
 
-def train_forecaster(features: DataFrame, p: ChannelParams = ChannelParams(), trees: int = 100, depth: int = 6, step: float = 0.1) -> Forecaster:
-    """Fit on the first 60 % of a channel, spread of residuals on the next 20 %, errors on the rest."""
-    rows = chronological_split(increment_target(features), max(p.hampel_window, p.feature_window)).cache()
-    train = rows.where(F.col("part") == "train")
-    fit = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, seed=7)
-    model = fit.fit(_vector(standardize_features(train, train)))
-    predicted = predict_forecaster(rows, model, train).withColumn("actual", F.col("val_f") + F.col("y"))
-    residual = predicted.where(F.col("part") == "val").withColumn("r", F.col("actual") - F.col("pred_next"))
-    sigma = robust_sigma(residual, "r", "channel").agg(F.max("sigma")).first()[0]
-    test = predicted.where(F.col("part") == "test").select("channel", "actual", F.col("pred_next").alias("pred"), F.col("val_f").alias("naive"))
-    return Forecaster(model, train, float(sigma or 0.0), forecast_mae(test))
+def with_sigma(rows: DataFrame, models: dict[str, ChannelModel]) -> tuple[dict[str, ChannelModel], DataFrame]:
+    """Models with the spread of their residuals, and their metrics, from split rows with y and next_val."""
+    predicted = written(predict_forecasters(rows.where(F.col("channel").isin(*models)), models))
+    residual = predicted.where(F.col("part") == "val").withColumn("r", F.col("next_val") - F.col("pred_next"))
+    error = lambda c: F.avg(F.when(F.col("part") == "test", F.abs(F.col("val_f") + F.col("y") - F.col(c))))
+    counts = predicted.groupBy("channel").agg(*(F.count_if(F.col("part") == c).alias("n_" + c) for c in ("train", "val", "test")), error("pred_next").alias("mae"), error("val_f").alias("mae_naive"))
+    metrics = counts.join(robust_sigma(residual, "r", "channel"), "channel", "left").withColumn("gain", 1 - F.try_divide(F.col("mae"), F.col("mae_naive")))
+    metrics = written(metrics.select("channel", "n_train", "n_val", "n_test", "sigma", "mae", "mae_naive", "gain"))
+    sigma = {r.channel: r.sigma for r in metrics.select("channel", "sigma").collect()}  # a number a channel
+    return {c: replace(m, sigma=sigma.get(c)) for c, m in models.items()}, metrics
 
 
-def channels_of(rows: DataFrame) -> list[str]:
-    return sorted(r["channel"] for r in rows.where(F.col("channel").isNotNull()).select("channel").distinct().collect())
+def _applied(rows: DataFrame, out: str, models: dict[str, ChannelModel], f) -> DataFrame:
+    """rows with f(model, inputs) as ``out``; null without a model or without features."""
 
+    def applied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = np.full(len(pdf), np.nan)
+            ready = pdf["mean"].notna().to_numpy()
+            for channel in pdf.channel[ready].unique():
+                if channel in models:
+                    at = np.flatnonzero(ready & (pdf.channel == channel).to_numpy())
+                    found[at] = f(models[channel], pdf.iloc[at][list(INPUTS)].to_numpy(float))
+            yield pdf.assign(**{out: pd.array(found, "Float64")})
 
-def trainable(features: DataFrame, p: ChannelParams) -> list[str]:
-    """Channels with a row to train on."""
-    return channels_of(chronological_split(increment_target(features), max(p.hampel_window, p.feature_window)).where(F.col("part") == "train"))
+    return rows.mapInPandas(applied, with_columns(rows.schema, {out: "double"}))
 
 
-def train_forecasters(features: DataFrame, p: ChannelParams = ChannelParams(), **fit) -> dict[str, Forecaster]:
-    """A forecaster, with a sigma of its own, of each channel that has rows to train on."""
-    return {c: train_forecaster(features.where(F.col("channel") == c), p, **fit) for c in trainable(features, p)}
+def predict_forecasters(rows: DataFrame, models: dict[str, ChannelModel]) -> DataFrame:
+    """pred_next of rows that have features and a model."""
+    found = rows.where(F.col("mean").isNotNull() & F.col("channel").isin(*models)) if models else rows.limit(0)
+    return _applied(found, "pred_next", models, lambda m, x: m.forecast(x))
 
 
-def predict_forecasters(rows: DataFrame, fits: dict[str, Forecaster]) -> DataFrame:
-    """predict_forecaster of each channel that has a forecaster."""
-    made = [predict_forecaster(rows.where(F.col("channel") == c), fit.model, fit.train) for c, fit in fits.items()]
-    return reduce(DataFrame.unionByName, made) if made else rows.limit(0).withColumn("pred_next", F.lit(None).cast("double"))
+def train_classifiers(rows: DataFrame, label: str, gamma: float, trees: int = 20, depth: int = 4, rate: float = 0.1, sample: int = SAMPLE) -> dict[str, ChannelModel]:
+    """A classifier of each channel, learned from rows with features and a label of 0 or 1."""
 
+    def fit(x: np.ndarray, y: np.ndarray) -> Probability:
+        mean, spread = _standard(x)
+        return Probability(mean, spread, boosted((x - mean) / spread, y, trees, depth, rate, logistic=True))
 
-def train_classifier(rows: DataFrame, label: str, trees: int = 20, depth: int = 4) -> GBTClassificationModel:
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=7).fit(_vector(standardize_features(rows, rows)))
+    fine = rows.where(F.col("mean").isNotNull() & F.col(label).isin(0, 1))
+    return {c: ChannelModel(classify=f, gamma=gamma, version="boosted") for c, f in _fitted(fine, label, fit, sample).items()}
 
 
-def predict_classifier(rows: DataFrame, model: GBTClassificationModel, train: DataFrame, gamma: float) -> DataFrame:
-    """prob and anomaly (prob > gamma, or the residual's flag), and the score: the larger of both ratios."""
-    out = model.transform(_vector(standardize_features(rows, train))).withColumn("prob", vector_to_array("probability")[1])
+def predict_classifiers(rows: DataFrame, models: dict[str, ChannelModel]) -> DataFrame:
+    """prob, anomaly (prob > gamma, or residual_flag), and the score: the larger of both ratios. rows: features, resid,
+    thr, residual_flag."""
+    out = _applied(rows, "prob", models, lambda m, x: m.classify(x))
+    gammas = {c: m.gamma for c, m in models.items()}
+    gamma = F.element_at(F.create_map(*(F.lit(x) for kv in gammas.items() for x in kv)), F.col("channel")) if gammas else F.lit(None).cast("double")
+    likely = F.coalesce(F.col("prob") > gamma, F.lit(False))
     flag = F.coalesce(F.col("residual_flag"), F.lit(False))
     ratio = F.when(flag, F.coalesce(F.try_divide(F.col("resid"), F.col("thr")), F.lit(1.0)))
-    share = F.when(F.col("prob") > gamma, F.lit(1.0) if gamma == 0 else F.col("prob") / gamma)
-    return out.select(*rows.columns, "prob", (flag | (F.col("prob") > gamma)).alias("anomaly"), F.greatest(ratio, share).alias("score"))
-
-
-def classified(rows: DataFrame, label: str, gamma: float, **fit) -> DataFrame:
-    """predict_classifier of each channel by a model of its own; rows without features have no probability."""
-    made = []
-    for c in channels_of(rows):
-        own = rows.where(F.col("channel") == c)
-        made.append(predict_classifier(own, train_classifier(own, label, **fit), own, gamma))
-    none = lambda kind: F.lit(None).cast(kind)
-    return reduce(DataFrame.unionByName, made) if made else rows.limit(0).select("*", none("double").alias("prob"), none("boolean").alias("anomaly"), none("double").alias("score"))
+    share = F.when(likely, F.coalesce(F.try_divide(F.col("prob"), gamma), F.lit(1.0)))
+    return out.withColumns({"anomaly": flag | likely, "score": F.greatest(ratio, share)})

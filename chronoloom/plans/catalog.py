@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from ..operators import ingest as I
 from ..operators import journal as J
 from ..operators import ml as ML
 from ..operators import series as R
-from ..params import DAY, HOUR, MINUTE, ChannelParams, ChartParams, Grid
+from ..params import DAY, HOUR, MINUTE, TS_MIN, ChannelParams, ChartParams, Grid
 from ..sources import archive as AR
 from ..sources import files as FI
 from ..storage import put, scratch, written
@@ -55,7 +56,7 @@ def _tel(s: SparkSession, d: str) -> DataFrame:
 
 
 def _valid(s: SparkSession, d: str) -> DataFrame:
-    return _tel(s, d).where(S.is_valid(F.col("quality"), F.col("val")))
+    return _tel(s, d).where(S.is_valid(F.col("quality"), F.col("val"))).select("channel", "ts", "val")
 
 
 def _diagnosis(s: SparkSession, d: str) -> DataFrame:
@@ -70,6 +71,12 @@ def _episodes(s: SparkSession, d: str) -> DataFrame:
     return D.build_episodes(_flags(s, d), PARAMS.episode_gap)
 
 
+def _point_flags(s: SparkSession, d: str) -> DataFrame:
+    """Stored flags of the online run: those of the written diagnosis that are worth storing."""
+    found = written(_diagnosis(s, d)).select("channel", F.lit("online").alias("run"), "ts", "val", "val_f", "substituted", "anomaly")
+    return AR.sparse_flags(found)
+
+
 def _levels(s: SparkSession, d: str) -> DataFrame:
     return G.multi_level_aggregate(_tel(s, d), GRID)
 
@@ -164,9 +171,9 @@ def _(s, d):
     return AR.scan_agg(stored, "view", 2, T0, T1)
 
 
-@query("scan_flags", f"SELECT * FROM pf WHERE channel IN ('click', 'view') AND run = 'online' AND ts >= {T0} AND ts < {T1}", Q.TEL, Q.FLAGS)
+@query("scan_flags", f"SELECT * FROM pf WHERE channel IN ('click', 'view') AND run = 'online' AND ts >= {T0} AND ts < {T1}", Q.DIAGNOSIS, Q.FLAGS, recursive=True)
 def _(s, d):
-    return AR.scan_flags(M.point_flags(s, d), ("click", "view"), T0, T1)
+    return AR.scan_flags(_point_flags(s, d), ("click", "view"), T0, T1)
 
 
 @query("read_labels", "SELECT channel, ts_start, ts_end, type FROM lab", Q.TEL, Q.LABELS)
@@ -176,18 +183,26 @@ def _(s, d):
     return FI.read_labels(s, path)
 
 
-@query("scan_rules", "SELECT r.rule_id, r.channel, r.kind, count(t.ts) AS readings FROM rules r LEFT JOIN tel t USING (channel) WHERE r.enabled GROUP BY ALL", Q.TEL, Q.RULES)
+@query("scan_rules", "SELECT r.rule_id, r.channel, r.kind, r.lim AS \"limit\", r.deadband, r.on_delay, r.off_delay, r.min_repeat, count(t.ts) AS readings, sum(t.val > r.lim)::BIGINT AS above FROM rules r LEFT JOIN tel t USING (channel) WHERE r.enabled GROUP BY ALL", Q.TEL, Q.RULES)
+def _(s, d):
+    rules = M.alarm_rules(s).where("enabled")
+    own = ["rule_id", "channel", "kind", "limit", "deadband", "on_delay", "off_delay", "min_repeat"]
+    counts = rules.join(_tel(s, d), "channel", "left").groupBy(*own).agg(F.count("ts").alias("readings"), F.sum((F.col("val") > F.col("limit")).cast("long")).alias("above"))
+    return counts.orderBy("rule_id")
+
+
+@query("scan_registry", "SELECT r.channel, r.x_min, r.x_max, r.analytics_enabled, count(t.ts) AS readings, count(*) FILTER (t.val > r.x_max) AS above FROM reg r LEFT JOIN tel t USING (channel) GROUP BY ALL", Q.TEL, Q.REGISTRY)
 def _(s, d):
-    rules = M.alarm_rules(s).where("enabled").select("rule_id", "channel", "kind")
-    counts = _tel(s, d).groupBy("channel").agg(F.count("*").alias("readings"))
-    return rules.join(counts, "channel", "left").select("rule_id", "channel", "kind", F.coalesce("readings", F.lit(0)).alias("readings")).orderBy("rule_id")
+    rows = M.registry(s).join(_tel(s, d), "channel", "left").groupBy("channel", "x_min", "x_max", "analytics_enabled")
+    return I.scan_registry(rows.agg(F.count("ts").alias("readings"), F.count_if(F.col("val") > F.col("x_max")).alias("above")))
 
 
-@query("export_slice", f"SELECT strftime(make_timestamp(ts), '%Y%m%d%H')::INT AS hour, count(*) AS n FROM tel WHERE channel IN ('click', 'error') AND ts >= {T0} AND ts < {T1} GROUP BY 1", Q.TEL)
+@query("export_slice", f"SELECT strftime(make_timestamp(ts), '%Y%m%d%H')::INT AS hour, channel, ts, round(val, 6) AS val, nd, otkl FROM tel WHERE channel IN ('click', 'error') AND ts >= {T0} AND ts < {T1}", Q.TEL)
 def _(s, d):
     path = scratch(s)
     FI.export_slice(M.telemetry_source(s, d).select("channel", "ts", "val", "nd", "otkl"), path, T0, T1, ("click", "error"))
-    return s.read.option("header", True).csv(path).groupBy(F.col("hour").cast("int").alias("hour")).agg(F.count("*").alias("n"))
+    found = s.read.schema("channel string, ts long, val double, nd boolean, otkl int, hour int").option("header", True).csv(path)
+    return _rounded(found, "val")
 
 
 # ---- sinks
@@ -201,12 +216,12 @@ def _(s, d):
     return AR.latest(s.read.parquet(path), ("channel", "ts"), "batch_id").select("channel", "ts", "val", "quality")
 
 
-@query("upsert_flags", "SELECT channel, run, ts, val_f, CASE WHEN ts % 2 = 0 THEN NOT anomaly ELSE anomaly END AS anomaly FROM pf WHERE substituted OR anomaly", Q.TEL, Q.FLAGS)
+@query("upsert_flags", "SELECT channel, run, ts, round(val_f, 6) AS val_f, CASE WHEN ts % 2 = 0 THEN NOT anomaly ELSE anomaly END AS anomaly FROM pf WHERE substituted OR anomaly", Q.DIAGNOSIS, Q.FLAGS, recursive=True)
 def _(s, d):
-    path, rows = scratch(s), AR.sparse_flags(M.point_flags(s, d))
+    path, rows = scratch(s), _point_flags(s, d)
     AR.upsert(rows, path, 1)
     AR.upsert(rows.where(F.col("ts") % 2 == 0).withColumn("anomaly", ~F.col("anomaly")), path, 2)
-    return AR.latest(s.read.parquet(path), ("channel", "ts", "run"), "batch_id").select("channel", "run", "ts", "val_f", "anomaly")
+    return AR.latest(s.read.parquet(path), ("channel", "ts", "run"), "batch_id").select("channel", "run", "ts", F.round("val_f", 6).alias("val_f"), "anomaly")
 
 
 @query("upsert_agg", "SELECT channel, lvl, bucket, CASE WHEN lvl = 1 THEN 0 ELSE cnt END AS cnt FROM agg", Q.TEL, Q.LEVELS)
@@ -232,24 +247,36 @@ def _(s, d):
     return s.read.schema("channel string, ts long, val double, quality string, nd boolean, otkl int").option("header", True).csv(path)
 
 
-@query("export_raw_json", "SELECT channel, ts, quality FROM tel", Q.TEL)
+@query("export_raw_json", "SELECT channel, ts, val, quality, nd, otkl FROM tel", Q.TEL)
 def _(s, d):
     path = scratch(s)
     AR.export_raw(_tel(s, d)).write.json(path)
-    return s.read.schema("channel string, ts long, quality string").json(path)
+    return s.read.schema("channel string, ts long, val double, quality string, nd boolean, otkl int").json(path)
 
 
-@query("notify_stream", "SELECT channel AS key, ts, anomaly FROM pf", Q.TEL, Q.FLAGS)
-def _(s, d):
-    sent = SR.collected(AR.notifications(SR.stream_source(s, SR.arrived_in_parts(M.point_flags(s, d), "ts"), M.point_flags(s, d).schema)))
-    return sent.select("key", F.get_json_object("value", "$.ts").cast("long").alias("ts"), F.get_json_object("value", "$.anomaly").cast("boolean").alias("anomaly"))
-
-
-@query("analysis_report", """SELECT channel, count(*) AS n, count(*) FILTER (substituted) AS substituted, count(*) FILTER (anomaly) AS anomalies,
-(SELECT count(*) FROM ep WHERE ep.channel = dg.channel AND kind = 'anomaly') AS anomaly_episodes, (SELECT count(*) FROM ep WHERE ep.channel = dg.channel AND kind = 'outlier') AS outlier_episodes FROM dg GROUP BY channel""", Q.FULL, recursive=True)
+@query("notify_stream", """SELECT channel AS key, 'flags' AS topic, ts AS at, anomaly::INT AS what FROM pf WHERE channel <> 'error' UNION ALL SELECT channel, 'events', ts_start, n_points FROM ep WHERE channel <> 'error'
+UNION ALL SELECT channel, 'alarms', ts, rule_id FROM lg WHERE channel <> 'error'""", Q.ALARMS, Q.FLAGS, recursive=True)
 def _(s, d):
     rows = written(_diagnosis(s, d))
-    return D.analysis_report(rows, D.build_episodes(D.scored_flags(rows), PARAMS.episode_gap))
+    flags = AR.sparse_flags(rows.select("channel", F.lit("online").alias("run"), "ts", "val", "val_f", "substituted", "anomaly"))
+    episodes = D.build_episodes(D.scored_flags(rows), PARAMS.episode_gap)
+    readers = ("click", "purchase", "signup", "view")
+    sent = []
+    for topic, df, at, what in (("flags", flags, "ts", "anomaly"), ("events", episodes, "ts_start", "n_points"), ("alarms", _log(s, d), "ts", "rule_id")):
+        df = written(df)
+        out = SR.collected(AR.notifications(_arrived(s, d, df, at), topic, readers))
+        field = lambda c, kind: F.get_json_object("value", "$." + c).cast(kind)
+        sent.append(out.select("key", "topic", field(at, "long").alias("at"), (field(what, "boolean").cast("int") if what == "anomaly" else field(what, "long")).cast("long").alias("what")))
+    return _union(sent)
+
+
+@query("analysis_report", """SELECT *, (SELECT count(*) FROM ep WHERE ep.channel = q.channel AND kind = 'anomaly') AS anomaly_episodes, (SELECT count(*) FROM ep WHERE ep.channel = q.channel AND kind = 'outlier') AS outlier_episodes
+FROM (SELECT channel, count(*) AS n, count(*) FILTER (substituted) AS substituted, count(*) FILTER (anomaly) AS anomalies FROM dg GROUP BY channel) q LEFT JOIN (SELECT channel, labels, precision, recall, f1, mean_delay_s FROM mt) USING (channel)
+UNION ALL SELECT NULL, count(*), count(*) FILTER (substituted), count(*) FILTER (anomaly), any_value(labels), any_value(precision), any_value(recall), any_value(f1), any_value(mean_delay_s), (SELECT count(*) FROM ep WHERE kind = 'anomaly'), (SELECT count(*) FROM ep WHERE kind = 'outlier') FROM dg, mo""",
+       Q.FULL, Q.LABELS, Q.HITS, Q.METRICS, recursive=True)
+def _(s, d):
+    found = E.reanalyze(_valid(s, d), PARAMS, "rerun-1", M.anomaly_labels(s, d), 30 * MINUTE)
+    return _rounded(found["report"], "precision", "recall", "f1", "mean_delay_s")
 
 
 @query("apply_retention", f"SELECT channel, ts FROM tel WHERE ts >= (SELECT max(ts) FROM tel) - {7 * DAY}", Q.TEL)
@@ -302,14 +329,19 @@ def _(s, d):
 
 
 @query("profile_source", """SELECT count(*) AS n_rows, count(DISTINCT channel) AS channels, min(ts) AS t_first, max(ts) AS t_last, ceil(count(*) / 50.0)::BIGINT AS packets, count(*) FILTER (late) AS out_of_order
-FROM (SELECT *, ts < max(ts) OVER (PARTITION BY channel ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM tel)""", Q.TEL)
+FROM (SELECT *, ts < max(ts) OVER (PARTITION BY channel ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM tel)""", Q.TEL)
 def _(s, d):
-    return I.profile_source(_tel(s, d), 50)
+    return I.profile_source(_in_turn(s, d), 50, 5_000)
+
 
+def _in_turn(s, d):
+    """Rows with a number of their own as arrival: two can arrive at once in this data, the one sent first is first."""
+    return _tel(s, d).withColumn("arrival", 2 * F.col("arrival") + (F.col("event_id") == F.col("arrival")).cast("int"))
 
-@query("last_period", f"SELECT channel, ts FROM tel WHERE ts >= (SELECT max(ts) + 1 FROM tel) - {2 * DAY}", Q.TEL)
+
+@query("last_period", f"SELECT channel, ts FROM tel WHERE ts >= (SELECT max(ts) + 1 FROM tel) - {36 * HOUR}", Q.TEL)
 def _(s, d):
-    return AR.last_period(_tel(s, d).select("channel", "ts"), "2d")
+    return AR.last_period(_tel(s, d).select("channel", "ts"), "1.5d")
 
 
 @query("clean_value", "SELECT event_id, CASE WHEN event_id % 5 IN (1, 2) THEN NULL ELSE value END AS val FROM events")
@@ -324,7 +356,13 @@ def _(s, d):
     return D.flagged_points(_diagnosis(s, d)).select("channel", "ts", "substituted", "anomaly")
 
 
-@query("shard_of")
+CRC = """ch AS (SELECT DISTINCT channel FROM tel),
+cr AS (SELECT channel, 0 AS i, 4294967295::UBIGINT AS c FROM ch
+  UNION ALL SELECT channel, i + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END
+  FROM (SELECT channel, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(channel, i // 8 + 1, 1))::UBIGINT) ELSE c END AS x FROM cr WHERE i < 8 * length(channel)))"""
+
+
+@query("shard_of", "SELECT channel, (xor(c, 4294967295::UBIGINT) % 4)::INT AS shard FROM cr WHERE i = 8 * length(channel)", Q.TEL, CRC, recursive=True)
 def _(s, d):
     return _tel(s, d).select("channel", S.shard_of(F.col("channel"), 4).alias("shard")).distinct()
 
@@ -372,19 +410,31 @@ def _(s, d):
     return G.overlapping_buckets(_levels(s, d).where("lvl = 2"), GRID.width(2), T0 + HOUR, T1 - HOUR).select("channel", "bucket", "cnt")
 
 
-ROUTE = f"""wm AS (SELECT channel, max(ts) AS watermark FROM tel GROUP BY 1),
-ro AS (SELECT w.channel, coalesce(a.n, 0) AS n_agg, coalesce(r.n, 0) AS n_raw, {T0} >= watermark - {HOT} OR coalesce(a.n, 0) <= 80 AS is_raw FROM wm w
-  LEFT JOIN (SELECT channel, sum(cnt)::BIGINT AS n FROM agg WHERE lvl = 1 AND bucket + {4 * HOUR} > {T0} AND bucket < {T1} GROUP BY 1) a USING (channel)
-  LEFT JOIN (SELECT channel, count(*) AS n FROM tel WHERE ts >= {T0} AND ts < {T1} GROUP BY 1) r USING (channel))"""
 assert 4 * 80 * HOUR <= T1 - T0 < 16 * 80 * HOUR or 80 * HOUR <= T1 - T0 < 4 * 80 * HOUR
 LEVEL = 1 if T1 - T0 >= 4 * 80 * HOUR else 0
-ROUTE = ROUTE.replace("lvl = 1", f"lvl = {LEVEL}").replace(f"bucket + {4 * HOUR} ", f"bucket + {4**LEVEL * HOUR} ")
 
 
-@query("route_resolution", f"SELECT channel, CASE WHEN is_raw THEN 'raw' ELSE 'agg' END AS source, CASE WHEN NOT is_raw THEN {LEVEL} END::INT AS level, CASE WHEN is_raw THEN n_raw ELSE n_agg END AS n, 80::BIGINT AS m FROM ro", Q.TEL, Q.LEVELS, ROUTE)
+def _route_sql(name: str, lo: int, hi: int) -> str:
+    """Of ranges that aren't short for the grid, with the level of T0 to T1."""
+    return f"""{name} AS (SELECT channel, n_agg, n_raw, raw AS is_raw, hot AS is_hot, CASE WHEN raw AND n_raw = 0 THEN 'empty' WHEN hot THEN 'hot' WHEN raw THEN 'raw' ELSE 'agg' END AS source,
+    CASE WHEN raw THEN n_raw ELSE n_agg END AS n FROM (SELECT w.channel, coalesce(a.n, 0) AS n_agg, coalesce(r.n, 0) AS n_raw, {lo} >= watermark - {HOT} AS hot, {lo} >= watermark - {HOT} OR coalesce(a.n, 0) <= 80 AS raw FROM wm w
+  LEFT JOIN (SELECT channel, sum(cnt)::BIGINT AS n FROM agg WHERE lvl = {LEVEL} AND bucket + {4**LEVEL * HOUR} > {lo} AND bucket < {hi} GROUP BY 1) a USING (channel)
+  LEFT JOIN (SELECT channel, count(*) AS n FROM tel WHERE ts >= {lo} AND ts < {hi} GROUP BY 1) r USING (channel)))"""
+
+
+WM = "wm AS (SELECT channel, max(ts) AS watermark FROM tel GROUP BY 1)"
+ROUTE = f"{WM}, {_route_sql('ro', T0, T1)}"
+#: A range in the middle of the data, one that begins in the hot window, and one before all data.
+RANGES = ((T0, T1), (T0 + 21 * DAY, T1 + 21 * DAY), (T0 - 60 * DAY, T1 - 60 * DAY))
+ROUTES = WM + ", " + ", ".join(_route_sql(f"ro{i}", *r) for i, r in enumerate(RANGES))
+
+
+@query("route_resolution", " UNION ALL ".join(f"SELECT {lo} AS t_from, channel, source, CASE WHEN NOT is_raw THEN {LEVEL} END::INT AS level, n, 80::BIGINT AS m FROM ro{i}" for i, (lo, _) in enumerate(RANGES)), Q.TEL, Q.LEVELS, ROUTES)
 def _(s, d):
     rows = _tel(s, d)
-    return R.route_resolution(rows, _levels(s, d), I.channel_watermark(rows), T0, T1, CHART, GRID, HOT)
+    levels = written(_levels(s, d))
+    found = [R.route_resolution(rows, levels, I.channel_watermark(rows), lo, hi, CHART, GRID, HOT).withColumn("t_from", F.lit(lo)) for lo, hi in RANGES]
+    return _union(found).select("t_from", "channel", "source", "level", "n", "m")
 
 
 ONLINE = "evs AS (SELECT *, CASE WHEN n_points % 2 = 0 THEN 'online' ELSE 'offline' END AS run FROM ep)"
@@ -412,9 +462,9 @@ def _(s, d):
 # ---- joins
 
 
-@query("raw_with_substitution", "SELECT t.channel, t.ts, t.val, CASE WHEN p.ts IS NOT NULL THEN 'substituted' ELSE t.quality END AS quality, p.val_f FROM tel t LEFT JOIN (SELECT * FROM pf WHERE run = 'online' AND substituted) p USING (channel, ts)", Q.TEL, Q.FLAGS)
+@query("raw_with_substitution", "SELECT t.channel, t.ts, t.val, CASE WHEN p.ts IS NOT NULL THEN 'substituted' ELSE t.quality END AS quality, round(p.val_f, 6) AS val_f FROM tel t LEFT JOIN (SELECT * FROM pf WHERE run = 'online' AND substituted) p USING (channel, ts)", Q.DIAGNOSIS, Q.FLAGS, recursive=True)
 def _(s, d):
-    return R.raw_with_substitution(_tel(s, d).select("channel", "ts", "val", "quality"), M.point_flags(s, d))
+    return _rounded(R.raw_with_substitution(_tel(s, d).select("channel", "ts", "val", "quality"), _point_flags(s, d)), "val_f")
 
 
 @query("quality_with_registry", """SELECT event_id, CASE WHEN val IS NULL OR nd THEN 'bad' WHEN otkl <> 0 OR coalesce(val < x_min, false) OR coalesce(val > x_max, false) THEN 'uncertain' ELSE 'good' END AS quality
@@ -443,10 +493,10 @@ def _(s, d):
     return I.register_new_channels(M.registry(s), _tel(s, d)).select("channel", "analytics_enabled")
 
 
-@query("enabled_channels", "SELECT channel, count(*) AS n FROM tel WHERE channel <> 'view' GROUP BY 1", Q.TEL)
+@query("enabled_channels", "SELECT channel, ts, val FROM tel WHERE channel <> 'view'", Q.TEL)
 def _(s, d):
     off = M.registry(s).withColumn("analytics_enabled", F.col("channel") != "view")
-    return I.enabled_channels(_tel(s, d), off).groupBy("channel").agg(F.count("*").alias("n"))
+    return I.enabled_channels(_tel(s, d), off).select("channel", "ts", "val")
 
 
 MODELS = """mv(model_id, channel, kind, path, active) AS (SELECT row_number() OVER (ORDER BY channel, k)::INT, channel, k, 'm/' || row_number() OVER (ORDER BY channel, k), channel <> 'view' FROM (SELECT DISTINCT event_type AS channel FROM events), (SELECT unnest(['classifier', 'forecaster']) AS k))"""
@@ -458,6 +508,11 @@ def _models(s, d):
     return kinds.select(number.alias("model_id"), "channel", "kind", F.concat(F.lit("m/"), number).alias("path"), (F.col("channel") != "view").alias("active"))
 
 
+@query("scan_models", "SELECT * FROM mv WHERE channel IN ('click', 'view')", MODELS)
+def _(s, d):
+    return I.scan_models(_models(s, d), ("click", "view"))
+
+
 @query("active_models", "SELECT channel, max(path) FILTER (kind = 'forecaster') AS forecaster, max(path) FILTER (kind = 'classifier') AS classifier FROM mv WHERE active GROUP BY 1", MODELS)
 def _(s, d):
     return I.active_models(_models(s, d))
@@ -473,10 +528,11 @@ def _(s, d):
     return I.register_model(_models(s, d), 99, "click", "forecaster", "m/99").select("model_id", "active")
 
 
-@query("series_with_layers", "SELECT 'series' AS layer, count(*) AS n FROM tel UNION ALL SELECT 'flags', count(*) FROM pf UNION ALL SELECT 'modes', count(*) FROM modes", Q.TEL, Q.FLAGS, Q.MODES)
+@query("series_with_layers", "SELECT 'series' AS layer, channel, ts, val, NULL AS what FROM tel UNION ALL SELECT 'flags', channel, ts, val, CASE WHEN anomaly THEN 'anomaly' ELSE 'outlier' END FROM pf UNION ALL SELECT 'modes', robot, ts, NULL, mode FROM modes", Q.DIAGNOSIS, Q.FLAGS, Q.MODES, recursive=True)
 def _(s, d):
-    out = R.series_with_layers(_tel(s, d).select("channel", "ts", "val"), flags=M.point_flags(s, d), modes=M.mode_changes(s, d))
-    return out.groupBy("layer").agg(F.count("*").alias("n"))
+    out = R.series_with_layers(_tel(s, d).select("channel", "ts", "val"), flags=_point_flags(s, d).drop("run", "val_f"), modes=M.mode_changes(s, d).drop("mode_id"))
+    what = F.when(F.col("layer") == "flags", F.when(F.col("anomaly"), "anomaly").otherwise("outlier")).otherwise(F.col("mode"))
+    return out.select("layer", F.coalesce("channel", "robot").alias("channel"), "ts", "val", what.alias("what"))
 
 
 @query("seed_open_buckets", f"SELECT channel, ts // {HOUR} * {HOUR} AS bucket, {Q.BUCKET} FROM tel WHERE val IS NOT NULL GROUP BY 1, 2", Q.TEL)
@@ -546,13 +602,9 @@ def _(s, d):
     return _tel(s, d).select("channel").distinct()
 
 
-@query("last_values", "SELECT channel, arg_max(ts, arrival) AS ts, arg_max(quality, arrival) AS quality FROM tel GROUP BY 1", Q.TEL)
+@query("last_values", "SELECT channel, arg_max(ts, (pkt, ts, arrival, event_id)) AS ts, arg_max(quality, (pkt, ts, arrival, event_id)) AS quality, arg_max(coalesce(val, -1), (pkt, ts, arrival, event_id)) AS val FROM tel GROUP BY 1", Q.TEL)
 def _(s, d):
-    # two rows can arrive at once in this data: the event's number decides
-    return I.last_values(_tel(s, d).withColumn("arrival", F.struct("arrival", "event_id"))).select("channel", "ts", "quality")
-
-
-SQL["last_values"] = SQL["last_values"].replace("arg_max(ts, arrival)", "arg_max(ts, (arrival, event_id))").replace("arg_max(quality, arrival)", "arg_max(quality, (arrival, event_id))")
+    return I.last_values(_in_turn(s, d)).select("channel", "ts", "quality", F.coalesce("val", F.lit(-1.0)).alias("val"))
 
 
 @query("channel_watermark", "SELECT channel, max(ts) AS watermark FROM tel GROUP BY 1", Q.TEL)
@@ -565,17 +617,19 @@ def _(s, d):
     return _rounded(_episodes(s, d), "score")
 
 
-@query("packet_ack", """SELECT pkt, sum(nt)::BIGINT AS accepted, sum(n - nt)::BIGINT AS rejected, sum(CASE WHEN dis THEN n ELSE 0 END)::BIGINT AS reordered, 0::BIGINT AS errors, count(*) FILTER (channel NOT IN (SELECT channel FROM reg)) AS new_channels
-FROM (SELECT pkt, channel, count(*) AS n, count(DISTINCT ts) AS nt, bool_or(coalesce(dn, false)) AS dis FROM (SELECT *, ts < lag(ts) OVER (PARTITION BY pkt, channel ORDER BY arrival, event_id) AS dn FROM tel) GROUP BY 1, 2) GROUP BY pkt""", Q.TEL, Q.REGISTRY)
+@query("packet_ack", """SELECT pkt, sum(CASE WHEN bad THEN 0 ELSE nt END)::BIGINT AS accepted, sum(CASE WHEN bad THEN n ELSE n - nt END)::BIGINT AS rejected, sum(CASE WHEN dis AND NOT bad THEN n ELSE 0 END)::BIGINT AS reordered,
+coalesce(string_agg(CASE WHEN bad THEN channel || ': times out of range' END, ',' ORDER BY channel), '') AS errors, coalesce(string_agg(CASE WHEN channel NOT IN (SELECT channel FROM reg) AND pkt = p0 THEN channel END, ',' ORDER BY channel), '') AS new_channels
+FROM (SELECT *, min(pkt) OVER (PARTITION BY channel) AS p0 FROM (SELECT pkt, channel, count(*) AS n, count(DISTINCT ts) AS nt, bool_or(coalesce(dn, false)) AS dis, min(ts) < 946684800000000 AS bad FROM (SELECT *, ts < lag(ts) OVER (PARTITION BY pkt, channel ORDER BY arrival, event_id) AS dn
+  FROM (SELECT * REPLACE (CASE WHEN event_id % 211 = 5 THEN ts // 1000000 ELSE ts END AS ts) FROM tel)) GROUP BY 1, 2)) GROUP BY pkt""", Q.TEL, Q.REGISTRY)
 def _(s, d):
-    return I.packet_ack(_tel(s, d).withColumn("pos", F.struct("arrival", "event_id")), M.registry(s))
+    rows = _tel(s, d).withColumn("pos", F.struct("arrival", "event_id")).withColumn("ts", F.when(F.col("event_id") % 211 == 5, S.floor_div(F.col("ts"), 1_000_000)).otherwise(F.col("ts")))
+    return I.packet_ack(rows, M.registry(s)).withColumns({c: F.array_join(c, ",") for c in ("errors", "new_channels")})
 
 
-@query("latency_percentiles", """SELECT event_type AS stage, count(*) AS n, round(quantile_cont(us, 0.5) / 1000, 1) AS p50, round(quantile_cont(us, 0.95) / 1000, 1) AS p95, round(quantile_cont(us, 0.99) / 1000, 1) AS p99, max(us) / 1000 AS max_ms
-FROM (SELECT event_type, trunc(value * 1000)::BIGINT AS us, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 1000 GROUP BY 1""")
+@query("latency_percentiles", """SELECT event_type AS stage, count(*) AS n, round_even(quantile_cont(us, 0.5), 0) / 1000 AS p50, round_even(quantile_cont(us, 0.95), 0) / 1000 AS p95, round_even(quantile_cont(us, 0.99), 0) / 1000 AS p99, max(us) / 1000 AS max_ms
+FROM (SELECT event_type, trunc(value * 1000)::BIGINT AS us, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 10000 GROUP BY 1""")
 def _(s, d):
-    out = I.latency_percentiles(M.latency_samples(s, d), 1000)
-    return out.withColumns({c: F.round(c, 1) for c in ("p50", "p95", "p99")})
+    return I.latency_percentiles(M.latency_samples(s, d))
 
 
 @query("load_metrics", f"""SELECT channel AS worker, ts // {DAY} * {DAY} AS t, round(count(*) / 86400.0, 6) AS rate, round(sum(event_id % 100 + 1) / 1e6 / count(*), 6) AS tau, round(count(*) / 86400.0 * (sum(event_id % 100 + 1) / 1e6 / count(*)), 6) AS rho FROM tel GROUP BY 1, 2""", Q.TEL)
@@ -583,29 +637,22 @@ def _(s, d):
     return I.load_metrics(_tel(s, d).select(F.col("channel").alias("worker"), "ts", F.lit(1).alias("points"), (F.col("event_id") % 100 + 1).alias("busy_us")), DAY)
 
 
-HITS = f"""hit AS (SELECT l.label_id, min(e.ts_start) AS e_first FROM lab l JOIN ep e ON e.channel = l.channel AND e.kind = 'anomaly' AND e.ts_start <= l.ts_end + {30 * MINUTE} AND e.ts_end >= l.ts_start - {30 * MINUTE} GROUP BY 1),
-lo AS (SELECT l.*, h.e_first IS NOT NULL AS detected, greatest(0, h.e_first - l.ts_start) / 1e6 AS delay_s FROM lab l LEFT JOIN hit h USING (label_id)),
-tp AS (SELECT e.* FROM ep e WHERE kind = 'anomaly' AND EXISTS (SELECT 1 FROM lab l WHERE l.channel = e.channel AND e.ts_start <= l.ts_end + {30 * MINUTE} AND e.ts_end >= l.ts_start - {30 * MINUTE}))"""
-
-
-@query("label_episode_overlap", "SELECT label_id, channel, type, detected, CASE WHEN detected THEN round(delay_s, 6) END AS delay_s FROM lo", Q.FULL, Q.LABELS, HITS, recursive=True)
+@query("label_episode_overlap", "SELECT label_id, channel, type, detected, CASE WHEN detected THEN round(delay_s, 6) END AS delay_s FROM lo", Q.FULL, Q.LABELS, Q.HITS, recursive=True)
 def _(s, d):
     return _rounded(E.label_episode_overlap(M.anomaly_labels(s, d), _episodes(s, d), 30 * MINUTE), "delay_s")
 
 
-@query("episode_true_positive", "SELECT channel, ts_start, ts_end FROM tp", Q.FULL, Q.LABELS, HITS, recursive=True)
+@query("episode_true_positive", "SELECT channel, ts_start, ts_end FROM tp", Q.FULL, Q.LABELS, Q.HITS, recursive=True)
 def _(s, d):
     return E.episode_true_positive(M.anomaly_labels(s, d), _episodes(s, d), 30 * MINUTE).select("channel", "ts_start", "ts_end")
 
 
-@query("detection_metrics", """SELECT channel, episodes, labels, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(mean_delay_s, 6) AS mean_delay_s FROM (
-SELECT channel, count(*) AS labels, count(*) FILTER (detected) / count(*) AS r, avg(CASE WHEN detected THEN delay_s END) AS mean_delay_s, (SELECT count(*) FROM ep WHERE kind = 'anomaly' AND ep.channel = lo.channel) AS episodes,
-(SELECT count(*) FROM tp WHERE tp.channel = lo.channel) / nullif((SELECT count(*) FROM ep WHERE kind = 'anomaly' AND ep.channel = lo.channel), 0) AS p FROM lo GROUP BY channel)""", Q.FULL, Q.LABELS, HITS, recursive=True)
+@query("detection_metrics", "SELECT * FROM mt", Q.FULL, Q.LABELS, Q.HITS, Q.METRICS, recursive=True)
 def _(s, d):
     return _rounded(E.detection_metrics(M.anomaly_labels(s, d), _episodes(s, d), 30 * MINUTE), "precision", "recall", "f1", "mean_delay_s")
 
 
-@query("recall_by_type", "SELECT type, count(*) FILTER (detected) AS detected, count(*) AS total FROM lo GROUP BY 1", Q.FULL, Q.LABELS, HITS, recursive=True)
+@query("recall_by_type", "SELECT type, count(*) FILTER (detected) AS detected, count(*) AS total FROM lo GROUP BY 1", Q.FULL, Q.LABELS, Q.HITS, recursive=True)
 def _(s, d):
     return E.recall_by_type(M.anomaly_labels(s, d), _episodes(s, d), 30 * MINUTE)
 
@@ -621,16 +668,21 @@ def _(s, d):
     return _rounded(E.forecast_mae(rows), "mae", "mae_naive", "gain")
 
 
-@query("standardize_features", """SELECT channel, ts, round((rms - a) / CASE WHEN b > 0 THEN b ELSE 1 END, 6) AS z_rms FROM fe JOIN (SELECT channel, avg(rms) AS a, stddev_pop(rms) AS b FROM fe WHERE mean IS NOT NULL GROUP BY 1) USING (channel) WHERE mean IS NOT NULL""", Q.TEL, Q.HAMPEL, Q.FEATURES)
+@query("standardize_features", "SELECT channel, ts, " + ", ".join(f"round(({c} - a_{c}) / CASE WHEN b_{c} > 0 THEN b_{c} ELSE 1 END, 5) + 0.0::DOUBLE AS z_{c}" for c in H.INPUTS)
+       + " FROM fe JOIN (SELECT channel, " + ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS b_{c}" for c in H.INPUTS) + " FROM fe WHERE mean IS NOT NULL GROUP BY 1) USING (channel) WHERE mean IS NOT NULL", Q.TEL, Q.HAMPEL, Q.FEATURES)
 def _(s, d):
     rows = H.diagnosed(_valid(s, d), PARAMS).where(F.col("mean").isNotNull())
-    return _rounded(ML.standardize_features(rows, rows).select("channel", "ts", "z_rms"), "z_rms")
+    found = ML.standardize_features(rows, rows)
+    return found.select("channel", "ts", *((F.round("z_" + c, 5) + 0.0).alias("z_" + c) for c in H.INPUTS))
 
 
-@query("preview_summary", "SELECT count(*) AS n, count(*) FILTER (substituted) AS substituted, count(*) FILTER (anomaly) AS anomalies, (SELECT count(*) FROM ep) AS episodes FROM dg", Q.FULL, recursive=True)
+@query("preview_summary", """SELECT 'summary' AS part, NULL AS channel, NULL AS kind, NULL::BIGINT AS ts, NULL::BIGINT AS ts_end, count(*) AS n, count(*) FILTER (substituted) AS substituted, count(*) FILTER (anomaly) AS anomalies, (SELECT count(*) FROM ep) AS episodes, NULL::DOUBLE AS val_f, NULL::DOUBLE AS score FROM dg
+UNION ALL SELECT 'flag', channel, NULL, ts, NULL, NULL, NULL, NULL, NULL, round(val_f, 6), NULL FROM (SELECT * FROM dg WHERE substituted OR anomaly ORDER BY ts, channel LIMIT 5000)
+UNION ALL SELECT 'episode', channel, kind, ts_start, ts_end, NULL, NULL, NULL, NULL, NULL, round(score, 6) FROM ep""", Q.FULL, recursive=True)
 def _(s, d):
     rows = written(_diagnosis(s, d))
-    return E.preview_summary(rows, D.build_episodes(D.scored_flags(rows), PARAMS.episode_gap))
+    found = E.preview_summary(rows, D.build_episodes(D.scored_flags(rows), PARAMS.episode_gap))
+    return _rounded(found.select("part", "channel", "kind", "ts", "ts_end", "n", "substituted", "anomalies", "episodes", "val_f", "score"), "val_f", "score")
 
 
 @query("tile_pack", f"SELECT channel, lvl, tile, count(*)::INT AS n_rows, min(bucket) AS t_first, sum(cnt)::BIGINT AS points, any_value(t_end <= watermark - {LATE}) AS closed FROM tl JOIN wm USING (channel) GROUP BY 1, 2, 3", Q.TEL, Q.LEVELS, TILES)
@@ -672,23 +724,25 @@ def _(s, d):
 
 @query("flag_islands", "SELECT channel, kind, ts, island FROM isl", Q.FULL, recursive=True)
 def _(s, d):
-    return D.flag_islands(_flags(s, d), PARAMS.episode_gap).select("channel", "kind", "ts", "island")
+    return D.flag_islands(_flags(s, d), PARAMS.episode_gap, PARAMS.chunk).select("channel", "kind", "ts", "island")
 
 
-@query("alarm_hysteresis", """SELECT rule_id, ts, coalesce(last_value(CASE WHEN value > lim THEN true WHEN value <= lim - deadband THEN false END IGNORE NULLS) OVER (PARTITION BY rule_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS condition
-FROM pairs WHERE rule_id = 1""", Q.FULL, Q.RULES, Q.READINGS, Q.PAIRS, recursive=True)
+@query("alarm_hysteresis", """SELECT rule_id, ts, coalesce(last_value(CASE WHEN kind IN ('hi', 'hihi') THEN CASE WHEN value > lim THEN true WHEN value <= lim - deadband THEN false END ELSE CASE WHEN value < lim THEN true WHEN value >= lim + deadband THEN false END END IGNORE NULLS)
+OVER (PARTITION BY rule_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS condition FROM pairs WHERE kind <> 'anomaly'""", Q.FULL, Q.RULES, Q.READINGS, Q.PAIRS, recursive=True)
 def _(s, d):
-    return A.alarm_hysteresis(_pairs(s, d).where("rule_id = 1")).select("rule_id", "ts", "condition")
+    # of all rules with a limit, as if they had no delays
+    return A.alarm_hysteresis(_pairs(s, d).where("kind <> 'anomaly'"), PARAMS.chunk).select("rule_id", "ts", "condition")
 
 
-DEBOUNCE = """dr AS (SELECT *, value > lim AS raw FROM pairs WHERE rule_id = 2),
-dn AS (SELECT *, sum(CASE WHEN raw IS NOT DISTINCT FROM p AND NOT first THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS run FROM (SELECT *, lag(raw) OVER (ORDER BY ts) AS p, row_number() OVER (ORDER BY ts) = 1 AS first FROM dr)),
-dm AS (SELECT *, CASE WHEN raw IS NOT NULL AND ts - min(ts) OVER (PARTITION BY run) >= CASE WHEN raw THEN on_delay ELSE off_delay END THEN raw END AS mark FROM dn)"""
+DEBOUNCE = """dr AS (SELECT *, CASE WHEN kind IN ('hi', 'hihi') THEN value > lim ELSE value < lim END AS raw FROM pairs WHERE kind <> 'anomaly'),
+dn AS (SELECT *, sum(CASE WHEN raw IS NOT DISTINCT FROM p AND NOT first THEN 0 ELSE 1 END) OVER (PARTITION BY rule_id ORDER BY ts) AS run FROM (SELECT *, lag(raw) OVER (PARTITION BY rule_id ORDER BY ts) AS p, row_number() OVER (PARTITION BY rule_id ORDER BY ts) = 1 AS first FROM dr)),
+dm AS (SELECT *, CASE WHEN raw IS NOT NULL AND ts - min(ts) OVER (PARTITION BY rule_id, run) >= CASE WHEN raw THEN on_delay ELSE off_delay END THEN raw END AS mark FROM dn)"""
 
 
-@query("alarm_debounce", "SELECT rule_id, ts, coalesce(last_value(mark IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS condition FROM dm", Q.FULL, Q.RULES, Q.READINGS, Q.PAIRS, DEBOUNCE, recursive=True)
+@query("alarm_debounce", "SELECT rule_id, ts, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY rule_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS condition FROM dm", Q.FULL, Q.RULES, Q.READINGS, Q.PAIRS, DEBOUNCE, recursive=True)
 def _(s, d):
-    return A.alarm_debounce(_pairs(s, d).where("rule_id = 2")).select("rule_id", "ts", "condition")
+    # of all rules with a limit, as if they had no deadband
+    return A.alarm_debounce(_pairs(s, d).where("kind <> 'anomaly'"), PARAMS.chunk).select("rule_id", "ts", "condition")
 
 
 LATE_SQL = f"""SELECT channel, lvl, count(*) FILTER (ts // width * width < seen - {LATE} - width) AS dropped FROM (SELECT t.channel, t.ts, s.seen, lv.lvl, lv.width FROM tel t
@@ -702,27 +756,28 @@ def _(s, d):
 
 @query("late_policy", LATE_SQL, Q.TEL, Q.LEVELS)
 def _(s, d):
-    return G.late_points(_tel(s, d), GRID, LATE)
+    out = _aggregated(s, d).where(F.col("bucket").isNull())
+    return SR.newest(out, "channel", "lvl").select("channel", "lvl", "dropped")
 
 
 @query("out_of_order_count", "SELECT channel, count(*) FILTER (late) AS out_of_order FROM (SELECT *, ts < max(ts) OVER (PARTITION BY channel ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM tel) GROUP BY 1", Q.TEL)
 def _(s, d):
-    return I.out_of_order_count(_tel(s, d).withColumn("arrival", F.struct("arrival", "event_id")))
+    return I.out_of_order_count(_in_turn(s, d), 5_000)
 
 
-SPLIT = "inc AS (SELECT * FROM (SELECT *, lead(val_f) OVER (PARTITION BY channel ORDER BY ts) - val_f AS y FROM fe) WHERE y IS NOT NULL AND mean IS NOT NULL)"
+SPLIT = "inc AS (SELECT * FROM (SELECT *, lead(val_f) OVER (PARTITION BY channel ORDER BY ts) - val_f AS y, lead(val) OVER (PARTITION BY channel ORDER BY ts) AS next_val FROM fe) WHERE y IS NOT NULL AND mean IS NOT NULL)"
 
 
 @query("chronological_split", """SELECT channel, ts, CASE WHEN i < ntr THEN 'train' WHEN i >= ntr + 30 AND i < ntr + nva THEN 'val' WHEN i >= ntr + nva + 30 THEN 'test' END AS part
 FROM (SELECT channel, ts, row_number() OVER o - 1 AS i, floor(count(*) OVER (PARTITION BY channel) * 0.6::DOUBLE) AS ntr, floor(count(*) OVER (PARTITION BY channel) * 0.2::DOUBLE) AS nva FROM inc WINDOW o AS (PARTITION BY channel ORDER BY ts))""", Q.TEL, Q.HAMPEL, Q.FEATURES, SPLIT)
 def _(s, d):
-    rows = H.increment_target(H.diagnosed(_valid(s, d), PARAMS)).select("channel", "ts")
-    return H.chronological_split(rows, 30).select("channel", "ts", "part")
+    rows = H.increment_target(written(H.diagnosed(_valid(s, d), PARAMS)), PARAMS).select("channel", "ts")
+    return H.chronological_split(written(rows), 30, PARAMS.chunk).select("channel", "ts", "part")
 
 
-@query("increment_target", "SELECT channel, ts, round(y, 6) AS y FROM inc", Q.TEL, Q.HAMPEL, Q.FEATURES, SPLIT)
+@query("increment_target", "SELECT channel, ts, round(y, 6) AS y, next_val FROM inc", Q.TEL, Q.HAMPEL, Q.FEATURES, SPLIT)
 def _(s, d):
-    return _rounded(H.increment_target(H.diagnosed(_valid(s, d), PARAMS)).select("channel", "ts", "y"), "y")
+    return _rounded(H.increment_target(written(H.diagnosed(_valid(s, d), PARAMS)), PARAMS).select("channel", "ts", "y", "next_val"), "y")
 
 
 @query("minmax_preselect", "SELECT channel, ts, val FROM pre", Q.TEL, Q.PRESELECT)
@@ -768,23 +823,23 @@ def _(s, d):
     return L.minmax_lttb(AR.filter_telemetry(_tel(s, d), (), T0, T1), 80, 2.0)
 
 
-@query("grid_lttb")
+@query("grid_lttb", "SELECT channel, ts, val, true AS final FROM gp UNION ALL SELECT channel, ts, val, false FROM gt", Q.TEL, Q.CELLS, recursive=True)
 def _(s, d):
     return L.grid_lttb(_tel(s, d), 12 * HOUR)
 
 
-SERIES_PRE = f"""aw AS (SELECT DISTINCT channel, unnest([tmin, tmax]) AS ts, unnest([vmin, vmax]) AS val FROM agg JOIN (SELECT channel FROM ro WHERE NOT is_raw) USING (channel) WHERE lvl = {LEVEL} AND bucket + {4**LEVEL * HOUR} > {T0} AND bucket < {T1}),
-rawpre AS (SELECT pre.* FROM pre JOIN ro USING (channel) WHERE is_raw AND n_raw > 80)"""
+SERIES_PRE = f"""aw AS (SELECT DISTINCT channel, unnest([tmin, tmax]) AS ts, unnest([vmin, vmax]) AS val FROM agg JOIN (SELECT channel FROM ro WHERE source = 'agg') USING (channel) WHERE lvl = {LEVEL} AND bucket + {4**LEVEL * HOUR} > {T0} AND bucket < {T1}),
+rawpre AS (SELECT pre.* FROM pre0 AS pre JOIN ro USING (channel) WHERE source IN ('raw', 'hot') AND n_raw > 80)"""
+SERIES = f"""pre AS MATERIALIZED (SELECT channel, ts, val FROM rawpre UNION ALL SELECT channel, ts, val FROM aw WHERE ts >= {T0} AND ts < {T1})"""
+POINTS = f"""sx AS (SELECT * FROM lt UNION ALL SELECT t.channel, t.ts, t.val FROM tel t JOIN ro USING (channel) WHERE source IN ('raw', 'hot') AND n_raw <= 80 AND ts >= {T0} AND ts < {T1})"""
 
 
-@query("series_query", "SELECT x.channel, x.ts, x.val, CASE WHEN is_raw THEN 'raw' ELSE 'agg' END AS source, CASE WHEN is_raw THEN n_raw ELSE n_agg END AS n, round(greatest(0, 1 - count(*) OVER (PARTITION BY x.channel) / CASE WHEN is_raw THEN n_raw ELSE n_agg END), 6) AS eta FROM sx x JOIN ro USING (channel)",
-       Q.TEL, Q.LEVELS, ROUTE, Q.PRESELECT.replace("pre AS MATERIALIZED", "pre0 AS MATERIALIZED"),
-       SERIES_PRE.replace("FROM pre JOIN", "FROM pre0 AS pre JOIN"), f"pre AS MATERIALIZED (SELECT channel, ts, val FROM rawpre UNION ALL SELECT channel, ts, val FROM aw WHERE ts >= {T0} AND ts < {T1})", Q.LTTB,
-       f"sx AS (SELECT * FROM lt UNION ALL SELECT t.channel, t.ts, t.val FROM tel t JOIN ro USING (channel) WHERE is_raw AND n_raw <= 80 AND ts >= {T0} AND ts < {T1})", recursive=True)
+@query("series_query", "SELECT ro.channel, x.ts, x.val, CASE WHEN source <> 'agg' THEN t.quality END AS quality, source, ro.n, CASE WHEN ro.n = 0 THEN 0.0 ELSE round(greatest(0, 1 - count(x.ts) OVER (PARTITION BY ro.channel) / ro.n), 6) END AS eta FROM ro LEFT JOIN sx x USING (channel) LEFT JOIN tel t ON t.channel = x.channel AND t.ts = x.ts",
+       Q.TEL, Q.LEVELS, ROUTE, Q.PRESELECT.replace("pre AS MATERIALIZED", "pre0 AS MATERIALIZED"), SERIES_PRE, SERIES, Q.LTTB, POINTS, recursive=True)
 def _(s, d):
     rows = _tel(s, d)
     out = R.series_query(rows, written(_levels(s, d)), I.channel_watermark(rows), T0, T1, CHART, GRID, HOT)
-    return out.select("channel", "ts", "val", "source", "n", F.round("eta", 6).alias("eta"))
+    return out.select("channel", "ts", "val", "quality", "source", "n", F.round("eta", 6).alias("eta"))
 
 
 @query("adaptive_residual", "SELECT channel, ts, round(thr, 6) AS thr, anomaly FROM dg", Q.DIAGNOSIS, recursive=True)
@@ -794,7 +849,7 @@ def _(s, d):
 
 @query("channel_pipeline", "SELECT channel, ts, val, round(val_f, 6) AS val_f, substituted, round(pred, 6) AS pred, round(resid, 6) AS resid, round(thr, 6) AS thr, anomaly FROM dg", Q.DIAGNOSIS, recursive=True)
 def _(s, d):
-    return _rounded(_diagnosis(s, d).drop("median"), "val_f", "pred", "resid", "thr")
+    return _rounded(_diagnosis(s, d).drop("median", "prob", "prob_ratio"), "val_f", "pred", "resid", "thr")
 
 
 def _log(s, d):
@@ -837,29 +892,46 @@ def _(s, d):
 
 @query("train_forecaster")
 def _(s, d):
-    rows = written(H.diagnosed(_valid(s, d), PARAMS))
-    fits = ML.train_forecasters(rows, PARAMS)
-    return reduce(DataFrame.unionByName, [fit.metrics for fit in fits.values()])
+    return ML.train_forecasters(written(H.diagnosed(_valid(s, d), PARAMS)), PARAMS)[1]
 
 
 @query("predict_forecaster")
 def _(s, d):
     rows = written(H.diagnosed(_valid(s, d), PARAMS))
-    return ML.predict_forecasters(rows, ML.train_forecasters(rows, PARAMS)).select("channel", "ts", "pred_next")
+    return ML.predict_forecasters(rows, ML.train_forecasters(rows, PARAMS)[0]).select("channel", "ts", "pred_next")
 
 
 @query("predict_classifier")
 def _(s, d):
-    rows = H.diagnosed(_valid(s, d), PARAMS).where(F.col("mean").isNotNull())
-    rows = written(H.residual_fixed_sigma(rows, 20.0, 3.0).withColumnRenamed("anomaly", "residual_flag").withColumn("label", F.col("substituted").cast("double")))
-    return ML.classified(rows, "label", 0.5).select("channel", "ts", "prob", "anomaly", "score")
+    # the substituted points of the first 60 % teach, all rows are judged
+    rows = written(H.residual_fixed_sigma(H.diagnosed(_valid(s, d), PARAMS), 20.0, 3.0).withColumnRenamed("anomaly", "residual_flag").withColumn("label", F.col("substituted").cast("double")).drop("prob"))
+    rows = written(H.chronological_split(rows, 0, PARAMS.chunk))
+    models = ML.train_classifiers(rows.where(F.col("part") == "train"), "label", 0.5)
+    return ML.predict_classifiers(rows, models).select("channel", "ts", "part", "prob", "anomaly", "score")
+
+
+def _pull(x):
+    """A fixed linear forecaster: half way from the filtered value to the mean."""
+    return 0.5 * x[:, 0] + 0.5 * x[:, 1]
+
+
+def _loud(x):
+    """A fixed classifier: odds by the deviation."""
+    return 1 / (1 + np.exp(40.0 - x[:, 2]))
+
 
+MODEL = H.ChannelModel(forecast=_pull, sigma=20.0, classify=_loud, gamma=0.5, version="m/1")
 
-@query("reanalyze", """SELECT channel, episodes, labels, round(p, 6) AS precision FROM (SELECT channel, count(*) AS labels, (SELECT count(*) FROM ep WHERE kind = 'anomaly' AND ep.channel = lo.channel) AS episodes,
-(SELECT count(*) FROM tp WHERE tp.channel = lo.channel) / nullif((SELECT count(*) FROM ep WHERE kind = 'anomaly' AND ep.channel = lo.channel), 0) AS p FROM lo GROUP BY channel)""", Q.FULL, Q.LABELS, HITS, recursive=True)
+
+@query("channel_models", "SELECT channel, ts, round(pred, 6) AS pred, round(resid, 6) AS resid, round(thr, 6) AS thr, round(prob, 6) AS prob, anomaly FROM dg", Q.with_model("channel = 'click'", False), recursive=True)
 def _(s, d):
-    found = E.reanalyze(_valid(s, d), PARAMS, "rerun-1", M.anomaly_labels(s, d), 30 * MINUTE)
-    return _rounded(found["metrics"].select("channel", "episodes", "labels", "precision"), "precision")
+    return _rounded(D.channel_pipeline(_valid(s, d), PARAMS, {"click": MODEL}).select("channel", "ts", "pred", "resid", "thr", "prob", "anomaly"), "pred", "resid", "thr", "prob")
+
+
+@query("reanalyze", "SELECT * FROM mt", Q.with_model("channel = 'click'", False), Q.SCORED, Q.EPISODES, Q.LABELS, Q.HITS, Q.METRICS, recursive=True)
+def _(s, d):
+    found = E.reanalyze(_valid(s, d), PARAMS, "rerun-1", M.anomaly_labels(s, d), 30 * MINUTE, {"click": MODEL})
+    return _rounded(found["metrics"], "precision", "recall", "f1", "mean_delay_s")
 
 
 # ---- sorts
@@ -884,7 +956,8 @@ def _(s, d):
 
 
 def _arrived(s, d, rows: DataFrame, order: str = "event_id") -> DataFrame:
-    return SR.stream_source(s, SR.arrived_in_parts(rows, order), rows.schema)
+    path, files = SR.arrived_in_parts(rows, order)
+    return SR.stream_source(s, path, rows.schema, files)
 
 
 @query("stream_source", "SELECT event_id, channel, ts FROM tel", Q.TEL)
@@ -892,23 +965,32 @@ def _(s, d):
     return SR.collected(_arrived(s, d, _tel(s, d))).select("event_id", "channel", "ts")
 
 
-@query("stream_ingest", "SELECT pkt AS seq, channel, ts, val, nd, otkl FROM tel", Q.TEL)
+@query("stream_ingest", """SELECT pkt AS seq, channel, ts, val, nd, otkl, CASE WHEN val IS NULL OR nd THEN 'bad' WHEN otkl <> 0 OR coalesce(val < x_min, false) OR coalesce(val > x_max, false) THEN 'uncertain' ELSE 'good' END AS quality, true AS stamped
+FROM tel LEFT JOIN reg USING (channel) WHERE NOT (pkt % 5 = 2 AND channel = 'view')""", Q.TEL, Q.REGISTRY)
 def _(s, d):
-    out = SR.collected(SL.stream_ingest(_arrived(s, d, _packets(s, d), "pkt")))
-    return I.dedup_last(out, "channel", "ts", order=("batch_id", "seq", "pos")).select("seq", "channel", "ts", "val", "nd", "otkl")
+    # one batch in five of a channel has times in seconds
+    source = M.telemetry_source(s, d)
+    odd = (F.col("pkt") % 5 == 2) & (F.col("channel") == "view")
+    lines = M.packets(source.withColumn("ts", F.when(odd, S.floor_div(F.col("ts"), 1_000_000)).otherwise(F.col("ts"))))
+    out = SR.collected(SL.stream_ingest(_arrived(s, d, lines, "pkt"), M.registry(s)))
+    out = I.dedup_last(out, "channel", "ts", order=("batch_id", "seq", "pos"))
+    return out.select("seq", "channel", "ts", "val", "nd", "otkl", "quality", (F.col("t_ing") > F.lit(TS_MIN)).alias("stamped"))
+
 
+def _aggregated(s, d):
+    return SR.collected(SF.stream_aggregate(_arrived(s, d, _tel(s, d).select("channel", "ts", "val", "pkt"), "pkt"), GRID, LATE))
 
-@query("stream_aggregate", "SELECT * FROM agg", Q.TEL, Q.LEVELS)
+
+@query("stream_aggregate", "SELECT * FROM sagg", Q.TEL, Q.LEVELS, Q.ON_TIME, recursive=False)
 def _(s, d):
-    out = SR.collected(SL.stream_aggregate(_arrived(s, d, _tel(s, d)), GRID, LATE), "update")
+    out = _aggregated(s, d).where(F.col("bucket").isNotNull()).drop("dropped")
     return _rounded(SR.newest(out, "channel", "lvl", "bucket"), "vsum")
 
 
-@query("stream_last_wm", "SELECT channel, arg_max(ts, (arrival, event_id)) AS ts, max(ts) AS watermark FROM tel GROUP BY 1", Q.TEL)
+@query("stream_last_wm", "SELECT channel, arg_max(ts, (pkt, ts, arrival, event_id)) AS ts, arg_max(coalesce(val, -1), (pkt, ts, arrival, event_id)) AS val, max(ts) AS watermark FROM tel GROUP BY 1", Q.TEL)
 def _(s, d):
-    rows = _tel(s, d).withColumn("arrival", F.struct("arrival", "event_id"))
-    out = SR.collected(SL.stream_last_wm(_arrived(s, d, rows, "ts")), "update")
-    return SR.newest(out, "channel").select("channel", "ts", "watermark")
+    out = SR.collected(SL.stream_last_wm(_arrived(s, d, _in_turn(s, d), "pkt")), "update")
+    return SR.newest(out, "channel").select("channel", "ts", F.coalesce("val", F.lit(-1.0)).alias("val"), "watermark")
 
 
 @query("stream_dedup", "SELECT channel, ts, val FROM tel", Q.TEL)
@@ -924,15 +1006,17 @@ def _(s, d):
     return _rounded(out.select("channel", "ts", "val_f", "substituted", "pred", "thr", "anomaly"), "val_f", "pred", "thr")
 
 
-@query("stream_grid_lttb")
+@query("stream_grid_lttb", "SELECT channel, ts, val FROM gp", Q.TEL, Q.CELLS, recursive=True)
 def _(s, d):
     return SR.collected(SF.stream_grid_lttb(_arrived(s, d, _tel(s, d), "ts"), 12 * HOUR)).drop("batch_id")
 
 
-@query("stream_episodes", f"SELECT channel, kind, ts_start, ts_end, n_points FROM ep WHERE ts_end + {6 * HOUR} <= (SELECT max(ts) FROM fl)", Q.FULL, recursive=True)
+@query("stream_episodes", f"SELECT channel, kind, ts_start, ts_end, n_points, peak_ts, round(peak_value, 6) AS peak_value, round(score, 6) AS score FROM ep JOIN (SELECT channel, max(ts) AS last FROM dg GROUP BY 1) USING (channel) WHERE last - ts_end > {6 * HOUR}", Q.FULL, recursive=True)
 def _(s, d):
-    out = SR.collected(SL.stream_episodes(_arrived(s, d, _flags(s, d), "ts"), PARAMS.episode_gap, 0))
-    return out.select("channel", "kind", "ts_start", "ts_end", "n_points")
+    rows = written(_diagnosis(s, d))
+    points = rows.select("channel", "ts").join(D.scored_flags(rows), ["channel", "ts"], "left").select("channel", "ts", "kind", F.coalesce("val", F.lit(0.0)).alias("val"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    out = SR.collected(SF.stream_episodes(_arrived(s, d, written(points), "ts"), PARAMS.episode_gap))
+    return _rounded(out.drop("batch_id"), "peak_value", "score")
 
 
 @query("stream_alarms", LOG_SQL, Q.ALARMS, recursive=True)
@@ -942,24 +1026,32 @@ def _(s, d):
     return _rounded(SR.collected(SF.stream_alarms(_arrived(s, d, inputs, "ts"))).drop("batch_id"), "value")
 
 
-@query("alarm_initial_state")
+@query("alarm_initial_state", LOG_SQL, Q.ALARMS.replace("0::BIGINT AS i, 'normal' AS s, false AS c, NULL::BIGINT AS since, NULL::BIGINT AS last_on", "0::BIGINT AS i, 'unack_active' AS s, true AS c, NULL::BIGINT AS since, 0::BIGINT AS last_on"), recursive=True)
 def _(s, d):
     rules = M.alarm_rules(s)
     inputs = written(A.alarm_inputs(A.readings_x_rules(_readings(s, d), rules), M.ack_commands(s, d), rules))
     opened = rules.where("enabled").select("rule_id", F.lit(A.UNACK_ACTIVE).alias("state"), F.lit(True).alias("condition"), F.lit(0).cast("long").alias("last_on"))
-    return SR.collected(SF.stream_alarms(_arrived(s, d, inputs, "ts"), opened)).drop("batch_id")
+    return _rounded(SR.collected(SF.stream_alarms(_arrived(s, d, inputs, "ts"), opened)).drop("batch_id"), "value")
+
 
+def _setups(channel: str, version: int) -> SF.Setup:
+    """From version 1 on, view has another factor and click a model."""
+    own = replace(PARAMS, residual_k=4.0) if channel == "view" and version else PARAMS
+    return own, MODEL if channel == "click" and version else H.NAIVE
 
-@query("reload_config")
+
+@query("reload_config", "SELECT CASE WHEN channel = 'view+' THEN 'view' ELSE channel END AS channel, ts, round(val_f, 6) AS val_f, substituted, round(pred, 6) AS pred, round(thr, 6) AS thr, anomaly FROM dg", Q.with_model(f"channel = 'click' AND ts >= {T0}", True), recursive=True)
 def _(s, d):
-    own = {"view": replace(PARAMS, hampel_window=21)}
-    return SR.collected(SF.stream_diagnostics(_arrived(s, d, _valid(s, d), "ts"), own, PARAMS)).select("channel", "ts", "val_f", "substituted", "anomaly")
+    # parameters and models change while the stream runs, with the rows from T0 on
+    rows = _valid(s, d).withColumn("version", (F.col("ts") >= T0).cast("int"))
+    out = SR.collected(SF.stream_diagnostics(_arrived(s, d, rows, "ts"), _setups, PARAMS))
+    return _rounded(out.select("channel", "ts", "val_f", "substituted", "pred", "thr", "anomaly"), "val_f", "pred", "thr")
 
 
 @query("durable_then_ack", "SELECT channel, ts, val FROM tel", Q.TEL)
 def _(s, d):
     rows = _tel(s, d).select("channel", "ts", "val", "event_id")
-    path, out, checkpoint = SR.arrived_in_parts(rows, "event_id", 3), scratch(s), scratch(s)
+    (path, files), out, checkpoint = SR.arrived_in_parts(rows, "event_id", 3), scratch(s), scratch(s)
     write, failed = SR.append_to(out), []
 
     def fails_once(df, batch):
@@ -970,7 +1062,7 @@ def _(s, d):
 
     for _attempt in range(2):  # the second run begins with what the first didn't finish
         try:
-            SR.run_to_end(SR.stream_source(s, path, rows.schema), fails_once, checkpoint)
+            SR.run_to_end(SR.stream_source(s, path, rows.schema, files), fails_once, checkpoint)
         except Exception:
             if len(failed) != 1:
                 raise

@@ -49,8 +49,7 @@ LEVELS = LEVELS.replace(", any_value(width) AS width", "").replace("GROUP BY ALL
 
 LABELS = f"""lab AS (SELECT event_id AS label_id, event_type AS channel, us AS ts_start, us + {H} AS ts_end, (['impulse', 'level_shift', 'drift'])[event_id % 3 + 1] AS type FROM ev WHERE value > 220 OR event_id % 401 = 0)"""
 
-FLAGS = """pf AS (SELECT channel, CASE WHEN event_id % 2 = 0 THEN 'online' ELSE 'offline' END AS run, ts, val, val / 2 AS val_f, event_id % 13 = 0 AS substituted, event_id % 17 = 0 AS anomaly
-  FROM tel WHERE event_id % 13 = 0 OR event_id % 17 = 0)"""
+FLAGS = "pf AS (SELECT channel, 'online' AS run, ts, val, val_f, substituted, anomaly FROM dg WHERE substituted OR anomaly)"
 
 REGISTRY = "reg(channel, x_min, x_max, hampel_window, hampel_kappa, analytics_enabled) AS (VALUES ('click', 0.5, 100.0, NULL, NULL, true), ('error', 0.5, 100.0, NULL, 4.0, true), ('purchase', 0.5, 100.0, NULL, NULL, true), ('view', 0.5, 100.0, 21, NULL, true), ('ghost', NULL, NULL, NULL, NULL, false))"
 RULES = f"""rules(rule_id, channel, kind, lim, deadband, on_delay, off_delay, min_repeat, enabled) AS (VALUES (1, 'click', 'hi', 80.0, 20.0, 0, 0, 0, true), (2, 'error', 'hihi', 60.0, 0.0, {H}, {H}, 0, true),
@@ -103,5 +102,48 @@ pk AS (SELECT channel, -1::BIGINT AS j, i, t, val FROM pn WHERE i = 0 AND n > 80
 lt AS MATERIALIZED (SELECT channel, ts, val FROM pn WHERE n <= 80 OR i = n - 1 UNION SELECT p.channel, p.ts, p.val FROM pk JOIN pn p ON p.channel = pk.channel AND p.i = pk.i)"""
 
 
+HITS = f"""hit AS (SELECT l.label_id, min(e.ts_start) AS e_first FROM lab l JOIN ep e ON e.channel = l.channel AND e.kind = 'anomaly' AND e.ts_start <= l.ts_end + {H // 2} AND e.ts_end >= l.ts_start - {H // 2} GROUP BY 1),
+lo AS (SELECT l.*, h.e_first IS NOT NULL AS detected, greatest(0, h.e_first - l.ts_start) / 1e6 AS delay_s FROM lab l LEFT JOIN hit h USING (label_id)),
+tp AS (SELECT e.* FROM ep e WHERE kind = 'anomaly' AND EXISTS (SELECT 1 FROM lab l WHERE l.channel = e.channel AND e.ts_start <= l.ts_end + {H // 2} AND e.ts_end >= l.ts_start - {H // 2}))"""
+METRICS = """mt AS (SELECT channel, episodes, labels, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(mean_delay_s, 6) AS mean_delay_s FROM (
+SELECT channel, count(*) AS labels, count(*) FILTER (detected) / count(*) AS r, avg(CASE WHEN detected THEN delay_s END) AS mean_delay_s, (SELECT count(*) FROM ep WHERE kind = 'anomaly' AND ep.channel = lo.channel) AS episodes,
+(SELECT count(*) FROM tp WHERE tp.channel = lo.channel) / nullif((SELECT count(*) FROM ep WHERE kind = 'anomaly' AND ep.channel = lo.channel), 0) AS p FROM lo GROUP BY channel)),
+mo AS (SELECT labels, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(mean_delay_s, 6) AS mean_delay_s FROM (
+SELECT count(*) AS labels, count(*) FILTER (detected) / count(*) AS r, avg(CASE WHEN detected THEN delay_s END) AS mean_delay_s,
+(SELECT count(*) FROM tp) / nullif((SELECT count(*) FROM ep WHERE kind = 'anomaly' AND channel IN (SELECT channel FROM lab)), 0) AS p FROM lo))"""
+
+# points that aren't too late for their bucket, with one flush after each packet
+ON_TIME = f"""seen AS (SELECT channel, pkt, max(top) OVER (PARTITION BY channel ORDER BY pkt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT channel, pkt, max(ts) AS top FROM tel GROUP BY 1, 2)),
+sagg AS (SELECT channel, lvl, ts // width * width AS bucket, {BUCKET} FROM tel JOIN seen USING (channel, pkt), lv WHERE val IS NOT NULL AND NOT coalesce(ts // width * width < seen - {6 * H} - width, false) GROUP BY channel, lvl, ts // width * width)"""
+
+# chart cells of 12 hours: gp has the final picks, gt the tail of the last two cells
+CELLS = f"""gc AS (SELECT channel, ts, val, c, dense_rank() OVER (PARTITION BY channel ORDER BY c) AS r, row_number() OVER (PARTITION BY channel, c ORDER BY ts) AS i FROM (SELECT channel, ts, val, ts // {12 * H} AS c FROM tel WHERE val IS NOT NULL)),
+gn AS (SELECT channel, max(r) AS n FROM gc GROUP BY 1),
+gm AS (SELECT channel, r, min(ts) AS base, avg((ts - c * {12 * H})::DOUBLE) + min(c) * {12 * H}::DOUBLE AS ct0, avg(val) AS cx FROM gc GROUP BY 1, 2),
+ge AS (SELECT channel, r, avg(off) AS ct, any_value(cx) AS cx, any_value(base) AS base FROM (SELECT a.channel, a.r, a.base, (g.ts - a.base)::DOUBLE AS off, b.cx FROM gm a JOIN gc g ON g.channel = a.channel AND g.r = a.r + 1 JOIN gm b ON b.channel = a.channel AND b.r = a.r + 1) GROUP BY 1, 2),
+gp AS (SELECT channel, 1::BIGINT AS r, ts, val FROM gc JOIN gn USING (channel) WHERE r = 1 AND i = 1 AND n >= 3
+  UNION ALL SELECT channel, r, ts, val FROM (SELECT g.channel, g.r, g.ts, g.val, row_number() OVER (PARTITION BY g.channel ORDER BY abs(((k.ts - e.base)::DOUBLE - e.ct) * (g.val - k.val) - ((k.ts - e.base)::DOUBLE - (g.ts - e.base)::DOUBLE) * (e.cx - k.val)) DESC, g.ts) AS best
+    FROM gp k JOIN gn ON gn.channel = k.channel AND k.r + 1 <= n - 2 JOIN gc g ON g.channel = k.channel AND g.r = k.r + 1 JOIN ge e ON e.channel = k.channel AND e.r = k.r + 1) WHERE best = 1),
+gl AS (SELECT channel, r, arg_min(ts, (val, ts)) AS lo, arg_min(ts, (-val, ts)) AS hi, max(ts) AS last FROM gc JOIN gn USING (channel) WHERE r > n - 2 GROUP BY 1, 2),
+gt AS (SELECT DISTINCT g.channel, g.ts, g.val FROM gc g JOIN gl ON gl.channel = g.channel AND gl.r = g.r WHERE g.ts IN (lo, hi, last))"""
+
+
+def with_model(rows: str, restarts: bool) -> str:
+    """DIAGNOSIS where ``rows`` have a fixed linear forecaster, sigma 20 and a classifier. With ``restarts``, view begins
+    anew at T0 with another factor, as the channel view+, and those rows' first one has no forecast."""
+    parts = TEL, HAMPEL, FEATURES, ADAPTIVE
+    if restarts:
+        parts = parts[0].replace("SELECT event_type AS channel", f"SELECT CASE WHEN event_type = 'view' AND us >= {T0} THEN 'view+' ELSE event_type END AS channel"), *parts[1:]
+    first = f"AND NOT coalesce(lag(ts) OVER o < {T0}, true)" if restarts else ""
+    pred = f"CASE WHEN {rows} THEN CASE WHEN lag(mean) OVER o IS NOT NULL {first} THEN lag(0.5 * val_f + 0.5 * mean) OVER o END WHEN lag(mean) OVER o IS NOT NULL THEN lag(val_f) OVER o END AS pred"
+    features = parts[2].replace("CASE WHEN lag(mean) OVER o IS NOT NULL THEN lag(val_f) OVER o END AS pred", pred)
+    features = features.replace("SELECT *, abs(val - pred) AS resid FROM pr", f"SELECT *, abs(val - pred) AS resid, CASE WHEN {rows} THEN 1 / (1 + exp(40.0 - std)) END AS prob, {rows} AS fixed FROM pr")
+    assert pred in features and "AS fixed" in features
+    adaptive = parts[3].replace("r.resid, a.n", "r.resid, r.fixed, r.prob, a.n").replace("3 * sqrt(pi() / 2) * a.ema", "CASE WHEN r.channel = 'view+' THEN 4 ELSE 3 END * sqrt(pi() / 2) * a.ema")
+    adaptive = adaptive.replace("CASE WHEN r.resid IS NOT NULL AND a.n >= 100", "CASE WHEN r.fixed THEN CASE WHEN r.resid IS NOT NULL THEN 60.0 END WHEN r.resid IS NOT NULL AND a.n >= 100")
+    adaptive = adaptive.replace("coalesce(t > 0 AND resid > t, false) AS f", "coalesce(t > 0 AND resid > t, false) OR coalesce(prob > 0.5, false) AS f")
+    return f"{parts[0]}, {parts[1]}, {features}, {adaptive}"
+
+
 def sql(select: str, *parts: str, recursive: bool = False) -> str:
     return ("WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(parts) + "\n" if parts else "") + select

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..params import DAY, SECOND
 from ..storage import put
 
 WEEK = 7 * DAY
-UNITS = {"m": 60 * SECOND, "h": 3600 * SECOND, "d": DAY, "w": WEEK}
+UNITS = {"s": SECOND, "m": 60 * SECOND, "h": 3600 * SECOND, "d": DAY, "w": WEEK}
 
 
 def in_range(t_from: int | None, t_to: int | None, ts: str = "ts") -> Column:
@@ -32,8 +34,9 @@ def scan_agg(buckets: DataFrame, channel: str, level: int, t_from: int, t_to: in
     return buckets.where((F.col("channel") == channel) & (F.col("lvl") == level) & in_range(t_from, t_to)).orderBy("ts")
 
 
-def scan_flags(flags: DataFrame, channels: tuple[str, ...], t_from: int, t_to: int, run: str = "online", limit: int = 100_000) -> DataFrame:
-    return flags.where(F.col("channel").isin(*channels) & (F.col("run") == run) & in_range(t_from, t_to)).orderBy("ts", "channel").limit(limit)
+def scan_flags(flags: DataFrame, channels: tuple[str, ...], t_from: int, t_to: int, run: str = "online", limit: int | None = None) -> DataFrame:
+    found = flags.where(F.col("channel").isin(*channels) & (F.col("run") == run) & in_range(t_from, t_to)).orderBy("ts", "channel")
+    return found if limit is None else found.limit(limit)
 
 
 def filter_telemetry(rows: DataFrame, channels: tuple[str, ...] = (), t_from: int | None = None, t_to: int | None = None) -> DataFrame:
@@ -42,8 +45,8 @@ def filter_telemetry(rows: DataFrame, channels: tuple[str, ...] = (), t_from: in
 
 
 def last_period(rows: DataFrame, period: str, end: int | None = None) -> DataFrame:
-    """The newest 30m, 6h, 2d or 1w; without an end, up to the last row."""
-    length = int(period[:-1]) * UNITS[period[-1]]
+    """The newest 30s, 30m, 1.5h, 2d or 1w; without an end, up to the last row."""
+    length = round(Decimal(period[:-1]) * UNITS[period[-1]])
     if end is not None:
         return rows.where(in_range(end - length, end))
     last = rows.agg((F.max("ts") + 1).alias("t_end"))  # one row
@@ -88,9 +91,10 @@ def event_rows(episodes: DataFrame, run: str, model_version: str | None = None)
     return episodes.select("channel", "kind", "ts_start", "ts_end", "n_points", "peak_ts", "peak_value", "score", F.lit(run).alias("run"), F.lit(model_version).cast("string").alias("model_version"), details.alias("details"))
 
 
-def notifications(rows: DataFrame, key: str = "channel") -> DataFrame:
-    """key, value: one JSON message for each row."""
-    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+def notifications(rows: DataFrame, topic: str = "flags", subscribed: tuple[str, ...] | None = None) -> DataFrame:
+    """key, topic (flags, events or alarms), value: one JSON message for each row of a channel somebody subscribed to."""
+    rows = rows if subscribed is None else rows.where(F.col("channel").isin(*subscribed))
+    return rows.select(F.col("channel").alias("key"), F.lit(topic).alias("topic"), F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
 def export_raw(rows: DataFrame) -> DataFrame:

@@ -6,12 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir, which executors and driver share; a local folder only where it is unset."""
+    """A new path under spark.checkpoint.dir, which executors and driver share. Where it is unset, a local folder if the
+    master is local, too; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/s-{uuid.uuid4().hex}"
@@ -27,3 +31,11 @@ def written(df: DataFrame) -> DataFrame:
 def put(df: DataFrame, path: str, *by: str, mode: str = "append") -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def with_columns(schema: StructType, columns: dict[str, str]) -> StructType:
+    """A new schema with columns (name: type) behind; StructType.add changes the frame's own."""
+    found = StructType(list(schema.fields))
+    for name, kind in columns.items():
+        found.add(name, kind)
+    return found

@@ -28,14 +28,25 @@ def stream_source(spark: SparkSession, path: str, schema: T.StructType | str, fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def arrived_in_parts(rows: DataFrame, order: str, parts: int = 4) -> str:
-    """rows as files that came one after another, for tests and replays; returns their folder."""
+PART_ROWS, FILE_ROWS = 1_000_000, 50_000
+
+
+def arrived_in_parts(rows: DataFrame, order: str, parts: int = 4) -> tuple[str, int]:
+    """rows as files that came one part after another, for tests and replays: their folder, and the files of a part.
+
+    There are more parts where rows are many, and a part has as many files as its rows ask for, written by as many
+    tasks. Parts are ranges of ``order``."""
     path = scratch(rows.sparkSession)
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    if n == 0:
+        rows.write.parquet(path)
+        return path, 1
+    parts = max(parts, n // PART_ROWS)
+    files = max(1, n // parts // FILE_ROWS)
     step = (hi - lo) // parts + 1
     for i in range(parts):
-        rows.where((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step)).coalesce(1).write.mode("append").parquet(path)
-    return path
+        rows.where((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step)).repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
 Sink = Callable[[DataFrame, int], None]

@@ -1,7 +1,8 @@
-"""Streams with a state for each channel or rule: diagnostics, chart cells, alarms.
+"""Streams with a state for each channel or rule: diagnostics, levels, episodes, chart cells, alarms.
 
 The states are the same objects that the batch operators walk with, so a stream of batches and one large batch give
-the same rows. Rows of a key are put in time order inside a batch; rows older than the last one handled are left out.
+the same rows. Rows of a key are put in time order inside a batch and handled in steps of bounded size. Lateness and
+closing go by the key's own newest time: a fast channel doesn't make a slow one late.
 """
 
 from __future__ import annotations
@@ -16,20 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.alarms import LOG, LOG_NAMES, Machine, walk
-from ..operators.detect import residual_steps
+from ..operators.alarms import LOG, LOG_NAMES, Alarm, Debounce, walk
+from ..operators.detect import Spread, judged
 from ..operators.downsample import POINT, Cells
-from ..params import ChannelParams
+from ..operators.filters import FEATURES, NAIVE, ChannelModel, diagnosis
+from ..operators.grid import FIELDS
+from ..params import ChannelParams, Grid
 from .run import prepare
 
+STEP = 20_000  # rows of a key that a step handles
+
 Step = Callable[[tuple, Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 
 
 class Folding(StatefulProcessor):
     """step(key, state, rows) -> (state, output) for each key and batch; a state is any value that can be pickled."""
 
-    def __init__(self, step: Step, order: list[str], opening: Callable[[pd.DataFrame], Any] | None = None):
-        self.step, self.order, self.opening = step, order, opening
+    def __init__(self, step: Step, order: list[str], opening: Callable[[pd.DataFrame], Any] | None = None, whole: str | None = None):
+        self.step, self.order, self.opening, self.whole = step, order, opening, whole
 
     def init(self, handle) -> None:
         self.held = handle.getValueState("held", "state binary")
@@ -37,9 +42,12 @@ class Folding(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = pickle.loads(self.held.get()[0]) if self.held.exists() else None
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        state, out = self.step(key, state, pdf)
+        bounds = list(range(0, len(pdf), STEP)) if self.whole is None else _bounds(pdf[self.whole].to_numpy())
+        for at, end in zip(bounds, [*bounds[1:], len(pdf)], strict=True):
+            state, out = self.step(key, state, pdf.iloc[at:end])
+            if len(out):
+                yield out
         self.held.update((pickle.dumps(state),))
-        yield out
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         if self.opening is not None and len(initialState):
@@ -49,56 +57,138 @@ class Folding(StatefulProcessor):
         pass
 
 
-def folded(rows: DataFrame, key: str, step: Step, order: list[str], schema: str, initial: DataFrame | None = None, opening=None) -> DataFrame:
+def _bounds(values: np.ndarray) -> list[int]:
+    """Where steps of about STEP rows begin that don't part equal values."""
+    new = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return sorted({int(new[np.searchsorted(new, at)]) for at in range(0, len(values), STEP) if at <= new[-1]})
+
+
+def folded(rows: DataFrame, key: str, step: Step, order: list[str], schema: str, initial: DataFrame | None = None, opening=None, whole: str | None = None) -> DataFrame:
+    """``whole``: a column whose equal values stay in one step."""
     prepare(rows.sparkSession)
     return rows.groupBy(key).transformWithStateInPandas(
-        Folding(step, order, opening), outputStructType=schema, outputMode="Append", timeMode="None", initialState=initial.groupBy(key) if initial is not None else None
+        Folding(step, order, opening, whole), outputStructType=schema, outputMode="Append", timeMode="None", initialState=initial.groupBy(key) if initial is not None else None
     )
 
 
-def diagnose(ts: np.ndarray, x: np.ndarray, p: ChannelParams) -> dict[str, np.ndarray]:
-    """Filter, forecast and residual of rows in order; what a full window lacks is as at a channel's start."""
-    n, w = len(x), p.hampel_window
-    padded = np.concatenate([np.full(w - 1, np.nan), x])
-    view = np.lib.stride_tricks.sliding_window_view(padded, w) if n else np.empty((0, w))
-    median = np.nanmedian(view, axis=1) if n else np.empty(0)
-    sigma = 1.4826 * np.nanmedian(np.abs(view - median[:, None]), axis=1) if n else np.empty(0)
-    limit = np.maximum(sigma, p.hampel_min_sigma)
-    full = np.arange(n) >= w - 1
-    hit = full & (limit > 0) & (np.abs(x - median) > p.hampel_kappa * limit)
-    x_f = np.where(hit, median, x)
-    pred = np.full(n, np.nan)
-    ready = np.arange(n) >= p.feature_window  # the row before had a full window of filtered values
-    pred[1:] = x_f[:-1]
-    pred[~ready] = np.nan
-    return {"val_f": x_f, "median": median, "substituted": hit, "pred": pred, "resid": np.abs(x - pred)}
-
-
-DIAGNOSIS = "channel string, ts long, val double, val_f double, median double, substituted boolean, pred double, resid double, thr double, anomaly boolean"
+DIAGNOSIS = (
+    "channel string, ts long, val double, val_f double, median double, substituted boolean, " + ", ".join(f"{c} double" for c in FEATURES)
+    + ", pred double, resid double, prob double, thr double, anomaly boolean, prob_ratio double"
+)
+#: Parameters and model of a channel, as one version; a higher version replaces them while a stream runs.
+Setup = tuple[ChannelParams, ChannelModel]
 
 
-def stream_diagnostics(valid: DataFrame, params: dict[str, ChannelParams] | None = None, p: ChannelParams = ChannelParams()) -> DataFrame:
-    """The channel pipeline on a stream of valid rows (channel, ts, val).
+def stream_diagnostics(valid: DataFrame, setups: Callable[[str], Setup] | None = None, p: ChannelParams = ChannelParams()) -> DataFrame:
+    """The channel pipeline on a stream of valid rows (channel, ts, val, and maybe ``version``).
 
-    A channel whose parameters changed since its last batch starts anew; the others go on (reload of parameters)."""
+    ``setups`` gives what holds for a channel and, if rows have a version, is called with (channel, version); the
+    version of the newest row of a step holds for the whole step. Where a channel's parameters changed since its last
+    step, it starts anew. Where only its model changed, filter and features go on, and the spread of residuals starts
+    anew, without a forecast for the first row. Other channels go on. Rows not newer than a channel's last are left
+    out."""
+    versioned = "version" in valid.columns
     reach = lambda q: q.hampel_window - 1 + q.feature_window
 
-    def step(key, state, pdf):
-        own = (params or {}).get(key[0], p)
-        seen_t, seen_x, residual, used = state or (np.empty(0, np.int64), np.empty(0), (0, 0.0), own)
+    def one(key, state, pdf, version):
+        own, model = (p, NAIVE) if setups is None else setups(key[0], version) if versioned else setups(key[0])
+        seen_t, seen_x, spread, used, name = state or (np.empty(0, np.int64), np.empty(0), Spread(own.warm_up), own, model.version)
+        restarted = False
         if used != own:
-            seen_t, seen_x, residual = np.empty(0, np.int64), np.empty(0), (0, 0.0)
+            seen_t, seen_x, spread = np.empty(0, np.int64), np.empty(0), Spread(own.warm_up)
+        elif name != model.version:
+            spread, restarted = Spread(own.warm_up), True
         pdf = pdf[pdf.ts > (seen_t[-1] if len(seen_t) else -(2**62))]
         t, x = np.concatenate([seen_t, pdf.ts.to_numpy(np.int64)]), np.concatenate([seen_x, pdf.val.to_numpy(float)])
-        found = {k: v[len(seen_t) :] for k, v in diagnose(t, x, own).items()}
-        thr, flag, residual = residual_steps(found["resid"], residual, own.residual_k, own.warm_up)
-        out = pd.DataFrame({"channel": key[0], "ts": t[len(seen_t) :], "val": x[len(seen_t) :], **found, "thr": thr, "anomaly": flag})
-        for c in ("pred", "resid", "thr"):
-            out[c] = out[c].astype("Float64").mask(out[c].isna())
+        found = {k: v[len(seen_t) :] for k, v in diagnosis(t, x, own, model).items() if k != "sigma"}
+        if restarted and len(pdf):
+            found["pred"][0] = found["resid"][0] = np.nan
+        found |= judged(found, spread, own, model)
+        out = pd.DataFrame({"channel": key[0], "ts": t[len(seen_t) :], "val": x[len(seen_t) :]} | {c: a if a.dtype == bool else pd.array(a, "Float64") for c, a in found.items()})
         keep = reach(own)
-        return (t[-keep:], x[-keep:], residual, own), out
+        return (t[-keep:], x[-keep:], spread, own, model.version), out
+
+    def step(key, state, pdf):
+        if not versioned:
+            return one(key, state, pdf, 0)
+        outs = []
+        for version, part in pdf.groupby(pdf.version.cummax(), sort=True):
+            state, out = one(key, state, part, int(version))
+            outs.append(out)
+        return state, pd.concat(outs)
+
+    columns = ["channel", "ts", "val", *(["version"] if versioned else [])]
+    return folded(valid.select(*columns), "channel", step, ["ts"], DIAGNOSIS)
 
-    return folded(valid.select("channel", "ts", "val"), "channel", step, ["ts"], DIAGNOSIS)
+
+LEVELS = "channel string, lvl int, bucket long, " + ", ".join(f"{c} {'long' if c[0] == 't' or c == 'cnt' else 'double'}" for c in FIELDS) + ", dropped long"
+
+
+def stream_aggregate(rows: DataFrame, grid: Grid, late: int) -> DataFrame:
+    """Buckets of all levels of a stream of rows (channel, ts, val, pkt), as they are after each batch (update mode),
+    and of each level a row with a null bucket and ``dropped``, the points so far that came too late for it.
+
+    After each packet, buckets that end ``late`` before the channel's newest time are closed and leave the state; a
+    point for a closed bucket is dropped and counted. Lateness is the channel's own."""
+    widths = [grid.width(i) for i in range(grid.levels)]
+
+    def step(key, state, pdf):
+        newest, dropped, opened = state or (None, [0] * grid.levels, {})
+        dirty: dict[tuple[int, int], list] = {}
+        for _, packet in pdf.groupby("pkt", sort=True):
+            t, x = packet.ts.to_numpy(np.int64), packet.val.to_numpy(float)
+            for lvl, width in enumerate(widths):
+                bucket = t // width * width
+                fine = bucket >= (newest - late - width if newest is not None else -(2**62))
+                dropped[lvl] += int((~fine).sum())
+                part = pd.DataFrame({"b": bucket[fine], "t": t[fine], "x": x[fine]}).dropna(subset="x")
+                for b, own in part.groupby("b", sort=True):
+                    held = opened.get((lvl, b))
+                    tt, xx = own.t.to_numpy(), own.x.to_numpy()
+                    order = np.argsort(tt, kind="stable")
+                    tt, xx = tt[order], xx[order]
+                    lo, hi = int(xx.argmin()), int(xx.argmax())
+                    new = [xx[lo], tt[lo], xx[hi], tt[hi], xx[0], tt[0], xx[-1], tt[-1], xx.sum(), len(xx)]
+                    opened[lvl, b] = dirty[lvl, b] = new if held is None else _merged(held, new)
+            newest = max(int(t.max()), newest) if newest is not None else int(t.max())
+            opened = {k: v for k, v in opened.items() if k[1] >= newest - late - widths[k[0]]}
+        out = [(key[0], lvl, b, *v, None) for (lvl, b), v in dirty.items()] + [(key[0], lvl, None, *[None] * len(FIELDS), n) for lvl, n in enumerate(dropped)]
+        return (newest, dropped, opened), pd.DataFrame(out, columns=["channel", "lvl", "bucket", *FIELDS, "dropped"]).astype({c: "Int64" for c in ("bucket", "tmin", "tmax", "tfirst", "tlast", "cnt", "dropped")})
+
+    return folded(rows.select("channel", "ts", "val", "pkt"), "channel", step, ["pkt", "ts"], LEVELS, whole="pkt")
+
+
+def _merged(a: list, b: list) -> list:
+    """One bucket from two: of equal extremes the earliest, of equal times at the ends the first that came."""
+    low, high = min(a[:2], b[:2]), min((-a[2], a[3]), (-b[2], b[3]))
+    first, last = min(a[4:6], b[4:6], key=lambda p: p[1]), max(a[6:8], b[6:8], key=lambda p: p[1])
+    return [*low, -high[0], high[1], *first, *last, a[8] + b[8], a[9] + b[9]]
+
+
+EPISODE = "channel string, kind string, ts_start long, ts_end long, n_points long, peak_ts long, peak_value double, score double"
+
+
+def stream_episodes(flags: DataFrame, gap: int) -> DataFrame:
+    """Closed episodes of a stream of points (channel, ts, and kind, val, score where flagged, else null kind). An
+    episode is closed by a point of its channel more than ``gap`` after its last flag. A flag that comes after its
+    episode was closed begins a new one."""
+
+    def step(key, state, pdf):
+        opened, out = state or {}, []
+        for kind, ts, val, score in zip(pdf.kind, pdf.ts.tolist(), pdf.val, pdf.score, strict=True):
+            for k in [k for k, e in opened.items() if ts - e[1] > gap]:
+                out.append((key[0], k, *opened.pop(k)))
+            if kind is None or kind != kind:
+                continue
+            held = opened.get(kind)
+            if held is None:
+                opened[kind] = (ts, ts, 1, ts, val, score)
+            else:
+                peak = held[3:] if score <= held[5] else (ts, val, score)
+                opened[kind] = (held[0], ts, held[2] + 1, *peak)
+        return opened, pd.DataFrame(out, columns=[x.split()[0] for x in EPISODE.split(", ")])
+
+    return folded(flags.select("channel", "ts", "kind", "val", "score"), "channel", step, ["ts"], EPISODE)
 
 
 def stream_grid_lttb(rows: DataFrame, width: int) -> DataFrame:
@@ -120,11 +210,11 @@ def stream_alarms(inputs: DataFrame, opened: DataFrame | None = None) -> DataFra
     condition, last_on) are occurrences that were unfinished when the stream was first started."""
 
     def step(key, state, pdf):
-        machine = state or Machine()
-        return machine, pd.DataFrame(walk(machine, pdf), columns=LOG_NAMES)
+        alarm = state or Alarm()
+        return alarm, pd.DataFrame(walk(alarm, pdf), columns=LOG_NAMES)
 
     def opening(pdf):
         row = pdf.iloc[0]
-        return Machine(row.state, bool(row.condition), None, None if pd.isna(row.last_on) else int(row.last_on))
+        return Alarm(row.state, Debounce(bool(row.condition), None, None if pd.isna(row.last_on) else int(row.last_on)))
 
     return folded(inputs, "rule_id", step, ["ts", "is_ack", "user"], LOG, opened, opening)

@@ -1,47 +1,29 @@
-"""Streams that need no state of their own: ingest, levels, last values, sessions, re-deliveries."""
+"""Streams without a state of their own: ingest, last values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.grid import POINTS, flat
-from ..params import Grid
+from ..operators.ingest import quality_with_registry
+from ..params import TS_MAX, TS_MIN
 from ..sources.files import explode_packets, parse_packet_json
 
 
-def stream_ingest(lines: DataFrame, ingested: int = 0) -> DataFrame:
-    """Rows of packets as they come, with t_ing; packets that can't be read are left out (see parse_packet_json).
-    In-packet duplicates are dropped by the sink, which keeps the last."""
-    good, _ = parse_packet_json(lines)
-    rows, _ = explode_packets(good)
-    return rows.withColumn("t_ing", F.lit(ingested).cast("long"))
-
+def stream_ingest(lines: DataFrame, registry: DataFrame, ingested: Column | None = None) -> DataFrame:
+    """Rows of packets as they come, with quality by the registry (a static table) and t_ing, the time of ingest.
 
-def stream_aggregate(rows: DataFrame, grid: Grid, late: int) -> DataFrame:
-    """Buckets of all levels in update mode: a branch for each level, as each has its own horizon. Grouping is by
-    event-time windows, so closed buckets leave the state; later points for them are dropped."""
-    timed = rows.where(F.col("val").isNotNull()).withColumn("t", F.timestamp_micros("ts")).withWatermark("t", f"{late} microseconds")
-    branches = None
-    for lvl in range(grid.levels):
-        one = timed.select("channel", "ts", "val", F.lit(lvl).alias("lvl"), F.window("t", f"{grid.width(lvl)} microseconds").alias("w"))
-        branches = one if branches is None else branches.unionByName(one)
-    v, t = F.col("val"), F.col("ts")
-    points = [f(v, t).alias(n) for n, f in POINTS.items()]
-    out = branches.groupBy("channel", "lvl", "w").agg(*points, F.sum(v).alias("vsum"), F.count("*").alias("cnt"))
-    return flat(out.withColumn("bucket", F.unix_micros("w.start")), "channel", "lvl", "bucket")
+    Packets that can't be read are left out (see parse_packet_json), and so is a packet's batch of a channel that has
+    a time outside 2000 to 2100. In-packet duplicates are dropped by the sink, which keeps the last."""
+    good, _ = parse_packet_json(lines)
+    fine = F.filter("packet.channels", lambda c: (F.array_min(c["ts"]) >= TS_MIN) & (F.array_max(c["ts"]) <= TS_MAX))
+    rows, _ = explode_packets(good.withColumn("packet", F.col("packet").withField("channels", fine)))
+    stamp = F.unix_micros(F.current_timestamp()) if ingested is None else ingested
+    return quality_with_registry(rows, F.broadcast(registry.select("channel", "x_min", "x_max"))).withColumn("t_ing", stamp)
 
 
 def stream_last_wm(rows: DataFrame) -> DataFrame:
-    """Last value by arrival and watermark of each channel (complete or update mode)."""
-    last = F.max_by(F.struct("ts", "val"), "arrival").alias("p")
+    """Last value and watermark of each channel (complete or update mode): the newest of the last packet, even if an
+    earlier packet had a newer time; the watermark is the newest of all."""
+    last = F.max_by(F.struct("ts", "val"), F.struct("pkt", "ts", "arrival")).alias("p")
     return rows.groupBy("channel").agg(last, F.max("ts").alias("watermark")).select("channel", "p.ts", "p.val", "watermark")
-
-
-def stream_episodes(flags: DataFrame, gap: int, late: int) -> DataFrame:
-    """Closed episodes of flags (channel, kind, ts, val, score), given out once the watermark has passed their gap."""
-    timed = flags.withColumn("t", F.timestamp_micros("ts")).withWatermark("t", f"{late} microseconds")
-    peak = F.max(F.struct("score", (-F.col("ts")).alias("u"), "val")).alias("p")
-    grouped = timed.groupBy("channel", "kind", F.session_window("t", f"{gap} microseconds").alias("s"))
-    out = grouped.agg(F.min("ts").alias("ts_start"), F.max("ts").alias("ts_end"), F.count("*").alias("n_points"), peak)
-    return out.select("channel", "kind", "ts_start", "ts_end", "n_points", (-F.col("p.u")).alias("peak_ts"), F.col("p.val").alias("peak_value"), F.col("p.score").alias("score"))

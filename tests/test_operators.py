@@ -1,10 +1,13 @@
 """Operators against plain loops: chunks against whole channels, extremes kept, streams against batches."""
 
+import itertools
 import math
 import random
 import statistics
+import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,8 +18,10 @@ from chronoloom.operators import filters as H
 from chronoloom.operators import grid as G
 from chronoloom.operators import ingest as I
 from chronoloom.operators import ml as ML
+from chronoloom.operators import prefix as P
 from chronoloom.params import ChannelParams, Grid
 from chronoloom.plans import catalog
+from chronoloom.sources import archive as AR
 from chronoloom.sources import files as FI
 from chronoloom.streaming import run as SR
 from chronoloom.streaming import stateful as SF
@@ -129,79 +134,215 @@ def test_spike_becomes_episode(spark, wave):
 
 def test_stream_equals_batch(spark, wave):
     p = ChannelParams(chunk=300 * S)
-    path = SR.arrived_in_parts(wave, "ts", 5)
-    stream = SR.collected(SF.stream_diagnostics(SR.stream_source(spark, path, wave.schema), p=p)).drop("batch_id", "median")
+    path, files = SR.arrived_in_parts(wave, "ts", 5)
+    stream = SR.collected(SF.stream_diagnostics(SR.stream_source(spark, path, wave.schema, files), p=p)).drop("batch_id", "median", *H.FEATURES)
     batch = D.channel_pipeline(wave, p).drop("median").select(stream.columns)
     doubles = [c for c, t in batch.dtypes if t == "double"]
     a, b = (df.withColumns({c: F.round(c, 9) for c in doubles}) for df in (stream, batch))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def rule(**kw):
-    from types import SimpleNamespace
+RULE = {"rule_id": 1, "channel": "c", "kind": "hihi", "limit": 40.0, "deadband": 0.0, "on_delay": 0, "off_delay": 0, "min_repeat": 0, "anomaly": False, "user": None}
 
-    return SimpleNamespace(**({"kind": "hi", "limit": 10.0, "deadband": 0.0, "on_delay": 0, "off_delay": 0, "min_repeat": 0} | kw))
 
+def alarm_log(steps, batches=1, **kw):
+    """Transitions and states of one rule over (ts, value or 'ack')."""
+    rows = pd.DataFrame([RULE | kw | {"ts": t, "value": None if v == "ack" else v, "is_ack": int(v == "ack"), "user": "me" if v == "ack" else None} for t, v in steps])
+    alarm, out = A.Alarm(), []
+    for part in np.array_split(np.arange(len(rows)), batches):
+        out += A.walk(alarm, rows.iloc[part]) if len(part) else []
+    return [(t, what, after) for _, _, t, what, _, after, _, _ in out]
 
-def test_alarm_deadband():
-    m, r = A.Machine(), rule(deadband=1.0)
-    steps = [(m.reading(r, i, v, False), m.state) for i, v in enumerate((9.0, 10.5, 9.5, 8.9))]
-    assert steps == [(None, "normal"), ("activated", "unack_active"), (None, "unack_active"), ("returned", "unack_rtn")]
-    assert m.acknowledge() == "acknowledged" and m.state == "normal"
 
+@pytest.mark.parametrize("batches", [1, 3, 20])
+def test_alarm_life_cycle(batches):
+    steps = [(0, 39.0), (4, 44.0), (6, 37.5), (7, None), (9, 36.0), (11, "ack"), (12, 41.0), (15, "ack"), (20, 30.0), (21, "ack")]
+    assert alarm_log(steps, batches, deadband=3.0) == [
+        (4, "activated", "unack_active"), (9, "returned", "unack_rtn"), (11, "acknowledged", "normal"), (12, "activated", "unack_active"),
+        (15, "acknowledged", "ack_active"), (20, "returned", "normal"),
+    ]
 
-def test_alarm_delay():
-    m, r = A.Machine(), rule(kind="lo", limit=0.0, on_delay=3)
-    assert [m.reading(r, t, -1.0, False) for t in (10, 12, 13)] == [None, None, "activated"]
-    m.acknowledge()
-    assert m.state == "ack_active" and m.reading(r, 14, 1.0, False) == "returned" and m.state == "normal"
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_alarm_delays_and_repeat(batches):
+    low = {"kind": "lolo", "limit": -5.0, "on_delay": 6, "off_delay": 2, "min_repeat": 30}
+    steps = [(0, -7.0), (3, -4.0), (5, -8.0), (9, -8.0), (11, -9.0), (12, 0.0), (14, 0.0), (20, -9.0), (30, -9.0), (40, -9.0), (41, -9.0)]
+    assert alarm_log(steps, batches, **low) == [(11, "activated", "unack_active"), (14, "returned", "unack_rtn"), (41, "activated", "unack_active")]
+
+
+def test_alarm_machine_against_loop():
+    """The jumps over runs against one reading at a time."""
+    rng = random.Random(9)
+    for _ in range(300):
+        times = list(itertools.accumulate(rng.choice((1, 2, 7)) for _ in range(30)))
+        steps = [(t, rng.choice((None, 36.0, 38.0, 40.0, 42.0))) for t in times]
+        kw = {"deadband": rng.choice((0.0, 3.0)), "on_delay": rng.choice((0, 4)), "off_delay": rng.choice((0, 5)), "min_repeat": rng.choice((0, 20))}
+        on, called, last, want = False, None, None, []
+        for t, v in steps:
+            aim = on if v is None else v > 40.0 - (kw["deadband"] if on else 0)
+            called = None if aim == on else t if called is None else called
+            if called is None or t - called < kw["on_delay" if aim else "off_delay"] or (aim and last is not None and t - last < kw["min_repeat"]):
+                continue
+            on, called, last = aim, None, t if aim else last
+            want.append((t, aim))
+        rows = pd.DataFrame([RULE | kw | {"ts": t, "value": v} for t, v in steps])
+        found = A.Debounce().turns(rows.ts.to_numpy(), A.calls_of(rows), {True: kw["on_delay"], False: kw["off_delay"]}, kw["min_repeat"])
+        assert [(times[i], c) for i, c in found] == want
 
 
 def test_packet_vector(spark):
-    t0 = 1_735_689_600_000_000
-    body = '{"seq":1,"source":"t","sent_at":0,"channels":[{"id":"a","ts":[%d,%d,%d,%d],"val":[1,null,50,2],"nd":[false,false,false,true],"otkl":null}]}' % (t0 + 2 * S, t0, t0 + S, t0 + S)
-    lines = spark.createDataFrame([(body,), ("not json",), ('{"seq":2,"source":"t","sent_at":0,"channels":[{"id":"a","ts":[1,2],"val":[1]}]}',)], "body string")
+    # fixed values: the times' order and the counts of one packet that the survey prescribes (ts 2, 0, 1, 1: 3, 1, 4)
+    t0 = 1_577_836_800_000_000
+    body = '{"seq":1,"source":"s","sent_at":0,"channels":[{"id":"flow","ts":[%d,%d,%d,%d],"val":[7,null,8,9],"nd":[false,false,true,false],"otkl":null}]}' % (t0 + 2 * S, t0, t0 + S, t0 + S)
+    lines = spark.createDataFrame([(body,), ("{",), ('{"seq":2,"source":"s","sent_at":0,"channels":[{"id":"flow","ts":[5,6],"val":[1]}]}',)], "body string")
     good, bad = FI.parse_packet_json(lines)
     rows, rejected = FI.explode_packets(good)
     assert bad.count() == 1 and rejected.first().seq == 2
-    ack = I.packet_ack(rows.withColumnRenamed("seq", "pkt"), spark.createDataFrame([], "channel string")).first()
-    assert (ack.accepted, ack.rejected, ack.reordered, ack.errors, ack.new_channels) == (3, 1, 4, 0, 1)
-    seconds = rows.withColumnRenamed("seq", "pkt").withColumn("ts", F.lit(123).cast("long"))
-    ack = I.packet_ack(seconds, spark.createDataFrame([("a",)], "channel string")).first()
-    assert (ack.accepted, ack.rejected, ack.errors, ack.new_channels) == (0, 4, 1, 0)
+    rows = rows.withColumnRenamed("seq", "pkt")
+    again = rows.unionByName(rows.withColumn("pkt", F.lit(5).cast("long"))).unionByName(rows.withColumn("pkt", F.lit(9).cast("long")).withColumn("ts", F.lit(77).cast("long")))
+    acks = {r.pkt: (r.accepted, r.rejected, r.reordered, r.errors, r.new_channels) for r in I.packet_ack(again, spark.createDataFrame([], "channel string")).collect()}
+    assert acks == {1: (3, 1, 4, [], ["flow"]), 5: (3, 1, 4, [], []), 9: (0, 4, 0, ["flow: times out of range"], [])}
+    known = I.packet_ack(rows, spark.createDataFrame([("flow",)], "channel string")).first()
+    assert known.new_channels == []
+
+
+def test_last_value_is_of_the_last_packet(spark):
+    rows = spark.createDataFrame([("c", 1, 0, 50, 1.0), ("c", 2, 1, 40, 2.0), ("c", 2, 2, 30, 3.0), ("c", 2, 3, 40, 4.0)], "channel string, pkt long, arrival long, ts long, val double")
+    row = I.last_values(rows.withColumn("quality", F.lit("good"))).first()
+    assert (row.ts, row.val) == (40, 4.0)
+
+
+def test_late_cell_between_open_ones_is_kept():
+    cells = L.Cells(10)
+    assert not list(cells.push(5, 1.0)) and not list(cells.push(25, 2.0))
+    assert list(cells.push(15, 3.0)) == [(5, 1.0)] and list(cells.push(7, 9.0)) == []
+    assert [number for number, _, _ in cells.open] == [1, 2]
+
+
+def test_periods(spark):
+    rows = spark.range(0, 200).select((F.col("id") * S).alias("ts"))
+    assert AR.last_period(rows, "30s").count() == 30 and AR.last_period(rows, "1.5m").count() == 90 and AR.last_period(rows, "1w").count() == 200
+
+
+def test_prefix_windows_do_not_depend_on_chunks(spark, wave):
+    rows = wave.withColumn("value", F.when(F.col("ts") % 7 != 0, F.round("val", 1)))
+    for chunk in (20 * S, 10**15):
+        part = P.chunked(rows, F.col("ts"), chunk)
+        out = P.number(part, ("channel",), "ts", "n")
+        out = P.largest_before(out, ("channel",), "ts", "val", "top")
+        out = P.last_known(P.sum_so_far(out, ("channel",), "ts", "n", "total"), ("channel",), "ts", "value", "known")
+        out = P.following(P.preceding(out, ("channel",), "ts", "value", "before"), ("channel",), "ts", "value", "after").cache()
+        for c in ("a", "b"):
+            found = sorted(out.where(F.col("channel") == c).collect(), key=lambda r: r.ts)
+            known = None
+            for i, r in enumerate(found):
+                known = r.value if r.value is not None else known
+                assert (r.n, r.total, r.known) == (i, i * (i + 1) // 2, known)
+                assert r.top == (max(x.val for x in found[:i]) if i else None)
+                assert (r.before is None) == (i == 0) and (i == 0 or r.before.value == found[i - 1].value)
+                assert r.after == (found[i + 1].value if i + 1 < len(found) else None)
+
+
+def test_stream_lateness_is_the_channels_own(spark):
+    fast = [("fast", p, 1000 * S + p * S, 1.0) for p in range(20)]
+    slow = [("slow", p, p * S, 1.0) for p in range(20)] + [("slow", 20, 500 * S, 1.0), ("slow", 21, 3 * S, 1.0)]
+    rows = spark.createDataFrame(fast + slow, "channel string, pkt long, ts long, val double")
+    path, files = SR.arrived_in_parts(rows, "pkt", 5)
+    out = SR.collected(SF.stream_aggregate(SR.stream_source(spark, path, rows.schema, files), Grid(S, 4, 2, 16), 30 * S))
+    dropped = {(r.channel, r.lvl): r.dropped for r in SR.newest(out.where("bucket is null"), "channel", "lvl").collect()}
+    assert dropped == {("fast", 0): 0, ("fast", 1): 0, ("slow", 0): 1, ("slow", 1): 1}
+    kept = SR.newest(out.where("bucket is not null and lvl = 0"), "channel", "bucket").groupBy("channel").agg(F.sum("cnt").alias("n")).collect()
+    assert {r.channel: r.n for r in kept} == {"fast": 20, "slow": 21}
+
+
+def stubs():
+    """A fixed linear forecaster and a fixed classifier; nested, so that workers needn't import this file."""
+
+    def half_way(x):
+        return 0.5 * x[:, 0] + 0.5 * x[:, 1]
+
+    def odds(x):
+        return 1 / (1 + np.exp(-4 * x[:, 2]))
+
+    return half_way, odds
+
+
+def test_models_in_the_pipeline_against_loop(spark, wave):
+    """A fixed linear forecaster and a classifier, one row at a time."""
+    p = ChannelParams(hampel_window=5, feature_window=6, chunk=90 * S)
+    model = H.ChannelModel(stubs()[0], 0.08, stubs()[1], 0.6, "stub")
+    got = {(r.channel, r.ts): r for r in D.channel_pipeline(wave, p, {"a": model}).collect()}
+    naive = {(r.channel, r.ts): r for r in D.channel_pipeline(wave, p).collect()}
+    rows = sorted(wave.where("channel = 'a'").collect(), key=lambda r: r.ts)
+    x, x_f = [r.val for r in rows], []
+    ahead, ratios = None, 0
+    for i, r in enumerate(rows):
+        w = x[max(0, i - 4) : i + 1]
+        median = statistics.median(w)
+        sigma = 1.4826 * statistics.median([abs(v - median) for v in w])
+        x_f.append(median if len(w) == 5 and sigma > 0 and abs(x[i] - median) > 3 * sigma else x[i])
+        found, prob = got["a", r.ts], None
+        flag = ahead is not None and abs(x[i] - ahead) > 3 * 0.08
+        assert (found.pred is None) == (ahead is None) and (ahead is None or abs(found.pred - ahead) < 1e-9)
+        ahead = None
+        if i >= 5:
+            frame = x_f[i - 5 :]
+            ahead = 0.5 * x_f[i] + 0.5 * statistics.mean(frame)
+            prob = 1 / (1 + math.exp(-4 * statistics.pstdev(frame)))
+            assert abs(found.prob - prob) < 1e-9
+        assert found.anomaly == (flag or (prob is not None and prob > 0.6))
+        ratios += found.prob_ratio is not None
+    assert ratios > 0 and all(got[k] == naive[k] for k in naive if k[0] == "b")
+
+
+def test_model_change_keeps_filters_and_resets_residuals(spark, wave):
+    p = ChannelParams(hampel_window=5, feature_window=6, warm_up=50)
+    model = H.ChannelModel(stubs()[0], 0.08, version="stub")
+    cut = 600 * S
+    rows = wave.withColumn("version", (F.col("ts") >= cut).cast("int"))
+    path, files = SR.arrived_in_parts(rows, "ts", 5)
+    setups = lambda c, v: (p, model if c == "a" and v else H.NAIVE)
+    out = {(r.channel, r.ts): r for r in SR.collected(SF.stream_diagnostics(SR.stream_source(spark, path, rows.schema, files), setups, p)).collect()}
+    before, after = ({(r.channel, r.ts): r for r in D.channel_pipeline(wave, p, m).collect()} for m in (None, {"a": model}))
+    first = min(t for c, t in out if c == "a" and t >= cut)
+    for (c, t), r in out.items():
+        want = after[c, t] if c == "a" and t >= cut else before[c, t]
+        assert (r.val_f, r.substituted) == (want.val_f, want.substituted)
+        assert r.pred is None if (c, t) == ("a", first) else r.pred == want.pred and r.anomaly == want.anomaly
 
 
 def test_models_of_each_channel(spark, wave):
     p = ChannelParams(hampel_window=5, feature_window=6)
     two = wave.withColumn("val", F.when(F.col("channel") == "b", 9 * F.col("val") + 100).otherwise(F.col("val")))
     rows = H.diagnosed(two, p).cache()
-    fits = ML.train_forecasters(rows, p, trees=2, depth=2)
-    assert set(fits) == {"a", "b"} and 0 < fits["a"].sigma < fits["b"].sigma
-    got = ML.predict_forecasters(rows, fits).groupBy("channel").count().collect()
-    want = rows.where("mean is not null").groupBy("channel").count().collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
-    flagged = H.residual_fixed_sigma(rows, 20.0, 3.0)
-    flagged = flagged.withColumnRenamed("anomaly", "residual_flag").withColumn("label", F.col("substituted").cast("double")).where("mean is not null")
-    assert sorted(map(tuple, ML.classified(flagged, "label", 0.5, trees=2, depth=2).groupBy("channel").count().collect())) == sorted(map(tuple, want))
-
-
-def test_model_queries_take_all_channels_and_defaults(spark, sf, monkeypatch):
-    seen = {}
-
-    class Stop(Exception):
-        pass
-
-    def record(kind):
-        def f(rows, *args, **fit):
-            seen[kind] = (set(ML.channels_of(rows)), fit)
-            raise Stop
-
-        return f
-
-    monkeypatch.setattr(ML, "train_forecasters", record("forecast"))
-    monkeypatch.setattr(ML, "classified", record("classify"))
-    for name in ("train_forecaster", "predict_classifier"):
-        with pytest.raises(Stop):
-            catalog.QUERIES[name](spark, sf)
-    every = {r.event_type for r in spark.read.parquet(sf + "/events.parquet").select("event_type").distinct().collect()}
-    assert seen == {"forecast": (every, {}), "classify": (every, {})} and len(every) > 1
+    models, metrics = ML.train_forecasters(rows, p, trees=20, depth=3)
+    found = {r.channel: r for r in metrics.collect()}
+    assert set(models) == set(found) == {"a", "b"} and 0 < models["a"].sigma < models["b"].sigma
+    gains = [r.gain for r in found.values()]
+    assert min(gains) > 0 and all(r.n_train > 2 * r.n_val > 0 for r in found.values()), gains  # better than no change
+    # the spread is that of raw next values, a channel at a time
+    split = H.chronological_split(H.increment_target(rows, p), 6).where("part = 'val' and channel = 'a'")
+    r = [x.next_val - x.pred_next for x in ML.predict_forecasters(split, models).collect()]
+    m = statistics.median(r)
+    assert abs(models["a"].sigma - 1.4826 * statistics.median([abs(v - m) for v in r])) < 1e-9
+    got = ML.predict_forecasters(rows, models).groupBy("channel").count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rows.where("mean is not null").groupBy("channel").count().collect()))
+    flagged = H.residual_fixed_sigma(rows, 0.2, 3.0).withColumnRenamed("anomaly", "residual_flag").drop("prob")
+    flagged = flagged.withColumn("label", (F.col("std") > F.when(F.col("channel") == "a", 0.4).otherwise(3.6)).cast("double")).cache()
+    judged = ML.predict_classifiers(flagged, ML.train_classifiers(flagged.where("ts < 4000000000"), "label", 0.5)).where("mean is not null and ts >= 4000000000")
+    right = judged.agg(F.avg(((F.col("prob") > 0.5) == (F.col("label") == 1)).cast("double"))).first()[0]
+    assert right > 0.97 and judged.where("anomaly and score is null").isEmpty()
+
+
+def test_no_models(spark, wave):
+    none = H.diagnosed(wave.limit(3))
+    models, metrics = ML.train_forecasters(none)
+    assert models == {} and metrics.count() == 0 and ML.predict_forecasters(none, models).count() == 0
+
+
+def test_entry_without_corpus_subpackage(monkeypatch):
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    monkeypatch.setitem(sys.modules, "chronoloom.llm", None)
+    assert set(entry.queries()) == set(catalog.QUERIES) <= whole and set(entry.oracle_sql()) == set(catalog.SQL)
