@@ -2,8 +2,7 @@
 
 Every stage takes what the stage before it kept and decides about all of it. Stages return the columns of documents,
 but the last, which returns the packed pieces. Null or empty texts pass through every stage as empty documents (the
-quality stage judges them like any other); a row that repeats a doc_id shares the fate of that doc_id in the
-near-duplicate stage and is judged by its own text elsewhere.
+quality stage judges them like any other). Rows that repeat a doc_id are documents of their own in every stage.
 """
 
 from __future__ import annotations
@@ -26,26 +25,34 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group whose sets of five-word shingles are 0.8 alike."""
-    groups = neardup.near_duplicates(docs, width=5)
-    gone = materialize(groups.where(~F.col("kept")).select(F.col("doc_id").alias("p_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["p_gone"], "left_anti")
+    """One row of each group whose sets of five-word shingles are 0.8 alike: the one with the smallest doc_id, of equal
+    ones the first. A null doc_id counts as larger than all others."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("p_doc"), docs["doc_id"].alias("p_id"), docs["text"], F.monotonically_increasing_id().alias("p_row"))
+    groups = materialize(neardup.near_duplicates(rows.select(F.col("p_row").alias("doc_id"), "text"), width=5))
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = groups.join(several, "component_id").select(F.col("doc_id").alias("p_row"), "component_id").join(rows.select("p_row", "p_id"), "p_row")
+    first = F.min(F.struct(F.col("p_id").isNull().alias("none"), "p_id", "p_row")).alias("first")
+    kept = members.groupBy("component_id").agg(first).select(F.col("first.p_row").alias("p_row"))
+    gone = materialize(members.select("p_row").join(kept, "p_row", "left_anti"))
+    return rows.join(gone, "p_row", "left_anti").select("p_doc.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that a document with a smaller doc_id has in a passage of 50 bytes; n_chars follows.
 
     Where a cut falls inside a character, its broken bytes become the replacement character."""
-    cut = repeats.remove_repeats(docs).withColumn("text", F.make_valid_utf8(F.col("r_kept").cast("string")))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("p_doc"), "doc_id", "text")
+    text = F.make_valid_utf8(F.col("r_kept").cast("string"))
+    cut = repeats.remove_repeats(rows).withColumn("p_doc", F.col("p_doc").withField("text", text))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("p_doc", F.col("p_doc").withField("n_chars", F.length(text).cast("long")))
+    return cut.select("p_doc.*")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of ten words of a benchmark item occurs."""
-    found = decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("d_spans") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("p_doc"), "text")
+    return decontaminate.find_leaks(rows, read(spark, sf_dir, "benchmark"), keep=("p_doc",)).where(F.size("d_spans") == 0).select("p_doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
