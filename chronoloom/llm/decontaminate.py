@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pack, read, tune, unpack
+from .common import ascii_lower, materialize, read, tune
 
 #: Lower-case and map every byte that is no part of a word to a space: 0-9, a-z and bytes from 0x80 stay.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BITS, LANE, CHUNK = 20, 256, 4 << 20
-#: Bytes of patterns that one executor-side table may hold; more patterns are searched in as many passes.
+#: Bytes of patterns and item names that are broadcast at a time; more are searched in as many passes.
 PATTERN_BYTES = 64 << 20
 
 
@@ -114,16 +114,18 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
 
 
 def _scan(table, first: bool):
-    """Adds to d_hits the occurrences of a table's patterns; the first pass also counts words."""
+    """Adds to d_spans and d_items what occurs of a table's patterns; the first pass also counts words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns, _ = table.value
+        patterns, items = table.value
         search = WuManber([p.encode() for p in patterns])
         for batch in batches:
-            texts, counts, hits, held, size = batch.column("d_text").to_pylist(), [], [], [], 0
+            texts, counts, held, size = batch.column("d_text").to_pylist(), [], [], 0
+            spans, names = batch.column("d_spans").to_pylist(), batch.column("d_items").to_pylist()
+            done = 0
 
             def flush() -> None:
-                nonlocal size
+                nonlocal size, done
                 if not held:
                     return
                 joined = b"".join(held)
@@ -134,8 +136,10 @@ def _scan(table, first: bool):
                 for (a, p), d in zip(found, docs.tolist(), strict=True):
                     before = joined.count(b" ", starts[d], a)
                     rows[d].append((before, before + patterns[p].count(" ") - 1, p))
-                for d in range(len(held)):
-                    hits.append(pack(*np.array(rows[d], "<i8").reshape(-1, 3).T.copy()) if d in rows else None)
+                for d, hits in rows.items():
+                    spans[done + d] = _joined([*((x["first"], x["end"]) for x in spans[done + d]), *((a, b) for a, b, _ in hits)])
+                    names[done + d] = sorted({*names[done + d], *(n for _, _, p in hits for n in items[p])})
+                done += len(held)
                 held.clear()
                 size = 0
 
@@ -147,68 +151,55 @@ def _scan(table, first: bool):
                 if size >= CHUNK:
                     flush()
             flush()
-            out = {n: batch.column(n) for n in batch.schema.names if n not in ("d_n", "d_hits")}
-            old = batch.column("d_hits").to_pylist()
+            out = {n: batch.column(n) for n in batch.schema.names}
             out["d_n"] = pa.array(counts, pa.int64()) if first else batch.column("d_n")
-            out["d_hits"] = pa.array([(a or []) + [b] for a, b in zip(old, hits, strict=True)], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_pydict({n: out[n] for n in batch.schema.names}, batch.schema)
+            out["d_spans"] = pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
+            out["d_items"] = pa.array(names, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_pydict(out)
 
     return scan
 
 
-def _merged(tables: list):
-    """d_spans: hit word ranges [first, end) of each document; d_items: the items with occurring windows."""
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [t.value[1] for t in tables]
-        for batch in batches:
-            spans, found = [], []
-            for hits in batch.column("d_hits").to_pylist():
-                ranges, names = [], set()
-                for k, blob in enumerate(hits or []):
-                    for a, b, p in zip(*(x.tolist() for x in unpack(blob)), strict=True) if blob else ():
-                        ranges.append((a, b))
-                        names.update(items[k][p])
-                out: list[list[int]] = []
-                for a, b in sorted(ranges):
-                    if out and a <= out[-1][1]:
-                        out[-1][1] = max(b, out[-1][1])
-                    else:
-                        out.append([a, b])
-                spans.append([{"first": a, "end": b} for a, b in out])
-                found.append(sorted(names))
-            rest = {n: batch.column(n) for n in batch.schema.names if n not in ("d_text", "d_hits")}
-            span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_pydict(rest | {"d_spans": pa.array(spans, span), "d_items": pa.array(found, pa.list_(pa.string()))})
-
-    return merged
+def _joined(ranges: list[tuple[int, int]]) -> list[dict]:
+    """Ranges as ranges apart from each other."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [{"first": a, "end": b} for a, b in out]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of docs, d_n (words), d_spans (hit word ranges) and d_items (items found), for every row.
 
-    One pass over docs, without a shuffle. Pattern tables are broadcast in blocks of at most PATTERN_BYTES, searched
-    one after another in the same task. Null or wordless texts have no
-    words; an item without words, or with a null id or text, has no windows; repeated items count once.
+    Without a shuffle of docs. The patterns are a written table; of at most PATTERN_BYTES they are broadcast and docs
+    are read once. More patterns are searched block by block, one pass over docs for each, so neither the driver nor a
+    worker ever holds more than a block. Null or wordless texts have no words; an item without words, or with a null
+    id or text, has no windows; repeated items count once. The names d_n, d_spans, d_items and d_text are the
+    operator's own: of ``keep``, columns with these names are left out.
     """
     spark = docs.sparkSession
     tune(spark)
-    found = windows(benchmark, size)
-    total = found.agg(F.coalesce(F.sum(F.length("w_pattern") + 64), F.lit(0))).first()[0]
+    found = materialize(windows(benchmark, size))
+    bytes_of = F.octet_length("w_pattern") + 64 + F.aggregate("w_items", F.lit(0), lambda acc, x: acc + F.octet_length(x) + 16)
+    total = found.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0]
     blocks = max(1, -(-total // PATTERN_BYTES))
-    tables = []
+    span = "array<struct<first: long, end: long>>"
+    own = ("d_n", "d_spans", "d_items", "d_text")
+    out = docs.select(
+        *(docs[c] for c in keep if c.lower() not in own), docs["text"].cast("binary").alias("d_text"), F.lit(0).cast("long").alias("d_n"),
+        F.array().cast(span).alias("d_spans"), F.array().cast("array<string>").alias("d_items"),
+    )
     for b in range(blocks):
         rows = found.where(F.pmod(F.xxhash64("w_pattern"), F.lit(blocks)) == b).orderBy("w_pattern").collect()
-        tables.append(spark.sparkContext.broadcast(([r.w_pattern for r in rows], [r.w_items for r in rows])))
-    out = docs.select(*keep, F.col("text").cast("binary").alias("d_text"), F.lit(0).cast("long").alias("d_n"), F.array().cast("array<binary>").alias("d_hits"))
-
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, table in enumerate(tables):
-            batches = _scan(table, b == 0)(batches)
-        return _merged(tables)(batches)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("d_text", "d_hits"))
-    return out.mapInArrow(passes, kept + ", d_spans array<struct<first: long, end: long>>, d_items array<string>")
+        table = spark.sparkContext.broadcast(([r.w_pattern for r in rows], [r.w_items for r in rows]))
+        out = out.mapInArrow(_scan(table, b == 0), out.schema)
+        if b < blocks - 1:
+            out = materialize(out)
+            table.unpersist()
+    return out.drop("d_text")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

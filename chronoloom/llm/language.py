@@ -9,7 +9,6 @@ texts whose score falls below the value that only a small share of right answers
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read, tune
+from .common import crc_mod, kept_names, read, tune
 
 BUCKETS, WIDTH = 1 << 15, 16
-#: Labelled rows that training sees at most, and grams of a row that a step of the descent draws.
-SAMPLE, DRAWN = 2000, 400
+#: Labelled rows that training sees at most; of those, whole texts.
+SAMPLE = 2000
+RESULTS = ("lang_pred", "score", "rejected")
 CHUNK = 1 << 20
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -32,6 +32,10 @@ def prepared(text: str) -> bytes:
     return text.lower().encode().translate(_LETTERS)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all 2-, 3- and 4-grams (three rows, a column for each position), each text's first column and the
     number of its grams in a row. Columns between texts hold BUCKETS, which is no bucket."""
@@ -75,17 +79,18 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, batch: int = 32,
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     index = {n: i for i, n in enumerate(names)}
-    rows: list[tuple[np.ndarray, int, bool]] = []
+    rows: list[tuple[np.ndarray, np.ndarray, int, bool]] = []  # different grams, their shares, language, held back
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         words = text.split()
         cuts = [text] + [" ".join(words[a : a + int(rng.integers(1, 12))]) for a in (rng.integers(0, len(words), 3) if words else ())]
         for cut in cuts:
-            if any(c.isalpha() for c in cut):
+            if has_letter(cut):
                 found = grams([prepared(cut)])[0]
-                rows.append((found[found < BUCKETS], index[lang], i % 5 == 4))
-    held = [r for r in rows if r[2]] or rows
-    rows = [r for r in rows if not r[2]] or rows
-    share = np.bincount([y for _, y, _ in rows], minlength=len(names)) / max(len(rows), 1)
+                which, times = np.unique(found[found < BUCKETS], return_counts=True)
+                rows.append((which, (times / times.sum()).astype(np.float32), index[lang], i % 5 == 4))
+    held = [r for r in rows if r[3]] or rows
+    rows = [r for r in rows if not r[3]] or rows
+    share = np.bincount([y for _, _, y, _ in rows], minlength=len(names)) / max(len(rows), 1)
     weight = 1 / np.maximum(share * len(names), 1e-3)
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     lin, bias = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
@@ -93,26 +98,26 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, batch: int = 32,
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
             part = [rows[i] for i in order[at : at + batch]]
-            drawn = [g if len(g) <= DRAWN else g[rng.integers(0, len(g), DRAWN)] for g, _, _ in part]
-            flat, sizes = np.concatenate(drawn), np.array([len(g) for g in drawn])
-            y = np.array([c for _, c, _ in part])
-            mean = np.add.reduceat(emb[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            flat, part_of = np.concatenate([g for g, *_ in part]), np.repeat(np.arange(len(part)), [len(g) for g, *_ in part])
+            y = np.array([c for _, _, c, _ in part])
+            # rows x grams: the share of each gram in each row
+            key, back = np.unique(flat, return_inverse=True)
+            shares = np.zeros((len(part), len(key)), np.float32)
+            shares[part_of, back] = np.concatenate([w for _, w, *_ in part])
+            mean = shares @ emb[key]
             z = mean @ lin + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             p *= (weight[y] / len(part))[:, None]
             step = rate * (1 - epoch / epochs)
-            down = ((p @ lin.T) / sizes[:, None]).astype(np.float32)
+            down = (p @ lin.T).astype(np.float32)
             lin -= step * (mean.T @ p).astype(np.float32)
             bias -= step * p.sum(axis=0).astype(np.float32)
-            # an embedding's gradient: the row's, as often as the gram occurs in it
-            key, back = np.unique(flat, return_inverse=True)
-            hits = np.bincount(np.repeat(np.arange(len(part)), sizes) * len(key) + back, minlength=len(part) * len(key)).reshape(len(part), -1)
-            emb[key] -= step * 40 * (hits.T @ down)
+            emb[key] -= step * 40 * (shares.T @ down)
     model = Model(names, emb @ lin, bias, 1.0, 0.0)
-    z = np.array([model.table[g].mean(axis=0) + bias for g, _, _ in held])
-    y = np.array([c for _, c, _ in held])
+    z = np.array([w @ model.table[g] + bias for g, w, *_ in held])
+    y = np.array([c for _, _, c, _ in held])
     losses = []
     for t in (grid := np.geomspace(0.05, 4, 40)):
         model.temperature = float(t)
@@ -125,17 +130,20 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, batch: int = 32,
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Train on at most ``sample`` of docs(doc_id, text, lang), spread by hash; None without a labelled text."""
+    """Train on at most ``sample`` of docs(doc_id, text, lang), the first by a hash of doc_id; None without a labelled
+    text. Rows with a null text or language, or without a letter, teach nothing."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = rows.count()
     share = min(1.0, 1.2 * sample / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text", "lang").limit(sample)
+    order = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
+    picked = rows.where(order < int(share * (1 << 30))).select("doc_id", "text", "lang").orderBy(order, "doc_id", "text", "lang").limit(sample)
     found = sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))
     return train([r.text for r in found], [r.lang for r in found]) if found else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs but text, then lang_pred, score and rejected for every row.
+    """All columns of docs but text, then lang_pred, score and rejected for every row; they replace columns of docs
+    with those names.
 
     A null text or one without a letter gives 'und' and score 0, and counts as rejected; so does any text if nothing
     could be learned. Whole texts are read, of any length."""
@@ -143,7 +151,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        letter = re.compile(r"[^\W\d_]")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs, scores, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -151,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             rows: list[int] = []
             size = 0
             for i, text in enumerate(texts):
-                if m is not None and text and letter.search(text):
+                if m is not None and text and has_letter(text):
                     held.append(prepared(text))
                     rows.append(i)
                     size += len(held[-1])
@@ -163,10 +170,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     for k, b in zip(rows, best, strict=True):
                         langs[k] = m.langs[b]
                     held, rows, size = [], [], 0
-            kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            kept = {n: batch.column(n) for n in batch.schema.names if n in names}
             yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores), "rejected": pa.array(rejected)})
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    names = kept_names(docs, *RESULTS)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
     return docs.mapInArrow(predicted, kept + "lang_pred string, score double, rejected boolean")
 
 

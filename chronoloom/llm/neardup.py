@@ -4,9 +4,10 @@
 2. Of each class: minima under ``HASHES`` hash functions, keys of bands of ``ROWS`` minima, and a signature of the
    minima's lowest ``BITS`` bits. A pair at the threshold misses all bands with a chance of about one in ten million.
 3. Classes that share a band are candidates. In a first round each is held against its band's leader. In a second
-   round members of a band that are still in different components are held against each other, in blocks of rows
-   that meet in one task; pairs inside a component are never made, and pairs across leave the task only as links that
-   join components.
+   round those members of a band that aren't in its largest component are held against all its members, in blocks of
+   rows that meet in one task; pairs inside a component are never made, and pairs across leave the task only as links
+   that join components. A band of one component takes no part, however large it is. Bands with very many members are
+   joined by broadcasting the few rows about them, so no task gets all their members.
 4. Candidates whose signatures agree too little (similarity corrected for chance agreement) are left out; the margin
    is five standard deviations. All others are confirmed on the full shingle sets.
 5. Components of the confirmed links give each document its group.
@@ -29,6 +30,8 @@ from .components import components
 ROWS, BANDS, BITS = 5, 40, 4
 HASHES = ROWS * BANDS
 BLOCK = 1024  # members of a band that one comparison task holds on a side
+HOT = 500  # members from which on a band is joined by broadcast; in a large corpus more, so that HOT_BANDS is the most
+HOT_BANDS = 100_000
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32)).astype(np.uint32)
 #: Pairs of bits that are equal in two signatures, by the bytes' exclusive or: 0, 1 or 2 of its halves are 0.
@@ -164,37 +167,30 @@ def _by_task(frames: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
         yield each(rest)
 
 
-def _crossing(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """Each left row with the right rows of other components; inside one block (``same``) rows of its largest component
-    are met by the others only, and two others once."""
-    comp, c = right.comp.to_numpy(), right.c.to_numpy()
-    values, counts = np.unique(comp, return_counts=True)
-    most = values[counts.argmax()]
-    for i, (x, own) in enumerate(zip(left.c.tolist(), left.comp.tolist(), strict=True)):
-        other = comp != own
-        if same:
-            other &= ((comp == most) | (c > x)) if own != most else False
-        if other.any():
-            yield i, np.flatnonzero(other)
+def _crossing(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row with the right rows of other components."""
+    comp = right.comp.to_numpy()
+    for i, own in enumerate(left.comp.tolist()):
+        if len(at := np.flatnonzero(comp != own)):
+            yield i, at
 
 
 def _open_members(least: float, percent: int):
     """Members of a band that are likely similar to a member of another component."""
 
     def members(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = pdf[pdf.side != 1], pdf[pdf.side != 0], bool(pdf.side.iloc[0] == 2)
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if not len(left) or not len(right):
             return pdf.iloc[:0][["key", "task", "side", "c", "comp"]]
         sig_l, sig_r = (np.frombuffer(b"".join(x.sig), np.uint8).reshape(len(x), -1) for x in (left, right))
         n_l, n_r = left.n.to_numpy(), right.n.to_numpy()
         hit_l, hit_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        for i, at in _crossing(left, right, same):
+        for i, at in _crossing(left, right):
             at = at[100 * np.minimum(n_r[at], n_l[i]) >= percent * np.maximum(n_r[at], n_l[i])]
             at = at[estimate(sig_r[at], sig_l[i]) >= least]
-            hit_l[i] |= len(at) > 0
+            hit_l[i] = len(at) > 0
             hit_r[at] = True
-        out = left[hit_l | hit_r] if same else pd.concat([left[hit_l], right[hit_r]])
-        return out[["key", "task", "side", "c", "comp"]]
+        return pd.concat([left[hit_l], right[hit_r]])[["key", "task", "side", "c", "comp"]]
 
     return lambda frames: _by_task(frames, members)
 
@@ -203,7 +199,7 @@ def _joining(percent: int):
     """Confirmed links between components, as many as join them; full sets of a task's open members are held."""
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = pdf[pdf.side != 1], pdf[pdf.side != 0], bool(pdf.side.iloc[0] == 2)
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
             sets_l, sets_r = ([np.frombuffer(m, np.uint64) for m in x.members] for x in (left, right))
@@ -220,7 +216,7 @@ def _joining(percent: int):
                 return x
 
             c, comp = right.c.to_numpy(), right.comp.to_numpy()
-            for i, at in _crossing(left, right, same):
+            for i, at in _crossing(left, right):
                 mark = np.zeros(len(known) + 1, bool)
                 spot = np.searchsorted(known, sets_l[i])
                 spot[known[np.minimum(spot, len(known) - 1)] != sets_l[i]] = len(known)
@@ -239,6 +235,14 @@ def _joining(percent: int):
     return lambda frames: _by_task(frames, links)
 
 
+def _with_bands(rows: DataFrame, bands: DataFrame, hot: int) -> DataFrame:
+    """rows(key, ...) with what is known of their bands(key, members, ...); other rows go. Bands of more than ``hot``
+    members are broadcast; the caller bounds their number."""
+    few = F.broadcast(bands.where(F.col("members") > hot))
+    many = rows.join(few, "key")
+    return many.unionByName(rows.join(few.select("key"), "key", "left_anti").join(bands.where(F.col("members") <= hot), "key"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
 
@@ -255,8 +259,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # classes of each band that has several
     banded = classes.select(F.explode("keys").alias("key"), "c")
-    shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("leader")).where(F.col("members") > 1)
-    members = materialize(banded.join(shared, "key"))
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("leader")).where(F.col("members") > 1))
+    hot = max(HOT, classes.count() * BANDS // HOT_BANDS)
+    members = materialize(_with_bands(banded, shared, hot))
 
     def sketched(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -280,20 +285,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = materialize(confirm(pairs, sets))
     roots = components(links)
 
-    # second round: members of a band that are in different components
+    # second round: members of a band outside its largest component (askers) against all its members
     placed = members.where((F.col("members") > 2) & (F.col("c") != F.col("leader"))).join(roots.withColumnRenamed("node", "c"), "c", "left")
-    placed = placed.select("key", "c", "members", F.coalesce("root", "c").alias("comp"))
-    open_bands = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    placed = placed.join(open_bands, "key").join(known, "c")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    # a task for each two blocks of a band; side 2: both sides are this block
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = placed.select("key", "c", "comp", "n", "sig", "blocks", "block", other)
-    tasks = tasks.select(
-        "key", "c", "comp", "n", "sig", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).cast("int").alias("task"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
+    placed = materialize(placed.select("key", "c", "members", F.coalesce("root", "c").alias("comp")))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"), F.first("members").alias("members"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"), F.first("members").alias("members"))
+    open_bands = largest.where(F.col("top.size") < F.col("all")).select(
+        "key", "members", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("ask_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")
+    )
+    placed = _with_bands(placed.drop("members"), materialize(open_bands), hot).join(known, "c")
+    # a task for each block of askers and block of members: side 0 asks, side 1 is asked
+    block = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda ask, asked: (ask * F.col("blocks") + asked).cast("int")
+    asked = F.transform(upto("ask_blocks"), lambda a: F.struct(cell(a, block("blocks", 1)).alias("task"), F.lit(1).alias("side")))
+    asks = F.transform(upto("blocks"), lambda m: F.struct(cell(block("ask_blocks", 2), m).alias("task"), F.lit(0).alias("side")))
+    tasks = placed.select("key", "c", "comp", "n", "sig", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(asks, asked)).otherwise(asked)).alias("t"))
+    tasks = tasks.select("key", "c", "comp", "n", "sig", "t.task", "t.side")
     in_order = lambda df: df.repartition("key", "task").sortWithinPartitions("key", "task")
     found = in_order(tasks).mapInPandas(_open_members(margin(percent / 100), percent), "key long, task int, side int, c long, comp long")
     found = materialize(found)

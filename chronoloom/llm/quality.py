@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read, tune
+from .common import crc_mod, kept_names, read, tune
 
 #: Labelled documents that training sees at most, and the score from which a document counts as good.
 SAMPLE, CUT = 3000, 0.3
@@ -200,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | Non
 
 
 def score(docs: DataFrame, field: Field | None) -> DataFrame:
-    """All columns of docs but text, then score and predicted for every row.
+    """All columns of docs but text, then score and predicted for every row; they replace columns of docs with those
+    names.
 
     A null text is scored as an empty one: one line without bytes. Without a field (nothing to learn from) every
     score is 1."""
@@ -218,10 +219,11 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
                     scores.append(f.scores(held) if f is not None else np.ones(len(held)))
                     held, size = [], 0
             out = np.concatenate(scores) if scores else np.empty(0)
-            kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            kept = {n: batch.column(n) for n in batch.schema.names if n in names}
             yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(out), "predicted": pa.array((out >= CUT).astype("<i4"))})
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    names = kept_names(docs, "score", "predicted")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
     return docs.mapInArrow(scored, kept + "score double, predicted int")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import units as U
-from .common import deltas, materialize, mix, pack, read, slim, unpack
+from .common import deltas, kept_names, materialize, mix, pack, read, slim, unpack
 
 WINDOW, GRAM = 50, 16
 CHUNK = 1 << 18  # windows handled at a time
@@ -374,14 +374,15 @@ def _apart(texts: list[bytes], doc: np.ndarray, start: np.ndarray, end: np.ndarr
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """All columns of docs (doc_id, text and any others) but text, then r_spans and r_kept, for every row.
+    """All columns of docs (doc_id, text and any others) but text, then r_spans and r_kept, for every row; they replace
+    columns of docs with those names.
 
     A byte is removed if a string of WINDOW bytes that covers it also starts in a document with a smaller doc_id, as
     the input has it. A null text is an empty one and loses nothing; so does a text below WINDOW bytes. Rows with equal
     doc_ids don't count against each other; a null doc_id counts as larger than all others. Texts are bytes of UTF-8;
     a removed range may begin or end inside a character.
     """
-    schema = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = docs.select("text", *kept_names(docs, "r_spans", "r_kept")).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = U.text_of(docs)
     size = U.side(total, *UNIT_TEXT)
     made = U.units(schema, most=size)

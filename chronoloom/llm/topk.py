@@ -24,39 +24,46 @@ PRIME, BLOCK, PROBE, TOGETHER = 512, 2048, 8, 64  # rows scored fully at first,
 
 def quantized(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id, v: floor(scale * x) of each component. Rows with a null id, a null vector, or a null or non-finite
-    component take no part; identical repeated rows count once."""
+    component take no part."""
     x = F.transform(F.col("embedding"), lambda e: e.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    rows = embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
-    return rows.dropDuplicates(["vec_id", "v"])
+    return embeddings.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
+
+
+def exact_type(rows: np.ndarray, q: np.ndarray) -> type:
+    """A type in which no sum of products of rows and queries is rounded: doubles up to 2**53, longs, else Python's."""
+    most = lambda m: np.abs(m.astype(float)).max(axis=0, initial=0)
+    bound = float(most(rows) @ most(q)) * 1.001
+    return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
 
 
 def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each query, the k best rows of a shard: scores and ids, ties to smaller ids, its own row left out.
 
-    Queries are walked together, each with its own bar, order of terms and essential terms."""
+    Queries are walked together, each with its own bar, order of terms and essential terms. Scores are exact."""
     width = min(rows.shape[1], queries.shape[1])  # a missing component counts as 0
-    rows, q = rows[:, :width], queries[:, :width]
+    kind = exact_type(rows[:, :width], queries[:, :width])
+    rows, q = rows[:, :width].astype(kind), queries[:, :width].astype(kind)
     least, most = rows.min(axis=0, initial=0), rows.max(axis=0, initial=0)
     high, low = np.maximum(q * most, q * least), np.minimum(q * most, q * least)
     order = np.argsort(low - high, axis=1, kind="stable")  # the terms with most room first
     each = np.arange(len(q))[:, None]
-    after = np.zeros((len(q), width + 1))
+    after = np.zeros((len(q), width + 1), kind)
     after[:, :-1] = np.cumsum((high - low)[each, order][:, ::-1], axis=1)[:, ::-1]
     lift = low.sum(axis=1, keepdims=True) + after  # lift[:, i]: the most a score can be without a gain in the terms before i
     place = np.argsort(order, axis=1, kind="stable")
-    best = [(np.empty(0), np.empty(0, np.int64)) for _ in q]
-    bar = np.full(len(q), -np.inf)
+    best = [(np.empty(0, kind), np.empty(0, np.int64)) for _ in q]
+    bar, full = np.zeros(len(q), kind), np.zeros(len(q), bool)  # the k-th score of a query, once it has k
     start, size = 0, PRIME
     while start < len(ids):
         block, names = rows[start : start + size], ids[start : start + size]
-        essential = np.where(np.isinf(bar), width, (lift >= bar[:, None]).sum(axis=1))
+        essential = np.where(full, (lift >= bar[:, None]).sum(axis=1), width)
         mask = place < essential[:, None]
         score = (q * mask) @ block.T  # traversal of the essential postings
         alive = names[None, :] != query_ids[:, None]
         while True:
             rest = np.where(mask, 0, high).sum(axis=1)
-            alive &= score + rest[:, None] >= bar[:, None]
+            alive &= (score + rest[:, None] >= bar[:, None]) | ~full[:, None]
             if mask.all():
                 break
             at = np.flatnonzero(alive.any(axis=0))  # rows that are competitive for a query; the next terms are probed for them
@@ -66,14 +73,17 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
             mask |= probe
         who, at = np.nonzero(alive)
         score = score[who, at]
+        if kind is object:  # beyond 64 bits: the nearest long, which is what rows are ranked by
+            score = np.minimum(np.maximum(score, -(2**63)), 2**63 - 1)
         bounds = np.searchsorted(who, np.arange(len(q) + 1))
         for i in np.flatnonzero(np.diff(bounds)).tolist():
             found = slice(bounds[i], bounds[i + 1])
             s, n = np.append(best[i][0], score[found]), np.append(best[i][1], names[at[found]])
-            top = np.lexsort((n, -s))[:k]
+            top = np.argsort(n, kind="stable")
+            top = top[np.argsort(-s[top], kind="stable")][:k]
             best[i] = s[top], n[top]
             if len(top) == k:
-                bar[i] = s[top[-1]]
+                bar[i], full[i] = s[top[-1]], True
         start, size = start + size, BLOCK
     return best
 
@@ -91,7 +101,7 @@ def _packed(key: str):
 def _matrix(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, lens, flat = unpack(blob)
     width = int(lens.max()) if len(lens) else 0
-    out = np.zeros((len(ids), width))
+    out = np.zeros((len(ids), width), np.int64)
     out[np.arange(width) < lens[:, None]] = flat
     return ids, lens, out
 
@@ -106,21 +116,25 @@ def _scored(k: int):
                 yield pd.DataFrame({
                     "query_id": np.repeat(query_ids, [len(s) for s, _ in found]),
                     "vec_id": np.concatenate([i for _, i in found]) if found else np.empty(0, np.int64),
-                    "score": np.concatenate([s for s, _ in found]).astype("int64") if found else np.empty(0, np.int64),
+                    "score": np.concatenate([s for s, _ in found]).astype(np.int64) if found else np.empty(0, np.int64),
                 })
 
     return scored
 
 
 def search(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest scores of each query (vec_id divisible by ``every``)."""
+    """query_id, rank, vec_id, score: the k highest scores of each query (vec_id divisible by ``every``).
+
+    Every row with another vec_id is a candidate, repeated rows each for itself; a repeated query row is one query, and
+    different vectors of one query_id share its k ranks. Missing components count as 0. Scores are exact sums of whole
+    components (those beyond 64 bits are cut to 64 bits); a score beyond 64 bits counts as the nearest long."""
     spark = embeddings.sparkSession
     tune(spark)
     vectors = materialize(quantized(embeddings, scale))
-    n, nq = vectors.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    n, nq = vectors.agg(F.count("*"), F.coalesce(F.count_if(F.col("vec_id") % every == 0), F.lit(0))).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-nq // QUERIES))
     part = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    ask = vectors.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    ask = vectors.where(F.col("vec_id") % every == 0).distinct().withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
     part = part.groupBy("shard").applyInPandas(_packed("shard"), "shard long, blob_shard binary")
     ask = ask.groupBy("block").applyInPandas(_packed("block"), "block long, blob_block binary")
     tasks = part.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(ask, "block")
@@ -138,7 +152,7 @@ SQL = {
     "op7_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 }

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,33 @@ def test_language_edges(spark, docs):
     assert [got[i][0] for i in (1, 2, 3, 4, 5)] == ["und", "und", "und", "en", "de"] and got[1][1]
     assert language.predict(rows, None).where("lang_pred <> 'und'").count() == 0
     assert language.fit(docs.where("lang is null").select("doc_id", "text", "lang")) is None
+    # numerals that aren't decimal digits are no letters either
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ"), (2, "٣ 7"), (3, "_ ª")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language.predict(odd, model).orderBy("doc_id").collect()] == [True, True, False]
+    # columns with the names of results are replaced
+    out = language.predict(docs.withColumn("Lang_Pred", F.lit(7)), model)
+    assert sorted(out.columns) == sorted(["doc_id", "lang", "source", "n_chars", "kept", "lang_pred", "score", "rejected"]) and dict(out.dtypes)["score"] == "double"
+    assert out.count() == docs.count()
+
+
+def test_language_model_does_not_depend_on_file_order(spark, docs):
+    labelled = docs.select("doc_id", "text", "lang")
+    one, other = (language.fit(d, sample=12) for d in (labelled.repartition(1), labelled.repartition(7, "text")))
+    assert np.array_equal(one.table, other.table) and one.temperature == other.temperature
+
+
+def test_gram_means_against_loop():
+    """Log-odds of a text: the mean over all its 2-, 3- and 4-grams, with blanks around it."""
+    model = language.train(["the cat and the dog", "der Hund und die Katze"] * 20, ["en", "de"] * 20)
+    for text in ("Katze", "the dog's kennel, ten of them", "a"):
+        padded = list(b" " + language.prepared(text) + b"    ")
+        total, n = np.zeros(2), len(language.prepared(text)) + 2
+        for at in range(n):
+            h = padded[at]
+            for k in (1, 2, 3):
+                h = (h * 0x01000193 + padded[at + k]) % 2**32
+                total += model.table[((h + k) * 0x9E3779B1 % 2**32) >> 17]
+        assert np.allclose(model.logits([language.prepared(text)])[0], total / (3 * n) + model.bias, atol=1e-4)
 
 
 def test_quality_held_out(spark, sf):
@@ -230,9 +258,39 @@ def test_quality_edges(spark, docs, nothing):
     assert quality.fit(docs, none) is None and quality.score(docs.select("doc_id", "text"), None).where("predicted = 0").count() == 0
     one = spark.createDataFrame([(i, 1, 0) for i in range(5)], none.schema)
     field = quality.fit(docs, one)
+    out = quality.score(docs.withColumn("Predicted", F.lit("x")), field)
+    assert out.count() == docs.count() and dict(out.dtypes)["score"] == "double" and dict(out.dtypes)["predicted"] == "int" and len(out.columns) == len(docs.columns)
     assert quality.score(docs.select("doc_id", "text"), field).count() == docs.count() and quality.score(nothing.select("doc_id", "text"), field).count() == 0
 
 
+def test_line_features_against_loop():
+    texts = [b"One line, here!\n\nAAA bbb bbb | {x} 12\n", b"", b"word word word\nlast \xc3\xa9"]
+    x, size, counts = quality.features(texts)
+    lines = [t.split(b"\n") for t in texts]
+    assert counts.tolist() == [len(n) for n in lines] and size.tolist() == [len(n) for own in lines for n in own]
+
+    def own(n):
+        words = n.split()
+        chars = max(len(n), 1)
+        repeat = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        upper, lower = sum(65 <= c <= 90 for c in n), sum(97 <= c <= 122 for c in n)
+        return [
+            repeat / max(len(words), 1), min(repeat, 3) / 3, lower / chars, upper / chars, sum(48 <= c <= 57 for c in n) / chars, len(words), n.count(b"|") / chars,
+            sum(c >= 128 for c in n) / chars, n.count(b"!") / max(len(words), 1), float(not n), min(upper / max(upper + lower, 1), 1),
+        ]
+
+    width = (x.shape[1] - 1) // 3
+    at = 0
+    for doc in lines:
+        for i, n in enumerate(doc):
+            mine = x[at + i, :width]
+            picked = [*mine[:5], np.expm1(3 * mine[-3]), mine[7], mine[10], mine[-4], mine[-2], mine[-1]]
+            assert np.allclose(picked, own(n)), (n, picked, own(n))
+            assert np.array_equal(x[at + i, width : 2 * width], x[at + i - 1, :width] if i else np.zeros(width))
+            assert np.array_equal(x[at + i, 2 * width : 3 * width], x[at + i + 1, :width] if i + 1 < len(doc) else np.zeros(width))
+        at += len(doc)
+
+
 # ---- search
 
 
@@ -257,28 +315,47 @@ def test_decontamination(spark):
 
 
 def test_pattern_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "PATTERN_BYTES", 200)
     bench = spark.createDataFrame([(i, f"word{i} again{i} more{i}") for i in range(12)], "item_id long, text string")
-    docs = spark.createDataFrame([(0, "Word3 again3 more3 word11 again11 more11 word1")], "doc_id long, text string")
-    row = decontaminate.find_leaks(docs, bench).first()
-    assert [tuple(s) for s in row.d_spans] == [(0, 6)] and row.d_items == ["11", "3"]
+    docs = spark.createDataFrame([(0, "Word3 again3 more3 word11 again11 more11 word1", "x"), (1, None, "x"), (0, "so word5 again5 more5", "x")], "doc_id long, text string, d_n string")
+    found = []
+    for size in (200, 64 << 20):
+        monkeypatch.setattr(decontaminate, "PATTERN_BYTES", size)
+        out = decontaminate.find_leaks(docs, bench, keep=("doc_id", "d_n"))
+        assert out.columns == ["doc_id", "d_n", "d_spans", "d_items"]
+        found.append(sorted((r.doc_id, r.d_n, [tuple(s) for s in r.d_spans], r.d_items) for r in out.collect()))
+    assert found[0] == found[1] == [(0, 4, [(1, 4)], ["5"]), (0, 7, [(0, 6)], ["11", "3"]), (1, 0, [], [])]
 
 
 def test_topk(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice((-0.5, 0.25, 0.7, rng.random())) for _ in range(9)]) for i in range(600)] + [(i, [0.3] * 9) for i in range(600, 700)]
-    odd = [(700, None), (720, [1.0, None]), (740, [float("nan")] * 9), (760, [float("inf")] * 9), (None, [1.0] * 9), (rows[40])]
+    rows += [rows[40], rows[41]]  # repeated rows: a candidate each, a query once
+    odd = [(700, None), (720, [1.0, None]), (740, [float("nan")] * 9), (760, [float("inf")] * 9), (None, [1.0] * 9)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     got = collections.defaultdict(list)
     for r in topk.search(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     v = {i: [math.floor(64 * float(np.float32(x))) for x in e] for i, e in rows}
     for q in range(0, 700, 20):
-        best = sorted(((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q))[:20]
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i, _ in rows if i != q)[:20]
         assert got[q] == [(i, -s) for s, i in best]
     assert set(got) == set(range(0, 700, 20))
 
 
+@pytest.mark.parametrize("size", [2.0**10, 2.0**20, 2.0**24, 2.0**40])
+def test_topk_scores_are_exact(spark, size):
+    """In doubles, longs or beyond: whole numbers of any size."""
+    rng = random.Random(4)
+    rows = [(i, [float(np.float32(rng.uniform(-size, size))) for _ in range(5)]) for i in range(80)]
+    got = collections.defaultdict(list)
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    v = {i: [math.floor(64 * x) for x in e] for i, e in rows}
+    for q in range(0, 80, 20):
+        score = {i: min(max(sum(a * b for a, b in zip(v[q], v[i], strict=True)), -(2**63)), 2**63 - 1) for i in v if i != q}
+        assert got[q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:7]
+
+
 # ---- repeats
 
 
@@ -309,18 +386,18 @@ def test_repeats(docs, plain):
 
 def test_hot_anchor_is_dealt_by_window():
     rng = random.Random(6)
-    texts = ["".join(rng.choice("abcdefgh") for _ in range(60)) + " a frequent phrase, in ever new surroundings " + "".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(300)]
-    import pyarrow as pa
-
+    phrase = " a frequent phrase, in ever new surroundings "
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(60)) + phrase + "".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(300)]
     rows = pa.table({"doc_id": list(range(300)), "text": texts})
     sent = dict(repeats._anchor_parcels(4)(0, rows))
     most = {}
     for hot in (100, 10**9):
-        answers = {b: repeats._shared_anchors(hot)([x])[0][0] for b, x in sent.items()}
-        table = repeats._segment_parcels(4, 64)(0, rows, {(1, b): x for b, x in answers.items() if x})
-        groups = collections.Counter(k for x in table.column("blob").to_pylist() for k in unpack(x)[0].tolist())
-        most[hot] = max(groups.values())
-    assert most[10**9] > 100 >= most[100]
+        answers = {(1, b): repeats._shared_anchors(hot)([x])[0][0] for b, x in sent.items()}
+        kinds, hits = repeats._shared_texts([t.encode() for t in texts], {k: x for k, x in answers.items() if x}, 4, 64)
+        most[hot] = max(sum(len(x) > repeats.WINDOW for x in own) for own in kinds.values())
+        for b, own in kinds.items():
+            assert all(texts[t].encode()[at : at + len(own[k])] == own[k] for k, t, at in hits[b].tolist())
+    assert most[10**9] > 250 > 150 > most[100]
 
 
 def test_repeats_with_hot_anchors(docs, plain):
@@ -328,95 +405,94 @@ def test_repeats_with_hot_anchors(docs, plain):
     assert found == collections.Counter(cut(plain))
 
 
-def test_maximal_repeats_against_loop():
+@pytest.mark.parametrize("scan", [10 << 20, 500])
+def test_maximal_repeats_against_loop(scan, monkeypatch):
+    monkeypatch.setattr(repeats, "SCAN", scan)
     rng = random.Random(4)
-    texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(4)]
-    got = {(n, tuple(sorted(zip(o.tolist(), a.tolist(), strict=True)))) for n, o, a in repeats.maximal_repeats(texts, 5)}
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice((8, 40)))) for _ in range(6)]
+    texts.append(texts[0][3:17])
+    copies = np.array([2, 1, 1, 3, 1, 1, 2])
+    got = collections.Counter((n, tuple(sorted(zip(o.tolist(), a.tolist(), strict=True)))) for n, o, a in repeats.maximal_repeats(texts, 5, copies > 1))
     where = collections.defaultdict(set)
     for t, x in enumerate(texts):
         for i in range(len(x)):
             for j in range(i + 5, len(x) + 1):
-                where[x[i:j]].add((t, i))
-    want = set()
+                where[x[i:j]].update((t, i, c) for c in range(copies[t]))
+    want = collections.Counter()
     for s, at in where.items():
-        left = {texts[t][i - 1] if i else -1 - k for k, (t, i) in enumerate(sorted(at))}
-        right = {texts[t][i + len(s)] if i + len(s) < len(texts[t]) else -1 - k for k, (t, i) in enumerate(sorted(at))}
+        left = {texts[t][i - 1] if i else ("start", t, c) for t, i, c in at}
+        right = {texts[t][i + len(s)] if i + len(s) < len(texts[t]) else ("end", t, c) for t, i, c in at}
         if len(at) > 1 and len(left) > 1 and len(right) > 1:
-            want.add((len(s), tuple(sorted(at))))
-    assert want <= got  # windows at a text's start count as different on the left
+            want[len(s), tuple(sorted({(t, i) for t, i, _ in at}))] += 1
+    assert want == got
 
 
 # ---- language model
 
 
-def test_katz_against_dictionaries(docs, plain):
+@pytest.mark.parametrize(("order", "share"), [(1, lm.SHARE), (2, lm.SHARE), (3, lm.SHARE), (3, 3), (4, lm.SHARE)])
+def test_katz_against_dictionaries(docs, plain, order, share):
     def words(t):
         return [w.decode() for w in (t or "").encode().lower().split()] + [" "]
 
+    def grams(t, k):
+        padded = ["<s>"] * (k - 2) + [" "] * (k > 1) + words(t)
+        return [tuple(padded[i : i + k]) for i in range(len(padded) - k + 1)]
+
     held = [lm.held_out(d) for d, _ in plain]
-    c, b = collections.Counter(), collections.Counter()
-    for (_, t), h in zip(plain, held, strict=True):
-        if not h:
-            c.update(words(t))
-            b.update(zip([" ", *words(t)[:-1]], words(t), strict=True))
-    n, v = sum(c.values()), len(c)
-    du, db = (lm.Discounts.good_turing([sum(x == r for x in k.values()) for r in range(1, lm.K + 2)]) for k in (c, b))
-    one = lambda d, x: float(d(np.array(x)))
-    p = {w: one(du, c[w]) / n for w in c}
-    left, used, followed = 1 - sum(p.values()), collections.Counter(), collections.Counter()
-    for (h, w), x in b.items():
-        used[h] += one(db, x) / c[h]
-        followed[h] += p[w]
-
-    def prob(h, w):
-        if b[h, w]:
-            return one(db, b[h, w]) / c[h]
-        return p.get(w, left) * ((1 - used[h]) / (1 - followed[h]) if c[h] else 1)
-
-    for h in list(c)[:5] + [" "]:
-        assert abs(sum(prob(h, w) for w in [*c, "never seen"]) - 1) < 1e-9
+    count = [collections.Counter(g for (_, t), h in zip(plain, held, strict=True) if not h for g in grams(t, k)) for k in range(1, order + 1)]
+    c, n, v = count[0], sum(count[0].values()), len(count[0])
+    d = [lm.Discounts.good_turing([sum(x == r for x in k.values()) for r in range(1, lm.K + 2)]) for k in count]
+    value = lambda k, x: float(d[k - 1](np.array(x)))
+    left = 1 - sum(value(1, x) for x in c.values()) / n
+    history = [collections.Counter() for _ in range(order + 1)]
+    used, followed = [collections.Counter() for _ in range(order + 1)], [collections.Counter() for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g, x in count[k - 1].items():
+            history[k][g[:-1]] += x
+
+    def prob(g):
+        k = len(g)
+        if k == 1:
+            return value(1, c[g]) / n if c[g] else left
+        h = g[:-1]
+        if count[k - 1][g]:
+            return value(k, count[k - 1][g]) / history[k][h]
+        return prob(g[1:]) * ((1 - used[k][h]) / (1 - followed[k][h]) if history[k][h] else 1)
+
+    for k in range(2, order + 1):
+        for g, x in count[k - 1].items():
+            used[k][g[:-1]] += value(k, x) / history[k][g[:-1]]
+            followed[k][g[:-1]] += prob(g[1:])
+    for h in list(history[order])[:4] + [("<s>",) * (order - 2) + (" ",) * (order > 1)]:
+        assert abs(sum(prob((*h, *w)) for w in [*c, ("never seen",)]) - 1) < 1e-9
     got = collections.Counter()
-    rows = lm.katz_scores(docs, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))).collect()
+    rows = lm.katz_scores(docs, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)), order, share).collect()
     for r in rows:
         got[(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))] += 1
     want = collections.Counter()
-    for (d, t), h in zip(plain, held, strict=True):
+    for (i, t), h in zip(plain, held, strict=True):
         w = words(t)
-        base, score = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(prob(a, x)) for a, x in zip([" ", *w[:-1]], w, strict=True))
-        want[(d, h, len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6))] += 1
+        base, score = sum(math.log10((c[x,] + 1) / (n + v + 1)) for x in w), sum(math.log10(prob(g)) for g in grams(t, order))
+        want[(i, h, len(w), sum(c[x,] > 0 for x in w), n, round(base, 6), round(score, 6))] += 1
     assert got == want
 
 
-def test_hot_history_is_dealt_over_buckets(spark):
+def test_hot_history_is_dealt_over_buckets(spark, monkeypatch):
     rng, rows = random.Random(8), []
     for i in range(60):
         rows.append((i, " ".join(w for _ in range(40) for w in ("hot", f"{rng.choice(WORDS)}{rng.randrange(9)}"))))
-    made = [lm.Stream.of(U.rows_of(r.blob)) for r in U.units(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)), most=4000).collect()]
-    words = np.unique(np.concatenate([s.words for s in made]))
-    hot = int(np.searchsorted(words, lm._words[b"hot"]))
-    fan = np.ones(len(words), np.int64)
-    fan[hot] = 6
-    met = collections.Counter()
-    for s in made:
-        place = np.searchsorted(words, s.words)
-        pairs, _ = s.pairs()
-        h, w = place[pairs // len(s.words)], place[pairs % len(s.words)]
-        b = lm._pair_bucket(np.arange(len(words)), fan, h, w, 8)
-        met.update(b[h == hot].tolist())
-    assert len(met) == 6 and max(met.values()) < 2 * sum(met.values()) / 6
-    # the same scores, whether or not histories are dealt
+    met = lm._bucket(np.full(3000, 7), np.arange(3000), np.full(3000, 6), 8)
+    share = np.bincount(met, minlength=8)
+    assert (share > 0).sum() == 6 and share.max() < 2 * 3000 / 6
+    # the same scores, whether or not histories are dealt, in many small units
+    monkeypatch.setattr(lm, "UNIT_TEXT", (2000, 2000))
     docs = spark.createDataFrame(rows + [(70, "hot unseen hot hot"), (71, None)], "doc_id long, text string")
     held = F.col("doc_id") % 7 == 0
-    got, want = (sorted((r.doc_id, r.n_known, round(r.score, 8)) for r in lm.katz_scores(docs, held, share).collect()) for share in (5, 10**9))
+    got, want = (sorted((r.doc_id, r.n_known, round(r.score, 8)) for r in lm.katz_scores(docs, held, share=share).collect()) for share in (5, 10**9))
     assert got == want
 
 
-def test_dealt_katz_against_dictionaries(docs, plain, monkeypatch):
-    whole = lm.katz_scores
-    monkeypatch.setattr(lm, "katz_scores", lambda d, h: whole(d, h, share=3))
-    test_katz_against_dictionaries(docs, plain)
-
-
 # ---- urls
 
 
@@ -471,3 +547,60 @@ def test_pipeline(spark, docs, plain, tmp_path):
     rows = P.STAGES[-1][1](spark, at, folder)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
     assert rows.select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
+
+
+def shingle_sets(texts, width=5):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, docs, tmp_path):
+    """Each stage's rows, from a table with nulls, repeated rows and ids, and columns that clash with the operators'."""
+    import corpus_pipeline as P
+
+    clash = docs.select("*", F.lit(1).alias("d_n"), F.lit("x").alias("predicted"), F.lit(2.0).alias("d_spans"), F.lit(0).alias("r_kept"))
+    folder = f"file://{tmp_path}"
+    clash.write.parquet(folder + "/documents.parquet")
+    table = spark.read.parquet(folder + "/documents.parquet")
+    rows = table.collect()
+    item = " ".join(rows[0].text.split()[3:15])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+    number = lambda r: math.inf if r.doc_id is None else r.doc_id
+    bag = lambda found: collections.Counter(map(str, found))
+
+    judged = quality.score(table.select("doc_id", "text"), quality.learned(table, spark.read.parquet(folder + "/labels.parquet"))).where("predicted = 1")
+    good = P.good_quality(spark, table, folder)
+    assert good.columns == table.columns and collections.Counter(r.doc_id for r in good.collect()) == collections.Counter(r.doc_id for r in judged.collect())
+
+    sets, group = shingle_sets([r.text for r in rows]), list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[i] if g == group[j] else g for g in group]
+    best = {g: min(number(rows[i]) for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    kept = P.without_near_duplicates(spark, table, folder).collect()
+    assert sorted(map(number, kept)) == sorted(best.values()) and not bag(kept) - bag(rows)
+
+    texts = collections.Counter((d, x.decode("utf-8", "replace")) for d, _, x in cut([(r.doc_id, r.text) for r in rows]))
+    less = P.without_repeats(spark, table, folder)
+    assert less.columns == table.columns and collections.Counter((r.doc_id, r.text) for r in less.collect()) == texts
+
+    clean = P.without_leaks(spark, table, folder).collect()
+    words = lambda t: " " + " ".join(w.decode() for w in decontaminate.words_of((t or "").encode())) + " "
+    windows = [" " + " ".join(item.split()[i : i + 10]) + " " for i in range(3)]
+    want = [r for r in rows if not any(w in words(r.text) for w in windows)]
+    assert bag(clean) == bag(want) and 0 < len(want) < len(rows)
+
+
+def test_pipeline_of_empty_tables(spark, nothing, tmp_path):
+    import corpus_pipeline as P
+
+    folder = f"file://{tmp_path}"
+    nothing.write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
+    assert P.run(spark, folder).count() == 0
