@@ -63,15 +63,17 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def release(*frames: DataFrame) -> None:
-    """Delete the files of written frames that nothing reads any more."""
+def release(*frames: DataFrame | None) -> None:
+    """Delete what materialize wrote of frames that nothing reads any more."""
     for df in frames:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,4 +27,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "node").where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("m_least").alias("root")).distinct()
         least = large.groupBy("node").agg(F.min("root").alias("m_least"))
         small = large.join(least, "node").where(F.col("root") != F.col("m_least")).select(F.col("root").alias("node"), F.col("m_least").alias("root"))
-        edges = materialize(small.unionByName(least.withColumnRenamed("m_least", "root")).distinct())
+        before, edges = edges, materialize(small.unionByName(least.withColumnRenamed("m_least", "root")).distinct())
+        release(before)

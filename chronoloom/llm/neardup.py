@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, read, tune
+from .common import materialize, mix, read, release, tune
 from .components import components
 
 ROWS, BANDS, BITS = 5, 40, 4
@@ -262,6 +262,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = materialize(banded.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("leader")).where(F.col("members") > 1))
     hot = max(HOT, classes.count() * BANDS // HOT_BANDS)
     members = materialize(_with_bands(banded, shared, hot))
+    release(shared)
 
     def sketched(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -272,7 +273,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = materialize(every.select("doc_id", "c").join(wanted, "c").groupBy("c").agg(F.min("doc_id").alias("w_id")).select("w_id").distinct())
         texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.w_id), "left_semi").select("d_text")
-        return materialize(texts.mapInArrow(_sets(width), "c long, members binary").dropDuplicates(["c"]))
+        found = materialize(texts.mapInArrow(_sets(width), "c long, members binary").dropDuplicates(["c"]))
+        release(wanted)
+        return found
 
     def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("c").alias(s), F.col("members").alias(s + "_set")) for s in ("a", "b"))
@@ -283,6 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = materialize(sketched(pairs))
     sets = sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
     links = materialize(confirm(pairs, sets))
+    release(pairs)
     roots = components(links)
 
     # second round: members of a band outside its largest component (askers) against all its members
@@ -293,23 +297,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     open_bands = largest.where(F.col("top.size") < F.col("all")).select(
         "key", "members", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("ask_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")
     )
-    placed = _with_bands(placed.drop("members"), materialize(open_bands), hot).join(known, "c")
+    release(members)
+    bands = materialize(open_bands)
+    askers = _with_bands(placed.drop("members"), bands, hot).join(known, "c")
     # a task for each block of askers and block of members: side 0 asks, side 1 is asked
     block = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda ask, asked: (ask * F.col("blocks") + asked).cast("int")
     asked = F.transform(upto("ask_blocks"), lambda a: F.struct(cell(a, block("blocks", 1)).alias("task"), F.lit(1).alias("side")))
     asks = F.transform(upto("blocks"), lambda m: F.struct(cell(block("ask_blocks", 2), m).alias("task"), F.lit(0).alias("side")))
-    tasks = placed.select("key", "c", "comp", "n", "sig", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(asks, asked)).otherwise(asked)).alias("t"))
+    tasks = askers.select("key", "c", "comp", "n", "sig", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(asks, asked)).otherwise(asked)).alias("t"))
     tasks = tasks.select("key", "c", "comp", "n", "sig", "t.task", "t.side")
     in_order = lambda df: df.repartition("key", "task").sortWithinPartitions("key", "task")
     found = in_order(tasks).mapInPandas(_open_members(margin(percent / 100), percent), "key long, task int, side int, c long, comp long")
     found = materialize(found)
+    release(placed, bands)
     if not found.isEmpty():
         lacking = found.select("c").distinct().join(sets.select("c"), "c", "left_anti")
-        held = in_order(found.join(sets.unionByName(sets_of(lacking)), "c"))
-        links = materialize(links.unionByName(held.mapInPandas(_joining(percent), "a long, b long")))
-        roots = components(links)
+        more = sets_of(lacking)
+        held = in_order(found.join(sets.unionByName(more), "c"))
+        every_link = materialize(links.unionByName(held.mapInPandas(_joining(percent), "a long, b long")))
+        release(more, roots)
+        roots = components(every_link)
+        release(every_link)
+    release(found, sets, links)
 
     # the smallest document of each component
     named = classes.select("c", "first").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))

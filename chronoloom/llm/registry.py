@@ -14,4 +14,4 @@ QUERIES = {
     "op9_lm": lm.op9_lm,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-SQL = {**neardup.SQL, **topk.SQL, **decontaminate.SQL}
+SQL = {**neardup.SQL, **topk.SQL, **decontaminate.SQL, **repeats.SQL}

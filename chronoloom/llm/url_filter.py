@@ -79,10 +79,23 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def rates(sample: DataFrame, key: str, out: str) -> DataFrame:
-    """Smoothed share of blocked urls by suffix; at most a row for each sampled url."""
-    prior = 5.0
-    return sample.groupBy(key).agg(((F.sum("u_label") + prior * 0.5) / (F.count("*") + prior)).alias(out))
+PRIOR = 5.0  # urls that a suffix's rate counts as half blocked beside its own
+
+
+def tallies(sample: DataFrame, key: str) -> DataFrame:
+    """Blocked and all sampled urls of each suffix; at most a row for each sampled url."""
+    return sample.groupBy(key).agg(F.sum("u_label").alias(key + "_blocked"), F.count("*").alias(key + "_all"))
+
+
+def with_rates(df: DataFrame, tables: dict[str, DataFrame], learning: bool) -> DataFrame:
+    """Adds the smoothed share of blocked urls of both suffixes; for rows that are learned from, of the other rows, or
+    a suffix that occurs once would give its own label away."""
+    for key, table in tables.items():
+        df = df.join(F.broadcast(table), key, "left")  # bounded by the sample
+        blocked, every = (F.coalesce(F.col(key + c), F.lit(0.0)) for c in ("_blocked", "_all"))
+        own, one = (F.col("u_label"), 1) if learning else (F.lit(0.0), 0)
+        df = df.withColumn(key + "_rate", (blocked - own + PRIOR / 2) / (every - one + PRIOR))
+    return df
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 20_000, trees: int = 20, depth: int = 4, threshold: float = 0.5) -> DataFrame:
@@ -103,19 +116,13 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = 20_00
     picked = materialize(labelled.orderBy(F.xxhash64("u_url"), "u_url").limit(sample).coalesce(1))
     n, blocked = picked.agg(F.count("*"), F.coalesce(F.sum("u_label"), F.lit(0.0))).first()
     if 0 < blocked < n:
-        tables = [rates(picked, "u_suffix", "u_suffix_rate"), rates(picked, "u_domain", "u_domain_rate")]
-        tables = [materialize(t.coalesce(1)) for t in tables]
-
-        def dressed(df: DataFrame) -> DataFrame:
-            for key, table in zip(("u_suffix", "u_domain"), tables, strict=True):
-                df = df.join(F.broadcast(table), key, "left")  # bounded by the sample
-            return VectorAssembler(inputCols=FEATURES, outputCol="u_features").transform(df.fillna(0.5, ["u_suffix_rate", "u_domain_rate"]))
-
+        tables = {key: materialize(tallies(picked, key).coalesce(1)) for key in ("u_suffix", "u_domain")}
+        vectors = VectorAssembler(inputCols=FEATURES, outputCol="u_features")
         weight = F.when(F.col("u_label") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked)))
         fit = GBTClassifier(labelCol="u_label", featuresCol="u_features", weightCol="u_weight", maxIter=trees, maxDepth=depth, stepSize=0.2, maxBins=32, seed=7)
-        model = fit.fit(dressed(picked.withColumn("u_weight", weight)))
+        model = fit.fit(vectors.transform(with_rates(picked.withColumn("u_weight", weight), tables, True)))
         model.setRawPredictionCol("u_raw").setProbabilityCol("u_probability").setPredictionCol("u_prediction")
-        scored = model.transform(dressed(rows)).withColumn("p_block", vector_to_array("u_probability")[1])
+        scored = model.transform(vectors.transform(with_rates(rows, tables, False))).withColumn("p_block", vector_to_array("u_probability")[1])
     else:
         scored = rows.withColumn("p_block", F.lit(1.0 if n and blocked == n else 0.0))
     verdict = F.coalesce("u_ruled", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))

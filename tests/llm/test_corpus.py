@@ -512,6 +512,44 @@ def test_url_rules(spark):
     assert [r.verdict for r in few] == ["allow", "allow"] and url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_features_against_loop(spark):
+    urls = ["http://Www.shop-a.example.com/a/b-c//d?x=1&y=22#top", "https://x.net", "no scheme at all", "", None, "http://h.org/?&&q"]
+    base = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, u_url string")
+    host, path = url_filter.host_and_path(F.col("u_url"))
+    got = {r.page_id: r for r in url_filter.lexical(base.select("*", host.alias("u_host"), path.alias("u_path"))).collect()}
+    for i, u in enumerate(urls):
+        u, r = u or "", got[i]
+        share = [u.count(c) / len(u) for c in set(u)]
+        query = u.split("#")[0].partition("?")[2]
+        assert (r.u_length, r.u_host_length, r.u_hyphens) == (len(u), len(r.u_host), u.count("-"))
+        assert r.u_depth == len([p for p in r.u_path.split("/") if p]) and r.u_parameters == len([p for p in query.split("&") if p])
+        assert math.isclose(r.u_digit_ratio, sum(c.isdigit() for c in u) / max(len(u), 1)) and math.isclose(r.u_entropy, -sum(p * math.log2(p) for p in share), abs_tol=1e-9)
+        assert r.u_labels == len(r.u_host.split(".")) and r.u_suffix == r.u_host.split(".")[-1] and r.u_domain == ".".join(r.u_host.split(".")[-2:] if "." in r.u_host else [""])
+
+
+def test_url_rates_leave_out_their_own_row(spark):
+    rows = spark.createDataFrame([("net", 1.0), ("net", 1.0), ("com", 0.0), ("org", 1.0)], "u_suffix string, u_label double")
+    tables = {"u_suffix": url_filter.tallies(rows, "u_suffix")}
+    rates = lambda learning: sorted((r.u_suffix, round(r.u_suffix_rate, 6)) for r in url_filter.with_rates(rows, tables, learning).collect())
+    assert rates(True) == [("com", 0.5), ("net", round(3.5 / 6, 6)), ("net", round(3.5 / 6, 6)), ("org", 0.5)]
+    assert rates(False) == [("com", round(2.5 / 6, 6)), ("net", round(4.5 / 7, 6)), ("net", round(4.5 / 7, 6)), ("org", round(3.5 / 6, 6))]
+
+
+def test_url_verdicts_of_urls_without_a_rule(spark):
+    """Learned from urls that a rule decides: under net all that is labelled is blocked, with long queries; under com
+    nothing is."""
+    rng = random.Random(5)
+    path = lambda n: "/".join(rng.choice(WORDS) for _ in range(n))
+    urls = [f"http://s{i}.{rng.choice(WORDS)}.net/{rng.choice(('es', 'fr'))}/{path(6)}?id={rng.randrange(10**9)}&u={rng.randrange(10**9)}" for i in range(150)]
+    urls += [f"http://www.{rng.choice(WORDS)}.com/{path(1)}" for i in range(150)]
+    bad = [f"http://t{i}.{rng.choice(WORDS)}.net/de/{path(6)}?id={rng.randrange(10**9)}&u={rng.randrange(10**9)}" for i in range(50)]
+    good = [f"http://www.{rng.choice(WORDS)}.org/{path(1)}" for i in range(50)]
+    pages = spark.createDataFrame(list(enumerate(urls + bad + good)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert all(got[i].rule is None for i in range(300, 400))
+    assert [got[i].verdict for i in range(300, 350)].count("block") >= 48 and [got[i].verdict for i in range(350, 400)].count("allow") >= 48
+
+
 # ---- empty tables, pipeline
 
 
