@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import micros
@@ -18,18 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def telemetry_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """channel, ts, val, nd, otkl, arrival, pkt and event_id, from events."""
+def instant(us: int) -> Column:
+    """A time as the stored column has it, so that comparisons reach the Parquet scan."""
+    return F.lit(datetime(1970, 1, 1) + timedelta(microseconds=us)).cast("timestamp_ntz")
+
+
+def telemetry_source(spark: SparkSession, sf_dir: str, t_from: int | None = None, t_to: int | None = None) -> DataFrame:
+    """channel, ts, val, nd, otkl, arrival, pkt and event_id, from events in [t_from, t_to)."""
+    rows = table(spark, sf_dir, "events")
+    rows = rows if t_from is None else rows.where(F.col("ts") >= instant(t_from))
+    rows = rows if t_to is None else rows.where(F.col("ts") < instant(t_to))
     k = F.get_json_object("props", "$.k").cast("int")
     arrival = F.col("event_id") + F.when(F.col("event_id") % 97 == 0, 400).otherwise(0)
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         F.col("event_type").alias("channel"), micros(F.col("ts")).alias("ts"), F.when(k != 3, F.col("value")).alias("val"), (k == 0).alias("nd"),
         F.when(k.isin(1, 2), k).otherwise(0).alias("otkl"), arrival.alias("arrival"), F.floor(arrival / 50).alias("pkt"), "event_id",
     )
 
 
-def telemetry(spark: SparkSession, sf_dir: str, x_min: float = 0.5, x_max: float = 100.0) -> DataFrame:
-    rows = telemetry_source(spark, sf_dir)
+def telemetry(spark: SparkSession, sf_dir: str, t_from: int | None = None, t_to: int | None = None, x_min: float = 0.5, x_max: float = 100.0) -> DataFrame:
+    rows = telemetry_source(spark, sf_dir, t_from, t_to)
     return rows.withColumn("quality", quality_of(F.col("val"), F.col("nd"), F.col("otkl"), F.lit(x_min), F.lit(x_max)))
 
 

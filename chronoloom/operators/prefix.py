@@ -2,7 +2,8 @@
 
 Rows are cut into chunks (c_chunk) that ascend with the order. A chunk is summed up in one value, the values are
 carried over the chunks of a key (a row for each chunk), and windows are taken inside chunks only. A key with a third
-of all rows is spread over as many tasks as it has chunks.
+of all rows is spread over as many tasks as it has chunks. Each function reads its rows twice, so hand in stored rows
+where they are costly to make and several functions follow each other.
 """
 
 from __future__ import annotations

@@ -51,8 +51,9 @@ def query(name: str, select: str | None = None, *parts: str, recursive: bool = F
     return add
 
 
-def _tel(s: SparkSession, d: str) -> DataFrame:
-    return M.telemetry(s, d)
+def _tel(s: SparkSession, d: str, t_from: int | None = None, t_to: int | None = None) -> DataFrame:
+    """The archive; a range is taken at the scan."""
+    return M.telemetry(s, d, t_from, t_to)
 
 
 def _valid(s: SparkSession, d: str) -> DataFrame:
@@ -157,12 +158,12 @@ def _(s, d):
 
 @query("scan_raw", f"SELECT channel, ts, val, quality FROM tel WHERE channel = 'click' AND ts >= {T0} AND ts < {T1} ORDER BY ts LIMIT 100", Q.TEL)
 def _(s, d):
-    return AR.scan_raw(_tel(s, d), "click", T0, T1, 100)
+    return AR.scan_raw(_tel(s, d, T0, T1), "click", T0, T1, 100)
 
 
 @query("scan_raw_good", f"SELECT channel, ts, val FROM tel WHERE channel = 'click' AND quality <> 'bad' AND ts >= {T0} AND ts < {T1}", Q.TEL)
 def _(s, d):
-    return AR.scan_raw_good(_tel(s, d), "click", T0, T1)
+    return AR.scan_raw_good(_tel(s, d, T0, T1), "click", T0, T1)
 
 
 @query("scan_agg", f"SELECT channel, lvl, bucket AS ts, vmin, vmax, cnt FROM agg WHERE channel = 'view' AND lvl = 2 AND bucket >= {T0} AND bucket < {T1}", Q.TEL, Q.LEVELS)
@@ -200,7 +201,7 @@ def _(s, d):
 @query("export_slice", f"SELECT strftime(make_timestamp(ts), '%Y%m%d%H')::INT AS hour, channel, ts, round(val, 6) AS val, nd, otkl FROM tel WHERE channel IN ('click', 'error') AND ts >= {T0} AND ts < {T1}", Q.TEL)
 def _(s, d):
     path = scratch(s)
-    FI.export_slice(M.telemetry_source(s, d).select("channel", "ts", "val", "nd", "otkl"), path, T0, T1, ("click", "error"))
+    FI.export_slice(M.telemetry_source(s, d, T0, T1).select("channel", "ts", "val", "nd", "otkl"), path, T0, T1, ("click", "error"))
     found = s.read.schema("channel string, ts long, val double, nd boolean, otkl int, hour int").option("header", True).csv(path)
     return _rounded(found, "val")
 
@@ -289,7 +290,7 @@ def _(s, d):
 
 @query("filter_telemetry", f"SELECT channel, ts, val FROM tel WHERE channel IN ('view', 'error') AND ts >= {T0} AND ts < {T1}", Q.TEL)
 def _(s, d):
-    return AR.filter_telemetry(_tel(s, d).select("channel", "ts", "val"), ("view", "error"), T0, T1)
+    return AR.filter_telemetry(_tel(s, d, T0, T1).select("channel", "ts", "val"), ("view", "error"), T0, T1)
 
 
 @query("assign_quality", "SELECT event_id, channel, quality FROM tel", Q.TEL)
@@ -589,7 +590,7 @@ def _(s, d):
 
 @query("count_raw", f"SELECT count(*) AS n FROM tel WHERE channel = 'view' AND ts >= {T0} AND ts < {T1}", Q.TEL)
 def _(s, d):
-    return AR.filter_telemetry(_tel(s, d), ("view",), T0, T1).agg(F.count("*").alias("n"))
+    return AR.filter_telemetry(_tel(s, d, T0, T1), ("view",), T0, T1).agg(F.count("*").alias("n"))
 
 
 @query("time_bounds", "SELECT min(ts) AS t_first, max(ts) AS t_last FROM tel", Q.TEL)
@@ -724,14 +725,14 @@ def _(s, d):
 
 @query("flag_islands", "SELECT channel, kind, ts, island FROM isl", Q.FULL, recursive=True)
 def _(s, d):
-    return D.flag_islands(_flags(s, d), PARAMS.episode_gap, PARAMS.chunk).select("channel", "kind", "ts", "island")
+    return D.flag_islands(written(_flags(s, d)), PARAMS.episode_gap, PARAMS.chunk).select("channel", "kind", "ts", "island")
 
 
 @query("alarm_hysteresis", """SELECT rule_id, ts, coalesce(last_value(CASE WHEN kind IN ('hi', 'hihi') THEN CASE WHEN value > lim THEN true WHEN value <= lim - deadband THEN false END ELSE CASE WHEN value < lim THEN true WHEN value >= lim + deadband THEN false END END IGNORE NULLS)
 OVER (PARTITION BY rule_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS condition FROM pairs WHERE kind <> 'anomaly'""", Q.FULL, Q.RULES, Q.READINGS, Q.PAIRS, recursive=True)
 def _(s, d):
     # of all rules with a limit, as if they had no delays
-    return A.alarm_hysteresis(_pairs(s, d).where("kind <> 'anomaly'"), PARAMS.chunk).select("rule_id", "ts", "condition")
+    return A.alarm_hysteresis(written(_pairs(s, d).where("kind <> 'anomaly'")), PARAMS.chunk).select("rule_id", "ts", "condition")
 
 
 DEBOUNCE = """dr AS (SELECT *, CASE WHEN kind IN ('hi', 'hihi') THEN value > lim ELSE value < lim END AS raw FROM pairs WHERE kind <> 'anomaly'),
@@ -742,7 +743,7 @@ dm AS (SELECT *, CASE WHEN raw IS NOT NULL AND ts - min(ts) OVER (PARTITION BY r
 @query("alarm_debounce", "SELECT rule_id, ts, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY rule_id ORDER BY ts ROWS UNBOUNDED PRECEDING), false) AS condition FROM dm", Q.FULL, Q.RULES, Q.READINGS, Q.PAIRS, DEBOUNCE, recursive=True)
 def _(s, d):
     # of all rules with a limit, as if they had no deadband
-    return A.alarm_debounce(_pairs(s, d).where("kind <> 'anomaly'"), PARAMS.chunk).select("rule_id", "ts", "condition")
+    return A.alarm_debounce(written(_pairs(s, d).where("kind <> 'anomaly'")), PARAMS.chunk).select("rule_id", "ts", "condition")
 
 
 LATE_SQL = f"""SELECT channel, lvl, count(*) FILTER (ts // width * width < seen - {LATE} - width) AS dropped FROM (SELECT t.channel, t.ts, s.seen, lv.lvl, lv.width FROM tel t
@@ -782,7 +783,7 @@ def _(s, d):
 
 @query("minmax_preselect", "SELECT channel, ts, val FROM pre", Q.TEL, Q.PRESELECT)
 def _(s, d):
-    rows = AR.filter_telemetry(_tel(s, d), (), T0, T1).where(F.col("val").isNotNull()).select("channel", "ts", "val")
+    rows = AR.filter_telemetry(_tel(s, d, T0, T1), (), T0, T1).where(F.col("val").isNotNull()).select("channel", "ts", "val")
     return G.minmax_preselect(rows, 80)
 
 
@@ -814,13 +815,13 @@ def _(s, d):
 
 @query("lttb", "SELECT channel, ts, val FROM lt", Q.TEL, Q.PRESELECT, Q.LTTB, recursive=True)
 def _(s, d):
-    rows = AR.filter_telemetry(_tel(s, d), (), T0, T1).where(F.col("val").isNotNull()).select("channel", "ts", "val")
+    rows = AR.filter_telemetry(_tel(s, d, T0, T1), (), T0, T1).where(F.col("val").isNotNull()).select("channel", "ts", "val")
     return L.lttb(G.minmax_preselect(rows, 80), 80)
 
 
 @query("minmax_lttb", "SELECT channel, ts, val FROM lt", Q.TEL, Q.PRESELECT, Q.LTTB, recursive=True)
 def _(s, d):
-    return L.minmax_lttb(AR.filter_telemetry(_tel(s, d), (), T0, T1), 80, 2.0)
+    return L.minmax_lttb(AR.filter_telemetry(_tel(s, d, T0, T1), (), T0, T1), 80, 2.0)
 
 
 @query("grid_lttb", "SELECT channel, ts, val, true AS final FROM gp UNION ALL SELECT channel, ts, val, false FROM gt", Q.TEL, Q.CELLS, recursive=True)
@@ -837,8 +838,7 @@ POINTS = f"""sx AS (SELECT * FROM lt UNION ALL SELECT t.channel, t.ts, t.val FRO
 @query("series_query", "SELECT ro.channel, x.ts, x.val, CASE WHEN source <> 'agg' THEN t.quality END AS quality, source, ro.n, CASE WHEN ro.n = 0 THEN 0.0 ELSE round(greatest(0, 1 - count(x.ts) OVER (PARTITION BY ro.channel) / ro.n), 6) END AS eta FROM ro LEFT JOIN sx x USING (channel) LEFT JOIN tel t ON t.channel = x.channel AND t.ts = x.ts",
        Q.TEL, Q.LEVELS, ROUTE, Q.PRESELECT.replace("pre AS MATERIALIZED", "pre0 AS MATERIALIZED"), SERIES_PRE, SERIES, Q.LTTB, POINTS, recursive=True)
 def _(s, d):
-    rows = _tel(s, d)
-    out = R.series_query(rows, written(_levels(s, d)), I.channel_watermark(rows), T0, T1, CHART, GRID, HOT)
+    out = R.series_query(_tel(s, d, T0, T1), written(_levels(s, d)), I.channel_watermark(_tel(s, d)), T0, T1, CHART, GRID, HOT)
     return out.select("channel", "ts", "val", "quality", "source", "n", F.round("eta", 6).alias("eta"))
 
 
