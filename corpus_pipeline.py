@@ -29,11 +29,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ones the first. A null doc_id counts as larger than all others."""
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("p_doc"), docs["doc_id"].alias("p_id"), docs["text"], F.monotonically_increasing_id().alias("p_row"))
     groups = materialize(neardup.near_duplicates(rows.select(F.col("p_row").alias("doc_id"), "text"), width=5))
-    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = groups.join(several, "component_id").select(F.col("doc_id").alias("p_row"), "component_id").join(rows.select("p_row", "p_id"), "p_row")
+    members = groups.select(F.col("doc_id").alias("p_row"), "component_id").join(rows.select("p_row", "p_id"), "p_row")
     first = F.min(F.struct(F.col("p_id").isNull().alias("none"), "p_id", "p_row")).alias("first")
     kept = members.groupBy("component_id").agg(first).select(F.col("first.p_row").alias("p_row"))
-    gone = materialize(members.select("p_row").join(kept, "p_row", "left_anti"))
+    gone = materialize(groups.select(F.col("doc_id").alias("p_row")).join(kept, "p_row", "left_anti"))
     return rows.join(gone, "p_row", "left_anti").select("p_doc.*")
 
 
