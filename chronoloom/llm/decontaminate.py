@@ -8,7 +8,6 @@ and then all bytes are compared. Many positions of a text are walked in step, so
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 

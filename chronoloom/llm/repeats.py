@@ -33,7 +33,7 @@ from .common import deltas, kept_names, materialize, mix, pack, read, slim, unpa
 WINDOW, GRAM = 50, 16
 CHUNK = 1 << 18  # windows handled at a time
 SCAN = 10 << 20  # bytes of suffixes sorted at a time
-HOT = 100_000  # an anchor's different texts in units, beyond one in each, from which on it is dealt by window
+HOT = 20_000  # an anchor's different texts in units, beyond one in each, from which on it is dealt by window
 UNIT_TEXT = (4 << 20, 24 << 20)  # text of a unit or bucket: least and most
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no document is smaller because of it
 
@@ -95,8 +95,8 @@ def maximal_repeats(texts: list[bytes], least: int = WINDOW, copied: np.ndarray
     begin = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(texts) + b"\0" * (depth + 8), np.uint8)
     count = np.maximum(0, sizes - least + 1)
-    owner = np.repeat(np.arange(len(texts)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+    offset = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
     # only suffixes whose first ``least`` bytes recur can be in an interval; they are sorted in slices by those bytes
     head = _hash(data, begin[owner] + offset, least)
     order = np.argsort(head, kind="stable")
@@ -307,12 +307,13 @@ def _repeated(blobs: list[bytes]) -> tuple[list[bytes | None], list[int]]:
         np.maximum.at(most, own, low)
         several[own] |= many
     several |= least != most
-    found = []
+    found = array("q")  # text, start, end and smallest doc_id of each range, one after another
     for length, owner, offset in maximal_repeats(kinds, WINDOW, several):
         smallest = least[owner].min()
         later = several[owner] | (least[owner] > smallest)
-        found.append(np.stack([owner[later], offset[later], offset[later] + length, np.full(later.sum(), smallest)]))
-    kind, start, end, smallest = np.concatenate(found or [np.empty((4, 0), np.int64)], axis=1)
+        owner, offset = owner[later], offset[later]
+        found.frombytes(np.stack([owner, offset, offset + length, np.full(len(owner), smallest)], axis=1).astype(np.int64).tobytes())
+    kind, start, end, smallest = np.frombuffer(found, np.int64).reshape(-1, 4).T if len(found) else np.empty((4, 0), np.int64)
     order = np.argsort(kind, kind="stable")
     start, end, smallest = start[order], end[order], smallest[order]
     bounds = np.searchsorted(kind[order], np.arange(len(kinds) + 1))

@@ -1,7 +1,6 @@
 """Corpus operators against brute force on small tables, and their edge cases."""
 
 import collections
-import hashlib
 import math
 import random
 import zlib
@@ -12,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import components as C
-from chronoloom.llm import units as U
 from chronoloom.llm import decontaminate, language, lm, neardup, packing, quality, repeats, token_files, tokens, topk, url_filter
 from chronoloom.llm.common import pack, slim, unpack
 
