@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,7 +101,3 @@ def grid_delta(window: Column, m: Column) -> Column:
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw) + 1e-12))
     step = raw / power
     return (power * F.when(step <= 1 + 1e-9, 1).when(step <= 2 + 1e-9, 2).when(step <= 5 + 1e-9, 5).otherwise(10)).cast("long")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
