@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import alignment, decontaminate, language, lexical, lm, neardup, packing, quality, repeats, token_files, topk, url_filter
+from . import alignment, decontaminate, jaccard, language, lexical, lm, neardup, packing, quality, repeats, token_files, topk, url_filter
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_search": lexical.op11_search,
     "op12_align": alignment.op12_align,
+    "op13_join": jaccard.op13_join,
 }
-SQL = {**neardup.SQL, **topk.SQL, **decontaminate.SQL, **repeats.SQL, **lexical.SQL}
+SQL = {**neardup.SQL, **topk.SQL, **decontaminate.SQL, **repeats.SQL, **lexical.SQL, **jaccard.SQL}
