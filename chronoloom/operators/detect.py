@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..params import ChannelParams
 from ..storage import with_columns
 from . import prefix
-from .filters import NAIVE, ChannelModel, diagnosed
+from .filters import diagnosed
+from .models import NAIVE, ChannelModel, in_groups
 
 
 class Spread:
@@ -56,26 +57,24 @@ def judged(found: dict[str, np.ndarray] | pd.DataFrame, spread: Spread, p: Chann
     return {"thr": thr, "anomaly": flag | likely, "prob_ratio": ratio}
 
 
-def adaptive_residual(rows: DataFrame, p: ChannelParams = ChannelParams(), models: dict[str, ChannelModel] | None = None) -> DataFrame:
+def adaptive_residual(rows: DataFrame, p: ChannelParams = ChannelParams(), models: DataFrame | None = None) -> DataFrame:
     """Adds thr, anomaly and prob_ratio to rows with resid and prob. A spread that is learned online goes on from row to
     row of a channel: a recurrence, which keeps one task busy for each channel. The task walks batch by batch, so it
     needs no more memory than a batch."""
-    models = models or {}
 
-    def steps(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def steps(key: tuple[Any, ...], model: ChannelModel | None, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spread = Spread(p.warm_up)
         for pdf in frames:
-            found = judged({c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("resid", "prob")}, spread, p, models.get(key[0], NAIVE))
+            found = judged({c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("resid", "prob")}, spread, p, model or NAIVE)
             yield pdf.assign(**{c: a if a.dtype == bool else pd.array(a, "Float64") for c, a in found.items()})
 
-    ordered = rows.repartition("channel").sortWithinPartitions("channel", "ts")
-    return ordered.groupBy("channel").applyInPandas(steps, with_columns(rows.schema, {"thr": "double", "anomaly": "boolean", "prob_ratio": "double"}))
+    return in_groups(rows, models, ("channel",), steps, with_columns(rows.schema, {"thr": "double", "anomaly": "boolean", "prob_ratio": "double"}), functions=False)
 
 
 PIPELINE = ("channel", "ts", "val", "val_f", "median", "substituted", "pred", "resid", "prob")
 
 
-def channel_pipeline(valid: DataFrame, p: ChannelParams = ChannelParams(), models: dict[str, ChannelModel] | None = None) -> DataFrame:
+def channel_pipeline(valid: DataFrame, p: ChannelParams = ChannelParams(), models: DataFrame | None = None) -> DataFrame:
     """Filter, features, forecast, residual and classifier of all valid rows (channel, ts, val)."""
     return adaptive_residual(diagnosed(valid.select("channel", "ts", "val"), p, models).select(*PIPELINE), p, models)
 

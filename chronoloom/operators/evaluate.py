@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..params import DAY, ChannelParams
 from ..storage import written
 from .detect import analysis_report, build_episodes, channel_pipeline, flagged_points, scored_flags
-from .filters import ChannelModel
 
 
 def _days(start: Column, end: Column) -> Column:
@@ -83,7 +82,7 @@ def forecast_mae(rows: DataFrame) -> DataFrame:
 
 
 def reanalyze(
-    valid: DataFrame, p: ChannelParams, run: str, labels: DataFrame | None = None, tolerance: int = 0, models: dict[str, ChannelModel] | None = None
+    valid: DataFrame, p: ChannelParams, run: str, labels: DataFrame | None = None, tolerance: int = 0, models: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """The pipeline over history under a run id, with new parameters or models: diagnosis (written), episodes, report
     and, with labels, metrics."""

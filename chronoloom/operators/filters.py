@@ -8,14 +8,12 @@ batch, whatever a chunk holds. The result is exact for any spacing of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +21,9 @@ from ..functions.scalar import floor_div
 from ..params import ChannelParams
 from ..storage import with_columns
 from . import prefix
+from .models import NAIVE, ChannelModel, in_groups
 
 CHANNEL = ("channel",)
-MODEL_BYTES = 256 << 20
 
 
 def with_halo(rows: DataFrame, reach: int, chunk: int) -> DataFrame:
@@ -74,22 +72,8 @@ def features(ts: np.ndarray, v: np.ndarray, p: ChannelParams) -> dict[str, np.nd
     return out
 
 
-@dataclass(frozen=True)
-class ChannelModel:
-    """What was learned for a channel. Both functions take rows of INPUTS: ``forecast`` gives next values (the filtered
-    value itself, if there is none), with residuals spread by ``sigma`` (learned online, if null); ``classify`` gives
-    probabilities of an anomaly, which count above ``gamma``."""
-
-    forecast: Callable[[np.ndarray], np.ndarray] | None = None
-    sigma: float | None = None
-    classify: Callable[[np.ndarray], np.ndarray] | None = None
-    gamma: float = 0.5
-    version: str = "naive"
-
-
 FEATURES = ("mean", "std", "lo", "hi", "rms", "slope")
 INPUTS = ("val_f", *FEATURES)
-NAIVE = ChannelModel()
 
 
 def diagnosis(ts: np.ndarray, x: np.ndarray, p: ChannelParams, model: ChannelModel = NAIVE) -> dict[str, np.ndarray]:
@@ -108,22 +92,21 @@ def diagnosis(ts: np.ndarray, x: np.ndarray, p: ChannelParams, model: ChannelMod
     return out | {"pred": pred, "resid": np.abs(x - pred), "prob": prob}
 
 
-def _framed(rows: DataFrame, reach: int, p: ChannelParams, value: str, work, columns: dict[str, str]) -> DataFrame:
-    """rows with the columns that work(channel, ts, values) gives; ``reach`` rows before a row decide about it."""
-    haloed = with_halo(rows, reach, p.chunk)
+def _framed(rows: DataFrame, reach: int, p: ChannelParams, value: str, work, columns: dict[str, str], models: DataFrame | None = None) -> DataFrame:
+    """rows with the columns that work(model, ts, values) gives; ``reach`` rows before a row decide about it."""
 
-    def frames(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(key: tuple[Any, ...], model: ChannelModel | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ts, x = np.empty(0, np.int64), np.empty(0)
         for pdf in batches:
             ts, x = np.append(ts, pdf["ts"].to_numpy(np.int64)), np.append(x, pdf[value].to_numpy(float))
             mine = ~pdf["c_halo"].to_numpy(bool)
-            found = {c: a[len(x) - len(pdf) :][mine] for c, a in work(key[0], ts, x).items()}
+            found = {c: a[len(x) - len(pdf) :][mine] for c, a in work(model or NAIVE, ts, x).items()}
             out = pdf[mine].drop(columns=["c_chunk", "c_halo"])
             yield out.assign(**{c: found[c] if t == "boolean" else pd.array(found[c], "Float64") for c, t in columns.items()})
             ts, x = ts[len(ts) - reach :] if len(ts) > reach else ts, x[len(x) - reach :] if len(x) > reach else x
 
-    ordered = haloed.repartition("channel", "c_chunk").sortWithinPartitions("channel", "c_chunk", "ts")
-    return ordered.groupBy("channel", "c_chunk").applyInPandas(frames, with_columns(rows.schema, columns))
+    groups = rows.select("channel", floor_div(F.col("ts"), p.chunk).alias("c_chunk"))
+    return in_groups(with_halo(rows, reach, p.chunk), models, ("channel", "c_chunk"), frames, with_columns(rows.schema, columns), groups=groups)
 
 
 HAMPEL_COLUMNS = {"median": "double", "sigma": "double", "substituted": "boolean", "val_f": "double"}
@@ -132,23 +115,19 @@ FEATURE_COLUMNS = dict.fromkeys(FEATURES, "double")
 
 def hampel_filter(valid: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
     """Causal Hampel filter over the last valid raw values of each channel."""
-    return _framed(valid, p.hampel_window - 1, p, "val", lambda c, ts, x: hampel(x, p), HAMPEL_COLUMNS)
+    return _framed(valid, p.hampel_window - 1, p, "val", lambda m, ts, x: hampel(x, p), HAMPEL_COLUMNS)
 
 
 def window_features(filtered: DataFrame, p: ChannelParams = ChannelParams()) -> DataFrame:
-    return _framed(filtered, p.feature_window - 1, p, "val_f", lambda c, ts, x: features(ts, x, p), FEATURE_COLUMNS)
-
+    return _framed(filtered, p.feature_window - 1, p, "val_f", lambda m, ts, x: features(ts, x, p), FEATURE_COLUMNS)
 
-def diagnosed(valid: DataFrame, p: ChannelParams = ChannelParams(), models: dict[str, ChannelModel] | None = None) -> DataFrame:
-    """Filter, features, forecast and probability of valid rows in one pass: one halo serves them all.
 
-    ``models`` go to every worker, so they have to be few or small: more than MODEL_BYTES of them is an error."""
-    models = models or {}
-    if (size := len(cloudpickle.dumps(models))) > MODEL_BYTES:
-        raise ValueError(f"{size} bytes of models: hand in rows and models of fewer channels at a time")
+def diagnosed(valid: DataFrame, p: ChannelParams = ChannelParams(), models: DataFrame | None = None) -> DataFrame:
+    """Filter, features, forecast and probability of valid rows in one pass: one halo serves them all. ``models`` is a
+    model table (see models.TABLE) with one version in use of each channel and kind."""
     columns = HAMPEL_COLUMNS | FEATURE_COLUMNS | {"pred": "double", "resid": "double", "prob": "double"}
     reach = p.hampel_window - 1 + p.feature_window
-    return _framed(valid, reach, p, "val", lambda c, ts, x: diagnosis(ts, x, p, models.get(c, NAIVE)), columns)
+    return _framed(valid, reach, p, "val", lambda m, ts, x: diagnosis(ts, x, p, m), columns, models)
 
 
 def residual_fixed_sigma(rows: DataFrame, sigma: float, k: float) -> DataFrame:

@@ -3,23 +3,25 @@
 A model belongs to one channel, and a model of a hundred trees of depth six would ask Spark ML for six hundred jobs a
 channel, one after another. Models are therefore fitted side by side, a channel in a task, on at most ``sample`` rows of
 its training part, spread by hash; everything else (features, target, split, spread of residuals, errors) covers all
-rows and is Spark's.
+rows and is Spark's. Models are rows of a table (see models.TABLE) from the task that fits them to the one that uses them.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
 from ..params import ChannelParams
 from ..storage import with_columns, written
-from .filters import INPUTS, ChannelModel, chronological_split, increment_target, robust_sigma
+from .filters import INPUTS, chronological_split, increment_target, robust_sigma
+from .models import CLASSIFIER, FORECASTER, TABLE, ChannelModel, in_groups
 
 SAMPLE = 100_000  # rows of a channel that its trees see at most
 BINS, LEAF = 64, 20  # quantiles that may be split at, and rows of a leaf at least
@@ -116,8 +118,11 @@ def _standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.mean(axis=0), np.where(spread > 0, spread, 1.0)
 
 
-def _fitted(rows: DataFrame, target: str, fit, sample: int) -> dict[str, object]:
-    """fit(inputs, target) of each channel that has rows, on at most ``sample`` of them."""
+TABLE_COLUMNS = [c.split()[0] for c in TABLE.split(", ")]
+
+
+def _fitted(rows: DataFrame, target: str, fit, sample: int, kind: str, version: str, gamma: Column | None = None) -> DataFrame:
+    """A model table with fit(inputs, target) of each channel that has rows, on at most ``sample`` of them."""
     counts = rows.groupBy("channel").agg(F.count("*").alias("f_n"))
     slots = 1 << 30
     share = F.pmod(F.xxhash64("channel", "ts"), F.lit(slots)) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("f_n")) * slots
@@ -125,14 +130,17 @@ def _fitted(rows: DataFrame, target: str, fit, sample: int) -> dict[str, object]
 
     def fits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        return pd.DataFrame({"channel": pdf.channel.iloc[:1], "model": [pickle.dumps(fit(pdf[list(INPUTS)].to_numpy(float), pdf.f_y.to_numpy(float)))]})
+        return pd.DataFrame({"channel": pdf.channel.iloc[:1], "bytes": [cloudpickle.dumps(fit(pdf[list(INPUTS)].to_numpy(float), pdf.f_y.to_numpy(float)))]})
 
-    found = picked.drop("f_n").groupBy("channel").applyInPandas(fits, "channel string, model binary").collect()  # a model a channel
-    return {r.channel: pickle.loads(r.model) for r in found}
+    found = picked.drop("f_n").groupBy("channel").applyInPandas(fits, "channel string, bytes binary")
+    none = F.lit(None).cast("double")
+    return written(found.select("channel", F.lit(kind).alias("kind"), F.lit(version).alias("version"), none.alias("sigma"), (none if gamma is None else gamma).alias("gamma"), "bytes"))
 
 
-def train_forecasters(diagnosed: DataFrame, p: ChannelParams = ChannelParams(), trees: int = 100, depth: int = 6, rate: float = 0.1, sample: int = SAMPLE) -> tuple[dict[str, ChannelModel], DataFrame]:
-    """A forecaster of each channel with rows to train on, and its metrics.
+def train_forecasters(
+    diagnosed: DataFrame, p: ChannelParams = ChannelParams(), trees: int = 100, depth: int = 6, rate: float = 0.1, sample: int = SAMPLE, version: str = "boosted"
+) -> tuple[DataFrame, DataFrame]:
+    """A model table with a forecaster of each channel that has rows to train on, and their metrics.
 
     Fitted on the first 60 % of a channel's rows, spread of residuals (raw next values less forecasts) on the next
     20 %, errors (filtered next values) on the rest. Metrics: channel, n_train, n_val, n_test, sigma, mae, mae_naive,
@@ -145,63 +153,62 @@ def train_forecasters(diagnosed: DataFrame, p: ChannelParams = ChannelParams(),
         scale = float(y.std()) or 1.0
         return Forecast(mean, spread, boosted((x - mean) / spread, y / scale, trees, depth, rate), scale)
 
-    models = {c: ChannelModel(forecast=f, version="boosted") for c, f in _fitted(rows.where(F.col("part") == "train"), "y", fit, sample).items()}
+    models = _fitted(rows.where(F.col("part") == "train"), "y", fit, sample, FORECASTER, version)
     return with_sigma(rows, models)
 
 
-def with_sigma(rows: DataFrame, models: dict[str, ChannelModel]) -> tuple[dict[str, ChannelModel], DataFrame]:
+def with_sigma(rows: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Models with the spread of their residuals, and their metrics, from split rows with y and next_val."""
-    predicted = written(predict_forecasters(rows.where(F.col("channel").isin(*models)), models))
+    predicted = written(predict_forecasters(rows, models))
     residual = predicted.where(F.col("part") == "val").withColumn("r", F.col("next_val") - F.col("pred_next"))
     error = lambda c: F.avg(F.when(F.col("part") == "test", F.abs(F.col("val_f") + F.col("y") - F.col(c))))
     counts = predicted.groupBy("channel").agg(*(F.count_if(F.col("part") == c).alias("n_" + c) for c in ("train", "val", "test")), error("pred_next").alias("mae"), error("val_f").alias("mae_naive"))
     metrics = counts.join(robust_sigma(residual, "r", "channel"), "channel", "left").withColumn("gain", 1 - F.try_divide(F.col("mae"), F.col("mae_naive")))
     metrics = written(metrics.select("channel", "n_train", "n_val", "n_test", "sigma", "mae", "mae_naive", "gain"))
-    sigma = {r.channel: r.sigma for r in metrics.select("channel", "sigma").collect()}  # a number a channel
-    return {c: replace(m, sigma=sigma.get(c)) for c, m in models.items()}, metrics
+    known = models.drop("sigma").join(metrics.select("channel", "sigma"), "channel", "left")
+    return written(known.select(*TABLE_COLUMNS)), metrics
 
 
-def _applied(rows: DataFrame, out: str, models: dict[str, ChannelModel], f) -> DataFrame:
-    """rows with f(model, inputs) as ``out``; null without a model or without features."""
+def _applied(rows: DataFrame, models: DataFrame, columns: dict[str, str], f, chunk: int, keep: bool) -> DataFrame:
+    """rows with the columns of f(model, inputs); null without features and, if rows without a model are kept, there."""
 
-    def applied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = np.full(len(pdf), np.nan)
-            ready = pdf["mean"].notna().to_numpy()
-            for channel in pdf.channel[ready].unique():
-                if channel in models:
-                    at = np.flatnonzero(ready & (pdf.channel == channel).to_numpy())
-                    found[at] = f(models[channel], pdf.iloc[at][list(INPUTS)].to_numpy(float))
-            yield pdf.assign(**{out: pd.array(found, "Float64")})
+    def applied(key, model: ChannelModel | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if model is None and not keep:
+                return
+            found = {c: np.full(len(pdf), np.nan) for c in columns}
+            ready = np.flatnonzero(pdf["mean"].notna())
+            if model is not None and len(ready):
+                for c, x in f(model, pdf.iloc[ready][list(INPUTS)].to_numpy(float)).items():
+                    found[c][ready] = x
+            yield pdf.drop(columns="c_chunk").assign(**{c: pd.array(x, "Float64") for c, x in found.items()})
 
-    return rows.mapInPandas(applied, with_columns(rows.schema, {out: "double"}))
+    return in_groups(rows.withColumn("c_chunk", floor_div(F.col("ts"), chunk)), models, ("channel", "c_chunk"), applied, with_columns(rows.schema, columns))
 
 
-def predict_forecasters(rows: DataFrame, models: dict[str, ChannelModel]) -> DataFrame:
+def predict_forecasters(rows: DataFrame, models: DataFrame, chunk: int = ChannelParams().chunk) -> DataFrame:
     """pred_next of rows that have features and a model."""
-    found = rows.where(F.col("mean").isNotNull() & F.col("channel").isin(*models)) if models else rows.limit(0)
-    return _applied(found, "pred_next", models, lambda m, x: m.forecast(x))
+    return _applied(rows.where(F.col("mean").isNotNull()), models, {"pred_next": "double"}, lambda m, x: {"pred_next": m.forecast(x)}, chunk, keep=False)
 
 
-def train_classifiers(rows: DataFrame, label: str, gamma: float, trees: int = 20, depth: int = 4, rate: float = 0.1, sample: int = SAMPLE) -> dict[str, ChannelModel]:
-    """A classifier of each channel, learned from rows with features and a label of 0 or 1."""
+def train_classifiers(rows: DataFrame, label: str, gamma: float, trees: int = 20, depth: int = 4, rate: float = 0.1, sample: int = SAMPLE, version: str = "boosted") -> DataFrame:
+    """A model table with a classifier of each channel, learned from rows with features and a label of 0 or 1."""
 
     def fit(x: np.ndarray, y: np.ndarray) -> Probability:
         mean, spread = _standard(x)
         return Probability(mean, spread, boosted((x - mean) / spread, y, trees, depth, rate, logistic=True))
 
     fine = rows.where(F.col("mean").isNotNull() & F.col(label).isin(0, 1))
-    return {c: ChannelModel(classify=f, gamma=gamma, version="boosted") for c, f in _fitted(fine, label, fit, sample).items()}
+    return _fitted(fine, label, fit, sample, CLASSIFIER, version, F.lit(gamma))
 
 
-def predict_classifiers(rows: DataFrame, models: dict[str, ChannelModel]) -> DataFrame:
+def predict_classifiers(rows: DataFrame, models: DataFrame, chunk: int = ChannelParams().chunk) -> DataFrame:
     """prob, anomaly (prob > gamma, or residual_flag), and the score: the larger of both ratios. rows: features, resid,
     thr, residual_flag."""
-    out = _applied(rows, "prob", models, lambda m, x: m.classify(x))
-    gammas = {c: m.gamma for c, m in models.items()}
-    gamma = F.element_at(F.create_map(*(F.lit(x) for kv in gammas.items() for x in kv)), F.col("channel")) if gammas else F.lit(None).cast("double")
-    likely = F.coalesce(F.col("prob") > gamma, F.lit(False))
+    judge = lambda m, x: {"prob": m.classify(x), "m_limit": m.gamma} if m.classify else {}
+    out = _applied(rows, models, {"prob": "double", "m_limit": "double"}, judge, chunk, keep=True)
+    likely = F.coalesce(F.col("prob") > F.col("m_limit"), F.lit(False))
     flag = F.coalesce(F.col("residual_flag"), F.lit(False))
     ratio = F.when(flag, F.coalesce(F.try_divide(F.col("resid"), F.col("thr")), F.lit(1.0)))
-    share = F.when(likely, F.coalesce(F.try_divide(F.col("prob"), gamma), F.lit(1.0)))
-    return out.withColumns({"anomaly": flag | likely, "score": F.greatest(ratio, share)})
+    share = F.when(likely, F.coalesce(F.try_divide(F.col("prob"), F.col("m_limit")), F.lit(1.0)))
+    return out.withColumns({"anomaly": flag | likely, "score": F.greatest(ratio, share)}).drop("m_limit")

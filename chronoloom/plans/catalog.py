@@ -21,6 +21,7 @@ from ..operators import grid as G
 from ..operators import ingest as I
 from ..operators import journal as J
 from ..operators import ml as ML
+from ..operators import models as MO
 from ..operators import series as R
 from ..params import DAY, HOUR, MINUTE, TS_MIN, ChannelParams, ChartParams, Grid
 from ..sources import archive as AR
@@ -920,17 +921,17 @@ def _loud(x):
     return 1 / (1 + np.exp(40.0 - x[:, 2]))
 
 
-MODEL = H.ChannelModel(forecast=_pull, sigma=20.0, classify=_loud, gamma=0.5, version="m/1")
+MODEL = MO.ChannelModel(forecast=_pull, sigma=20.0, classify=_loud, gamma=0.5, version="m/1")
 
 
 @query("channel_models", "SELECT channel, ts, round(pred, 6) AS pred, round(resid, 6) AS resid, round(thr, 6) AS thr, round(prob, 6) AS prob, anomaly FROM dg", Q.with_model("channel = 'click'", False), recursive=True)
 def _(s, d):
-    return _rounded(D.channel_pipeline(_valid(s, d), PARAMS, {"click": MODEL}).select("channel", "ts", "pred", "resid", "thr", "prob", "anomaly"), "pred", "resid", "thr", "prob")
+    return _rounded(D.channel_pipeline(_valid(s, d), PARAMS, MO.model_rows(s, {"click": MODEL})).select("channel", "ts", "pred", "resid", "thr", "prob", "anomaly"), "pred", "resid", "thr", "prob")
 
 
 @query("reanalyze", "SELECT * FROM mt", Q.with_model("channel = 'click'", False), Q.SCORED, Q.EPISODES, Q.LABELS, Q.HITS, Q.METRICS, recursive=True)
 def _(s, d):
-    found = E.reanalyze(_valid(s, d), PARAMS, "rerun-1", M.anomaly_labels(s, d), 30 * MINUTE, {"click": MODEL})
+    found = E.reanalyze(_valid(s, d), PARAMS, "rerun-1", M.anomaly_labels(s, d), 30 * MINUTE, MO.model_rows(s, {"click": MODEL}))
     return _rounded(found["metrics"], "precision", "recall", "f1", "mean_delay_s")
 
 
@@ -1037,7 +1038,7 @@ def _(s, d):
 def _setups(channel: str, version: int) -> SF.Setup:
     """From version 1 on, view has another factor and click a model."""
     own = replace(PARAMS, residual_k=4.0) if channel == "view" and version else PARAMS
-    return own, MODEL if channel == "click" and version else H.NAIVE
+    return own, MODEL if channel == "click" and version else MO.NAIVE
 
 
 @query("reload_config", "SELECT CASE WHEN channel = 'view+' THEN 'view' ELSE channel END AS channel, ts, round(val_f, 6) AS val_f, substituted, round(pred, 6) AS pred, round(thr, 6) AS thr, anomaly FROM dg", Q.with_model(f"channel = 'click' AND ts >= {T0}", True), recursive=True)

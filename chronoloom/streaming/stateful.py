@@ -20,8 +20,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..operators.alarms import LOG, LOG_NAMES, Alarm, Debounce, walk
 from ..operators.detect import Spread, judged
 from ..operators.downsample import POINT, Cells
-from ..operators.filters import FEATURES, NAIVE, ChannelModel, diagnosis
+from ..operators.filters import FEATURES, diagnosis
 from ..operators.grid import FIELDS
+from ..operators.models import NAIVE, ChannelModel
 from ..params import ChannelParams, Grid
 from .run import prepare
 

@@ -18,6 +18,7 @@ from chronoloom.operators import filters as H
 from chronoloom.operators import grid as G
 from chronoloom.operators import ingest as I
 from chronoloom.operators import ml as ML
+from chronoloom.operators import models as MO
 from chronoloom.operators import prefix as P
 from chronoloom.params import ChannelParams, Grid
 from chronoloom.plans import catalog
@@ -270,8 +271,8 @@ def stubs():
 def test_models_in_the_pipeline_against_loop(spark, wave):
     """A fixed linear forecaster and a classifier, one row at a time."""
     p = ChannelParams(hampel_window=5, feature_window=6, chunk=90 * S)
-    model = H.ChannelModel(stubs()[0], 0.08, stubs()[1], 0.6, "stub")
-    got = {(r.channel, r.ts): r for r in D.channel_pipeline(wave, p, {"a": model}).collect()}
+    model = MO.ChannelModel(stubs()[0], 0.08, stubs()[1], 0.6, "stub")
+    got = {(r.channel, r.ts): r for r in D.channel_pipeline(wave, p, MO.model_rows(spark, {"a": model})).collect()}
     naive = {(r.channel, r.ts): r for r in D.channel_pipeline(wave, p).collect()}
     rows = sorted(wave.where("channel = 'a'").collect(), key=lambda r: r.ts)
     x, x_f = [r.val for r in rows], []
@@ -297,13 +298,13 @@ def test_models_in_the_pipeline_against_loop(spark, wave):
 
 def test_model_change_keeps_filters_and_resets_residuals(spark, wave):
     p = ChannelParams(hampel_window=5, feature_window=6, warm_up=50)
-    model = H.ChannelModel(stubs()[0], 0.08, version="stub")
+    model = MO.ChannelModel(stubs()[0], 0.08, version="stub")
     cut = 600 * S
     rows = wave.withColumn("version", (F.col("ts") >= cut).cast("int"))
     path, files = SR.arrived_in_parts(rows, "ts", 5)
-    setups = lambda c, v: (p, model if c == "a" and v else H.NAIVE)
+    setups = lambda c, v: (p, model if c == "a" and v else MO.NAIVE)
     out = {(r.channel, r.ts): r for r in SR.collected(SF.stream_diagnostics(SR.stream_source(spark, path, rows.schema, files), setups, p)).collect()}
-    before, after = ({(r.channel, r.ts): r for r in D.channel_pipeline(wave, p, m).collect()} for m in (None, {"a": model}))
+    before, after = ({(r.channel, r.ts): r for r in D.channel_pipeline(wave, p, m).collect()} for m in (None, MO.model_rows(spark, {"a": model})))
     first = min(t for c, t in out if c == "a" and t >= cut)
     for (c, t), r in out.items():
         want = after[c, t] if c == "a" and t >= cut else before[c, t]
@@ -317,14 +318,15 @@ def test_models_of_each_channel(spark, wave):
     rows = H.diagnosed(two, p).cache()
     models, metrics = ML.train_forecasters(rows, p, trees=20, depth=3)
     found = {r.channel: r for r in metrics.collect()}
-    assert set(models) == set(found) == {"a", "b"} and 0 < models["a"].sigma < models["b"].sigma
+    sigma = {r.channel: r.sigma for r in models.collect()}
+    assert set(sigma) == set(found) == {"a", "b"} and 0 < sigma["a"] < sigma["b"]
     gains = [r.gain for r in found.values()]
     assert min(gains) > 0 and all(r.n_train > 2 * r.n_val > 0 for r in found.values()), gains  # better than no change
     # the spread is that of raw next values, a channel at a time
     split = H.chronological_split(H.increment_target(rows, p), 6).where("part = 'val' and channel = 'a'")
     r = [x.next_val - x.pred_next for x in ML.predict_forecasters(split, models).collect()]
     m = statistics.median(r)
-    assert abs(models["a"].sigma - 1.4826 * statistics.median([abs(v - m) for v in r])) < 1e-9
+    assert abs(sigma["a"] - 1.4826 * statistics.median([abs(v - m) for v in r])) < 1e-9
     got = ML.predict_forecasters(rows, models).groupBy("channel").count().collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, rows.where("mean is not null").groupBy("channel").count().collect()))
     flagged = H.residual_fixed_sigma(rows, 0.2, 3.0).withColumnRenamed("anomaly", "residual_flag").drop("prob")
@@ -334,10 +336,85 @@ def test_models_of_each_channel(spark, wave):
     assert right > 0.97 and judged.where("anomaly and score is null").isEmpty()
 
 
+def grown(x, y, trees, depth, rate, logistic):
+    """Boosted trees row by row and split by split: predictions for the rows they were grown on."""
+    limits = [[float(q) for q in np.quantile(c, np.linspace(0, 1, ML.BINS + 1)[1:-1])] for c in x.T]
+    share = min(max(float(np.mean(y)), 1e-6), 1 - 1e-6)
+    score = [math.log(share / (1 - share)) if logistic else float(np.mean(y))] * len(y)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-s)) for s in score] if logistic else score
+        g, h = [a - b for a, b in zip(y, p, strict=True)], [max(a * (1 - a), 1e-9) for a in p] if logistic else [1.0] * len(y)
+        worth = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1e-3)  # noqa: E731,B023
+        nodes = [list(range(len(y)))]
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                best, parts = 1e-12, (rows, [])
+                for f, cuts in enumerate(limits):
+                    for cut in cuts:
+                        left, right = [i for i in rows if x[i, f] <= cut], [i for i in rows if x[i, f] > cut]
+                        if min(len(left), len(right)) >= ML.LEAF and (gain := worth(left) + worth(right) - worth(rows)) > best + 1e-9:
+                            best, parts = gain, (left, right)
+                below += parts
+            nodes = below
+        for rows in nodes:
+            if rows:
+                step = rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1e-3)
+                for i in rows:
+                    score[i] += step
+    return score
+
+
+@pytest.mark.parametrize("logistic", [False, True])
+def test_boosted_trees_against_loop(logistic):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    y = np.where(x[:, 0] > 0.3, 2.0, -1.0) + 0.5 * x[:, 1] + 0.1 * rng.normal(size=200)
+    y = (y + 3 * rng.normal(size=200) > 0).astype(float) if logistic else y  # mixed leaves: no ties between splits
+    trees, depth = (3, 2) if logistic else (4, 3)
+    want = grown(x, y.tolist(), trees, depth, 0.3, logistic)
+    assert np.abs(ML.boosted(x, y, trees, depth, 0.3, logistic)(x) - want).max() < 1e-6
+
+
+def test_plans_do_not_grow_with_channels(spark, wave):
+    """Models reach tasks as rows: a plan says nothing about them, however many channels have one."""
+    p = ChannelParams(hampel_window=5, feature_window=6)
+    sizes = []
+    for n in (1, 300):
+        models = MO.model_rows(spark, {f"c{i}": MO.ChannelModel(stubs()[0], 0.1, stubs()[1], 0.5, "s") for i in range(n)})
+        path = SR.scratch(spark)
+        models.write.parquet(path)
+        models = spark.read.parquet(path)
+        rows = H.diagnosed(wave, p, models).drop("prob")
+        judged = ML.predict_classifiers(rows.withColumns({"thr": F.lit(0.1), "residual_flag": F.lit(False)}), models)
+        plan = judged._jdf.queryExecution().optimizedPlan().toString() + ML.predict_forecasters(rows, models)._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan))
+    assert abs(sizes[0] - sizes[1]) < 0.05 * sizes[0], sizes
+
+
+def test_model_table(spark, wave):
+    """The version that sorts last holds, the registry names active ones, channels without a model pass or go."""
+    p = ChannelParams(hampel_window=5, feature_window=6)
+    old, new = (MO.ChannelModel(stubs()[0], s, None, version=v) for s, v in ((0.5, "m/1"), (0.08, "m/2")))
+    table = MO.model_rows(spark, {"a": old}).unionByName(MO.model_rows(spark, {"a": new}))
+    registry = spark.createDataFrame([(1, "a", "forecaster", "m/1", True), (2, "a", "forecaster", "m/2", False), (3, "x", "forecaster", "m/3", True)], "model_id int, channel string, kind string, path string, active boolean")
+    assert [(r.channel, r.m_sigma, r.m_classify) for r in MO.by_channel(table).collect()] == [("a", 0.08, None)]
+    active = MO.active_only(table, registry)
+    assert [(r.version, r.sigma) for r in active.collect()] == [("m/1", 0.5)]
+    thr = {r.thr for r in D.channel_pipeline(wave, p, active).where("channel = 'a' and thr is not null").collect()}
+    assert thr == {p.residual_k * 0.5}
+    rows = H.diagnosed(wave, p).drop("prob").withColumns({"thr": F.lit(0.1), "residual_flag": F.lit(False)})
+    assert {r.channel for r in ML.predict_forecasters(rows, active).select("channel").distinct().collect()} == {"a"}
+    judged = ML.predict_classifiers(rows, MO.model_rows(spark, {"b": MO.ChannelModel(classify=stubs()[1], gamma=0.6)}))
+    counts = {r.channel: (r.n, r.k, r.a) for r in judged.groupBy("channel").agg(F.count("*").alias("n"), F.count("prob").alias("k"), F.count_if("anomaly").alias("a")).collect()}
+    n = {r.channel: r["count"] for r in wave.groupBy("channel").count().collect()}
+    assert counts["a"] == (n["a"], 0, 0) and counts["b"][:2] == (n["b"], n["b"] - p.feature_window + 1) and counts["b"][2] == judged.where("prob > 0.6").count()
+
+
 def test_no_models(spark, wave):
     none = H.diagnosed(wave.limit(3))
-    models, metrics = ML.train_forecasters(none)
-    assert models == {} and metrics.count() == 0 and ML.predict_forecasters(none, models).count() == 0
+    models, metrics = ML.train_forecasters(none, trees=2, depth=2)
+    assert models.count() == 0 and metrics.count() == 0 and ML.predict_forecasters(none, models).count() == 0
 
 
 def test_entry_without_corpus_subpackage(monkeypatch):
