@@ -24,6 +24,7 @@ from ..operators import ml as ML
 from ..operators import models as MO
 from ..operators import series as R
 from ..params import DAY, HOUR, MINUTE, TS_MIN, ChannelParams, ChartParams, Grid
+from ..sources import alarm_tables as AT
 from ..sources import archive as AR
 from ..sources import files as FI
 from ..storage import put, scratch, written
@@ -853,10 +854,14 @@ def _(s, d):
     return _rounded(_diagnosis(s, d).drop("median", "prob", "prob_ratio"), "val_f", "pred", "resid", "thr")
 
 
+def _alarm_inputs(s, d):
+    rules = M.alarm_rules(s)
+    return written(A.alarm_inputs(A.readings_x_rules(_readings(s, d), rules), M.ack_commands(s, d), rules))
+
+
 def _log(s, d):
     rules = M.alarm_rules(s)
-    inputs = A.alarm_inputs(A.readings_x_rules(_readings(s, d), rules), M.ack_commands(s, d), rules)
-    return A.alarm_lifecycle(inputs)
+    return A.alarm_lifecycle(A.alarm_inputs(A.readings_x_rules(_readings(s, d), rules), M.ack_commands(s, d), rules))
 
 
 LOG_SQL = 'SELECT rule_id, channel, ts, transition, state_from, state_to, round(value, 6) AS value, "user" FROM lg'
@@ -872,13 +877,20 @@ def _(s, d):
     return _rounded(A.fold_alarm_log(_log(s, d)), "value")
 
 
-@query("write_alarm_tables", "SELECT rule_id, count(*) AS transitions, count(*) FILTER (transition = 'activated' AND state_from = 'normal') AS occurrences FROM lg GROUP BY 1", Q.ALARMS, recursive=True)
+@query("write_alarm_tables", """SELECT oc.rule_id, occurrence, channel, state, ts_active, ts_return, ts_ack, acked_by, round(value, 6) AS value, transitions FROM oc JOIN (SELECT rule_id, any_value(channel) AS channel FROM lg GROUP BY 1) USING (rule_id)
+JOIN (SELECT rule_id, occurrence, count(*) AS transitions FROM (SELECT *, greatest(1, sum(CASE WHEN transition = 'activated' AND state_from = 'normal' THEN 1 ELSE 0 END) OVER (PARTITION BY rule_id ORDER BY i))::BIGINT AS occurrence FROM lg) GROUP BY 1, 2) USING (rule_id, occurrence)""", Q.ALARMS, Q.OCCURRENCES, recursive=True)
 def _(s, d):
+    # the stream's batches go into both tables, each of them twice
     path = scratch(s)
-    put(_log(s, d), path)
-    log = s.read.parquet(path)
-    folded = A.fold_alarm_log(log).groupBy("rule_id").agg(F.count("*").alias("occurrences"))
-    return log.groupBy("rule_id").agg(F.count("*").alias("transitions")).join(folded, "rule_id")
+
+    def twice(df, batch):
+        for _attempt in range(2):
+            AT.write_alarm_tables(df, path, batch)
+
+    SR.run_to_end(SF.stream_alarms(_arrived(s, d, _alarm_inputs(s, d), "ts")), twice, scratch(s))
+    transitions = AT.alarm_log(s, path).groupBy("rule_id", "occurrence").agg(F.count("*").alias("transitions"))
+    out = AT.occurrences(s, path).join(transitions, ["rule_id", "occurrence"])
+    return _rounded(out.select("rule_id", "occurrence", "channel", "state", "ts_active", "ts_return", "ts_ack", "acked_by", "value", "transitions"), "value")
 
 
 @query("alarms_in_range", f"SELECT rule_id, occurrence, state, ts_active, state <> 'normal' AS active FROM oc WHERE ts_active < {T1} AND (ts_return IS NULL OR ts_return >= {T0}) ORDER BY ts_active DESC, rule_id, occurrence LIMIT 40", Q.ALARMS, Q.OCCURRENCES, recursive=True)
@@ -1022,17 +1034,18 @@ def _(s, d):
 
 @query("stream_alarms", LOG_SQL, Q.ALARMS, recursive=True)
 def _(s, d):
-    rules = M.alarm_rules(s)
-    inputs = written(A.alarm_inputs(A.readings_x_rules(_readings(s, d), rules), M.ack_commands(s, d), rules))
-    return _rounded(SR.collected(SF.stream_alarms(_arrived(s, d, inputs, "ts"))).drop("batch_id"), "value")
+    return _rounded(SR.collected(SF.stream_alarms(_arrived(s, d, _alarm_inputs(s, d), "ts"))).drop("batch_id"), "value")
 
 
-@query("alarm_initial_state", LOG_SQL, Q.ALARMS.replace("0::BIGINT AS i, 'normal' AS s, false AS c, NULL::BIGINT AS since, NULL::BIGINT AS last_on", "0::BIGINT AS i, 'unack_active' AS s, true AS c, NULL::BIGINT AS since, 0::BIGINT AS last_on"), recursive=True)
+@query("alarm_initial_state", LOG_SQL, Q.ALARMS, recursive=True)
 def _(s, d):
-    rules = M.alarm_rules(s)
-    inputs = written(A.alarm_inputs(A.readings_x_rules(_readings(s, d), rules), M.ack_commands(s, d), rules))
-    opened = rules.where("enabled").select("rule_id", F.lit(A.UNACK_ACTIVE).alias("state"), F.lit(True).alias("condition"), F.lit(0).cast("long").alias("last_on"))
-    return _rounded(SR.collected(SF.stream_alarms(_arrived(s, d, inputs, "ts"), opened)).drop("batch_id"), "value")
+    # a stream ends at T0; another one, without its checkpoint, goes on from the stored tables
+    inputs, path = _alarm_inputs(s, d), scratch(s)
+    first = inputs.where(F.col("ts") < T0)
+    SR.run_to_end(SF.stream_alarms(_arrived(s, d, first, "ts")), AT.alarm_sink(path), scratch(s))
+    opened = AT.initial_state(AT.occurrences(s, path), first.where("is_ack = 0"))
+    rest = SR.collected(SF.stream_alarms(_arrived(s, d, inputs.where(F.col("ts") >= T0), "ts"), written(opened)))
+    return _rounded(AT.alarm_log(s, path).drop("occurrence", "batch_id").unionByName(rest.drop("batch_id")), "value")
 
 
 def _setups(channel: str, version: int) -> SF.Setup:

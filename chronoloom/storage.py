@@ -33,6 +33,11 @@ def put(df: DataFrame, path: str, *by: str, mode: str = "append") -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def with_columns(schema: StructType, columns: dict[str, str]) -> StructType:
     """A new schema with columns (name: type) behind; StructType.add changes the frame's own."""
     found = StructType(list(schema.fields))

@@ -203,12 +203,10 @@ def stream_grid_lttb(rows: DataFrame, width: int) -> DataFrame:
     return folded(rows.where(F.col("val").isNotNull()).select("channel", "ts", "val"), "channel", step, ["ts"], POINT)
 
 
-OPEN_ALARMS = "rule_id int, state string, condition boolean, last_on long"
-
-
 def stream_alarms(inputs: DataFrame, opened: DataFrame | None = None) -> DataFrame:
     """The alarm log of a stream of readings and acknowledgements (see alarm_inputs). ``opened`` (rule_id, state,
-    condition, last_on) are occurrences that were unfinished when the stream was first started."""
+    condition, last_on, called) is what holds when the stream is first started; alarm_tables.initial_state makes it from
+    stored occurrences."""
 
     def step(key, state, pdf):
         alarm = state or Alarm()
@@ -216,6 +214,7 @@ def stream_alarms(inputs: DataFrame, opened: DataFrame | None = None) -> DataFra
 
     def opening(pdf):
         row = pdf.iloc[0]
-        return Alarm(row.state, Debounce(bool(row.condition), None, None if pd.isna(row.last_on) else int(row.last_on)))
+        number = lambda c: None if pd.isna(row[c]) else int(row[c])
+        return Alarm(row.state, Debounce(bool(row.condition), number("called"), number("last_on")))
 
     return folded(inputs, "rule_id", step, ["ts", "is_ack", "user"], LOG, opened, opening)
