@@ -8,6 +8,7 @@ and then all bytes are compared. Many positions of a text are walked in step, so
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +21,9 @@ from .common import ascii_lower, materialize, read, tune
 
 #: Lower-case and map every byte that is no part of a word to a space: 0-9, a-z and bytes from 0x80 stay.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-BITS, LANE, CHUNK = 20, 256, 4 << 20
+LANE, CHUNK = 256, 4 << 20
+#: Shift entries for each block of a pattern, and the bits of the largest table.
+ROOM, MOST_BITS = 8, 25
 #: Bytes of patterns and item names that are broadcast at a time; more are searched in as many passes.
 PATTERN_BYTES = 64 << 20
 
@@ -36,7 +39,9 @@ class _Class:
         self.m = min(map(len, patterns))
         self.block = min(8, max(2, self.m // 2))
         self.drop = np.uint64(8 * (8 - self.block))
-        self.shift = np.full(1 << BITS, self.m - self.block + 1, np.uint16 if self.m < 60_000 else np.uint32)
+        blocks = len(patterns) * (self.m - self.block + 1)
+        self.bits = min(MOST_BITS, max(12, (ROOM * blocks).bit_length()))
+        self.shift = np.full(1 << self.bits, self.m - self.block + 1, np.uint16 if self.m < 60_000 else np.uint32)
         ends = []
         for p in patterns:
             head = b"\0" * 8 + p[: self.m]
@@ -51,7 +56,7 @@ class _Class:
         self.heads = np.frombuffer(b"".join((p[: min(8, self.m)]).ljust(8, b"\0") for p in self.patterns), "<u8")
 
     def hashed(self, words: np.ndarray) -> np.ndarray:
-        return (((words >> self.drop) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+        return (((words >> self.drop) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def occurrences(self, text: bytes) -> Iterator[tuple[int, int]]:
         """(start, pattern) of every occurrence in text, which begins and ends with 8 spare bytes."""
@@ -112,12 +117,24 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return each.groupBy("w_pattern").agg(F.sort_array(F.collect_set("w_item")).alias("w_items"))
 
 
+_held: dict[str, tuple[WuManber, np.ndarray]] = {}
+
+
+def _search(name: str, patterns: list[str]) -> tuple[WuManber, np.ndarray]:
+    """The search tables of a block of patterns and the patterns' numbers of words: made once in a Python worker, which
+    keeps the last."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = WuManber([p.encode() for p in patterns]), np.array([p.count(" ") - 1 for p in patterns], np.int64)
+    return _held[name]
+
+
 def _scan(table, first: bool):
     """Adds to d_spans and d_items what occurs of a table's patterns; the first pass also counts words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns, items = table.value
-        search = WuManber([p.encode() for p in patterns])
+        name, patterns, items = table.value
+        search, words_in = _search(name, patterns)
         for batch in batches:
             texts, counts, held, size = batch.column("d_text").to_pylist(), [], [], 0
             spans, names = batch.column("d_spans").to_pylist(), batch.column("d_items").to_pylist()
@@ -130,14 +147,16 @@ def _scan(table, first: bool):
                 joined = b"".join(held)
                 starts = np.cumsum([0, *map(len, held)])
                 found = search.find(joined)
-                docs = np.searchsorted(starts, [a for a, _ in found], "right") - 1
+                at, which = np.array(found, np.int64).reshape(-1, 2).T
+                docs = np.searchsorted(starts, at, "right") - 1
+                blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if found else at
+                before = np.searchsorted(blanks, at) - np.searchsorted(blanks, starts[docs])  # words of the document before a hit
                 rows = defaultdict(list)
-                for (a, p), d in zip(found, docs.tolist(), strict=True):
-                    before = joined.count(b" ", starts[d], a)
-                    rows[d].append((before, before + patterns[p].count(" ") - 1, p))
+                for d, first, end, p in zip(docs.tolist(), before.tolist(), (before + words_in[which]).tolist(), which.tolist(), strict=True):
+                    rows[d].append((first, end, p))
                 for d, hits in rows.items():
                     spans[done + d] = _joined([*((x["first"], x["end"]) for x in spans[done + d]), *((a, b) for a, b, _ in hits)])
-                    names[done + d] = sorted({*names[done + d], *(n for _, _, p in hits for n in items[p])})
+                    names[done + d] = sorted({*names[done + d], *(n for p in {p for _, _, p in hits} for n in items[p])})
                 done += len(held)
                 held.clear()
                 size = 0
@@ -193,7 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: tupl
     )
     for b in range(blocks):
         rows = found.where(F.pmod(F.xxhash64("w_pattern"), F.lit(blocks)) == b).orderBy("w_pattern").collect()
-        table = spark.sparkContext.broadcast(([r.w_pattern for r in rows], [r.w_items for r in rows]))
+        table = spark.sparkContext.broadcast((uuid.uuid4().hex, [r.w_pattern for r in rows], [r.w_items for r in rows]))
         out = out.mapInArrow(_scan(table, b == 0), out.schema)
         if b < blocks - 1:
             out = materialize(out)

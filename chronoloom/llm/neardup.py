@@ -3,11 +3,8 @@
 1. Every text becomes its set of word shingles. Texts with one set are one class; classes, not rows, go on.
 2. Of each class: minima under ``HASHES`` hash functions, keys of bands of ``ROWS`` minima, and a signature of the
    minima's lowest ``BITS`` bits. A pair at the threshold misses all bands with a chance of about one in ten million.
-3. Classes that share a band are candidates. In a first round each is held against its band's leader. In a second
-   round those members of a band that aren't in its largest component are held against all its members, in blocks of
-   rows that meet in one task; pairs inside a component are never made, and pairs across leave the task only as links
-   that join components. A band of one component takes no part, however large it is. Bands with very many members are
-   joined by broadcasting the few rows about them, so no task gets all their members.
+3. Classes that share a band are candidates: first each with its band's leader, then those members of a band that aren't
+   in its largest component with all its members (see ``stars``).
 4. Candidates whose signatures agree too little (similarity corrected for chance agreement) are left out; the margin
    is five standard deviations. All others are confirmed on the full shingle sets.
 5. Components of the confirmed links give each document its group.
@@ -18,20 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stars
 from .common import materialize, mix, read, release, tune
-from .components import components
 
 ROWS, BANDS, BITS = 5, 40, 4
 HASHES = ROWS * BANDS
-BLOCK = 1024  # members of a band that one comparison task holds on a side
-HOT = 500  # members from which on a band is joined by broadcast; in a large corpus more, so that HOT_BANDS is the most
-HOT_BANDS = 100_000
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32)).astype(np.uint32)
 #: Pairs of bits that are equal in two signatures, by the bytes' exclusive or: 0, 1 or 2 of its halves are 0.
@@ -122,125 +115,19 @@ def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, width) for t in batch.column("d_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["c", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["c", "n", "data"])
 
     return sets
 
 
-def _confirmed(percent: int):
-    def confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            keep = []
-            for a, b in zip(pdf.a_set, pdf.b_set, strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return confirmed
-
-
 def _likely(least: float):
-    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[k]), np.uint8).reshape(len(pdf), -1) for k in ("a_sig", "b_sig"))
-                yield pdf.loc[estimate(a, b) >= least, ["a", "b"]]
-
-    return likely
+    """Whether the signatures of two sets agree enough."""
 
+    def likely(many: list[bytes], key: int | None):
+        signatures = np.frombuffer(b"".join(many), np.uint8).reshape(len(many), -1)
+        return lambda one: estimate(signatures, np.frombuffer(one, np.uint8)) >= least
 
-def _by_task(frames: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
-    """each(rows of a task) for rows that come sorted by key and task, a few thousand to a task."""
-    rest = None
-    for pdf in frames:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        last = ((pdf.key == pdf.key.iloc[-1]) & (pdf.task == pdf.task.iloc[-1])).to_numpy()
-        rest = pdf[last]
-        if not last.all():
-            done = pdf[~last]
-            for _, group in done.groupby(["key", "task"], sort=False):
-                yield each(group)
-    if rest is not None and len(rest):
-        yield each(rest)
-
-
-def _crossing(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Each left row with the right rows of other components."""
-    comp = right.comp.to_numpy()
-    for i, own in enumerate(left.comp.tolist()):
-        if len(at := np.flatnonzero(comp != own)):
-            yield i, at
-
-
-def _open_members(least: float, percent: int):
-    """Members of a band that are likely similar to a member of another component."""
-
-    def members(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(left) or not len(right):
-            return pdf.iloc[:0][["key", "task", "side", "c", "comp"]]
-        sig_l, sig_r = (np.frombuffer(b"".join(x.sig), np.uint8).reshape(len(x), -1) for x in (left, right))
-        n_l, n_r = left.n.to_numpy(), right.n.to_numpy()
-        hit_l, hit_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        for i, at in _crossing(left, right):
-            at = at[100 * np.minimum(n_r[at], n_l[i]) >= percent * np.maximum(n_r[at], n_l[i])]
-            at = at[estimate(sig_r[at], sig_l[i]) >= least]
-            hit_l[i] = len(at) > 0
-            hit_r[at] = True
-        return pd.concat([left[hit_l], right[hit_r]])[["key", "task", "side", "c", "comp"]]
-
-    return lambda frames: _by_task(frames, members)
-
-
-def _joining(percent: int):
-    """Confirmed links between components, as many as join them; full sets of a task's open members are held."""
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sets_l, sets_r = ([np.frombuffer(m, np.uint64) for m in x.members] for x in (left, right))
-            flat = np.concatenate(sets_r)
-            known, place = np.unique(flat, return_inverse=True)
-            size = np.array([len(m) for m in sets_r])
-            begin = np.cumsum(size) - size
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            c, comp = right.c.to_numpy(), right.comp.to_numpy()
-            for i, at in _crossing(left, right):
-                mark = np.zeros(len(known) + 1, bool)
-                spot = np.searchsorted(known, sets_l[i])
-                spot[known[np.minimum(spot, len(known) - 1)] != sets_l[i]] = len(known)
-                mark[spot] = True
-                mark[len(known)] = False
-                both = np.add.reduceat(mark[place], begin, dtype=np.int64)[at]
-                fine = at[100 * both >= percent * (size[at] + len(sets_l[i]) - both)]
-                x, own = int(left.c.iloc[i]), int(left.comp.iloc[i])
-                for y, other in zip(c[fine].tolist(), comp[fine].tolist(), strict=True):
-                    a, b = find(own), find(other)
-                    if a != b:
-                        root[a] = b
-                        out.append((min(x, y), max(x, y)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return lambda frames: _by_task(frames, links)
-
-
-def _with_bands(rows: DataFrame, bands: DataFrame, hot: int) -> DataFrame:
-    """rows(key, ...) with what is known of their bands(key, members, ...); other rows go. Bands of more than ``hot``
-    members are broadcast; the caller bounds their number."""
-    few = F.broadcast(bands.where(F.col("members") > hot))
-    many = rows.join(few, "key")
-    return many.unionByName(rows.join(few.select("key"), "key", "left_anti").join(bands.where(F.col("members") <= hot), "key"))
+    return likely
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -255,80 +142,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     every = materialize(rows.mapInArrow(_sketch(width), "doc_id long, n long, c long, keys array<long>, sig binary"))
     full = every.where(F.col("n") > 0)
     classes = materialize(full.groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    known = classes.select("c", "n", "sig")
-
-    # classes of each band that has several
-    banded = classes.select(F.explode("keys").alias("key"), "c")
-    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("leader")).where(F.col("members") > 1))
-    hot = max(HOT, classes.count() * BANDS // HOT_BANDS)
-    members = materialize(_with_bands(banded, shared, hot))
-    release(shared)
-
-    def sketched(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(known.select(F.col("c").alias(side), F.col("n").alias(side + "_n"), F.col("sig").alias(side + "_sig")), side)
-        close = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-        return pairs.where(close).select("a", "b", "a_sig", "b_sig").mapInPandas(_likely(margin(percent / 100)), "a long, b long")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = materialize(every.select("doc_id", "c").join(wanted, "c").groupBy("c").agg(F.min("doc_id").alias("w_id")).select("w_id").distinct())
-        texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.w_id), "left_semi").select("d_text")
-        found = materialize(texts.mapInArrow(_sets(width), "c long, members binary").dropDuplicates(["c"]))
-        release(wanted)
+        ids = materialize(every.select("doc_id", "c").join(wanted, "c").groupBy("c").agg(F.min("doc_id").alias("w_id")).select("w_id").distinct())
+        texts = rows.join(ids, rows.doc_id.eqNullSafe(ids.w_id), "left_semi").select("d_text")
+        found = materialize(texts.mapInArrow(_sets(width), "c long, n long, data binary").dropDuplicates(["c"]))
+        release(ids)
         return found
 
-    def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("c").alias(s), F.col("members").alias(s + "_set")) for s in ("a", "b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInPandas(_confirmed(percent), "a long, b long")
-
-    # first round: each against the leaders of its bands
-    pairs = members.where(F.col("c") != F.col("leader")).select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
-    pairs = materialize(sketched(pairs))
-    sets = sets_of(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
-    links = materialize(confirm(pairs, sets))
-    release(pairs)
-    roots = components(links)
-
-    # second round: members of a band outside its largest component (askers) against all its members
-    placed = members.where((F.col("members") > 2) & (F.col("c") != F.col("leader"))).join(roots.withColumnRenamed("node", "c"), "c", "left")
-    placed = materialize(placed.select("key", "c", "members", F.coalesce("root", "c").alias("comp")))
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"), F.first("members").alias("members"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"), F.first("members").alias("members"))
-    open_bands = largest.where(F.col("top.size") < F.col("all")).select(
-        "key", "members", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("ask_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")
-    )
-    release(members)
-    bands = materialize(open_bands)
-    askers = _with_bands(placed.drop("members"), bands, hot).join(known, "c")
-    # a task for each block of askers and block of members: side 0 asks, side 1 is asked
-    block = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cell = lambda ask, asked: (ask * F.col("blocks") + asked).cast("int")
-    asked = F.transform(upto("ask_blocks"), lambda a: F.struct(cell(a, block("blocks", 1)).alias("task"), F.lit(1).alias("side")))
-    asks = F.transform(upto("blocks"), lambda m: F.struct(cell(block("ask_blocks", 2), m).alias("task"), F.lit(0).alias("side")))
-    tasks = askers.select("key", "c", "comp", "n", "sig", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(asks, asked)).otherwise(asked)).alias("t"))
-    tasks = tasks.select("key", "c", "comp", "n", "sig", "t.task", "t.side")
-    in_order = lambda df: df.repartition("key", "task").sortWithinPartitions("key", "task")
-    found = in_order(tasks).mapInPandas(_open_members(margin(percent / 100), percent), "key long, task int, side int, c long, comp long")
-    found = materialize(found)
-    release(placed, bands)
-    if not found.isEmpty():
-        lacking = found.select("c").distinct().join(sets.select("c"), "c", "left_anti")
-        more = sets_of(lacking)
-        held = in_order(found.join(sets.unionByName(more), "c"))
-        every_link = materialize(links.unionByName(held.mapInPandas(_joining(percent), "a long, b long")))
-        release(more, roots)
-        roots = components(every_link)
-        release(every_link)
-    release(found, sets, links)
-
-    # the smallest document of each component
-    named = classes.select("c", "first").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = named.join(least, "root").select("c", "component_id")
-    out = every.select("doc_id", "n", "c").join(groups, "c", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    keys = classes.select(F.explode("keys").alias("key"), "c")
+    facts = classes.select("c", "n", F.col("sig").alias("data"))
+    return stars.named(every, classes, stars.roots(keys, facts, sets_of, _likely(margin(percent / 100)), percent))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,12 +189,13 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Train on at most ``sample`` labelled documents (half of each label, if there are enough), spread by hash;
-    None if no label meets a document."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("q_id"), F.col("quality").alias("q_label"))
+    """Train on at most ``sample`` labelled documents (half of each label, if there are enough), the first by a hash of
+    doc_id; None if no label meets a document. A doc_id with both labels counts as 0. Of rows that repeat a doc_id, at
+    most 2 * ``sample`` take part, in order of that hash and their texts."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("q_id")).agg(F.min("quality").alias("q_label"))
     picked = [known.where(F.col("q_label") == y).orderBy(F.xxhash64("q_id"), "q_id").limit(sample // 2) for y in (0, 1)]
-    chosen = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["q_id"]))  # at most ``sample`` ids
-    rows = docs.join(chosen, docs.doc_id == chosen.q_id).select("q_id", F.coalesce("text", F.lit("")).cast("binary").alias("q_text"), "q_label").limit(2 * sample)
+    chosen = F.broadcast(picked[0].union(picked[1]))  # at most ``sample`` ids
+    rows = docs.join(chosen, docs.doc_id == chosen.q_id).select("q_id", F.coalesce("text", F.lit("")).cast("binary").alias("q_text"), "q_label").orderBy(F.xxhash64("q_id"), "q_id", "q_text").limit(2 * sample)
     found = sorted(rows.collect(), key=lambda r: (r.q_id, bytes(r.q_text)))
     return train([bytes(r.q_text) for r in found], [r.q_label for r in found]) if found else None
 

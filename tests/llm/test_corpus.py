@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import components as C
-from chronoloom.llm import decontaminate, language, lm, neardup, packing, quality, repeats, token_files, tokens, topk, url_filter
+from chronoloom.llm import decontaminate, language, lm, neardup, packing, quality, repeats, stars, token_files, tokens, topk, url_filter
 from chronoloom.llm.common import pack, slim, unpack
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int"
@@ -89,7 +89,7 @@ def groups(plain, width):
 @pytest.mark.parametrize("block", [1024, 7])
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(docs, plain, width, block, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(stars, "BLOCK", block)
     sets, component = groups(plain, width)
     want = sorted((str(d), len(sets[t]), str(component(d, t)), component(d, t) == d) for d, t in plain)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardup.near_duplicates(docs, width).collect())
@@ -632,6 +632,73 @@ def test_pipeline_stages_against_brute_force(spark, docs, tmp_path):
     assert bag(clean) == bag(want) and 0 < len(want) < len(rows)
 
 
+def test_near_duplicate_stage_when_the_cluster_changes(spark, docs, tmp_path, monkeypatch):
+    """Executors come or go between the jobs: the scan's splits change, the rows kept don't."""
+    import corpus_pipeline as P
+
+    rows = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    rows.repartition(6).write.parquet(str(tmp_path / "d"))
+    stage = lambda: sorted(map(repr, P.without_near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()))
+    want, find = stage(), neardup.near_duplicates
+
+    def changed(*a, **k):
+        out = find(*a, **k)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return out
+
+    monkeypatch.setattr(neardup, "near_duplicates", changed)
+    try:
+        assert stage() == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_near_duplicates_in_small_blocks(spark, docs, monkeypatch):
+    """Broadcast bands, leaders in several tasks and blocks of two rows change nothing."""
+    want = sorted(map(repr, neardup.near_duplicates(docs, 2).collect()))
+    monkeypatch.setattr(stars, "HOT", 2)
+    monkeypatch.setattr(stars, "BLOCK", 2)
+    assert sorted(map(repr, neardup.near_duplicates(docs, 2).collect())) == want
+
+
+def test_quality_sample_does_not_depend_on_files(spark, monkeypatch):
+    """Repeated doc_ids and two labels of one: the same training texts whatever the layout."""
+    rows = [(i % 7, f"text {i} " * (i % 5 + 1)) for i in range(200)]
+    labels = [(i, i % 2, 0) for i in range(7)] + [(3, 0, 1), (3, 1, 0)]
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y: seen.append((texts, y)))
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows if parts == 1 else rows[::-1], "doc_id long, text string").repartition(parts)
+        quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(parts), 4)
+    assert seen[0] == seen[1] and len(seen[0][0]) == 8
+
+
+def test_many_hits_in_one_text(spark):
+    """Word numbers are found for all hits at once."""
+    import time
+
+    text = " ".join(["aa bb cc dd ee ff gg hh ii jj"] * 30_000)
+    search = decontaminate.WuManber([b" aa bb cc dd ee ff gg hh ii jj "])
+    began = time.time()
+    assert len(search.find(b" " + text.encode() + b" ")) == 30_000
+    docs = spark.createDataFrame([(1, text), (2, "x aa bb cc dd ee ff gg hh ii jj y")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "aa bb cc dd ee ff gg hh ii jj")], "item_id long, text string")
+    got = {r.doc_id: [(x["first"], x["end"]) for x in r.d_spans] for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got[2] == [(1, 11)] and got[1][0][0] == 0 and got[1][-1][1] == 300_000 and time.time() - began < 60
+
+
+def test_shift_table_grows_with_patterns():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)).encode()
+    mean = []
+    for n in (200, 20_000):
+        search = decontaminate.WuManber([b" " + b" ".join(word() for _ in range(10)) + b" " for _ in range(n)])
+        mean.append(max(float(c.shift.mean()) / (c.m - c.block + 1) for c in search.classes))
+    assert mean[1] > 0.85 and mean[0] > 0.85
+
+
 def test_pipeline_of_empty_tables(spark, nothing, tmp_path):
     import corpus_pipeline as P
 
