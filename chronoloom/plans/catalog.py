@@ -1019,9 +1019,9 @@ def _(s, d):
     return _rounded(out.select("channel", "ts", "val_f", "substituted", "pred", "thr", "anomaly"), "val_f", "pred", "thr")
 
 
-@query("stream_grid_lttb", "SELECT channel, ts, val FROM gp", Q.TEL, Q.CELLS, recursive=True)
+@query("stream_grid_lttb", "SELECT channel, ts, val, true AS final FROM gp UNION ALL SELECT channel, ts, val, false FROM gt", Q.TEL, Q.CELLS, recursive=True)
 def _(s, d):
-    return SR.collected(SF.stream_grid_lttb(_arrived(s, d, _tel(s, d), "ts"), 12 * HOUR)).drop("batch_id")
+    return L.live_points(SR.collected(SF.stream_grid_lttb(_arrived(s, d, _tel(s, d), "ts"), 12 * HOUR)))
 
 
 @query("stream_episodes", f"SELECT channel, kind, ts_start, ts_end, n_points, peak_ts, round(peak_value, 6) AS peak_value, round(score, 6) AS score FROM ep JOIN (SELECT channel, max(ts) AS last FROM dg GROUP BY 1) USING (channel) WHERE last - ts_end > {6 * HOUR}", Q.FULL, recursive=True)

@@ -193,14 +193,18 @@ def stream_episodes(flags: DataFrame, gap: int) -> DataFrame:
 
 
 def stream_grid_lttb(rows: DataFrame, width: int) -> DataFrame:
-    """Finished points of chart cells, each once."""
+    """channel, ts, val, final, generation: finished points of chart cells, each once, and after each step of a channel
+    the tail of its open cells under a new generation, which replaces the tail before (see downsample.live_points)."""
 
     def step(key, state, pdf):
-        cells = Cells(width, state)
-        out = [q for t, x in zip(pdf.ts.tolist(), pdf.val.tolist(), strict=True) for q in cells.push(t, x)]
-        return (cells.pick, cells.done, cells.open), pd.DataFrame({"channel": [key[0]] * len(out), "ts": [t for t, _ in out], "val": [x for _, x in out]})
-
-    return folded(rows.where(F.col("val").isNotNull()).select("channel", "ts", "val"), "channel", step, ["ts"], POINT)
+        held, generation = state or (None, 0)
+        cells = Cells(width, held)
+        done = list(cells.push(pdf.ts.to_numpy(np.int64), pdf.val.to_numpy(float)))
+        tail = list(cells.tail())
+        out = pd.DataFrame({"channel": key[0], "ts": [t for t, _ in done + tail], "val": [x for _, x in done + tail], "final": [True] * len(done) + [False] * len(tail), "generation": generation + 1})
+        return ((cells.pick, cells.done, cells.open), generation + 1), out
+
+    return folded(rows.where(F.col("val").isNotNull()).select("channel", "ts", "val"), "channel", step, ["ts"], POINT + ", final boolean, generation long")
 
 
 def stream_alarms(inputs: DataFrame, opened: DataFrame | None = None) -> DataFrame:

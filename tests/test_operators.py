@@ -112,18 +112,86 @@ def test_lttb_against_loop():
     assert L.lttb_rows(np.array(t[:2]), np.array(x[:2]), 1).tolist() == [0, 1] and len(L.lttb_rows(np.array(t), np.array(x), 2)) == 2
 
 
+def naive_cells(t, x, width):
+    """Final points and tail of chart cells, point by point."""
+    cells, pick, out = {}, None, []
+    for u, v in zip(t, x, strict=True):
+        cells.setdefault(u // width, []).append((u, v))
+    order = sorted(cells)
+    for c, after in zip(order[:-2], order[1:], strict=False):
+        own, rest = cells[c], cells[after]
+        ct, cx = statistics.mean(u - own[0][0] for u, _ in rest), statistics.mean(v for _, v in rest)
+        size = lambda p: abs((pick[0] - own[0][0] - ct) * (p[1] - pick[1]) - (pick[0] - p[0]) * (cx - pick[1]))  # noqa: E731,B023
+        pick = own[0] if pick is None else max(own, key=size)
+        out.append((*pick, True))
+    for c in order[-2:]:
+        own = cells[c]
+        out += [(*p, False) for p in sorted({min(own, key=lambda p: (p[1], p[0])), min(own, key=lambda p: (-p[1], p[0])), own[-1]})]
+    return out
+
+
+def shapes(n):
+    """Noise, an even slope with plateaus, an arc that ends in a spike, a constant."""
+    rng = random.Random(8)
+    arc = [math.sqrt(max(0.0, 1 - (2 * (i % 500) / 500 - 1) ** 2)) + (9.0 if i % 500 == 499 else 0.0) for i in range(n)]
+    return {"noise": [rng.gauss(0, 1) for _ in range(n)], "steps": [float(i // 30) for i in range(n)], "arc": arc, "still": [2.5] * n}
+
+
+@pytest.mark.parametrize("width", [37, 400, 10**6])
+def test_grid_lttb_against_loop(spark, width):
+    """From hulls, in any order of rows and in small batches, as point by point."""
+    n = 3000
+    rows = [(c, 3 * i + (i * 7) % 3, v) for c, x in shapes(n).items() for i, v in enumerate(x)]
+    want = sorted((c, *p) for c in shapes(1) for p in naive_cells(*zip(*[r[1:] for r in rows if r[0] == c], strict=True), width))
+    table = spark.createDataFrame([*rows, ("none", 5, None), ("none", 6, float("nan"))], "channel string, ts long, val double").orderBy(F.xxhash64("ts", "channel")).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert sorted(map(tuple, L.grid_lttb(table, width).collect())) == want
+        held = L.cell_hulls(table, width)
+        assert held.agg(F.sum("n")).first()[0] == 4 * n and held.count() == held.select("channel", "cell").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if width == 10**6:
+        assert held.agg(F.max(F.size("t"))).first()[0] < n / 5  # hulls, not points
+
+
+def test_hull_has_the_corner_of_every_largest_triangle():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 50, 1000):
+        t, x = rng.integers(0, 400, n), np.round(rng.normal(size=n), 1)
+        order = np.lexsort((x, t))
+        t, x = t[order], x[order]
+        keep = L.hulls(np.zeros(n, int), t, x)
+        for _ in range(50):
+            pick, center = rng.normal(size=2) * 300, rng.normal(size=2) * 300
+            size = L.areas(t.astype(float), x, tuple(pick), tuple(center))
+            assert np.isclose(size[keep].max(), size.max(), rtol=1e-9)
+        assert {int(x.argmin()), int(x.argmax()), 0} <= {int(np.flatnonzero((t == t[i]) & (x == x[i]))[0]) for i in keep} | {int(i) for i in keep}
+
+
 def test_cells_do_not_depend_on_batches():
-    x = signal(300)
+    x = np.array(signal(300))
+    t = np.arange(300) * S
     whole = L.Cells(10 * S)
-    one = [p for i, v in enumerate(x) for p in whole.push(i * S, v)]
+    one = list(whole.push(t, x))
     state, parts = None, []
     for start in range(0, 300, 7):
         cells = L.Cells(10 * S, state)
-        parts += [p for i in range(start, min(300, start + 7)) for p in cells.push(i * S, x[i])]
+        parts += cells.push(t[start : start + 7], x[start : start + 7])
         state = (cells.pick, cells.done, cells.open)
     assert one == parts and len(one) == 28 and len({t // (10 * S) for t, _ in one}) == 28
 
 
+def test_live_tail_equals_batch(spark):
+    rows = [(c, 5 * i, v) for c, x in shapes(900).items() for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "channel string, ts long, val double")
+    path, files = SR.arrived_in_parts(table, "ts", 5)
+    out = SR.collected(SF.stream_grid_lttb(SR.stream_source(spark, path, table.schema, files), 200)).cache()
+    assert sorted(map(tuple, L.live_points(out).collect())) == sorted(map(tuple, L.grid_lttb(table, 200).collect()))
+    assert out.where("final").groupBy("channel", "ts").count().where("count > 1").isEmpty()
+    assert out.where("not final").select("channel", "generation").distinct().count() == 4 * 5  # a tail for each batch
+
+
 def test_spike_becomes_episode(spark, wave):
     p = ChannelParams(episode_gap=5 * S, chunk=500 * S)
     found = D.channel_pipeline(wave, p)
@@ -215,9 +283,10 @@ def test_last_value_is_of_the_last_packet(spark):
 
 def test_late_cell_between_open_ones_is_kept():
     cells = L.Cells(10)
-    assert not list(cells.push(5, 1.0)) and not list(cells.push(25, 2.0))
-    assert list(cells.push(15, 3.0)) == [(5, 1.0)] and list(cells.push(7, 9.0)) == []
-    assert [number for number, _, _ in cells.open] == [1, 2]
+    push = lambda t, x: list(cells.push(np.array([t]), np.array([x])))
+    assert not push(5, 1.0) and not push(25, 2.0)
+    assert push(15, 3.0) == [(5, 1.0)] and push(7, 9.0) == []
+    assert [c.number for c in cells.open] == [1, 2]
 
 
 def test_periods(spark):
