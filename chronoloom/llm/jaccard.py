@@ -2,7 +2,8 @@
 
 Two sets with 100 * |intersection| >= percent * |union| share a token among the first ones of each, whatever total order
 tokens are put in: n - ceil(percent * n / 100) + 1 of n tokens are enough. Candidates must share such a token under each of
-``ORDERS`` orders.
+``ORDERS`` orders, and not only one: what two prefixes share, and what the longer rest could add, must reach the overlap
+that the sets' sizes ask for.
 
 1. Tokens are 64-bit hashes of shingles. How many documents have each is counted by units of documents and buckets of
    tokens. All orders put rare tokens first (by the logarithm of that count) and differ in the hash that orders the rest.
@@ -10,8 +11,8 @@ tokens are put in: n - ceil(percent * n / 100) + 1 of n tokens are enough. Candi
 2. A token that one document has can't be shared; prefixes are sent without them. A set whose prefix is empty that way
    under some order has no partner and goes no further.
 3. Sets that are equal are one class; classes go on. Classes that share a token of the first order's prefix form groups,
-   and a pair of a group has to pass the prefixes of the other orders before its full sets are compared (``stars``, which
-   makes no pairs within a component).
+   and a pair of a group has to pass the prefixes of all orders before its full sets are compared (``stars``, which makes
+   no pairs within a component). A pair that shares several tokens is looked at in the group of the smallest.
 4. Components of the links that full sets confirm give each document its group.
 """
 
@@ -84,30 +85,52 @@ def prefixes(tokens: np.ndarray, level: np.ndarray, percent: int) -> list[np.nda
     return out
 
 
-def _filter(tokens: list[np.ndarray]) -> bytes:
-    """Prefixes of the other orders by their tokens' leading 32 bits, with their lengths."""
-    return b"".join([np.array([len(t) for t in tokens], "<u4").tobytes(), *((t >> np.uint64(32)).astype("<u4").tobytes() for t in tokens)])
-
-
-def _parts(data: bytes) -> list[np.ndarray]:
-    flat = np.frombuffer(data, "<u4")
-    return np.split(flat[ORDERS - 1 :], np.cumsum(flat[: ORDERS - 1])[:-1])
-
-
-def _sharing(many: list[bytes]):
-    """Whether one of many shares a token with another under each of the other orders."""
-    split = [_parts(d) for d in many]
-    orders = []
-    for k in range(ORDERS - 1):
-        size = np.array([len(p[k]) for p in split])  # none is empty
-        known, place = np.unique(np.concatenate([p[k] for p in split]), return_inverse=True)
-        orders.append((known, place, np.cumsum(size) - size))
-
-    def sharing(one: bytes) -> np.ndarray:
-        fine = np.ones(len(many), bool)
-        for own, (known, place, begin) in zip(_parts(one), orders, strict=True):
-            fine &= np.logical_or.reduceat(np.isin(known, own)[place], begin)
-        return fine
+def _filter(n: int, tokens: list[np.ndarray]) -> bytes:
+    """A set's size, its prefixes' lengths, its prefix under the first order, and those under the others by their tokens'
+    leading 32 bits."""
+    head = np.array([n, *map(len, tokens)], "<u4").tobytes()
+    return b"".join([head, tokens[0].astype("<u8").tobytes(), *((t >> np.uint64(32)).astype("<u4").tobytes() for t in tokens[1:])])
+
+
+def _parts(data: bytes) -> tuple[int, list[np.ndarray]]:
+    n, first, *others = np.frombuffer(data, "<u4", 1 + ORDERS).tolist()
+    at = 4 * (1 + ORDERS)
+    out = [np.frombuffer(data, "<u8", first, at)]
+    at += 8 * first
+    for size in others:
+        out.append(np.frombuffer(data, "<u4", size, at))
+        at += 4 * size
+    return n, out
+
+
+def _sharing(percent: int):
+    """Whether prefixes share as much under each order as sets of their sizes must. Of the tokens that two sets share,
+    those up to the smaller of their prefixes' last tokens are in both prefixes, and the rest are beyond one of them."""
+
+    def sharing(many: list[bytes], key: int | None):
+        parts = [_parts(d) for d in many]
+        sizes = np.array([n for n, _ in parts])
+        own_key = None if key is None else np.int64(key).view(np.uint64)
+        orders = []
+        for k in range(ORDERS):
+            length = np.array([len(p[k]) for _, p in parts])  # none is empty
+            known, place = np.unique(np.concatenate([p[k] for _, p in parts]), return_inverse=True)
+            orders.append((known, place, np.cumsum(length) - length))
+        beyond = lambda n: -(-percent * n // 100) - 1  # noqa: E731  tokens after the prefix
+
+        def shared(one: bytes) -> np.ndarray:
+            n, prefixes_of = _parts(one)
+            least = -(-percent * (sizes + n) // (100 + percent)) - np.maximum(beyond(sizes), beyond(n))
+            fine = np.ones(len(many), bool)
+            for k, (own, (known, place, begin)) in enumerate(zip(prefixes_of, orders, strict=True)):
+                hit = np.isin(known, own)
+                fine &= np.add.reduceat(hit[place], begin, dtype=np.int64) >= np.maximum(1, least)
+                if k == 0 and own_key is not None:  # the smallest shared token has to be the group's
+                    smallest = np.minimum.reduceat(np.where(hit[place], place, len(known)), begin)
+                    fine &= smallest == np.searchsorted(known, own_key)
+            return fine
+
+        return shared
 
     return sharing
 
@@ -127,7 +150,7 @@ def _prefixed(width: int, percent: int, bits: int, buckets: int):
             found = prefixes(s, level[end - len(s) : end], percent)
             fine = all(map(len, found))
             keys.append(found[0].view(np.int64).tolist() if fine else [])
-            data.append(_filter(found[1:]) if fine else None)
+            data.append(_filter(len(s), found) if fine else None)
         columns = [rows.column("doc_id"), pa.array([unit] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())]
         return pa.table([*columns, pa.array(keys, pa.list_(pa.int64())), pa.array(data, pa.binary())], ["doc_id", "unit", "at", "n", "c", "keys", "data"])
 
@@ -170,7 +193,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
     keys = classes.select(F.explode("keys").alias("key"), "c")
     facts = classes.where(F.col("data").isNotNull()).select("c", "n", "data")
-    return stars.named(every, classes, stars.roots(keys, facts, sets_of, _sharing, percent))
+    return stars.named(every, classes, stars.roots(keys, facts, sets_of, _sharing(percent), percent))
 
 
 def op13_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ BLOCK = 1024  # members of a group, or partners of a leader, that one task holds
 HOT = 500  # members from which on a group is joined by broadcast; in a large corpus more, so that HOT_GROUPS is the most
 HOT_GROUPS = 100_000
 
-#: Of many, what tells for one whether each of the many may be similar to it.
-Likely = Callable[[list[bytes]], Callable[[bytes], np.ndarray]]
+#: Of many, what tells for one whether each of the many may be similar to it. With the key of a group that they all
+#: belong to, pairs may be left out that another group has.
+Likely = Callable[[list[bytes], int | None], Callable[[bytes], np.ndarray]]
 SetsOf = Callable[[DataFrame], DataFrame]
 
 
@@ -116,7 +117,7 @@ def _open_members(likely: Likely, percent: int):
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if not len(left) or not len(right):
             return pdf.iloc[:0][["key", "task", "side", "c", "comp"]]
-        similar, data = likely(right.data.tolist()), left.data.tolist()
+        similar, data = likely(right.data.tolist(), int(right.key.iloc[0])), left.data.tolist()
         n_l, n_r = left.n.to_numpy(), right.n.to_numpy()
         hit_l, hit_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
         for i, at in _crossing(left, right):
@@ -183,7 +184,7 @@ def roots(keys: DataFrame, facts: DataFrame, sets_of: SetsOf, likely: Likely, pe
     # first round: each against the leaders of its groups
     def near(n: int, leader: bytes, sizes: np.ndarray, data: list[bytes]) -> np.ndarray:
         fine = np.flatnonzero(_sizes(percent, sizes, n))
-        return fine[likely([data[i] for i in fine])(leader)] if len(fine) else fine
+        return fine[likely([data[i] for i in fine], None)(leader)] if len(fine) else fine
 
     pairs = materialize(members.where(F.col("c") != F.col("leader")).select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
     close = materialize(star(pairs, facts, near))

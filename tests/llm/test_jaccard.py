@@ -78,12 +78,19 @@ def test_linked_sets_share_prefix_tokens_under_every_order():
             of = lambda s: jaccard.prefixes(s, np.array([level[int(t)] for t in s], np.uint8), percent)  # noqa: E731,B023
             x, y = of(a), of(b)
             assert all(len(np.intersect1d(p, q)) for p, q in zip(x, y, strict=True))
-            assert jaccard._sharing([jaccard._filter(y[1:])] * 2)(jaccard._filter(x[1:])).all()
-
-
-def test_filters_that_share_nothing_are_told():
-    one, other = (jaccard._filter([np.array(t, np.uint64) << np.uint64(32)] * 2) for t in ([1, 2], [3]))
-    assert jaccard._sharing([one, other])(other).tolist() == [False, True]
+            one, other = jaccard._filter(len(a), x), jaccard._filter(len(b), y)
+            keys = np.intersect1d(x[0], y[0]).view(np.int64).tolist()
+            assert jaccard._sharing(percent)([other] * 2, None)(one).all()
+            assert [bool(jaccard._sharing(percent)([other], k)(one)[0]) for k in keys] == [True] + [False] * (len(keys) - 1)
+
+
+def test_filters_that_share_too_little_are_told():
+    tokens = [np.arange(k, k + 10, dtype=np.uint64) << np.uint64(32) for k in (0, 5, 8, 20)]
+    one, *others = (jaccard._filter(100, [t] * jaccard.ORDERS) for t in tokens)
+    # of 100 tokens each, 95 have to be shared, and at most 89 are beyond a prefix
+    assert jaccard._sharing(90)([one, *others], None)(one).tolist() == [True, False, False, False]
+    small = jaccard._filter(90, [tokens[2]] * jaccard.ORDERS)  # 90 have to be shared: one more than may be beyond
+    assert jaccard._sharing(90)([small], None)(one).tolist() == [True]
 
 
 def test_no_documents(spark):
