@@ -161,19 +161,79 @@ def walk(alarm: Alarm, pdf: pd.DataFrame) -> list[tuple]:
 LOG_NAMES = [x.split()[0] for x in LOG.split(", ")]
 
 
-def alarm_lifecycle(inputs: DataFrame) -> DataFrame:
-    """The log of state changes. A rule's rows are walked in order, batch by batch, with a state of a few numbers: a
-    recurrence, which keeps one task busy for each rule."""
+def calling(goal: Column) -> Column:
+    """Whether a reading calls for its rule's condition to be what ``goal`` says; false where its value is missing."""
+    v, back = F.col("value"), F.coalesce("deadband", F.lit(0.0))
+    over, under = v > F.col("limit"), v < F.col("limit")
+    high = F.when(goal, over).otherwise(v <= F.col("limit") - back)
+    low = F.when(goal, under).otherwise(v >= F.col("limit") + back)
+    of_value = F.when(~F.isnan(v), F.when(F.col("kind").isin(*HIGH), high).otherwise(low))
+    return F.coalesce(F.when(F.col("kind") == "anomaly", F.col("anomaly") == goal).otherwise(of_value), F.lit(False))
+
+
+def run_borders(readings: DataFrame, chunk: int = ChannelParams().chunk) -> DataFrame:
+    """Those readings of a rule at which its condition may turn, with ``goal`` (what they call for) and ``since`` (the
+    first reading of their run).
+
+    Readings in a row that call for the same (on, off or nothing) are a run. A run can only turn the condition at its
+    first reading past its delay or, where a rule has a time between two activations, at one up to the first reading
+    that is this time past the run before that called for the same. All others are left out."""
+    goal = F.when(calling(F.lit(True)), 1).when(calling(F.lit(False)), -1).otherwise(0)
+    rows = prefix.chunked(readings.withColumn("r_goal", goal), F.col("ts"), chunk).withColumn("r_set", F.when(F.col("r_goal") == 1, F.col("ts")))
+    rows = prefix.last_known(rows, RULE, "ts", "r_set", "r_last")
+    rows = prefix.preceding(rows.withColumn("r_row", F.struct("ts", "r_goal", "r_last")), RULE, "ts", "r_row", "r_prev")
+    before = F.col("r_prev.r_row")
+    starts = before.isNull() | (before["r_goal"] != F.col("r_goal"))
+    rows = rows.withColumn("r_start", F.when(starts, F.struct(F.col("ts").alias("since"), before["r_last"].alias("last"))))
+    rows = prefix.last_known(rows, RULE, "ts", "r_start", "r_run")
+    since = F.col("r_run.since")
+    due = since + F.when(F.col("r_goal") == 1, F.col("on_delay")).otherwise(F.col("off_delay"))
+    first = (since == F.col("ts")) | (before["ts"] < due)
+    repeats = (F.col("r_goal") == 1) & (F.col("min_repeat") > 0) & (before["ts"] < F.col("r_run.last") + F.col("min_repeat"))
+    kept = rows.where((F.col("r_goal") != 0) & (F.col("ts") >= due) & (first | F.coalesce(repeats, F.lit(False))))
+    return kept.select(*readings.columns, (F.col("r_goal") == 1).alias("goal"), since.alias("since"))
+
+
+def alarm_lifecycle(inputs: DataFrame, chunk: int = ChannelParams().chunk) -> DataFrame:
+    """The log of state changes. Readings are cut down to those at which a condition may turn (run_borders) before a
+    rule's rows are walked in order, batch by batch: a recurrence, which keeps one task busy for each rule. Reads its
+    inputs several times: hand in stored rows."""
+    acks = inputs.where("is_ack = 1").withColumns({"goal": F.lit(None).cast("boolean"), "since": F.lit(None).cast("long")})
+    few = run_borders(inputs.where("is_ack = 0"), chunk).unionByName(acks)
+    few = few.select("rule_id", "channel", "on_delay", "off_delay", "min_repeat", "ts", "value", "is_ack", "user", "goal", "since")
 
     def lives(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alarm = Alarm()
         for pdf in frames:
-            yield pd.DataFrame(walk(alarm, pdf), columns=LOG_NAMES)
+            if log := walk_borders(alarm, pdf):
+                yield pd.DataFrame(log, columns=LOG_NAMES)
 
-    ordered = inputs.repartition("rule_id").sortWithinPartitions("rule_id", "ts", "is_ack", "user")
+    ordered = few.repartition("rule_id").sortWithinPartitions("rule_id", "ts", "is_ack", "user")
     return ordered.groupBy("rule_id").applyInPandas(lives, LOG)
 
 
+def walk_borders(alarm: Alarm, pdf: pd.DataFrame) -> list[tuple]:
+    """Transitions of one rule over its run borders and acknowledgements in order."""
+    out, d = [], alarm.debounce
+    columns = (pdf[c].tolist() for c in ("rule_id", "channel", "ts", "value", "user", "is_ack", "goal", "since", "on_delay", "off_delay", "min_repeat"))
+    for rule, channel, ts, value, user, ack, goal, since, on_delay, off_delay, min_repeat in zip(*columns, strict=True):
+        event = "ack"
+        if not ack:
+            goal = bool(goal)
+            due = since + (on_delay if goal else off_delay)
+            if goal and d.last_on is not None:
+                due = max(due, d.last_on + min_repeat)
+            if goal == d.condition or ts < due:
+                continue
+            d.condition, event = goal, "on" if goal else "off"
+            d.last_on = ts if goal else d.last_on
+        before = alarm.state
+        alarm.state, what = TRANSITIONS.get((before, event), (before, None))
+        if what:
+            out.append((rule, channel, ts, what, before, alarm.state, None if ack or pd.isna(value) else float(value), user if ack else None))
+    return out
+
+
 def fold_alarm_log(log: DataFrame) -> DataFrame:
     """Occurrences: rule_id, occurrence, state, ts_active, ts_return, ts_ack, acked_by, value.
 

@@ -860,8 +860,7 @@ def _alarm_inputs(s, d):
 
 
 def _log(s, d):
-    rules = M.alarm_rules(s)
-    return A.alarm_lifecycle(A.alarm_inputs(A.readings_x_rules(_readings(s, d), rules), M.ack_commands(s, d), rules))
+    return A.alarm_lifecycle(_alarm_inputs(s, d))
 
 
 LOG_SQL = 'SELECT rule_id, channel, ts, transition, state_from, state_to, round(value, 6) AS value, "user" FROM lg'

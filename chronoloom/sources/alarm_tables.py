@@ -8,10 +8,10 @@ batch into one file set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.alarms import HIGH, LOG, NORMAL
+from ..operators.alarms import LOG, NORMAL, calling
 from ..storage import exists, put
 from .archive import latest
 
@@ -102,16 +102,6 @@ def compact(spark: SparkSession, path: str, target: str, upto: int) -> None:
     put(occurrences(spark, path, upto + 1), f"{target}/occurrences/batch_id={upto}", mode="overwrite")
 
 
-def calling(goal: Column) -> Column:
-    """Whether a reading calls for its rule's condition to be what ``goal`` says; false where its value is missing."""
-    v, back = F.col("value"), F.coalesce("deadband", F.lit(0.0))
-    over, under = F.when(F.isnan(v), False).otherwise(v > F.col("limit")), F.when(F.isnan(v), False).otherwise(v < F.col("limit"))
-    high = F.when(goal, over).otherwise(~F.isnan(v) & (v <= F.col("limit") - back))
-    low = F.when(goal, under).otherwise(~F.isnan(v) & (v >= F.col("limit") + back))
-    of_value = F.when(F.col("kind").isin(*HIGH), high).otherwise(low)
-    return F.coalesce(F.when(F.col("kind") == "anomaly", F.col("anomaly") == goal).otherwise(of_value), F.lit(False))
-
-
 def initial_state(table: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """rule_id, state, condition, last_on, called of each rule with an occurrence, for a stream that goes on without the
     checkpoint of the one that wrote the table: the newest occurrence gives the state, whether the condition is on, and

@@ -82,6 +82,22 @@ def test_tables_by_batches_equal_the_whole_log(spark, seed):
     assert AT.occurrences(spark, target).exceptAll(AT.occurrences(spark, path)).isEmpty() and AT.occurrences(spark, target).count() == len(got)
 
 
+@pytest.mark.parametrize("chunk", [50, 10**6])
+def test_life_cycle_from_run_borders_equals_all_readings(spark, chunk):
+    rows = steps(7, 1500)
+    inputs = spark.createDataFrame(rows, INPUTS).repartition(3)
+    assert sorted(map(repr, map(tuple, A.alarm_lifecycle(inputs, chunk).collect()))) == sorted(map(repr, walked(rows)))
+    few = A.run_borders(inputs.where("is_ack = 0"), chunk)
+    runs = 0
+    for rule in KINDS:
+        own = pd.DataFrame([r for r in rows if r[0] == rule and not r[11]], columns=[x.split()[0] for x in INPUTS.split(", ")])
+        calls = A.calls_of(own)
+        goal = calls[True].astype(int) - calls[False]
+        runs += 1 + int((goal[1:] != goal[:-1]).sum())
+    repeats = few.where("goal and min_repeat > 0 and ts > since + on_delay + 7").count()
+    assert few.count() <= runs + repeats and few.count() < len(rows) / 5
+
+
 @pytest.mark.parametrize("cut", [140, 701, 1407, 2100])
 def test_restart_from_tables_equals_one_run(spark, cut):
     """Wherever the first run stops: also within a delay that is running."""
