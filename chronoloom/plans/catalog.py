@@ -28,6 +28,7 @@ from ..sources import alarm_tables as AT
 from ..sources import archive as AR
 from ..sources import files as FI
 from ..storage import put, scratch, written
+from ..streaming import levels as SV
 from ..streaming import run as SR
 from ..streaming import stateful as SF
 from ..streaming import stateless as SL
@@ -990,7 +991,7 @@ def _(s, d):
 
 
 def _aggregated(s, d):
-    return SR.collected(SF.stream_aggregate(_arrived(s, d, _tel(s, d).select("channel", "ts", "val", "pkt"), "pkt"), GRID, LATE))
+    return SR.collected(SV.stream_aggregate(_arrived(s, d, _tel(s, d).select("channel", "ts", "val", "pkt"), "pkt"), GRID, LATE))
 
 
 @query("stream_aggregate", "SELECT * FROM sagg", Q.TEL, Q.LEVELS, Q.ON_TIME, recursive=False)

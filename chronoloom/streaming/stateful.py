@@ -1,8 +1,9 @@
-"""Streams with a state for each channel or rule: diagnostics, levels, episodes, chart cells, alarms.
+"""Streams with a state for each channel or rule: diagnostics, episodes, chart cells, alarms.
 
 The states are the same objects that the batch operators walk with, so a stream of batches and one large batch give
-the same rows. Rows of a key are put in time order inside a batch and handled in steps of bounded size. Lateness and
-closing go by the key's own newest time: a fast channel doesn't make a slow one late.
+the same rows. Rows of a key are put in time order inside a micro-batch, so a key's rows of one micro-batch (which
+``files`` in stream_source bounds) are held at once; they are handled in steps of bounded size. Closing goes by the
+key's own newest time.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from ..operators.alarms import LOG, LOG_NAMES, Alarm, Debounce, walk
 from ..operators.detect import Spread, judged
 from ..operators.downsample import POINT, Cells
 from ..operators.filters import FEATURES, diagnosis
-from ..operators.grid import FIELDS
 from ..operators.models import NAIVE, ChannelModel
-from ..params import ChannelParams, Grid
+from ..params import ChannelParams
 from .run import prepare
 
 STEP = 20_000  # rows of a key that a step handles
@@ -34,8 +34,8 @@ Step = Callable[[tuple, Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 class Folding(StatefulProcessor):
     """step(key, state, rows) -> (state, output) for each key and batch; a state is any value that can be pickled."""
 
-    def __init__(self, step: Step, order: list[str], opening: Callable[[pd.DataFrame], Any] | None = None, whole: str | None = None):
-        self.step, self.order, self.opening, self.whole = step, order, opening, whole
+    def __init__(self, step: Step, order: list[str], opening: Callable[[pd.DataFrame], Any] | None = None):
+        self.step, self.order, self.opening = step, order, opening
 
     def init(self, handle) -> None:
         self.held = handle.getValueState("held", "state binary")
@@ -43,9 +43,8 @@ class Folding(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = pickle.loads(self.held.get()[0]) if self.held.exists() else None
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        bounds = list(range(0, len(pdf), STEP)) if self.whole is None else _bounds(pdf[self.whole].to_numpy())
-        for at, end in zip(bounds, [*bounds[1:], len(pdf)], strict=True):
-            state, out = self.step(key, state, pdf.iloc[at:end])
+        for at in range(0, len(pdf), STEP):
+            state, out = self.step(key, state, pdf.iloc[at : at + STEP])
             if len(out):
                 yield out
         self.held.update((pickle.dumps(state),))
@@ -58,17 +57,10 @@ class Folding(StatefulProcessor):
         pass
 
 
-def _bounds(values: np.ndarray) -> list[int]:
-    """Where steps of about STEP rows begin that don't part equal values."""
-    new = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-    return sorted({int(new[np.searchsorted(new, at)]) for at in range(0, len(values), STEP) if at <= new[-1]})
-
-
-def folded(rows: DataFrame, key: str, step: Step, order: list[str], schema: str, initial: DataFrame | None = None, opening=None, whole: str | None = None) -> DataFrame:
-    """``whole``: a column whose equal values stay in one step."""
+def folded(rows: DataFrame, key: str, step: Step, order: list[str], schema: str, initial: DataFrame | None = None, opening=None) -> DataFrame:
     prepare(rows.sparkSession)
     return rows.groupBy(key).transformWithStateInPandas(
-        Folding(step, order, opening, whole), outputStructType=schema, outputMode="Append", timeMode="None", initialState=initial.groupBy(key) if initial is not None else None
+        Folding(step, order, opening), outputStructType=schema, outputMode="Append", timeMode="None", initialState=initial.groupBy(key) if initial is not None else None
     )
 
 
@@ -122,50 +114,6 @@ def stream_diagnostics(valid: DataFrame, setups: Callable[[str], Setup] | None =
     return folded(valid.select(*columns), "channel", step, ["ts"], DIAGNOSIS)
 
 
-LEVELS = "channel string, lvl int, bucket long, " + ", ".join(f"{c} {'long' if c[0] == 't' or c == 'cnt' else 'double'}" for c in FIELDS) + ", dropped long"
-
-
-def stream_aggregate(rows: DataFrame, grid: Grid, late: int) -> DataFrame:
-    """Buckets of all levels of a stream of rows (channel, ts, val, pkt), as they are after each batch (update mode),
-    and of each level a row with a null bucket and ``dropped``, the points so far that came too late for it.
-
-    After each packet, buckets that end ``late`` before the channel's newest time are closed and leave the state; a
-    point for a closed bucket is dropped and counted. Lateness is the channel's own."""
-    widths = [grid.width(i) for i in range(grid.levels)]
-
-    def step(key, state, pdf):
-        newest, dropped, opened = state or (None, [0] * grid.levels, {})
-        dirty: dict[tuple[int, int], list] = {}
-        for _, packet in pdf.groupby("pkt", sort=True):
-            t, x = packet.ts.to_numpy(np.int64), packet.val.to_numpy(float)
-            for lvl, width in enumerate(widths):
-                bucket = t // width * width
-                fine = bucket >= (newest - late - width if newest is not None else -(2**62))
-                dropped[lvl] += int((~fine).sum())
-                part = pd.DataFrame({"b": bucket[fine], "t": t[fine], "x": x[fine]}).dropna(subset="x")
-                for b, own in part.groupby("b", sort=True):
-                    held = opened.get((lvl, b))
-                    tt, xx = own.t.to_numpy(), own.x.to_numpy()
-                    order = np.argsort(tt, kind="stable")
-                    tt, xx = tt[order], xx[order]
-                    lo, hi = int(xx.argmin()), int(xx.argmax())
-                    new = [xx[lo], tt[lo], xx[hi], tt[hi], xx[0], tt[0], xx[-1], tt[-1], xx.sum(), len(xx)]
-                    opened[lvl, b] = dirty[lvl, b] = new if held is None else _merged(held, new)
-            newest = max(int(t.max()), newest) if newest is not None else int(t.max())
-            opened = {k: v for k, v in opened.items() if k[1] >= newest - late - widths[k[0]]}
-        out = [(key[0], lvl, b, *v, None) for (lvl, b), v in dirty.items()] + [(key[0], lvl, None, *[None] * len(FIELDS), n) for lvl, n in enumerate(dropped)]
-        return (newest, dropped, opened), pd.DataFrame(out, columns=["channel", "lvl", "bucket", *FIELDS, "dropped"]).astype({c: "Int64" for c in ("bucket", "tmin", "tmax", "tfirst", "tlast", "cnt", "dropped")})
-
-    return folded(rows.select("channel", "ts", "val", "pkt"), "channel", step, ["pkt", "ts"], LEVELS, whole="pkt")
-
-
-def _merged(a: list, b: list) -> list:
-    """One bucket from two: of equal extremes the earliest, of equal times at the ends the first that came."""
-    low, high = min(a[:2], b[:2]), min((-a[2], a[3]), (-b[2], b[3]))
-    first, last = min(a[4:6], b[4:6], key=lambda p: p[1]), max(a[6:8], b[6:8], key=lambda p: p[1])
-    return [*low, -high[0], high[1], *first, *last, a[8] + b[8], a[9] + b[9]]
-
-
 EPISODE = "channel string, kind string, ts_start long, ts_end long, n_points long, peak_ts long, peak_value double, score double"
 
 

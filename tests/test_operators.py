@@ -24,6 +24,7 @@ from chronoloom.params import ChannelParams, Grid
 from chronoloom.plans import catalog
 from chronoloom.sources import archive as AR
 from chronoloom.sources import files as FI
+from chronoloom.streaming import levels as SV
 from chronoloom.streaming import run as SR
 from chronoloom.streaming import stateful as SF
 
@@ -318,13 +319,67 @@ def test_stream_lateness_is_the_channels_own(spark):
     slow = [("slow", p, p * S, 1.0) for p in range(20)] + [("slow", 20, 500 * S, 1.0), ("slow", 21, 3 * S, 1.0)]
     rows = spark.createDataFrame(fast + slow, "channel string, pkt long, ts long, val double")
     path, files = SR.arrived_in_parts(rows, "pkt", 5)
-    out = SR.collected(SF.stream_aggregate(SR.stream_source(spark, path, rows.schema, files), Grid(S, 4, 2, 16), 30 * S))
+    out = SR.collected(SV.stream_aggregate(SR.stream_source(spark, path, rows.schema, files), Grid(S, 4, 2, 16), 30 * S))
     dropped = {(r.channel, r.lvl): r.dropped for r in SR.newest(out.where("bucket is null"), "channel", "lvl").collect()}
     assert dropped == {("fast", 0): 0, ("fast", 1): 0, ("slow", 0): 1, ("slow", 1): 1}
     kept = SR.newest(out.where("bucket is not null and lvl = 0"), "channel", "bucket").groupBy("channel").agg(F.sum("cnt").alias("n")).collect()
     assert {r.channel: r.n for r in kept} == {"fast": 20, "slow": 21}
 
 
+def naive_levels(packets, widths, late):
+    """Buckets and drops of one channel, point by point; packets: (ts, val) lists in order."""
+    newest, done, dropped = None, {}, [0] * len(widths)
+    for packet in packets:
+        for t, v in packet:
+            for lvl, w in enumerate(widths):
+                b = t // w * w
+                if newest is not None and b < newest - late - w:
+                    dropped[lvl] += 1
+                elif v is not None:
+                    done.setdefault((lvl, b), []).append((t, v))
+        newest = max([t for t, _ in packet] + ([] if newest is None else [newest]))
+    return done, dropped
+
+
+def test_stream_aggregate_against_loop(spark):
+    """Packets out of order, nulls, late points for closed and open buckets, several batches and channels."""
+    rng, rows, want, lost = random.Random(12), [], {}, {}
+    grid, late = Grid(10, 4, 3, 16), 60
+    for c in ("a", "b"):
+        packets, at = [], 0
+        for pkt in range(60):
+            at += rng.randrange(0, 60)
+            packet = [(max(0, at + rng.randrange(-400 if rng.random() < 0.1 else -30, 40)), None if rng.random() < 0.1 else round(rng.gauss(0, 1), 1)) for _ in range(rng.randrange(1, 12))]
+            packet = list({t: (t, v) for t, v in packet}.values())
+            packets.append(packet)
+            rows += [(c, t, v, pkt) for t, v in packet]
+        done, dropped = naive_levels(packets, [grid.width(i) for i in range(3)], late)
+        for (lvl, b), points in done.items():
+            low, high = min(points, key=lambda p: (p[1], p[0])), min(points, key=lambda p: (-p[1], p[0]))
+            want[c, lvl, b] = (low[1], low[0], high[1], high[0], min(points)[0], max(points)[0], round(sum(v for _, v in points), 9), len(points))
+        lost |= {(c, lvl): n for lvl, n in enumerate(dropped)}
+    table = spark.createDataFrame(rows, "channel string, ts long, val double, pkt long").repartition(3)
+    path, files = SR.arrived_in_parts(table, "pkt", 6)
+    out = SR.collected(SV.stream_aggregate(SR.stream_source(spark, path, table.schema, files), grid, late)).cache()
+    got = {(r.channel, r.lvl, r.bucket): (r.vmin, r.tmin, r.vmax, r.tmax, r.tfirst, r.tlast, round(r.vsum, 9), r.cnt) for r in SR.newest(out.where("bucket is not null"), "channel", "lvl", "bucket").collect()}
+    assert got == want and min(lost.values()) > 0
+    assert {(r.channel, r.lvl): r.dropped for r in SR.newest(out.where("bucket is null"), "channel", "lvl").collect()} == lost
+
+
+def test_stream_aggregate_of_a_busy_channel(spark):
+    """100,000 rows of one channel in a batch."""
+    import time
+
+    table = spark.range(100_000).select(F.lit("c").alias("channel"), (F.col("id") * (S // 10)).alias("ts"), F.rand(1).alias("val"), F.floor(F.col("id") / 500).alias("pkt"))
+    path = SR.scratch(spark)
+    table.repartition(4).write.parquet(path)
+    stream = SV.stream_aggregate(SR.stream_source(spark, path, spark.read.parquet(path).schema, 10), Grid(S, 4, 4, 1024), 30 * S)
+    began = time.time()
+    out = SR.collected(stream)
+    took = time.time() - began
+    assert out.where("lvl = 0").agg(F.sum("cnt")).first()[0] == 100_000 and took < 60, took
+
+
 def stubs():
     """A fixed linear forecaster and a fixed classifier; nested, so that workers needn't import this file."""
 
