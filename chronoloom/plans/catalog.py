@@ -27,6 +27,7 @@ from ..params import DAY, HOUR, MINUTE, TS_MIN, ChannelParams, ChartParams, Grid
 from ..sources import alarm_tables as AT
 from ..sources import archive as AR
 from ..sources import files as FI
+from ..sources import stored as ST
 from ..storage import put, scratch, written
 from ..streaming import levels as SV
 from ..streaming import run as SR
@@ -214,34 +215,40 @@ def _(s, d):
 
 @query("upsert_telemetry", "SELECT channel, ts, CASE WHEN event_id % 3 = 0 THEN val + 1 ELSE val END AS val, quality FROM tel", Q.TEL)
 def _(s, d):
-    path, rows = scratch(s), _tel(s, d)
-    AR.upsert_telemetry(rows, path, 1)
-    AR.upsert_telemetry(rows.where(F.col("event_id") % 3 == 0).withColumn("val", F.col("val") + 1), path, 2)
-    return AR.latest(s.read.parquet(path), ("channel", "ts"), "batch_id").select("channel", "ts", "val", "quality")
+    table, rows = ST.telemetry(scratch(s)), _tel(s, d)
+    AR.upsert_telemetry(rows, table, 1)
+    table.compact(s)
+    AR.upsert_telemetry(rows.where(F.col("event_id") % 3 == 0).withColumn("val", F.col("val") + 1), table, 2)
+    return table.scan(s).select("channel", "ts", "val", "quality")
 
 
 @query("upsert_flags", "SELECT channel, run, ts, round(val_f, 6) AS val_f, CASE WHEN ts % 2 = 0 THEN NOT anomaly ELSE anomaly END AS anomaly FROM pf WHERE substituted OR anomaly", Q.DIAGNOSIS, Q.FLAGS, recursive=True)
 def _(s, d):
-    path, rows = scratch(s), _point_flags(s, d)
-    AR.upsert(rows, path, 1)
-    AR.upsert(rows.where(F.col("ts") % 2 == 0).withColumn("anomaly", ~F.col("anomaly")), path, 2)
-    return AR.latest(s.read.parquet(path), ("channel", "ts", "run"), "batch_id").select("channel", "run", "ts", F.round("val_f", 6).alias("val_f"), "anomaly")
+    table, rows = ST.flags(scratch(s)), _point_flags(s, d)
+    table.upsert(rows, 1)
+    table.upsert(rows.where(F.col("ts") % 2 == 0).withColumn("anomaly", ~F.col("anomaly")), 2)
+    table.compact(s)
+    return table.scan(s).select("channel", "run", "ts", F.round("val_f", 6).alias("val_f"), "anomaly")
 
 
 @query("upsert_agg", "SELECT channel, lvl, bucket, CASE WHEN lvl = 1 THEN 0 ELSE cnt END AS cnt FROM agg", Q.TEL, Q.LEVELS)
 def _(s, d):
-    path, rows = scratch(s), _levels(s, d)
-    AR.upsert(rows, path, 1, "lvl")
-    AR.upsert(rows.where("lvl = 1").withColumn("cnt", F.lit(0).cast("long")), path, 2, "lvl")
-    return AR.latest(s.read.parquet(path), ("channel", "lvl", "bucket"), "batch_id").select("channel", F.col("lvl").cast("int").alias("lvl"), "bucket", "cnt")
+    table, rows = ST.aggregates(scratch(s)), _levels(s, d)
+    table.upsert(rows, 1)
+    table.upsert(rows.where("lvl = 1").withColumn("cnt", F.lit(0).cast("long")), 2)
+    table.compact(s)
+    return table.scan(s).select("channel", F.col("lvl").cast("int").alias("lvl"), "bucket", "cnt")
 
 
-@query("append_events", "SELECT channel, kind, ts_start, ts_end, n_points, 'offline' AS run, n_points AS detail_points FROM ep", Q.FULL, recursive=True)
+@query("append_events", f"""SELECT channel, kind, ts_start, ts_end, n_points, 'offline' AS run, CASE WHEN channel = 'click' THEN 'm/1' ELSE 'naive' END AS model_version, n_points AS detail_points, CASE WHEN channel = 'click' THEN 'm/1' ELSE 'naive' END AS detail_model,
+{PARAMS.hampel_window} AS detail_window, {PARAMS.residual_k}::DOUBLE AS detail_k, {PARAMS.episode_gap} AS detail_gap FROM ep""", Q.with_model("channel = 'click'", False), Q.SCORED, Q.EPISODES, recursive=True)
 def _(s, d):
-    path = scratch(s)
-    put(AR.event_rows(_episodes(s, d), "offline", "v1"), path)
-    points = F.get_json_object("details", "$.n_points").cast("long").alias("detail_points")
-    return s.read.parquet(path).select("channel", "kind", "ts_start", "ts_end", "n_points", "run", points)
+    path, models = scratch(s), MO.model_rows(s, {"click": MODEL})
+    diagnosis = written(D.channel_pipeline(_valid(s, d), PARAMS, models))
+    put(AR.event_rows(D.build_episodes(D.scored_flags(diagnosis), PARAMS.episode_gap), "offline", PARAMS, models), path)
+    detail = lambda c, kind, name: F.get_json_object("details", "$." + c).cast(kind).alias("detail_" + name)
+    details = detail("n_points", "long", "points"), detail("model", "string", "model"), detail("params.hampel_window", "int", "window"), detail("params.residual_k", "double", "k"), detail("params.episode_gap", "long", "gap")
+    return s.read.parquet(path).select("channel", "kind", "ts_start", "ts_end", "n_points", "run", "model_version", *details)
 
 
 @query("export_raw_csv", "SELECT channel, ts, val, quality, nd, otkl FROM tel", Q.TEL)
@@ -285,7 +292,10 @@ def _(s, d):
 
 @query("apply_retention", f"SELECT channel, ts FROM tel WHERE ts >= (SELECT max(ts) FROM tel) - {7 * DAY}", Q.TEL)
 def _(s, d):
-    return AR.apply_retention(_tel(s, d).select("channel", "ts"), 7 * DAY)
+    # old days go as partitions, the rest of the oldest day as rows
+    table = ST.telemetry(scratch(s))
+    AR.upsert_telemetry(_tel(s, d), table, 1)
+    return table.scan(s, table.retain(s, 7 * DAY)).select("channel", "ts")
 
 
 # ---- projections and filters

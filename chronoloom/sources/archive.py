@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from decimal import Decimal
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import DAY, SECOND
-from ..storage import put
+from ..operators.models import NAIVE, by_channel
+from ..params import DAY, SECOND, ChannelParams
+
+if TYPE_CHECKING:
+    from .stored import Stored
 
 WEEK = 7 * DAY
 UNITS = {"s": SECOND, "m": 60 * SECOND, "h": 3600 * SECOND, "d": DAY, "w": WEEK}
@@ -53,24 +58,15 @@ def last_period(rows: DataFrame, period: str, end: int | None = None) -> DataFra
     return rows.crossJoin(F.broadcast(last)).where((F.col("ts") >= F.col("t_end") - length) & (F.col("ts") < F.col("t_end"))).drop("t_end")
 
 
-def dated(rows: DataFrame) -> DataFrame:
-    """The partition column of stored telemetry: filters on it prune files, as ts is a number."""
-    return rows.withColumn("date", F.to_date(F.timestamp_micros("ts")))
-
-
 def latest(rows: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
     """Merge on read: the last written row of each key."""
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
     return rows.withColumn("v_number", number).where("v_number = 1").drop("v_number")
 
 
-def upsert(rows: DataFrame, path: str, batch_id: int, *by: str) -> None:
-    """Append rows under a batch number; ``latest`` over the keys and batch_id is the table."""
-    put(rows.withColumn("batch_id", F.lit(batch_id).cast("long")), path, *by)
-
-
-def upsert_telemetry(rows: DataFrame, path: str, batch_id: int) -> None:
-    upsert(dated(latest(rows, ("channel", "ts"), "arrival")), path, batch_id, "date")
+def upsert_telemetry(rows: DataFrame, table: Stored, batch_id: int) -> None:
+    """Rows of one batch into a stored table, of those with one key the last that arrived."""
+    table.upsert(latest(rows, table.keys, "arrival"), batch_id)
 
 
 def sparse_flags(rows: DataFrame) -> DataFrame:
@@ -79,16 +75,17 @@ def sparse_flags(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("substituted") | F.col("anomaly")).select(*keep)
 
 
-def apply_retention(rows: DataFrame, ttl: int) -> DataFrame:
-    """Rows not older than ttl before the newest."""
-    last = rows.agg(F.max("ts").alias("t_last"))  # one row
-    return rows.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("t_last") - ttl).drop("t_last")
-
-
-def event_rows(episodes: DataFrame, run: str, model_version: str | None = None) -> DataFrame:
-    """Episodes as events with a JSON of details."""
-    details = F.to_json(F.struct("n_points", "peak_value", "score"))
-    return episodes.select("channel", "kind", "ts_start", "ts_end", "n_points", "peak_ts", "peak_value", "score", F.lit(run).alias("run"), F.lit(model_version).cast("string").alias("model_version"), details.alias("details"))
+def event_rows(episodes: DataFrame, run: str, p: ChannelParams = ChannelParams(), models: DataFrame | None = None) -> DataFrame:
+    """Episodes as events of a run. Details are a JSON of the episode's numbers, the parameters of the run and the model
+    that judged the channel (that of ``models``, a model table; else the naive forecast)."""
+    if models is None:
+        rows = episodes.withColumn("model_version", F.lit(NAIVE.version))
+    else:
+        versions = by_channel(models).select("channel", F.col("m_version").alias("model_version"))
+        rows = episodes.join(versions, "channel", "left").fillna(NAIVE.version, ["model_version"])
+    params = F.struct(*(F.lit(v).alias(k) for k, v in asdict(p).items() if k != "chunk"))  # how rows are dealt out is no parameter of a run
+    details = F.to_json(F.struct("n_points", "peak_value", "score", F.col("model_version").alias("model"), params.alias("params")))
+    return rows.select("channel", "kind", "ts_start", "ts_end", "n_points", "peak_ts", "peak_value", "score", F.lit(run).alias("run"), "model_version", details.alias("details"))
 
 
 def notifications(rows: DataFrame, topic: str = "flags", subscribed: tuple[str, ...] | None = None) -> DataFrame:
