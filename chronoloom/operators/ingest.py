@@ -34,8 +34,9 @@ def dedup_last(rows: DataFrame, *keys: str, order: tuple[str, ...] = ("arrival",
     return rows.withColumn("k_number", F.row_number().over(newest)).where("k_number = 1").drop("k_number")
 
 
-def packet_ack(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """pkt, accepted, rejected, reordered, errors and new_channels (sorted lists). rows: pkt, channel, pos, ts.
+def packet_ack(rows: DataFrame, known: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """pkt, accepted, rejected, reordered, errors and new_channels (sorted lists). rows: pkt, channel, pos, ts; named:
+    (pkt, channel) of packets, if they also name channels without rows (null: a packet without channels).
 
     A channel batch with a bad time is rejected as a whole, with an error; one whose times go down is counted as
     reordered as a whole; of equal times the last counts. A channel that isn't known is new in the first packet that
@@ -46,7 +47,9 @@ def packet_ack(rows: DataFrame, known: DataFrame) -> DataFrame:
     per = marked.groupBy("pkt", "channel").agg(
         F.count("*").alias("n"), F.count_distinct("ts").alias("n_times"), F.max("down").alias("disordered"), ((F.min("ts") < TS_MIN) | (F.max("ts") > TS_MAX)).alias("bad"),
     )
-    first = rows.groupBy("channel").agg(F.min("pkt").alias("pkt")).join(known.select("channel"), "channel", "left_anti").withColumn("is_new", F.lit(True))
+    if named is not None:
+        per = named.distinct().join(per, ["pkt", "channel"], "left").fillna(0, ["n", "n_times"]).fillna(False, ["disordered", "bad"])
+    first = (rows if named is None else named).groupBy("channel").agg(F.min("pkt").alias("pkt")).join(known.select("channel"), "channel", "left_anti").withColumn("is_new", F.lit(True))
     per = per.join(first, ["channel", "pkt"], "left")
     good = ~F.col("bad")
     listed = lambda c: F.sort_array(F.collect_list(c))

@@ -29,6 +29,7 @@ from ..sources import archive as AR
 from ..sources import files as FI
 from ..sources import stored as ST
 from ..storage import put, scratch, written
+from ..streaming import ingest as SI
 from ..streaming import levels as SV
 from ..streaming import run as SR
 from ..streaming import stateful as SF
@@ -991,13 +992,33 @@ def _(s, d):
 @query("stream_ingest", """SELECT pkt AS seq, channel, ts, val, nd, otkl, CASE WHEN val IS NULL OR nd THEN 'bad' WHEN otkl <> 0 OR coalesce(val < x_min, false) OR coalesce(val > x_max, false) THEN 'uncertain' ELSE 'good' END AS quality, true AS stamped
 FROM tel LEFT JOIN reg USING (channel) WHERE NOT (pkt % 5 = 2 AND channel = 'view')""", Q.TEL, Q.REGISTRY)
 def _(s, d):
-    # one batch in five of a channel has times in seconds
-    source = M.telemetry_source(s, d)
+    rows = SI.stored(s, _ingested(s, d), "rows")
+    out = I.dedup_last(rows, "channel", "ts", order=("batch_id", "seq"))
+    return out.select("seq", "channel", "ts", "val", "nd", "otkl", "quality", (F.col("t_ing") > F.lit(TS_MIN)).alias("stamped"))
+
+
+@query("stream_ingest_acks", """SELECT pkt, sum(CASE WHEN bad THEN 0 ELSE nt END)::BIGINT AS accepted, sum(CASE WHEN bad THEN n ELSE n - nt END)::BIGINT AS rejected, sum(CASE WHEN dis AND NOT bad THEN n ELSE 0 END)::BIGINT AS reordered,
+coalesce(string_agg(CASE WHEN bad THEN channel || ': times out of range' END, ',' ORDER BY channel), '') AS errors, coalesce(string_agg(CASE WHEN channel NOT IN (SELECT channel FROM reg) AND pkt = p0 THEN channel END, ',' ORDER BY channel), '') AS new_channels
+FROM (SELECT *, min(pkt) OVER (PARTITION BY channel) AS p0 FROM (SELECT pkt, channel, count(*) AS n, count(DISTINCT ts) AS nt, bool_or(coalesce(dn, false)) AS dis, pkt % 5 = 2 AND channel = 'view' AS bad
+  FROM (SELECT *, ts < lag(ts) OVER (PARTITION BY pkt, channel ORDER BY arrival, ts) AS dn FROM (SELECT *, CASE WHEN pkt % 5 = 2 AND channel = 'view' THEN ts // 1000000 ELSE ts END AS ts1 FROM tel)) GROUP BY 1, 2)) GROUP BY pkt""", Q.TEL, Q.REGISTRY)
+def _(s, d):
+    acks = SI.stored(s, _ingested(s, d), "acks")
+    return acks.select("pkt", "accepted", "rejected", "reordered", *(F.array_join(c, ",").alias(c) for c in ("errors", "new_channels")))
+
+
+def _ingested(s, d) -> str:
+    """A stream of packets, one batch in five of a channel with times in seconds, through the ingest sink, each
+    micro-batch twice: where its outputs are."""
+    source, path, registry = M.telemetry_source(s, d), scratch(s), M.registry(s)
     odd = (F.col("pkt") % 5 == 2) & (F.col("channel") == "view")
     lines = M.packets(source.withColumn("ts", F.when(odd, S.floor_div(F.col("ts"), 1_000_000)).otherwise(F.col("ts"))))
-    out = SR.collected(SL.stream_ingest(_arrived(s, d, lines, "pkt"), M.registry(s)))
-    out = I.dedup_last(out, "channel", "ts", order=("batch_id", "seq", "pos"))
-    return out.select("seq", "channel", "ts", "val", "nd", "otkl", "quality", (F.col("t_ing") > F.lit(TS_MIN)).alias("stamped"))
+
+    def twice(df, batch):
+        for _attempt in range(2):
+            SI.ingest_batch(df, registry, path, batch)
+
+    SR.run_to_end(_arrived(s, d, lines, "pkt"), twice, scratch(s))
+    return path
 
 
 def _aggregated(s, d):

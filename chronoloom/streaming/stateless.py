@@ -1,26 +1,10 @@
-"""Streams without a state of their own: ingest, last values."""
+"""A stream without a state of its own: last values."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ingest import quality_with_registry
-from ..params import TS_MAX, TS_MIN
-from ..sources.files import explode_packets, parse_packet_json
-
-
-def stream_ingest(lines: DataFrame, registry: DataFrame, ingested: Column | None = None) -> DataFrame:
-    """Rows of packets as they come, with quality by the registry (a static table) and t_ing, the time of ingest.
-
-    Packets that can't be read are left out (see parse_packet_json), and so is a packet's batch of a channel that has
-    a time outside 2000 to 2100. In-packet duplicates are dropped by the sink, which keeps the last."""
-    good, _ = parse_packet_json(lines)
-    fine = F.filter("packet.channels", lambda c: (F.array_min(c["ts"]) >= TS_MIN) & (F.array_max(c["ts"]) <= TS_MAX))
-    rows, _ = explode_packets(good.withColumn("packet", F.col("packet").withField("channels", fine)))
-    stamp = F.unix_micros(F.current_timestamp()) if ingested is None else ingested
-    return quality_with_registry(rows, F.broadcast(registry.select("channel", "x_min", "x_max"))).withColumn("t_ing", stamp)
-
 
 def stream_last_wm(rows: DataFrame) -> DataFrame:
     """Last value and watermark of each channel (complete or update mode): the newest of the last packet, even if an
