@@ -19,9 +19,14 @@ from .models import NAIVE, ChannelModel, in_groups
 
 
 class Spread:
-    """The spread of residuals, learned online: that of a normal residual with the running mean of absolute ones."""
+    """The spread of residuals, learned online: that of a normal residual with the running mean of absolute ones. The
+    first hundred count alike; from then on each has a weight of 0.01."""
 
     SIGMA = math.sqrt(math.pi / 2)  # of a normal residual, by its mean absolute value
+    WEIGHT = 0.01
+    BLOCK = 8192
+    _GROWTH = (1 - WEIGHT) ** -np.arange(1.0, BLOCK + 1)
+    _DECAY = 1 / _GROWTH
 
     def __init__(self, warm_up: int, seen: int = 0, mean: float = 0.0):
         self.warm_up, self.seen, self.mean = warm_up, seen, mean
@@ -32,17 +37,61 @@ class Spread:
 
     def learn(self, residual: float) -> None:
         self.seen += 1
-        self.mean += max(0.01, 1 / self.seen) * (residual - self.mean)
+        self.mean += max(self.WEIGHT, 1 / self.seen) * (residual - self.mean)
 
     def judge(self, residuals: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
-        """Threshold and flag of each residual; one that is flagged, or isn't a number, teaches nothing."""
+        """Threshold and flag of each residual; one that is flagged, or isn't a number, teaches nothing.
+
+        Means of a block are made at once as if none of it were flagged, and hold up to the first that is. Residuals that
+        are within rounding of their threshold are judged one by one."""
         limits = np.full(len(residuals), np.nan)
-        for i in np.flatnonzero(~np.isnan(residuals)).tolist():
-            limits[i] = k * self.sigma()
-            if not residuals[i] > limits[i] > 0:
-                self.learn(float(residuals[i]))
+        known = np.flatnonzero(~np.isnan(residuals))
+        r, out = residuals[known], np.full(len(known), np.nan)
+        at, size = 0, self.BLOCK
+        while at < len(r):
+            if self.seen * self.WEIGHT < 1:
+                at = self._one(r, out, at, k)
+                continue
+            block = r[at : at + size]
+            means = np.cumsum(block * self._GROWTH[: len(block)])
+            means *= self.WEIGHT
+            means += self.mean
+            means *= self._DECAY[: len(block)]
+            limit = np.append(self.mean, means[:-1])
+            limit *= k * self.SIGMA
+            if self.seen < self.warm_up:
+                limit[: self.warm_up - self.seen] = np.nan
+            hit = block > limit * (1 - 1e-9)  # flagged, or nearly
+            n = int(hit.argmax())
+            n = n if hit[n] else len(block)
+            out[at : at + n] = limit[:n]
+            if n:
+                self.mean, self.seen = float(means[n - 1]), self.seen + n
+            at += n
+            if n == len(block):
+                size = min(self.BLOCK, 4 * size)
+                continue
+            size = min(self.BLOCK, max(64, 2 * n))
+            top = limit[n] * (1 + 1e-9)
+            if not block[n] > top > 0:
+                at = self._one(r, out, at, k)
+                continue
+            # the threshold stays as it is over all that are flagged in a row
+            run = 1
+            while at + run < len(r) and r[at + run] > top:
+                still = r[at + run : at + 2 * run + 16] > top
+                run += len(still) if still.all() else int(still.argmin())
+            out[at : at + run] = limit[n]
+            at += run
+        limits[known] = out
         return limits, (limits > 0) & (residuals > limits)
 
+    def _one(self, r: np.ndarray, out: np.ndarray, at: int, k: float) -> int:
+        out[at] = k * self.sigma()
+        if not r[at] > out[at] > 0:
+            self.learn(float(r[at]))
+        return at + 1
+
 
 def judged(found: dict[str, np.ndarray] | pd.DataFrame, spread: Spread, p: ChannelParams, model: ChannelModel) -> dict[str, np.ndarray]:
     """thr, anomaly and prob_ratio (the probability by its limit, where it counts) from resid and prob."""

@@ -193,6 +193,39 @@ def test_live_tail_equals_batch(spark):
     assert out.where("not final").select("channel", "generation").distinct().count() == 4 * 5  # a tail for each batch
 
 
+def naive_spread(residuals, k, warm_up):
+    seen, mean, limits = 0, 0.0, []
+    for r in residuals:
+        if math.isnan(r):
+            limits.append(math.nan)
+            continue
+        limit = k * math.sqrt(math.pi / 2) * mean if seen >= warm_up else math.nan
+        limits.append(limit)
+        if not r > limit > 0:
+            seen += 1
+            mean += max(0.01, 1 / seen) * (r - mean)
+    return limits
+
+
+@pytest.mark.parametrize("warm_up", [0, 3, 100, 700])
+def test_spread_against_loop(warm_up):
+    rng = np.random.default_rng(warm_up)
+    n = 9000
+    r = np.abs(rng.normal(size=n)) * np.where(np.arange(n) % 3000 < 1500, 1, 20)  # sudden changes: long flagged runs
+    r[rng.random(n) < 0.02] = np.nan
+    r[4000:4300] = 0.0
+    r[6000:6010] = 1e6
+    want = np.array(naive_spread(r.tolist(), 3.0, warm_up))
+    spread, got, flags = D.Spread(warm_up), [], []
+    for a, b in zip((0, 1, 50, 4100, 4101, n), (1, 50, 4100, 4101, n, n), strict=True):  # any batches
+        limits, hit = spread.judge(r[a:b], 3.0)
+        got.append(limits), flags.append(hit)
+    got, flags = np.concatenate(got), np.concatenate(flags)
+    with np.errstate(invalid="ignore"):
+        assert (flags == ((want > 0) & (r > want))).all() and flags.sum() > 500 * (warm_up < 700)
+    assert (np.isnan(got) == np.isnan(want)).all() and np.nanmax(np.abs(got - want) / np.maximum(want, 1e-9)) < 1e-9
+
+
 def test_spike_becomes_episode(spark, wave):
     p = ChannelParams(episode_gap=5 * S, chunk=500 * S)
     found = D.channel_pipeline(wave, p)
