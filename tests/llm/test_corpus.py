@@ -133,6 +133,17 @@ def test_encoder_equals_library():
         assert list(fast(t)) == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_on_generated_texts():
+    from tokenizers import Tokenizer
+
+    whole, fast = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    rng = random.Random(6)
+    signs = [*"abzABZ019'.,!-_ \t\n\r\x0b\x0c\x1c\x85\xa0ÄÖßéÿÀÞ×÷µªſK中語🙂\u0301\u200b<|>", "'s", "'LL", " don't", "<|endoftext|>", "  ", "...", "The ", "größe"]
+    for _ in range(3000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randrange(0, 40)))
+        assert list(fast(t)) == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing(docs, plain, ids):
     rows = packing.pack_documents(docs.select("doc_id", "text"), 64).collect()
     want = collections.Counter()
@@ -153,6 +164,19 @@ def test_packing(docs, plain, ids):
     assert len(bins) <= 1.05 * sum(r.length for r in rows) / 64 + 2
 
 
+def test_packing_in_several_groups(docs, ids, plain, monkeypatch):
+    """Groups of few pieces: sequences of one group never meet those of another, and all stay within the capacity."""
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rows = packing.pack_documents(docs.select("doc_id", "text"), 64).collect()
+    assert sum(r.length for r in rows) == sum(len(ids[t]) + 1 for _, t in plain)
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist() and sum(n for _, n in parts) <= 64
+    assert len(bins) > 10
+
+
 def test_sum_of_squares_is_tight():
     rng = np.random.default_rng(2)
     lengths = np.minimum(rng.geometric(1 / 400, 8000), 2048)
@@ -176,6 +200,44 @@ def test_token_files(spark, docs, plain, ids, tmp_path):
     assert "EqualTo(doc_id,3)" in plan.split("PushedFilters")[1]
 
 
+def test_token_files_are_pruned(spark, tmp_path):
+    """Bloom filters and row indexes are in the files; a look-up reads a row group, not the file."""
+    path = f"file://{tmp_path}/t"
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    token_files.write_tokens(docs.coalesce(2), path, row_group=1000)
+    orc, hadoop = spark._jvm.org.apache.orc, spark._jvm.org.apache.hadoop
+    names, rows, groups = [f for f in (tmp_path / "t").iterdir() if f.suffix == ".orc"], 0, 0
+    for f in names:
+        conf = spark._jsc.hadoopConfiguration()
+        reader = orc.OrcFile.createReader(hadoop.fs.Path(str(f)), orc.OrcFile.readerOptions(conf))
+        rows += reader.getNumberOfRows()
+        assert reader.getRowIndexStride() == 1000
+        column = reader.getSchema().findSubtype("doc_id").getId()
+        kinds = set()
+        for stripe in reader.getStripes():
+            footer = reader.rows().readStripeFooter(stripe) if hasattr(reader.rows(), "readStripeFooter") else None
+            if footer is not None:
+                kinds |= {str(x.getKind()) for x in footer.getStreamsList() if x.getColumn() == column}
+            groups += -(-stripe.getNumberOfRows() // 1000)
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds, kinds
+    assert rows == 20_000 and groups >= 20
+    for doc_id, found in ((20_002, 1), (20_003, 0), (50_000, 0)):
+        df = spark.read.schema(token_files.ROWS).orc(path).where(F.col("doc_id") == doc_id)
+        assert df.count() == found
+        # what the reader hands out before the filter
+        scanned = spark.read.schema(token_files.ROWS).orc(path).where(F.col("doc_id") == doc_id).select("doc_id", "ids")
+        plan = scanned._jdf.queryExecution()
+        plan.executedPlan().executeCollect()
+        nodes, counts = [plan.executedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName().startswith("Scan orc"):
+                counts.append(node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+        assert counts and max(counts) <= 2000, counts
+
+
 # ---- classifiers
 
 
@@ -324,7 +386,11 @@ def test_pattern_blocks(spark, monkeypatch):
     assert found[0] == found[1] == [(0, 4, [(1, 4)], ["5"]), (0, 7, [(0, 6)], ["11", "3"]), (1, 0, [], [])]
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_topk(spark, small, monkeypatch):
+    if small:  # several shards and blocks of queries
+        for name, value in (("SHARD", 64), ("QUERIES", 8), ("PRIME", 16), ("BLOCK", 16)):
+            monkeypatch.setattr(topk, name, value)
     rng = random.Random(3)
     rows = [(i, [rng.choice((-0.5, 0.25, 0.7, rng.random())) for _ in range(9)]) for i in range(600)] + [(i, [0.3] * 9) for i in range(600, 700)]
     rows += [rows[40], rows[41]]  # repeated rows: a candidate each, a query once
