@@ -5,6 +5,9 @@ from the shard's extremes. Terms are split by the room between the two: those wh
 sum of lows to the current k-th score are non-essential. A row without a gain in any essential term can't enter.
 Essential terms are summed for a block of rows; the others are probed term group by term group, only for rows
 that are still competitive. Shards are merged by rank.
+
+A first wave scores each block of queries against one shard only. The k-th scores found there go with the block as bars
+to all shards, so that none starts without one.
 """
 
 from __future__ import annotations
@@ -37,8 +40,12 @@ def exact_type(rows: np.ndarray, q: np.ndarray) -> type:
     return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
 
 
-def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each query, the k best rows of a shard: scores and ids, ties to smaller ids, its own row left out.
+NO_BAR = -(2**63)
+
+
+def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bars: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each query, the k best rows of a shard: scores and ids, ties to smaller ids, its own row left out. Rows below a
+    query's bar may be missing.
 
     Queries are walked together, each with its own bar, order of terms and essential terms. Scores are exact."""
     width = min(rows.shape[1], queries.shape[1])  # a missing component counts as 0
@@ -53,7 +60,8 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
     lift = low.sum(axis=1, keepdims=True) + after  # lift[:, i]: the most a score can be without a gain in the terms before i
     place = np.argsort(order, axis=1, kind="stable")
     best = [(np.empty(0, kind), np.empty(0, np.int64)) for _ in q]
-    bar, full = np.zeros(len(q), kind), np.zeros(len(q), bool)  # the k-th score of a query, once it has k
+    # the k-th score of a query, once it has k
+    bar, full = (np.zeros(len(q), kind), np.zeros(len(q), bool)) if bars is None else (np.where(bars > NO_BAR, bars, 0).astype(kind), bars > NO_BAR)
     start, size = 0, PRIME
     while start < len(ids):
         block, names = rows[start : start + size], ids[start : start + size]
@@ -83,7 +91,7 @@ def maxscore(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
             top = top[np.argsort(-s[top], kind="stable")][:k]
             best[i] = s[top], n[top]
             if len(top) == k:
-                bar[i], full[i] = s[top[-1]], True
+                bar[i], full[i] = max(s[top[-1]], bar[i]) if full[i] else s[top[-1]], True
         start, size = start + size, BLOCK
     return best
 
@@ -93,26 +101,48 @@ def _packed(key: str):
         pdf = pdf.sort_values("vec_id", kind="stable")
         lens = pdf.v.map(len).to_numpy("<i4")
         flat = np.concatenate([np.asarray(x, "<i8") for x in pdf.v]) if len(pdf) else np.empty(0, "<i8")
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "blob_" + key: [pack(pdf.vec_id.to_numpy("<i8"), lens, flat)]})
+        bars = [np.full(len(pdf), NO_BAR, "<i8")] if key == "block" else []
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "blob_" + key: [pack(pdf.vec_id.to_numpy("<i8"), lens, flat, *bars)]})
 
     return packed
 
 
-def _matrix(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, lens, flat = unpack(blob)
+def _matrix(packed: bytes | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, lens, flat = unpack(packed) if isinstance(packed, bytes) else packed
     width = int(lens.max()) if len(lens) else 0
     out = np.zeros((len(ids), width), np.int64)
     out[np.arange(width) < lens[:, None]] = flat
     return ids, lens, out
 
 
+def _found(pdf: pd.DataFrame, k: int) -> Iterator[tuple[bytes, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(block, query ids, best of each query) of each pair of shard and block."""
+    for shard, block in zip(pdf.blob_shard, pdf.blob_block, strict=True):
+        ids, _, rows = _matrix(shard)
+        *vectors, bars = unpack(block)
+        query_ids, _, queries = _matrix(vectors)
+        steps = range(0, len(queries), TOGETHER)
+        yield block, query_ids, [x for a in steps for x in maxscore(ids, rows, query_ids[a : a + TOGETHER], queries[a : a + TOGETHER], k, bars[a : a + TOGETHER])]
+
+
+def _barred(k: int):
+    """Blocks with the k-th scores that one shard gave as bars."""
+
+    def barred(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for block, _, found in _found(pdf, k):
+                *vectors, _ = unpack(block)
+                out.append(pack(*vectors, np.array([int(s[-1]) if len(s) == k else NO_BAR for s, _ in found], "<i8")))
+            yield pd.DataFrame({"block": pdf.block, "blob_block": out})
+
+    return barred
+
+
 def _scored(k: int):
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for shard, block in zip(pdf.blob_shard, pdf.blob_block, strict=True):
-                ids, _, rows = _matrix(shard)
-                query_ids, _, queries = _matrix(block)
-                found = [x for a in range(0, len(queries), TOGETHER) for x in maxscore(ids, rows, query_ids[a : a + TOGETHER], queries[a : a + TOGETHER], k)]
+            for _, query_ids, found in _found(pdf, k):
                 yield pd.DataFrame({
                     "query_id": np.repeat(query_ids, [len(s) for s, _ in found]),
                     "vec_id": np.concatenate([i for _, i in found]) if found else np.empty(0, np.int64),
@@ -137,6 +167,9 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
     ask = vectors.where(F.col("vec_id") % every == 0).distinct().withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
     part = part.groupBy("shard").applyInPandas(_packed("shard"), "shard long, blob_shard binary")
     ask = ask.groupBy("block").applyInPandas(_packed("block"), "block long, blob_block binary")
+    part, ask = materialize(part), materialize(ask)
+    one = ask.withColumn("shard", F.pmod("block", F.lit(shards))).join(part, "shard")
+    ask = one.repartition(blocks, "block").select("block", "blob_shard", "blob_block").mapInPandas(_barred(k), "block long, blob_block binary")
     tasks = part.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(ask, "block")
     spread = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = tasks.repartition(spread).select("blob_shard", "blob_block").mapInPandas(_scored(k), "query_id long, vec_id long, score long")

@@ -406,6 +406,18 @@ def test_topk(spark, small, monkeypatch):
     assert set(got) == set(range(0, 700, 20))
 
 
+def test_bars_leave_out_only_rows_below_them():
+    rng = np.random.default_rng(5)
+    rows, queries = rng.integers(-60, 60, (500, 8)), rng.integers(-60, 60, (6, 8))
+    ids, names = np.arange(500), np.array([-1] * 6)
+    plain = topk.maxscore(ids, rows, names, queries, 10)
+    exact = np.sort(queries @ rows.T, axis=1)[:, ::-1]
+    bars = np.array([exact[0, 9], exact[1, 4], exact[2, 30], topk.NO_BAR, exact[4, 0] + 1, -(10**6)])
+    for i, ((s, n), (b, m)) in enumerate(zip(plain, topk.maxscore(ids, rows, names, queries, 10, bars), strict=True)):
+        keep = s >= bars[i]
+        assert b.tolist() == s[keep].tolist() and m.tolist() == n[keep].tolist()
+
+
 @pytest.mark.parametrize("size", [2.0**10, 2.0**20, 2.0**24, 2.0**40])
 def test_topk_scores_are_exact(spark, size):
     """In doubles, longs or beyond: whole numbers of any size."""
