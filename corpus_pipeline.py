@@ -27,8 +27,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group whose sets of five-word shingles are 0.8 alike: the one with the smallest doc_id, of equal
     ones the first. A null doc_id counts as larger than all others."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("p_doc"), docs["doc_id"].alias("p_id"), docs["text"], F.monotonically_increasing_id().alias("p_row"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("p_doc"), F.monotonically_increasing_id().alias("p_row"))
     rows = materialize(rows)  # numbers hold only as written: another split of the input would give others
+    rows = rows.withColumns({"p_id": F.col("p_doc.doc_id"), "text": F.col("p_doc.text")})
     groups = materialize(neardup.near_duplicates(rows.select(F.col("p_row").alias("doc_id"), "text"), width=5))
     members = groups.select(F.col("doc_id").alias("p_row"), "component_id").join(rows.select("p_row", "p_id"), "p_row")
     first = F.min(F.struct(F.col("p_id").isNull().alias("none"), "p_id", "p_row")).alias("first")
