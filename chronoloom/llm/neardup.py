@@ -106,7 +106,7 @@ def _sketch(width: int):
                 keys.append(band_keys(least) if len(s) else np.empty(0, np.int64)), sigs.append(signature(least))
             bounds = np.cumsum([0, *map(len, keys)]).astype("<i4")
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(sigs, pa.binary())], ["doc_id", "n", "c", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(sigs, pa.binary()), pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary())], ["doc_id", "n", "c", "keys", "sig", "bands"])
 
     return sketch
 
@@ -121,11 +121,23 @@ def _sets(width: int):
 
 
 def _likely(least: float):
-    """Whether the signatures of two sets agree enough."""
+    """Whether the signatures of two sets agree enough; in a band, only of pairs that share no band with a smaller key."""
+
+    def split(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.frombuffer(b"".join(many), np.uint8).reshape(len(many), -1)
+        return rows[:, : HASHES * BITS // 8], np.ascontiguousarray(rows[:, HASHES * BITS // 8 :]).view(np.int64)
 
     def likely(many: list[bytes], key: int | None):
-        signatures = np.frombuffer(b"".join(many), np.uint8).reshape(len(many), -1)
-        return lambda one: estimate(signatures, np.frombuffer(one, np.uint8)) >= least
+        signatures, keys = split(many)
+
+        def similar(one: bytes) -> np.ndarray:
+            signature, own = (x[0] for x in split([one]))
+            fine = estimate(signatures, signature) >= least
+            if key is not None:
+                fine &= np.where(keys == own, keys, np.iinfo(np.int64).max).min(axis=1) == key
+            return fine
+
+        return similar
 
     return likely
 
@@ -139,9 +151,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("d_text"))
-    every = materialize(rows.mapInArrow(_sketch(width), "doc_id long, n long, c long, keys array<long>, sig binary"))
+    every = materialize(rows.mapInArrow(_sketch(width), "doc_id long, n long, c long, keys array<long>, sig binary, bands binary"))
     full = every.where(F.col("n") > 0)
-    classes = materialize(full.groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    classes = materialize(full.groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("bands").alias("bands")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = materialize(every.select("doc_id", "c").join(wanted, "c").groupBy("c").agg(F.min("doc_id").alias("w_id")).select("w_id").distinct())
@@ -151,7 +163,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return found
 
     keys = classes.select(F.explode("keys").alias("key"), "c")
-    facts = classes.select("c", "n", F.col("sig").alias("data"))
+    facts = classes.select("c", "n", F.concat("sig", "bands").alias("data"))
     return stars.named(every, classes, stars.roots(keys, facts, sets_of, _likely(margin(percent / 100)), percent))
 
 
