@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = materialize(full.groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("bands").alias("bands")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = materialize(every.select("doc_id", "c").join(wanted, "c").groupBy("c").agg(F.min("doc_id").alias("w_id")).select("w_id").distinct())
+        ids = materialize(classes.join(wanted, "c", "left_semi").select(F.col("first").alias("w_id")).distinct())
         texts = rows.join(ids, rows.doc_id.eqNullSafe(ids.w_id), "left_semi").select("d_text")
         found = materialize(texts.mapInArrow(_sets(width), "c long, n long, data binary").dropDuplicates(["c"]))
         release(ids)
