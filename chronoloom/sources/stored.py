@@ -115,8 +115,9 @@ def _name(ts: int, unit: str) -> str:
     return day.isoformat() if unit == "day" else day.isoformat()[:7]
 
 
-def telemetry(path: str) -> Stored:
-    return Stored(path, ("channel", "ts"))
+def telemetry(path: str, *identity: str) -> Stored:
+    """Rows of a channel by time; ``identity`` tells those apart that have one time and are all to stay."""
+    return Stored(path, ("channel", "ts", *identity))
 
 
 def flags(path: str) -> Stored:
