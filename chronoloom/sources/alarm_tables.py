@@ -75,16 +75,17 @@ def alarm_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG + ", occurrence long, batch_id long").parquet(f"{path}/log")
 
 
-def newest_of_rules(table: DataFrame) -> DataFrame:
-    """The newest occurrence of each rule: a row a rule."""
+def newest_of_rules(table: DataFrame, *version: str) -> DataFrame:
+    """The newest occurrence of each rule, of several versions the last: a row a rule."""
     columns = [c for c in table.columns if c != "rule_id"]
-    return table.groupBy("rule_id").agg(F.max_by(F.struct(*columns), "occurrence").alias("o")).select("rule_id", "o.*")
+    return table.groupBy("rule_id").agg(F.max_by(F.struct(*columns), F.struct("occurrence", *version)).alias("o")).select("rule_id", "o.*")
 
 
 def write_alarm_tables(log: DataFrame, path: str, batch_id: int) -> None:
-    """Log rows of one batch (each rule's in order of time, after those of earlier batches) into both tables."""
+    """Log rows of one batch (each rule's in order of time, after those of earlier batches) into both tables. The log is
+    read once, as a stream would run its batch again for every reading."""
     spark = log.sparkSession
-    newest = newest_of_rules(occurrences(spark, path, batch_id).join(log.select("rule_id").distinct(), "rule_id", "left_semi"))
+    newest = newest_of_rules(_versions(spark, path, batch_id), "batch_id").drop("batch_id")
     folder = f"batch_id={batch_id}"
     put(numbered(log, newest).drop("o_rank"), f"{path}/log/{folder}", mode="overwrite")
     stored = spark.read.schema(LOG + ", occurrence long").parquet(f"{path}/log/{folder}")
