@@ -72,7 +72,9 @@ def boosted(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, l
         for level in range(depth):
             n, base = 2**level, 2**level - 1
             flat = ((node - base)[:, None] * width * BINS + cell).ravel()
-            g, h, c = (np.bincount(flat, np.repeat(w, width), n * width * BINS).reshape(n, width, BINS) for w in (slope, bend, np.ones(len(y))))
+            g = np.bincount(flat, np.repeat(slope, width), n * width * BINS).reshape(n, width, BINS)
+            c = np.bincount(flat, minlength=n * width * BINS).reshape(n, width, BINS).astype(float)
+            h = np.bincount(flat, np.repeat(bend, width), n * width * BINS).reshape(n, width, BINS) if logistic else c  # all bend by 1
             left_g, left_h = g.cumsum(axis=2)[:, :, :-1], h.cumsum(axis=2)[:, :, :-1]
             all_g, all_h = g.sum(axis=2, keepdims=True), h.sum(axis=2, keepdims=True)
             gain = left_g**2 / (left_h + 1e-3) + (all_g - left_g) ** 2 / (all_h - left_h + 1e-3) - all_g**2 / (all_h + 1e-3)
@@ -146,7 +148,7 @@ def train_forecasters(
     20 %, errors (filtered next values) on the rest. Metrics: channel, n_train, n_val, n_test, sigma, mae, mae_naive,
     gain."""
     gap = max(p.hampel_window, p.feature_window)
-    rows = written(chronological_split(increment_target(diagnosed, p), gap, p.chunk))
+    rows = written(chronological_split(written(increment_target(diagnosed, p)), gap, p.chunk))
 
     def fit(x: np.ndarray, y: np.ndarray) -> Forecast:
         mean, spread = _standard(x)
