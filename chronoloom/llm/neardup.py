@@ -98,19 +98,25 @@ def margin(similarity: float) -> float:
 def _sketch(width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c, keys, sigs = [], [], [], []
+            n, c, bands, sigs = [], [], [], []
             for text in batch.column("d_text").to_pylist():
                 s = shingles(text, width)
                 least = minima(s)
                 n.append(len(s)), c.append(set_hash(s))
-                keys.append(band_keys(least) if len(s) else np.empty(0, np.int64)), sigs.append(signature(least))
-            bounds = np.cumsum([0, *map(len, keys)]).astype("<i4")
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(sigs, pa.binary()), pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary())], ["doc_id", "n", "c", "keys", "sig", "bands"])
+                bands.append(band_keys(least).astype("<i8").tobytes() if len(s) else b""), sigs.append(signature(least))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "n", "c", "sig", "bands"])
 
     return sketch
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, c: a row for each band of each class."""
+    for batch in batches:
+        bands = batch.column("bands").to_pylist()
+        c = np.repeat(batch.column("c").to_numpy(), [len(b) // 8 for b in bands])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bands), "<i8")), pa.array(c)], ["key", "c"])
+
+
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +157,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("d_text"))
-    every = materialize(rows.mapInArrow(_sketch(width), "doc_id long, n long, c long, keys array<long>, sig binary, bands binary"))
+    every = materialize(rows.mapInArrow(_sketch(width), "doc_id long, n long, c long, sig binary, bands binary"))
     full = every.where(F.col("n") > 0)
-    classes = materialize(full.groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("bands").alias("bands")))
+    classes = materialize(full.groupBy("c").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    sketched, every = every, materialize(every.select("doc_id", "n", "c"))
+    release(sketched)  # bands and signatures go on with the classes only
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = materialize(classes.join(wanted, "c", "left_semi").select(F.col("first").alias("w_id")).distinct())
@@ -162,9 +170,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         release(ids)
         return found
 
-    keys = classes.select(F.explode("keys").alias("key"), "c")
+    keys = classes.select("c", "bands").mapInArrow(_keys, "key long, c long")
     facts = classes.select("c", "n", F.concat("sig", "bands").alias("data"))
-    return stars.named(every, classes, stars.roots(keys, facts, sets_of, _likely(margin(percent / 100)), percent))
+    found = stars.roots(keys, facts, sets_of, _likely(margin(percent / 100)), percent)
+    firsts = materialize(classes.select("c", "first"))
+    release(classes)
+    return stars.named(every, firsts, found)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
