@@ -1,15 +1,16 @@
 """Forecasters and classifiers of channels: gradient-boosted trees on window features.
 
 A model belongs to one channel, and a model of a hundred trees of depth six would ask Spark ML for six hundred jobs a
-channel, one after another. Models are therefore fitted side by side, a channel in a task, on at most ``sample`` rows of
-its training part, spread by hash; everything else (features, target, split, spread of residuals, errors) covers all
-rows and is Spark's. Models are rows of a table (see models.TABLE) from the task that fits them to the one that uses them.
+channel, one after another. Models are therefore fitted side by side: a channel of up to ``whole`` rows in a task, the
+larger ones over shards of rows, all of them in the same jobs (see boosting). Either way a channel's trees see all of its
+training rows. Models are rows of a table (see models.TABLE) from the task that fits them to the one that uses them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from ..functions.scalar import floor_div
 from ..params import ChannelParams
 from ..storage import with_columns, written
+from .boosting import BINS, LEAF, Boosting, Trees, boosted, boosted_shards  # noqa: F401
 from .filters import INPUTS, chronological_split, increment_target, robust_sigma
 from .models import CLASSIFIER, FORECASTER, TABLE, ChannelModel, in_groups
 
-SAMPLE = 100_000  # rows of a channel that its trees see at most
-BINS, LEAF = 64, 20  # quantiles that may be split at, and rows of a leaf at least
+WHOLE = 5_000_000  # rows of a channel that one task fits, at about 100 bytes a row; larger channels are fitted over shards
 
 
 def standardize_features(rows: DataFrame, fit_on: DataFrame) -> DataFrame:
@@ -35,63 +36,6 @@ def standardize_features(rows: DataFrame, fit_on: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, *scaled)
 
 
-@dataclass
-class Trees:
-    """Boosted trees of one depth: a tree is a row of splits by level order, and a value for each leaf."""
-
-    feature: np.ndarray  # trees x inner nodes
-    limit: np.ndarray  # a row goes right if it is larger
-    leaf: np.ndarray  # trees x leaves
-    start: float
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.start)
-        rows, inner = np.arange(len(x)), self.feature.shape[1]
-        for feature, limit, leaf in zip(self.feature, self.limit, self.leaf, strict=True):
-            node = np.zeros(len(x), np.int64)
-            while len(node) and node[0] < inner:  # all rows are on one level
-                node = 2 * node + 1 + (x[rows, feature[node]] > limit[node])
-            out += leaf[node - inner]
-        return out
-
-
-def boosted(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float, logistic: bool = False) -> Trees:
-    """Least squares or logistic loss, second order; splits at BINS quantiles of each feature, a level at a time."""
-    limits = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(x) else np.zeros((x.shape[1], BINS - 1))
-    bins = np.stack([np.searchsorted(e, c, "left") for e, c in zip(limits, x.T, strict=True)], axis=1)
-    width, inner = x.shape[1], 2**depth - 1
-    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-    start = float(np.log(share / (1 - share))) if logistic else float(y.mean()) if len(y) else 0.0
-    model = Trees(np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1)), start)
-    score = np.full(len(y), start)
-    cell = np.arange(width) * BINS + bins
-    for k in range(trees):
-        p = 1 / (1 + np.exp(-score)) if logistic else score
-        slope, bend = y - p, np.maximum(p * (1 - p), 1e-9) if logistic else np.ones(len(y))
-        node = np.zeros(len(y), np.int64)
-        for level in range(depth):
-            n, base = 2**level, 2**level - 1
-            flat = ((node - base)[:, None] * width * BINS + cell).ravel()
-            g = np.bincount(flat, np.repeat(slope, width), n * width * BINS).reshape(n, width, BINS)
-            c = np.bincount(flat, minlength=n * width * BINS).reshape(n, width, BINS).astype(float)
-            h = np.bincount(flat, np.repeat(bend, width), n * width * BINS).reshape(n, width, BINS) if logistic else c  # all bend by 1
-            left_g, left_h = g.cumsum(axis=2)[:, :, :-1], h.cumsum(axis=2)[:, :, :-1]
-            all_g, all_h = g.sum(axis=2, keepdims=True), h.sum(axis=2, keepdims=True)
-            gain = left_g**2 / (left_h + 1e-3) + (all_g - left_g) ** 2 / (all_h - left_h + 1e-3) - all_g**2 / (all_h + 1e-3)
-            left = c.cumsum(axis=2)[:, :, :-1]
-            gain[(left < LEAF) | (c.sum(axis=2, keepdims=True) - left < LEAF)] = 0
-            best = gain.reshape(n, -1).argmax(axis=1)
-            f, b = best // (BINS - 1), best % (BINS - 1)
-            fine = gain.reshape(n, -1)[np.arange(n), best] > 1e-12
-            at = base + np.arange(n)
-            model.feature[k, at], model.limit[k, at] = f, np.where(fine, limits[f, b], np.inf)
-            node = 2 * node + 1 + (x[np.arange(len(y)), model.feature[k, node]] > model.limit[k, node])
-        g, h = (np.bincount(node - inner, w, inner + 1) for w in (slope, bend))
-        model.leaf[k] = rate * g / (h + 1e-3)
-        score += model.leaf[k, node - inner]
-    return model
-
-
 @dataclass
 class Forecast:
     """The filtered value and the change that a model of standardised inputs expects."""
@@ -115,32 +59,49 @@ class Probability:
         return 1 / (1 + np.exp(-self.odds((x - self.mean) / self.spread)))
 
 
-def _standard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    spread = x.std(axis=0)
-    return x.mean(axis=0), np.where(spread > 0, spread, 1.0)
+def _standard(x: np.ndarray) -> tuple[float, float]:
+    """Mean and deviation of a column (0 counts as 1)."""
+    return float(x.mean()), float(x.std()) or 1.0
 
 
 TABLE_COLUMNS = [c.split()[0] for c in TABLE.split(", ")]
 
 
-def _fitted(rows: DataFrame, target: str, fit, sample: int, kind: str, version: str, gamma: Column | None = None) -> DataFrame:
-    """A model table with fit(inputs, target) of each channel that has rows, on at most ``sample`` of them."""
-    counts = rows.groupBy("channel").agg(F.count("*").alias("f_n"))
-    slots = 1 << 30
-    share = F.pmod(F.xxhash64("channel", "ts"), F.lit(slots)) < F.least(F.lit(1.0), F.lit(float(sample)) / F.col("f_n")) * slots
-    picked = rows.select("channel", "ts", *INPUTS, F.col(target).cast("double").alias("f_y")).join(counts, "channel").where(share)
+def _fitted(rows: DataFrame, target: str, how: Boosting, scaled: bool, make: Callable[..., Any], whole: int, kind: str, version: str, gamma: Column | None = None) -> DataFrame:
+    """A model table with make(mean, spread, scale, trees) of each channel that has rows, fitted on all of them."""
+    rows = rows.select("channel", "ts", *INPUTS, F.col(target).cast("double").alias("f_y"))
+    counts = written(rows.groupBy("channel").agg(F.count("*").alias("f_n")))
 
-    def fits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        return pd.DataFrame({"channel": pdf.channel.iloc[:1], "bytes": [cloudpickle.dumps(fit(pdf[list(INPUTS)].to_numpy(float), pdf.f_y.to_numpy(float)))]})
-
-    found = picked.drop("f_n").groupBy("channel").applyInPandas(fits, "channel string, bytes binary")
+    def fits(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = np.empty((len(INPUTS) + 1, 0)), 0
+        for pdf in batches:
+            if not n:
+                held = np.empty((len(held), int(pdf.f_n.iloc[0])))
+            held[:, n : n + len(pdf)] = pdf[[*INPUTS, "f_y"]].to_numpy(float).T
+            n += len(pdf)
+        x, y = held[:-1], held[-1]
+        mean, spread = (np.array(a) for a in zip(*map(_standard, x), strict=True))
+        scale = (float(y.std()) or 1.0) if scaled else 1.0
+        x -= mean[:, None]
+        x /= spread[:, None]
+        y /= scale
+        model = make(mean, spread, scale, boosted(x.T, y, how.trees, how.depth, how.rate, how.logistic))
+        yield pd.DataFrame({"channel": key, "bytes": [cloudpickle.dumps(model)]})
+
+    # by ranges, as those weigh rows: hashes would put channels into one task while others are idle
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.join(counts.where(F.col("f_n") <= whole), "channel").repartitionByRange(tasks, "channel").sortWithinPartitions("channel", "ts")
+    found = few.groupBy("channel").applyInPandas(fits, "channel string, bytes binary")
+    large = counts.where(F.col("f_n") > whole).select("channel")
+    if not large.isEmpty():
+        dealt = boosted_shards(rows.join(large, "channel", "left_semi"), "channel", "ts", INPUTS, "f_y", how, scaled)
+        found = found.unionByName(rows.sparkSession.createDataFrame([(c, bytearray(cloudpickle.dumps(make(*m)))) for c, *m in dealt], found.schema))
     none = F.lit(None).cast("double")
     return written(found.select("channel", F.lit(kind).alias("kind"), F.lit(version).alias("version"), none.alias("sigma"), (none if gamma is None else gamma).alias("gamma"), "bytes"))
 
 
 def train_forecasters(
-    diagnosed: DataFrame, p: ChannelParams = ChannelParams(), trees: int = 100, depth: int = 6, rate: float = 0.1, sample: int = SAMPLE, version: str = "boosted"
+    diagnosed: DataFrame, p: ChannelParams = ChannelParams(), trees: int = 100, depth: int = 6, rate: float = 0.1, whole: int = WHOLE, version: str = "boosted"
 ) -> tuple[DataFrame, DataFrame]:
     """A model table with a forecaster of each channel that has rows to train on, and their metrics.
 
@@ -149,13 +110,8 @@ def train_forecasters(
     gain."""
     gap = max(p.hampel_window, p.feature_window)
     rows = written(chronological_split(written(increment_target(diagnosed, p)), gap, p.chunk))
-
-    def fit(x: np.ndarray, y: np.ndarray) -> Forecast:
-        mean, spread = _standard(x)
-        scale = float(y.std()) or 1.0
-        return Forecast(mean, spread, boosted((x - mean) / spread, y / scale, trees, depth, rate), scale)
-
-    models = _fitted(rows.where(F.col("part") == "train"), "y", fit, sample, FORECASTER, version)
+    make = lambda mean, spread, scale, change: Forecast(mean, spread, change, scale)
+    models = _fitted(rows.where(F.col("part") == "train"), "y", Boosting(trees, depth, rate), True, make, whole, FORECASTER, version)
     return with_sigma(rows, models)
 
 
@@ -193,15 +149,11 @@ def predict_forecasters(rows: DataFrame, models: DataFrame, chunk: int = Channel
     return _applied(rows.where(F.col("mean").isNotNull()), models, {"pred_next": "double"}, lambda m, x: {"pred_next": m.forecast(x)}, chunk, keep=False)
 
 
-def train_classifiers(rows: DataFrame, label: str, gamma: float, trees: int = 20, depth: int = 4, rate: float = 0.1, sample: int = SAMPLE, version: str = "boosted") -> DataFrame:
+def train_classifiers(rows: DataFrame, label: str, gamma: float, trees: int = 20, depth: int = 4, rate: float = 0.1, whole: int = WHOLE, version: str = "boosted") -> DataFrame:
     """A model table with a classifier of each channel, learned from rows with features and a label of 0 or 1."""
-
-    def fit(x: np.ndarray, y: np.ndarray) -> Probability:
-        mean, spread = _standard(x)
-        return Probability(mean, spread, boosted((x - mean) / spread, y, trees, depth, rate, logistic=True))
-
+    make = lambda mean, spread, scale, odds: Probability(mean, spread, odds)
     fine = rows.where(F.col("mean").isNotNull() & F.col(label).isin(0, 1))
-    return _fitted(fine, label, fit, sample, CLASSIFIER, version, F.lit(gamma))
+    return _fitted(fine, label, Boosting(trees, depth, rate, logistic=True), False, make, whole, CLASSIFIER, version, F.lit(gamma))
 
 
 def predict_classifiers(rows: DataFrame, models: DataFrame, chunk: int = ChannelParams().chunk) -> DataFrame:
